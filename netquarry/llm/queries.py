@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry.llm import bktree_simhash, decontaminate, mixing, quality_model, sharding
+from netquarry.llm import (
+    bktree_simhash,
+    decontaminate,
+    license_scan,
+    mixing,
+    phrase_dedup,
+    quality_model,
+    secret_scan,
+    sharding,
+    stream_dedup,
+)
 from netquarry.llm.shared import text_of, utf8_crc32
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +36,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", own["source_size"].alias("source_size"), own["target"].alias("target"), "taken")
 
 
+def op2_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     text = text_of(docs)
@@ -39,6 +53,16 @@ def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return secret_scan.scan(spark, docs, owner=docs["source"], repository=docs["lang"])
+
+
+def op6_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = stream_dedup.stream_dedup(spark, f"{sf_dir}/documents.parquet")
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+
+
 def op7_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     grades = quality_model.quality_grades(_table(spark, sf_dir, "labels"))
@@ -55,13 +79,17 @@ def op8_benchmark_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_dedup.remove_repeats(spark, _table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bktree_simhash.simhash_groups(spark, _table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mix_sources, op3_feistel_shards, op7_ordinal_quality, op8_benchmark_edits, op10_simhash_groups)}
+    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
