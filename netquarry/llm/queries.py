@@ -17,6 +17,7 @@ from netquarry.llm import (
     secret_scan,
     sharding,
     stream_dedup,
+    toxicity,
 )
 from netquarry.llm.shared import text_of, utf8_crc32
 
@@ -58,6 +59,18 @@ def op4_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(spark, docs, owner=docs["source"], repository=docs["lang"])
 
 
+def op5_toxic_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    rated = _table(spark, sf_dir, "labels").filter(~toxicity.held_out(F.col("doc_id")))
+    found = toxicity.scored(docs, toxicity.train(spark, docs, rated))
+    return found.select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op6_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = stream_dedup.stream_dedup(spark, f"{sf_dir}/documents.parquet")
     return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
