@@ -2,7 +2,8 @@
 
 A test item of m characters may appear with k = floor(rate x m) edits. Split into k + 1 pieces, at least one of them
 appears unchanged, at a known offset; so every exact piece hit gives a window of the text to verify, and no item
-within its budget is missed. Texts and items are compared in lower case with white space collapsed to single spaces.
+within its budget is missed. Split into 2(k + 1) halves, at least k + 2 of them stay unchanged: windows that hold
+fewer are passed over before the distance is computed, which loses none either. Texts and items are compared in lower case with white space collapsed to single spaces.
 """
 
 from __future__ import annotations
@@ -67,6 +68,16 @@ class Pattern:
         return best, end
 
 
+def _enough(halves: list[str], window: str, budget: int) -> bool:
+    missing = 0
+    for half in halves:
+        if half not in window:
+            missing += 1
+            if missing > budget:
+                return False
+    return True
+
+
 class Matcher:
     """Items (id, text) ready to be looked for."""
 
@@ -78,7 +89,8 @@ class Matcher:
                 budget = int(rate * len(item))
                 for offset, piece in pieces(item, budget):
                     by_piece.setdefault(piece, []).append((len(self.items), offset))
-                self.items.append((number, budget, Pattern(item), Pattern(item[::-1])))
+                halves = [half for _, half in pieces(item, 2 * budget + 1)]
+                self.items.append((number, budget, halves, Pattern(item), Pattern(item[::-1])))
         self.automaton = ahocorasick.Automaton()
         for piece, where in by_piece.items():
             self.automaton.add_word(piece, (len(piece), where))
@@ -96,7 +108,7 @@ class Matcher:
                 starts.setdefault(k, []).append(last + 1 - length - offset)
         out = []
         for k, found in starts.items():
-            number, budget, forward, backward = self.items[k]
+            number, budget, halves, forward, backward = self.items[k]
             best = None
             found.sort()
             low = found[0]
@@ -104,10 +116,12 @@ class Matcher:
                 if i + 1 < len(found) and found[i + 1] - start <= budget:
                     continue  # hits on neighbouring diagonals are verified together
                 begin, stop = max(0, low - budget), start + forward.m + budget
-                d, end = forward.search(doc[begin:stop])
-                if d <= budget and (best is None or d < best[0]):
-                    back = backward.search(doc[begin : begin + end][::-1])[1]
-                    best = (d, begin + end - back, begin + end)
+                window = doc[begin:stop]
+                if _enough(halves, window, budget):
+                    d, end = forward.search(window)
+                    if d <= budget and (best is None or d < best[0]):
+                        back = backward.search(window[:end][::-1])[1]
+                        best = (d, begin + end - back, begin + end)
                 low = found[i + 1] if i + 1 < len(found) else 0
             if best:
                 out.append((number, *best))
