@@ -1 +1 @@
-"""operators of the engine."""
+"""DataFrame operators, one module per kind."""

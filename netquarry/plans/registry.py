@@ -1,12 +1,22 @@
-"""Registered queries over the supplied tables and the equivalent DuckDB SQL."""
+"""Registered queries over the supplied tables and the equivalent DuckDB SQL.
+
+Flows are events (source user_id, destination event_id % 20, port from the JSON, protocol by kind of event); flows
+with packets are orders with their line items, which lie in a time range after the order.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netquarry.functions.expr import compile_expr
+from netquarry.functions.scalars import capture_name, contains_ignoring_case, is_capture, risk_band
+from netquarry.operators import joins, labels, packing, profile, quality, scaling, setops, states, windows
+from netquarry.operators.labels import AttackRule, FlowColumns
+from netquarry.operators.quality import Numeric, Plan, Rule, Text
 from netquarry.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,10 +42,854 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+def r6(column: Column) -> Column:
+    return F.round(column, 6)
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[r6(F.col(f"`{c}`")).alias(c) if t in ("double", "float") else F.col(f"`{c}`") for c, t in df.dtypes])
+
+
+# ---------------------------------------------------------------- views
+
+FLOWS = """flows AS (
+  SELECT event_id, ts, user_id AS src, event_id % 20 AS dst, CAST(json_extract(props, '$.k') AS BIGINT) AS dst_port,
+         CASE event_type WHEN 'view' THEN 6 WHEN 'click' THEN 17 ELSE 0 END AS protocol, value AS bytes, event_type AS label
+  FROM events)"""
+WINDOWED = FLOWS + ", windowed AS (SELECT *, time_bucket(INTERVAL 6 HOUR, ts) AS window_start FROM flows)"
+
+
+def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    return table(spark, sf_dir, "events").select(
+        "event_id",
+        "ts",
+        F.col("user_id").alias("src"),
+        (F.col("event_id") % 20).alias("dst"),
+        F.get_json_object("props", "$.k").cast("bigint").alias("dst_port"),
+        F.when(kind == "view", 6).when(kind == "click", 17).otherwise(0).alias("protocol"),
+        F.col("value").alias("bytes"),
+        kind.alias("label"),
+    )
+
+
+def windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return states.with_window(flows(spark, sf_dir), "ts", "6 hours")
+
+
+# ---------------------------------------------------------------- window state
+
+GLOBAL_SQL = """SELECT window_start, count(*) AS flow_count, count(DISTINCT src) AS src_unique, count(DISTINCT dst) AS dst_unique,
+  count(DISTINCT dst_port) AS dst_port_unique,
+  round(avg(CASE WHEN protocol = 0 THEN 1.0 ELSE 0.0 END), 6) AS protocol_0_ratio,
+  round(avg(CASE WHEN protocol = 6 THEN 1.0 ELSE 0.0 END), 6) AS protocol_6_ratio,
+  round(avg(CASE WHEN protocol = 17 THEN 1.0 ELSE 0.0 END), 6) AS protocol_17_ratio,
+  round(sum(bytes), 6) AS bytes_sum, round(avg(bytes), 6) AS bytes_mean, round(coalesce(stddev_samp(bytes), 0), 6) AS bytes_std,
+  round(max(bytes), 6) AS bytes_max FROM windowed GROUP BY window_start"""
+
+
+def _global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return states.global_state(
+        windowed(spark, sf_dir), unique=["src", "dst", "dst_port"], sums=["bytes"], means=["bytes"], stds=["bytes"], maxima=["bytes"]
+    )
+
+
+@register("global_state", f"WITH {WINDOWED} {GLOBAL_SQL}")
+def global_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_global(spark, sf_dir))
+
+
 @register(
-    "global_state",
-    "SELECT time_bucket(INTERVAL 6 HOUR, ts) AS window_start, count(*) AS flow_count FROM events GROUP BY 1",
+    "declared_aggregates",
+    f"""WITH {WINDOWED} SELECT window_start, round(sum(bytes), 6) AS bytes_total, round(avg(bytes), 6) AS bytes_mean,
+    round(min(bytes), 6) AS bytes_low, round(max(bytes), 6) AS bytes_high, max(dst_port) AS port_high FROM windowed GROUP BY 1""",
 )
-def global_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+def declared_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = [("bytes_total", "bytes", "sum"), ("bytes_mean", "bytes", "mean"), ("bytes_low", "bytes", "min"), ("bytes_high", "bytes", "max"), ("port_high", "dst_port", "max")]
+    return rounded(states.declared_aggregates(windowed(spark, sf_dir), spec))
+
+
+@register("clean_numbers", """SELECT event_id, coalesce(try_cast(event_type AS DOUBLE), 0.0) AS event_type,
+    CASE WHEN event_id % 7 = 0 THEN 0.0 ELSE value END AS value FROM events""")
+def clean_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    odd = F.when(F.col("event_id") % 14 == 0, F.lit(float("inf"))).when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
+    return states.clean_numbers(events.select("event_id", "event_type", odd.alias("value")), ["event_id"])
+
+
+def _side_sql(way: str, host: str, peer: str) -> str:
+    return f"""{way} AS (SELECT window_start, {host} AS host, count(*) AS n, sum(bytes) AS s, avg(bytes) AS m,
+      sum(protocol) * 1.0 / count(*) AS r, count(DISTINCT {peer}) AS p, count(DISTINCT dst_port) AS d FROM windowed WHERE {host} IS NOT NULL GROUP BY 1, 2)"""
+
+
+HOSTS = (
+    WINDOWED
+    + ", "
+    + _side_sql("o", "src", "dst")
+    + ", "
+    + _side_sql("i", "dst", "src")
+    + """, hosts AS (SELECT coalesce(o.window_start, i.window_start) AS window_start, coalesce(o.host, i.host) AS host,
+  coalesce(o.n, 0) AS out_flow_count, coalesce(o.s, 0) AS out_bytes_sum, coalesce(o.m, 0) AS out_bytes_mean, coalesce(o.r, 0) AS out_protocol_ratio,
+  coalesce(o.p, 0) AS out_unique_peers, coalesce(o.d, 0) AS out_unique_dst_ports,
+  coalesce(i.n, 0) AS in_flow_count, coalesce(i.s, 0) AS in_bytes_sum, coalesce(i.m, 0) AS in_bytes_mean, coalesce(i.r, 0) AS in_protocol_ratio,
+  coalesce(i.p, 0) AS in_unique_peers, coalesce(i.d, 0) AS in_unique_dst_ports
+  FROM o FULL JOIN i ON o.window_start = i.window_start AND o.host = i.host),
+top AS (SELECT *, row_number() OVER (PARTITION BY window_start ORDER BY out_flow_count + in_flow_count DESC, host) - 1 AS place FROM hosts
+        QUALIFY place < 10)"""
+)
+_HOST_ROUND = """out_flow_count, round(out_bytes_sum, 6) AS out_bytes_sum, round(out_bytes_mean, 6) AS out_bytes_mean,
+  round(out_protocol_ratio, 6) AS out_protocol_ratio, out_unique_peers, out_unique_dst_ports, in_flow_count, round(in_bytes_sum, 6) AS in_bytes_sum,
+  round(in_bytes_mean, 6) AS in_bytes_mean, round(in_protocol_ratio, 6) AS in_protocol_ratio, in_unique_peers, in_unique_dst_ports"""
+
+
+def _hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return states.host_features(windowed(spark, sf_dir), sums=["bytes"], means=["bytes"], ratios=["protocol"])
+
+
+def _top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return states.top_hosts(_hosts(spark, sf_dir), 10)
+
+
+@register("host_state", f"WITH {HOSTS} SELECT window_start, host, {_HOST_ROUND} FROM hosts")
+def host_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_hosts(spark, sf_dir))
+
+
+@register("host_topk", f"WITH {HOSTS} SELECT window_start, host, place, {_HOST_ROUND} FROM top")
+def host_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_top(spark, sf_dir))
+
+
+@register(
+    "host_padded",
+    f"""WITH {HOSTS}, few AS (SELECT * FROM top WHERE out_flow_count > 0), w AS (SELECT DISTINCT window_start FROM few),
+    n AS (SELECT window_start, count(*) AS n FROM few GROUP BY 1),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY window_start ORDER BY place) - 1 AS at FROM few)
+    SELECT w.window_start, CAST(p.place AS INT) AS place, CASE WHEN f.host IS NULL THEN 'pad_' || (p.place - n.n) ELSE CAST(f.host AS VARCHAR) END AS host,
+    CASE WHEN f.host IS NULL THEN 0 ELSE 1 END AS mask, round(coalesce(f.out_bytes_sum, 0), 6) AS out_bytes_sum
+    FROM w CROSS JOIN range(0, 12) p(place) JOIN n USING (window_start) LEFT JOIN ranked f ON f.window_start = w.window_start AND f.at = p.place""",
+)
+def host_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    few = _top(spark, sf_dir).filter("out_flow_count > 0")
+    place = F.row_number().over(Window.partitionBy("window_start").orderBy("place")) - 1
+    few = few.select("window_start", "host", place.alias("place"), "out_bytes_sum")
+    return rounded(states.padded_hosts(few, 12))
+
+
+EDGES = HOSTS + """, edges AS (SELECT window_start, src, dst, count(*) AS flow_count, sum(bytes) AS bytes_sum, avg(bytes) AS bytes_mean,
+  sum(protocol) * 1.0 / count(*) AS protocol_ratio FROM windowed WHERE src IS NOT NULL AND dst IS NOT NULL GROUP BY 1, 2, 3),
+inner_edges AS (SELECT e.*, a.place AS i, b.place AS j FROM edges e JOIN top a ON a.window_start = e.window_start AND a.host = e.src
+  JOIN top b ON b.window_start = e.window_start AND b.host = e.dst)"""
+_EDGE_ROUND = "flow_count, round(bytes_sum, 6) AS bytes_sum, round(bytes_mean, 6) AS bytes_mean, round(protocol_ratio, 6) AS protocol_ratio"
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return states.edge_table(windowed(spark, sf_dir), sums=["bytes"], means=["bytes"], ratios=["protocol"])
+
+
+@register("edge_state", f"WITH {EDGES} SELECT window_start, src, dst, {_EDGE_ROUND} FROM edges")
+def edge_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_edges(spark, sf_dir))
+
+
+@register("edge_semi", f"WITH {EDGES} SELECT window_start, src, dst, i, j, {_EDGE_ROUND} FROM inner_edges")
+def edge_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(states.edges_between(_edges(spark, sf_dir), _top(spark, sf_dir)))
+
+
+@register(
+    "edge_undirected",
+    f"""WITH {EDGES}, e AS (SELECT window_start, src, dst, flow_count FROM edges)
+    SELECT * FROM e UNION ALL SELECT window_start, dst AS src, src AS dst, flow_count FROM e x
+    WHERE NOT EXISTS (SELECT 1 FROM e y WHERE y.window_start = x.window_start AND y.src = x.dst AND y.dst = x.src)""",
+)
+def edge_undirected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return states.undirected(_edges(spark, sf_dir).select("window_start", "src", "dst", "flow_count"))
+
+
+@register(
+    "delta_global",
+    f"""WITH {WINDOWED}, g AS (SELECT window_start, count(*) AS flow_count, avg(bytes) AS bytes_mean FROM windowed GROUP BY 1)
+    SELECT window_start, round(coalesce(flow_count - lag(flow_count) OVER w, 0), 6) * 1.0 AS delta_flow_count,
+    round(coalesce(bytes_mean - lag(bytes_mean) OVER w, 0), 6) AS delta_bytes_mean FROM g WINDOW w AS (ORDER BY window_start)""",
+)
+def delta_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(states.delta_global(_global(spark, sf_dir), ["flow_count", "bytes_mean"]))
+
+
+@register(
+    "delta_host",
+    f"""WITH {HOSTS}, n AS (SELECT window_start, row_number() OVER (ORDER BY window_start) AS n FROM (SELECT DISTINCT window_start FROM top)),
+    t AS (SELECT top.*, n.n FROM top JOIN n USING (window_start))
+    SELECT t.window_start, t.host, t.place, CASE WHEN t.n = 1 THEN 0.0 ELSE round(t.out_bytes_sum - coalesce(p.out_bytes_sum, 0), 6) END AS delta_out_bytes_sum,
+    CASE WHEN t.n = 1 THEN 0.0 ELSE (t.in_flow_count - coalesce(p.in_flow_count, 0)) * 1.0 END AS delta_in_flow_count
+    FROM t LEFT JOIN t p ON p.n = t.n - 1 AND p.host = t.host""",
+)
+def delta_host(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(states.delta_host(_top(spark, sf_dir), ["out_bytes_sum", "in_flow_count"]))
+
+
+ATTACKS = ("error", "signup")
+
+
+@register(
+    "window_label",
+    f"""WITH {WINDOWED}, l AS (SELECT window_start, CASE WHEN label IN ('error', 'signup') THEN label ELSE 'ok' END AS label FROM windowed)
+    SELECT window_start, max(CASE WHEN label <> 'ok' THEN 1 ELSE 0 END) AS attack_presence,
+    max(CASE WHEN label = 'error' THEN 1 ELSE 0 END) || ',' || max(CASE WHEN label = 'signup' THEN 1 ELSE 0 END) AS attack_types_present
+    FROM l GROUP BY 1""",
+)
+def window_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = windowed(spark, sf_dir).withColumn("label", F.when(F.col("label").isin(*ATTACKS), F.col("label")).otherwise("ok"))
+    found = states.window_labels(known, ATTACKS, benign="ok")
+    return found.withColumn("attack_types_present", F.array_join("attack_types_present", ","))
+
+
+@register("window_tensors")
+def window_tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = _top(spark, sf_dir)
+    edges = states.edges_between(_edges(spark, sf_dir), top)
+    return states.window_tensors(
+        _global(spark, sf_dir), top, edges, global_columns=["flow_count", "bytes_mean"], host_columns=["out_bytes_sum", "in_bytes_sum"], edge_columns=["bytes_sum"], k=10
+    )
+
+
+# ---------------------------------------------------------------- scaling
+
+SCALED = WINDOWED + """, g AS (SELECT window_start, count(*) AS flow_count, avg(bytes) AS bytes_mean FROM windowed GROUP BY 1),
+t AS (SELECT *, row_number() OVER (ORDER BY window_start) <= floor(count(*) OVER () * 0.7) AS train FROM g),
+s AS (SELECT avg(flow_count) AS m1, stddev_pop(flow_count) AS s1, avg(bytes_mean) AS m2, stddev_pop(bytes_mean) AS s2 FROM t WHERE train)"""
+
+
+def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    g = _global(spark, sf_dir).select("window_start", "flow_count", "bytes_mean")
+    train = g.join(scaling.training_windows(g).filter("train"), "window_start")
+    return g, scaling.fit_scaler(train, ["flow_count", "bytes_mean"])
+
+
+@register("train_split", f"WITH {SCALED} SELECT window_start, train FROM t")
+def train_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scaling.training_windows(_global(spark, sf_dir))
+
+
+@register(
+    "scaler_fit",
+    f"""WITH {SCALED} SELECT 'flow_count' AS name, round(m1, 6) AS mean, round(s1, 6) AS std FROM s
+    UNION ALL SELECT 'bytes_mean', round(m2, 6), round(s2, 6) FROM s""",
+)
+def scaler_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_split(spark, sf_dir)[1])
+
+
+@register(
+    "scaler_apply",
+    f"""WITH {SCALED} SELECT window_start, round(greatest(least((flow_count - m1) / s1, 10), -10), 6) AS flow_count,
+    round(greatest(least((bytes_mean - m2) / s2, 10), -10), 6) AS bytes_mean FROM g, s""",
+)
+def scaler_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g, scaler = _split(spark, sf_dir)
+    return rounded(scaling.apply_scaler(g, scaler, ["flow_count", "bytes_mean"]))
+
+
+# ---------------------------------------------------------------- trailing features
+
+DAYS = 5
+TRAIL = """trail AS (SELECT event_id, date_trunc('hour', ts) AS tm, user_id AS src_ip, event_id % 20 AS dst_ip, CAST(json_extract(props, '$.k') AS BIGINT) AS dst_port,
+  event_type <> 'view' AS ok, CAST(ts AS DATE) AS capture FROM events)"""
+_TRAIL_W = """w AS (PARTITION BY {0} ORDER BY tm RANGE BETWEEN INTERVAL 5 DAY PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING)"""
+_SPAN = "greatest(max(epoch_us(tm)) FILTER (WHERE ok) OVER w - min(epoch_us(tm)) FILTER (WHERE ok) OVER w, 1000) / 1e6"
+
+
+def _trail_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
-    return events.groupBy(F.window("ts", "6 hours").start.alias("window_start")).agg(F.count("*").alias("flow_count"))
+    hour = F.date_trunc("hour", F.col("ts").cast("timestamp"))
+    return events.select(
+        "event_id",
+        F.col("user_id").alias("src_ip"),
+        (F.col("event_id") % 20).alias("dst_ip"),
+        F.get_json_object("props", "$.k").cast("bigint").alias("dst_port"),
+        F.when(F.col("event_type") == "view", "ICMP").otherwise("TCP").alias("protocol"),
+        F.unix_micros(hour).alias("micros"),
+        F.col("event_id").alias("ordinal"),
+        F.to_date("ts").alias("capture"),
+    )
+
+
+def _trail(spark: SparkSession, sf_dir: str, feature: str, partition: tuple = (), streams: dict = windows.STREAMS) -> DataFrame:
+    chosen = [f for f in windows.FEATURES if f.name == feature]
+    found = windows.behaviour_features(
+        _trail_rows(spark, sf_dir), features=chosen, streams=streams, window_seconds=DAYS * 86400, partition=partition
+    )
+    return found.select("event_id", feature)
+
+
+@register(
+    "xf_unique",
+    f"""WITH {TRAIL} SELECT event_id, count(DISTINCT dst_port) FILTER (WHERE ok) OVER w * 1.0 AS dst_port_unique_cnt FROM trail WINDOW {_TRAIL_W.format('src_ip')}""",
+)
+def xf_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_trail(spark, sf_dir, "dst_port_unique_cnt"))
+
+
+@register(
+    "xf_scan_rate",
+    f"""WITH {TRAIL} SELECT event_id, round(coalesce(count(DISTINCT dst_port) FILTER (WHERE ok) OVER w / ({_SPAN}), 0), 6) AS dst_port_scan_rate
+    FROM trail WINDOW {_TRAIL_W.format('src_ip')}""",
+)
+def xf_scan_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_trail(spark, sf_dir, "dst_port_scan_rate"))
+
+
+@register(
+    "xf_pair_rate",
+    f"""WITH {TRAIL}, p AS (SELECT event_id, tm, src_ip, dst_ip % 4 AS dst_ip, true AS ok FROM trail)
+    SELECT event_id, round(coalesce(count(*) FILTER (WHERE ok) OVER w / ({_SPAN}), 0), 6) AS src_dst_pair_flow_rate
+    FROM p WINDOW {_TRAIL_W.format('src_ip, dst_ip')}""",
+)
+def xf_pair_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _trail_rows(spark, sf_dir).withColumn("dst_ip", F.col("dst_ip") % 4)
+    chosen = [f for f in windows.FEATURES if f.name == "src_dst_pair_flow_rate"]
+    found = windows.behaviour_features(rows, features=chosen, window_seconds=DAYS * 86400)
+    return rounded(found.select("event_id", "src_dst_pair_flow_rate"))
+
+
+@register(
+    "xf_entropy",
+    f"""WITH {TRAIL} SELECT event_id, round(abs(coalesce(entropy(dst_port) FILTER (WHERE ok) OVER w, 0)), 5) AS dst_port_entropy
+    FROM trail WINDOW {_TRAIL_W.format('src_ip')}""",
+)
+def xf_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _trail(spark, sf_dir, "dst_port_entropy")
+    return found.select("event_id", F.abs(F.round("dst_port_entropy", 5)).alias("dst_port_entropy"))
+
+
+_SEQ = """, h AS (SELECT event_id, list(dst_port % 6 ORDER BY tm, event_id) FILTER (WHERE ok) OVER w AS v FROM {0} WINDOW {1}),
+e AS (SELECT event_id, v, CASE WHEN len(v) > 1 THEN list_transform(range(1, len(v)), lambda i: v[i + 1] - v[i]) ELSE [] END AS d FROM h),
+k AS (SELECT event_id, v, list_transform(range(1, len(d) + 1), lambda i: CASE WHEN abs(d[i]) <> 1 THEN 0
+  WHEN (i > 1 AND d[i - 1] = d[i]) OR (i < len(d) AND d[i + 1] = d[i]) THEN 2 ELSE 1 END) AS q FROM e),
+t AS (SELECT event_id,
+  len(list_filter(range(1, len(v) + 1), lambda i: (i > 1 AND q[i - 1] = 2) OR (i <= len(q) AND q[i] = 2))) AS num,
+  len(list_filter(range(1, len(v) + 1), lambda i: (i > 1 AND q[i - 1] >= 1) OR (i <= len(q) AND q[i] >= 1))) AS den FROM k)
+SELECT event_id, round(CASE WHEN coalesce(den, 0) = 0 THEN 0 ELSE num * 1.0 / den END, 6) AS dst_port_sequentiality FROM t"""
+
+
+def _sequentiality(spark: SparkSession, sf_dir: str, partition: tuple = ()) -> DataFrame:
+    rows = _trail_rows(spark, sf_dir).withColumn("dst_port", F.col("dst_port") % 6)
+    chosen = [f for f in windows.FEATURES if f.name == "dst_port_sequentiality"]
+    found = windows.behaviour_features(rows, features=chosen, window_seconds=DAYS * 86400, partition=partition)
+    return rounded(found.select("event_id", "dst_port_sequentiality"))
+
+
+@register("xf_sequentiality", f"WITH {TRAIL}" + _SEQ.format("trail", _TRAIL_W.format("src_ip")))
+def xf_sequentiality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sequentiality(spark, sf_dir)
+
+
+@register("xf_capture_reset", f"WITH {TRAIL}" + _SEQ.format("trail", _TRAIL_W.format("capture, src_ip")))
+def xf_capture_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sequentiality(spark, sf_dir, ("capture",))
+
+
+@register(
+    "xf_ties",
+    f"""WITH {TRAIL}, d AS (SELECT event_id, date_trunc('day', tm) AS tm, src_ip % 5 AS src_ip, dst_port, ok FROM trail)
+    SELECT event_id, count(DISTINCT dst_port) FILTER (WHERE ok) OVER w * 1.0 AS dst_port_unique_cnt FROM d WINDOW {_TRAIL_W.format('src_ip')}""",
+)
+def xf_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _trail_rows(spark, sf_dir)
+    day = F.lit(86_400_000_000)
+    rows = rows.withColumns({"micros": F.floor(F.col("micros") / day) * day, "src_ip": F.col("src_ip") % 5})
+    chosen = [f for f in windows.FEATURES if f.name == "dst_port_unique_cnt"]
+    found = windows.behaviour_features(rows, features=chosen, window_seconds=DAYS * 86400)
+    return found.select("event_id", "dst_port_unique_cnt")
+
+
+@register(
+    "xf_grouped",
+    f"""WITH {TRAIL} SELECT event_id, count(DISTINCT dst_port) FILTER (WHERE ok) OVER w * 1.0 AS dst_port_unique_cnt,
+    round(abs(coalesce(entropy(dst_port) FILTER (WHERE ok) OVER w, 0)), 5) AS dst_port_entropy FROM trail WINDOW {_TRAIL_W.format('src_ip')}""",
+)
+def xf_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _trail_rows(spark, sf_dir).drop("capture", "dst_ip")
+    schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes) + ", dst_port_unique_cnt double, dst_port_entropy double"
+    found = windows.grouped_behaviour_features(rows, window_seconds=DAYS * 86400, schema=schema)
+    return found.select("event_id", "dst_port_unique_cnt", F.abs(F.round("dst_port_entropy", 5)).alias("dst_port_entropy"))
+
+
+# ---------------------------------------------------------------- quality
+
+ITEM = ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "rate", "stamp", "l_returnflag"]
+ITEMS = """items AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 11 = 0 THEN -l_quantity ELSE l_quantity END AS l_quantity, l_extendedprice,
+  CASE WHEN l_orderkey % 13 = 0 THEN NULL ELSE l_discount END AS l_discount, CASE WHEN l_orderkey % 17 = 0 THEN -1 ELSE l_tax END AS l_tax,
+  CASE WHEN l_orderkey % 5 = 0 THEN l_extendedprice ELSE l_extendedprice / l_quantity END AS rate,
+  CASE WHEN l_orderkey % 19 = 0 THEN 'none' ELSE strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') END AS stamp, l_returnflag FROM lineitem)"""
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("l_orderkey")
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        F.when(key % 11 == 0, -F.col("l_quantity")).otherwise(F.col("l_quantity")).alias("l_quantity"),
+        "l_extendedprice",
+        F.when(key % 13 != 0, F.col("l_discount")).alias("l_discount"),
+        F.when(key % 17 == 0, F.lit(-1.0)).otherwise(F.col("l_tax")).alias("l_tax"),
+        F.when(key % 5 == 0, F.col("l_extendedprice")).otherwise(F.col("l_extendedprice") / F.col("l_quantity")).alias("rate"),
+        F.when(key % 19 == 0, F.lit("none")).otherwise(F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss")).alias("stamp"),
+        "l_returnflag",
+    )
+
+
+ITEM_PLAN = Plan(
+    schema={
+        "l_quantity": Numeric(minimum=0, maximum=45),
+        "l_discount": Numeric(minimum=0, maximum=0.1, allow_nan=False),
+        "l_tax": Numeric(allow_negative=True, minimum=0, maximum=1, sentinel=(-1,)),
+        "rate": Numeric(minimum=0),
+        "stamp": quality.TIMESTAMP_TEXT,
+    },
+    rules=(
+        Rule("price", "l_extendedprice > 1000"),
+        Rule("range", "0 <= l_discount <= 0.09"),
+        Rule("flag", "l_returnflag IN FLAGS", constants={"FLAGS": ["A", "N", "R"]}),
+        Rule("rate", "l_extendedprice / l_quantity - 0.000001 <= rate AND rate <= l_extendedprice / l_quantity + 0.000001", target="rate"),
+        Rule("tax", "l_tax != -1", target="l_tax", applies="l_linenumber == 1"),
+    ),
+    formulas={"rate": "l_extendedprice / l_quantity"},
+    repairable_rules=frozenset({"rate"}),
+    non_repairable=frozenset({"l_quantity", "l_discount", "stamp"}),
+)
+CHECKED = ITEMS + """, checked AS (SELECT *, (l_quantity < 0 OR l_quantity > 45) AS c_quantity, (l_discount IS NULL OR l_discount < 0 OR l_discount > 0.1) AS c_discount,
+  (l_tax <> -1 AND (l_tax < 0 OR l_tax > 1)) AS c_tax, rate < 0 AS c_rate, try_cast(stamp AS TIMESTAMP) IS NULL AS c_stamp,
+  l_extendedprice <= 1000 AS r_price, coalesce(l_discount < 0 OR l_discount > 0.09, false) AS r_range, l_returnflag NOT IN ('A', 'N', 'R') AS r_flag,
+  NOT (l_extendedprice / l_quantity - 0.000001 <= rate AND rate <= l_extendedprice / l_quantity + 0.000001) AS r_rate,
+  CASE WHEN l_linenumber = 1 THEN l_tax <> -1 ELSE l_tax = -1 END AS r_tax FROM items),
+classed AS (SELECT *, (c_quantity OR c_discount OR c_stamp OR r_price OR r_range OR r_flag OR r_tax) AS bad, (c_rate OR r_rate) AS touched FROM checked)"""
+
+
+@register(
+    "schema_validate",
+    f"""WITH {CHECKED} SELECT l_orderkey, l_linenumber, c_quantity AS l_quantity, c_discount AS l_discount, c_tax AS l_tax, c_rate AS rate, c_stamp AS stamp FROM checked""",
+)
+def schema_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = items(spark, sf_dir)
+    return df.select("l_orderkey", "l_linenumber", *[f.alias(c) for c, f in quality.schema_flags(df, ITEM_PLAN.schema).items()])
+
+
+@register(
+    "rule_validate",
+    f"WITH {CHECKED} SELECT l_orderkey, l_linenumber, r_price AS price, r_range AS range, r_flag AS flag, r_rate AS rate, r_tax AS tax FROM checked",
+)
+def rule_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = items(spark, sf_dir)
+    return df.select("l_orderkey", "l_linenumber", *[f.alias(r) for r, f in quality.rule_flags(df, ITEM_PLAN.rules).items()])
+
+
+@register("sentinel_rule", f"WITH {CHECKED} SELECT l_linenumber, r_tax AS violated, count(*) AS n FROM checked GROUP BY 1, 2")
+def sentinel_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = items(spark, sf_dir)
+    flag = quality.rule_flags(df, [r for r in ITEM_PLAN.rules if r.id == "tax"])["tax"]
+    return df.groupBy("l_linenumber", flag.alias("violated")).agg(F.count("*").alias("n"))
+
+
+@register(
+    "rule_classify",
+    f"WITH {CHECKED} SELECT l_orderkey, l_linenumber, CASE WHEN bad THEN 'dropped' WHEN touched THEN 'repairable' ELSE 'valid' END AS row_class FROM classed",
+)
+def rule_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classified(items(spark, sf_dir), ITEM_PLAN).select("l_orderkey", "l_linenumber", "row_class")
+
+
+@register(
+    "repair",
+    f"""WITH {CHECKED} SELECT l_orderkey, l_linenumber, round(l_quantity, 6) AS l_quantity,
+    round(CASE WHEN r_rate THEN l_extendedprice / l_quantity ELSE rate END, 6) AS rate FROM classed WHERE NOT bad""",
+)
+def repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(quality.clean_cycles(items(spark, sf_dir), ITEM_PLAN, 2).select("l_orderkey", "l_linenumber", "l_quantity", "rate"))
+
+
+@register(
+    "quality_metrics",
+    f"""WITH {CHECKED} SELECT 'rule' AS kind, 'price' AS name, count(*) FILTER (WHERE r_price) AS count FROM checked
+    UNION ALL SELECT 'rule', 'range', count(*) FILTER (WHERE r_range) FROM checked UNION ALL SELECT 'rule', 'flag', count(*) FILTER (WHERE r_flag) FROM checked
+    UNION ALL SELECT 'rule', 'rate', count(*) FILTER (WHERE r_rate) FROM checked UNION ALL SELECT 'rule', 'tax', count(*) FILTER (WHERE r_tax) FROM checked
+    UNION ALL SELECT 'text', 'stamp', count(*) FILTER (WHERE c_stamp) FROM checked
+    UNION ALL SELECT 'row', 'dropped', count(*) FILTER (WHERE bad) FROM classed
+    UNION ALL SELECT 'row', 'repairable', count(*) FILTER (WHERE touched AND NOT bad) FROM classed
+    UNION ALL SELECT 'row', 'valid', count(*) FILTER (WHERE NOT touched AND NOT bad) FROM classed""",
+)
+def quality_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_metrics(items(spark, sf_dir), ITEM_PLAN).filter(F.col("kind").isin("rule", "text", "row"))
+
+
+CHAIN_RULE = "l_discount * 10 - 0.000001\n<=\nl_tax\n<=\nl_discount * 10 + 0.000001"
+
+
+@register(
+    "chain_line_scope",
+    """SELECT l_orderkey, l_linenumber, NOT (CAST(l_discount * 10 - 0.000001 <= l_tax AS INT) <= l_discount * 10 + 0.000001) AS line_scope,
+    NOT (l_discount * 10 - 0.000001 <= l_tax AND l_tax <= l_discount * 10 + 0.000001) AS expression_scope FROM lineitem""",
+)
+def chain_line_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "lineitem")
+    rule = [Rule("x", CHAIN_RULE)]
+    return df.select(
+        "l_orderkey",
+        "l_linenumber",
+        quality.rule_flags(df, rule, "line")["x"].alias("line_scope"),
+        quality.rule_flags(df, rule, "expression")["x"].alias("expression_scope"),
+    )
+
+
+@register(
+    "expressions",
+    """SELECT l_orderkey, l_linenumber, round(l_quantity + l_tax * 2 ** 3, 6) AS power, round(l_quantity - 3 * floor(l_quantity / 3), 6) AS modulo,
+    (l_quantity > 10 AND l_tax >= 0.04) OR l_discount = 0 AS logic, l_linenumber IN (1, 3) AS member, l_linenumber NOT IN (1, 3) AS no_member FROM lineitem""",
+)
+def expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "lineitem")
+    make = lambda text: compile_expr(text, dict(df.dtypes), {"few": [1, 3]})
+    return df.select(
+        "l_orderkey",
+        "l_linenumber",
+        r6(make("l_quantity + l_tax * 2 ** 3")).alias("power"),
+        r6(make("l_quantity % 3")).alias("modulo"),
+        make("l_quantity > 10 and l_tax >= 0.04 or l_discount == 0").alias("logic"),
+        make("l_linenumber in few").alias("member"),
+        make("l_linenumber NOTIN few").alias("no_member"),
+    )
+
+
+@register("dedup", "SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber, l_quantity FROM lineitem")
+def dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber", "l_quantity")
+    return df.dropDuplicates()
+
+
+@register("header_strip", "SELECT DISTINCT c_mktsegment, CAST(c_nationkey AS DOUBLE) AS c_nationkey FROM customer")
+def header_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias(" c_mktsegment "), F.col("c_nationkey").cast("string").alias("c_nationkey"), F.lit("x").alias("junk"))
+    header = spark.range(1).select(F.lit("c_mktsegment").alias(" c_mktsegment "), F.lit("c_nationkey").alias("c_nationkey"), F.lit("junk").alias("junk"))
+    return quality.initial_cleanup(df.unionAll(header), ["junk"], ["c_mktsegment"])
+
+
+@register("safe_cast", "SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS l_quantity, CAST(l_tax AS DOUBLE) AS l_tax FROM lineitem")
+def safe_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = {"l_orderkey": Numeric(integer=True), "l_linenumber": Numeric(integer=True), "l_quantity": Numeric(integer=True), "l_tax": Numeric()}
+    return quality.typed(table(spark, sf_dir, "lineitem"), schema).withColumn("l_linenumber", F.col("l_linenumber").cast("int"))
+
+
+# ---------------------------------------------------------------- joins
+
+LATER = 400
+MET = f"""met AS (SELECT o_orderkey, l_linenumber, l_quantity, l_linestatus FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+  AND l_shipdate BETWEEN o_orderdate AND o_orderdate + INTERVAL {LATER} DAY)"""
+
+
+def _met(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = lambda c: F.unix_date(F.to_date(c))
+    left = table(spark, sf_dir, "orders").select(F.col("o_orderkey"), F.col("o_orderkey").alias("key"), day("o_orderdate").alias("start"), (day("o_orderdate") + LATER).alias("end"))
+    right = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), "l_linenumber", "l_quantity", "l_linestatus", day("l_shipdate").alias("at"))
+    return joins.interval_join(left, right, ["key"], "start", "end", "at", bucket=200)
+
+
+@register("interval_join", f"WITH {MET} SELECT * FROM met")
+def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _met(spark, sf_dir).select("o_orderkey", "l_linenumber", "l_quantity", "l_linestatus")
+
+
+def _stats_sql(flag: str, name: str) -> str:
+    v = f"FILTER (WHERE l_linestatus = '{flag}')"
+    n = f"count(*) {v} = 0"
+    parts = {
+        "mean": f"avg(l_quantity) {v}", "std": f"coalesce(stddev_samp(l_quantity) {v}, 0)", "min": f"min(l_quantity) {v}", "max": f"max(l_quantity) {v}",
+        "median": f"quantile_cont(l_quantity, 0.5) {v}", "p25": f"quantile_cont(l_quantity, 0.25) {v}", "p75": f"quantile_cont(l_quantity, 0.75) {v}",
+    }
+    return ", ".join(f"round(CASE WHEN {n} THEN -1 ELSE {e} END, 6) AS {name}_{s}" for s, e in parts.items())
+
+
+@register(
+    "packet_stats",
+    f"""WITH {MET}, s AS (SELECT o_orderkey, {_stats_sql('F', 'fwd')}, {_stats_sql('O', 'bwd')} FROM met GROUP BY 1)
+    SELECT o.o_orderkey, """
+    + ", ".join(f"coalesce({n}_{s}, -1) AS {n}_{s}" for n in ("fwd", "bwd") for s in joins.PAYLOAD_STATS)
+    + " FROM orders o LEFT JOIN s ON s.o_orderkey = o.o_orderkey",
+)
+def packet_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, way = F.col("l_quantity"), F.col("l_linestatus")
+    found = _met(spark, sf_dir).groupBy("o_orderkey").agg(
+        *joins.spread(q, way == "F", "fwd", joins.PAYLOAD_STATS), *joins.spread(q, way == "O", "bwd", joins.PAYLOAD_STATS)
+    )
+    out = table(spark, sf_dir, "orders").select("o_orderkey").join(found, "o_orderkey", "left")
+    return rounded(out.fillna(-1.0))
+
+
+@register(
+    "ordered_merge",
+    """SELECT o_orderkey, o_orderstatus, l_quantity, l_tax FROM orders JOIN (SELECT * FROM (SELECT l_orderkey, l_linenumber, sum(l_quantity) AS l_quantity FROM lineitem GROUP BY 1, 2)
+      QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) = 1) c ON c.l_orderkey = o_orderkey
+    LEFT JOIN (SELECT l_orderkey, max(l_tax) AS l_tax FROM lineitem GROUP BY 1 HAVING max(l_tax) > 0.05) p ON p.l_orderkey = o_orderkey""",
+)
+def ordered_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("l_quantity"))
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_quantity"))
+    cross = lines.withColumn("_n", place).filter("_n = 1").select(F.col("l_orderkey").alias("o_orderkey"), "l_quantity", F.lit(1).alias("at"))
+    packet = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_tax").alias("l_tax")).filter("l_tax > 0.05").withColumn("at", F.lit(1))
+    flow = table(spark, sf_dir, "orders").join(cross.select("o_orderkey"), "o_orderkey", "left_semi").select("o_orderkey", "o_orderstatus", F.lit(1).alias("at"))
+    return joins.merge_levels(flow, cross, packet, ["o_orderkey"], "at").drop("at")
+
+
+@register(
+    "provider_upsert",
+    """WITH a AS (SELECT o_custkey AS k, count(*) AS n, max(o_orderstatus) AS s FROM orders WHERE o_custkey % 3 < 2 GROUP BY 1),
+    b AS (SELECT c_custkey AS k, max(c_mktsegment) AS s FROM customer WHERE c_custkey % 3 > 0 GROUP BY 1)
+    SELECT coalesce(a.k, b.k) AS k, coalesce(CAST(a.n AS VARCHAR), '') AS n, CASE WHEN b.k IS NOT NULL THEN coalesce(b.s, '') ELSE coalesce(a.s, '') END AS s
+    FROM a FULL JOIN b ON a.k = b.k""",
+)
+def provider_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "orders").filter("o_custkey % 3 < 2").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").cast("string").alias("n"), F.max("o_orderstatus").alias("s"))
+    b = table(spark, sf_dir, "customer").filter("c_custkey % 3 > 0").groupBy(F.col("c_custkey").alias("k")).agg(F.max("c_mktsegment").alias("s"))
+    return joins.upsert_providers([a, b], ["k"], ["k", "n", "s"])
+
+
+# ---------------------------------------------------------------- labels
+
+ORDER_COLUMNS = FlowColumns("o_orderdate", "o_orderkey", "o_orderpriority", "o_orderstatus", "o_custkey", "protocol", "o_totalprice")
+SCHEDULE = (
+    AttackRule("old", datetime(1995, 1, 1), datetime(1997, 6, 30)),
+    AttackRule("urgent", datetime(1996, 1, 1), datetime(2000, 1, 1), src_ips=("1-URGENT", "2-HIGH")),
+    AttackRule("ports", datetime(1995, 1, 1), datetime(2005, 1, 1), dst_ports=(7, 8, 9)),
+    AttackRule("never", datetime(1995, 1, 1), datetime(2005, 1, 1), dst_ips=()),
+    AttackRule(
+        "tree",
+        datetime(1998, 1, 1),
+        datetime(1999, 1, 1),
+        protocol=6,
+        conditions=({"any_of": [{"feature": "o_totalprice", "op": "gte", "value": 300000}, {"feature": "o_orderstatus", "op": "eq", "value": "P"}]},),
+    ),
+)
+LABELLED = """labelled AS (SELECT o_orderkey, CASE WHEN o_orderkey IN (3, 7) THEN 'none'
+  WHEN o_orderdate BETWEEN '1998-01-01' AND '1999-01-01' AND o_custkey % 2 = 0 AND (o_totalprice >= 300000 OR o_orderstatus = 'P') THEN 'tree'
+  WHEN o_custkey IN (7, 8, 9) THEN 'ports'
+  WHEN o_orderdate BETWEEN '1996-01-01' AND '2000-01-01' AND o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'urgent'
+  WHEN o_orderdate BETWEEN '1995-01-01' AND '1997-06-30' THEN 'old' ELSE 'none' END AS label FROM orders WHERE o_custkey % 3 < 2)"""
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    parity = F.when(F.col("o_custkey") % 3 == 2, 1).when(F.col("o_custkey") % 2 == 0, 6).otherwise(17)
+    return labels.label_flows(orders.withColumn("protocol", parity), SCHEDULE, columns=ORDER_COLUMNS, default="none", artifacts=(3, 7), label="label")
+
+
+@register("schedule_label", f"WITH {LABELLED} SELECT * FROM labelled")
+def schedule_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _labelled(spark, sf_dir).select("o_orderkey", "label")
+
+
+@register("label_counts", f"WITH {LABELLED} SELECT label, count(*) AS count FROM labelled GROUP BY 1")
+def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.label_counts(_labelled(spark, sf_dir), "label")
+
+
+@register(
+    "condition_tree",
+    """SELECT o_orderkey, (o_totalprice < 100000 OR (o_orderstatus <> 'F' AND o_custkey NOT IN (1, 2))) AS mixed, false AS unreadable FROM orders""",
+)
+def condition_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = {
+        "any_of": [
+            {"feature": "o_totalprice", "op": "lt", "value": 100000},
+            {"all_of": [{"feature": "o_orderstatus", "op": "ne", "value": "F"}, {"feature": "o_custkey", "op": "not_in", "value": [1, 2]}]},
+        ]
+    }
+    unreadable = {"feature": "o_orderstatus", "op": "ne", "value": 5}
+    return table(spark, sf_dir, "orders").select("o_orderkey", labels.condition(mixed).alias("mixed"), labels.condition(unreadable).alias("unreadable"))
+
+
+@register("total_sort", "SELECT o_orderkey, row_number() OVER (ORDER BY CAST(o_orderdate AS VARCHAR), CAST(o_orderkey AS VARCHAR)) AS place FROM orders")
+def total_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("Flow ID"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("Timestamp"), "o_orderkey"
+    )
+    ordered = labels.sorted_flows(orders)
+    starts = F.monotonically_increasing_id()
+    placed = ordered.withColumns({"_id": starts, "_part": F.spark_partition_id()})
+    # the places within partitions of the range sort, and the rows of the partitions before
+    from pyspark.sql import Window
+
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n"))
+    return placed.join(F.broadcast(before), "_part").select("o_orderkey", (F.col("_id") - F.col("_first") + F.col("_before") + 1).alias("place"))
+
+
+@register("rename", "SELECT o_orderkey AS a, o_orderkey AS b, o_orderstatus AS c FROM orders")
+def rename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.renamed(table(spark, sf_dir, "orders"), {"a": "o_orderkey", "b": "o_orderkey", "c": "o_orderstatus"})
+
+
+# ---------------------------------------------------------------- profile and sets
+
+NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _per_column(template: str, columns: list[str], source: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {template.format(c=c)} FROM {source}" for c in columns)
+
+
+@register(
+    "describe",
+    _per_column(
+        "count({c}) AS count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, round(min({c}), 6) AS min, round(quantile_cont({c}, 0.25), 6) AS p25, "
+        "round(quantile_cont({c}, 0.5), 6) AS p50, round(quantile_cont({c}, 0.75), 6) AS p75, round(max({c}), 6) AS max",
+        NUMBERS,
+        "lineitem",
+    ),
+)
+def describe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(profile.describe(table(spark, sf_dir, "lineitem"), NUMBERS))
+
+
+@register("negatives", "SELECT * FROM (" + _per_column("count(*) FILTER (WHERE {c} < 0) AS negative_count", ["c_acctbal", "c_nationkey"], "customer") + ") WHERE negative_count > 0")
+def negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.negatives(table(spark, sf_dir, "customer"), ["c_acctbal", "c_nationkey"])
+
+
+@register("negative_values", "SELECT DISTINCT 'c_acctbal' AS \"column\", c_acctbal AS value FROM customer WHERE c_acctbal < 0")
+def negative_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.negative_values(table(spark, sf_dir, "customer"), ["c_acctbal"])
+
+
+@register("constants", "SELECT 'one' AS \"column\", 1.0 AS value")
+def constants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.constants(table(spark, sf_dir, "customer").withColumn("one", F.lit(1)), ["c_acctbal", "one"])
+
+
+@register("maxima", _per_column("round(max({c}), 6) AS maximum", NUMBERS, "lineitem"))
+def maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(profile.maxima(table(spark, sf_dir, "lineitem"), NUMBERS))
+
+
+@register("distinct_values", _per_column("*", ["l_tax"], "(SELECT DISTINCT l_tax AS value FROM lineitem)") + " UNION ALL " + _per_column("*", ["l_discount"], "(SELECT DISTINCT l_discount AS value FROM lineitem)"))
+def distinct_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.distinct_values(table(spark, sf_dir, "lineitem"), ["l_tax", "l_discount"])
+
+
+@register("header_count", "SELECT CAST(2 AS BIGINT) AS repeated_headers")
+def header_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "region").select("r_name")
+    return profile.header_count(names.unionAll(spark.range(2).select(F.lit("r_name").alias("r_name"))))
+
+
+PAIRS = " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM v" for i, a in enumerate([*NUMBERS, "twice", "minus"]) for b in [*NUMBERS, "twice", "minus"][i + 1 :]
+)
+VIEW = "v AS (SELECT l_quantity, l_extendedprice, l_discount, l_tax, l_quantity * 2 + l_tax AS twice, -l_extendedprice AS minus FROM lineitem)"
+
+
+def _correlated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    df = table(spark, sf_dir, "lineitem").withColumns({"twice": F.col("l_quantity") * 2 + F.col("l_tax"), "minus": -F.col("l_extendedprice")})
+    return df, [*NUMBERS, "twice", "minus"]
+
+
+@register("corr_pairs", f"WITH {VIEW} SELECT a, b, round(r, 6) AS r FROM ({PAIRS})")
+def corr_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(profile.correlations(*_correlated(spark, sf_dir)))
+
+
+@register(
+    "corr_report",
+    f"""WITH {VIEW}, p AS ({PAIRS}), c AS (SELECT * FROM (VALUES ('perfect'), ('very_high'), ('high'), ('high_negative')) t(category)),
+    x AS (SELECT category, a, b, r, CASE category WHEN 'perfect' THEN r >= 0.9999995 WHEN 'very_high' THEN r >= 0.95 AND r < 0.9999995
+      WHEN 'high' THEN r >= 0.9 AND r < 0.95 ELSE r <= -0.9 END AS hit, CASE category WHEN 'high_negative' THEN r ELSE -r END AS k FROM c CROSS JOIN p),
+    y AS (SELECT *, max(hit::INT) OVER (PARTITION BY category) AS any_hit, row_number() OVER (PARTITION BY category ORDER BY hit DESC, k, a, b) AS place FROM x)
+    SELECT category, place, a, b, round(r, 6) AS r, NOT hit AS fallback FROM y WHERE hit OR (any_hit = 0 AND place <= 3)""",
+)
+def corr_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, columns = _correlated(spark, sf_dir)
+    return rounded(profile.correlation_report(df, columns, top=3))
+
+
+@register(
+    "bag_similarity",
+    """WITH a AS (SELECT l_linenumber, l_quantity, count(*) AS n FROM lineitem WHERE l_linestatus = 'F' GROUP BY ALL),
+    b AS (SELECT l_linenumber, l_quantity, count(*) AS n FROM lineitem WHERE l_linestatus = 'O' GROUP BY ALL),
+    t AS (SELECT CAST(sum(least(coalesce(a.n, 0), coalesce(b.n, 0))) AS BIGINT) AS shared, CAST(sum(greatest(coalesce(a.n, 0), coalesce(b.n, 0))) AS BIGINT) AS united,
+      sum(coalesce(a.n, 0)) AS x, sum(coalesce(b.n, 0)) AS y FROM a FULL JOIN b USING (l_linenumber, l_quantity))
+    SELECT shared, united, round(shared / united, 6) AS similarity, round(shared / x, 6) AS a_in_b, round(shared / y, 6) AS b_in_a FROM t""",
+)
+def bag_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "lineitem")
+    keys = ["l_linenumber", "l_quantity"]
+    return rounded(setops.bag_similarity(df.filter("l_linestatus = 'F'"), df.filter("l_linestatus = 'O'"), keys))
+
+
+@register(
+    "time_overlap",
+    """WITH o AS (SELECT o_custkey, epoch(min(o_orderdate)) AS a, epoch(max(o_orderdate)) AS b FROM orders GROUP BY 1)
+    SELECT x.o_custkey, round(CASE WHEN y.o_custkey IS NULL THEN 0 WHEN greatest(x.b, y.b) = least(x.a, y.a) THEN 1
+      ELSE greatest(least(x.b, y.b) - greatest(x.a, y.a), 0) / (greatest(x.b, y.b) - least(x.a, y.a)) END, 6) AS overlap
+    FROM o x LEFT JOIN o y ON y.o_custkey = x.o_custkey + 1""",
+)
+def time_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    second = lambda f: F.unix_seconds(f("o_orderdate").cast("timestamp"))
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(second(F.min).alias("a"), second(F.max).alias("b"))
+    other = o.select((F.col("o_custkey") - 1).alias("o_custkey"), F.col("a").alias("c"), F.col("b").alias("d"))
+    both = o.join(other, "o_custkey", "left")
+    return rounded(both.select("o_custkey", setops.time_overlap(*map(F.col, ("a", "b", "c", "d"))).cast("double").alias("overlap")))
+
+
+@register("union_days", "SELECT event_id, event_type FROM events WHERE user_id % 2 = 0 UNION ALL SELECT event_id, event_type FROM events WHERE user_id % 5 = 0")
+def union_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return setops.union_all([e.filter("user_id % 2 = 0").select("event_id", "event_type"), e.filter("user_id % 5 = 0").select("event_type", "event_id")])
+
+
+@register(
+    "risk_band",
+    "SELECT event_id, CASE WHEN value >= 90 THEN 'CRITICAL' WHEN value >= 70 THEN 'HIGH' WHEN value >= 50 THEN 'MEDIUM' ELSE 'LOW' END AS band FROM events",
+)
+def risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", risk_band(F.col("value")).alias("band"))
+
+
+@register(
+    "capture_names",
+    """WITH p AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'pcap/' WHEN 1 THEN 'x.zip!pcap/' ELSE 'log/' END || p_name || ' Part  2' ||
+      CASE p_partkey % 3 WHEN 0 THEN '.PCAP' WHEN 1 THEN '.txt' ELSE '' END AS entry, p_type FROM part)
+    SELECT p_partkey, starts_with(string_split(entry, '!')[-1], 'pcap/') AND NOT regexp_matches(lower(entry), '\\.(lnk|txt|csv|log|zip|db|ini)$') AS capture,
+    'day-' || regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(string_split(entry, '/')[-1], '\\.pcap$', '', 'i'), 'part\\s+(\\d)', 'part\\1', 'gi'),
+      '\\s+', '-', 'g'), '-{2,}', '-', 'g'), '-+$', '') || '.pcap' AS name, contains(lower(p_type), 'steel') AS steel FROM p""",
+)
+def capture_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    folder = F.when(k % 4 == 0, "pcap/").when(k % 4 == 1, "x.zip!pcap/").otherwise("log/")
+    ending = F.when(k % 3 == 0, ".PCAP").when(k % 3 == 1, ".txt").otherwise("")
+    part = table(spark, sf_dir, "part").withColumn("entry", F.concat(folder, F.col("p_name"), F.lit(" Part  2"), ending))
+    return part.select(
+        "p_partkey", is_capture(F.col("entry")).alias("capture"), capture_name(F.lit("day"), F.col("entry")).alias("name"), contains_ignoring_case(F.col("p_type"), "Steel").alias("steel")
+    )
+
+
+@register(
+    "batch_pack",
+    """WITH RECURSIVE p AS (SELECT p_brand, p_partkey, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part),
+    f AS (SELECT p_brand, p_partkey, n, 0 AS batch, p_size AS held FROM p WHERE n = 1
+      UNION ALL SELECT p.p_brand, p.p_partkey, p.n, CASE WHEN f.held > 0 AND f.held + p.p_size > 100 THEN f.batch + 1 ELSE f.batch END,
+        CASE WHEN f.held > 0 AND f.held + p.p_size > 100 THEN p.p_size ELSE f.held + p.p_size END FROM f JOIN p ON p.p_brand = f.p_brand AND p.n = f.n + 1)
+    SELECT p_partkey, batch FROM f""",
+)
+def batch_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_size")
+    return packing.with_batches(part, ["p_partkey"], "p_size", 100, ["p_brand"]).select("p_partkey", "batch")
+
+
+@register("text_check", "SELECT l_orderkey, l_linenumber, try_cast(stamp AS TIMESTAMP) IS NULL AS invalid FROM items_view".replace("items_view", f"(WITH {ITEMS} SELECT * FROM items)"))
+def text_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = items(spark, sf_dir)
+    flag = quality.schema_flags(df, {"stamp": Text(False, quality.TIMESTAMP_FORMATS)})["stamp"]
+    return df.select("l_orderkey", "l_linenumber", flag.alias("invalid"))
