@@ -7,8 +7,10 @@ and is solved on the driver over at most max_patterns patterns, whatever the num
 
 Documents are then selected by seed: within a pattern they fall in cells of (size class, seeded bucket). Size
 classes go from large to small; each takes the same share of its words, in bucket order and by whole cells, and
-hands what is left over to the next smaller class. So what the mix takes of each pattern comes near its flow,
-documents of all lengths are represented alike, and no task orders the documents of a source.
+hands what is left over to the next smaller class. What is left in the end is less than any cell that isn't taken,
+and comes as a part of the smallest of those: its documents give their first words, in proportion. So what the mix
+takes of each pattern meets its flow, but for rounding, also where one document is most of a source; documents of all
+lengths are represented alike; and no task orders the documents of a source.
 """
 
 from __future__ import annotations
@@ -124,26 +126,31 @@ def route(patterns: dict[tuple, int], quotas: dict, costs: Sequence[int] = PASS_
 
 
 def _cells_taken(passes: int) -> callable:
-    """For one pattern's cells, how many whole passages each gets."""
+    """For one pattern's cells, how many whole passages each gets, and the words of a part of one more."""
 
     def take(cells: pd.DataFrame) -> pd.DataFrame:
-        cells = cells.sort_values(["size_class", "bucket"], ascending=[False, True])
-        flow, total = int(cells["flow"].iloc[0]), int(cells["words"].sum())
-        whole, rest = (min(flow // total, passes), 0) if total else (0, 0)
-        rest = flow - whole * total if whole < passes else 0
-        left, below, extra = rest, total, []
-        for _, group in cells.groupby("size_class", sort=False):
-            own = int(group["words"].sum())
-            share = left * own / below if below else 0.0
-            run, got = 0, 0
-            for words in group["words"]:
-                # a cell goes in if that brings the class nearer to its share
-                picked = words > 0 and abs(run + words - share) <= abs(run - share) and run + words <= left + words / 2
-                extra.append(int(picked))
-                run += int(words) * picked
-                got = run
-            left, below = left - got, below - own
-        return cells.assign(copies=[whole + x for x in extra])[["pattern_id", "size_class", "bucket", "copies"]].astype(
+        cells = cells.sort_values(["size_class", "bucket"], ascending=[False, True]).reset_index(drop=True)
+        words = cells["words"].tolist()
+        flow, total = int(cells["flow"].iloc[0]), sum(words)
+        whole = min(flow // total, passes) if total else 0
+        left, below = (flow - whole * total if whole < passes else 0), total
+        extra, part = [0] * len(words), [0] * len(words)
+        for _, at in cells.groupby("size_class", sort=False).groups.items():
+            own = sum(words[i] for i in at)
+            share, run = (left * own / below if below else 0.0), 0
+            for i in at:
+                # a cell goes in if it fits and brings the class nearer to its share
+                if 0 < words[i] <= left - run and abs(run + words[i] - share) <= abs(run - share):
+                    extra[i], run = 1, run + words[i]
+            left, below = left - run, below - own
+        for i, n in enumerate(words):
+            if not extra[i] and 0 < n <= left:
+                extra[i], left = 1, left - n
+        if left:
+            smallest = min((i for i, n in enumerate(words) if n and not extra[i]), key=lambda i: (words[i], i))
+            part[smallest] = left
+        copies = [(whole + x) if n else 0 for x, n in zip(extra, words, strict=True)]
+        return cells.assign(copies=copies, part=part)[["pattern_id", "size_class", "bucket", "words", "copies", "part"]].astype(
             {"pattern_id": "int32", "size_class": "int32", "bucket": "int32", "copies": "int32"}
         )
 
@@ -164,7 +171,8 @@ def mix(
     buckets: int = BUCKETS,
     max_patterns: int = 4096,
 ) -> Mix:
-    """The mix of docs: each row with size, taken (words, repeats counted) and its pattern.
+    """The mix of docs: each row with size, copies (whole passages), part (first words of one more), taken (words, both
+    counted) and mix_sources, the target and size of each of its sources.
 
     members: array of the sources a document belongs to; null entries are a source of their own. weights: from the
     sorted list of sources (code points, null last) to their weights. Sources share the words of all documents by
@@ -178,8 +186,8 @@ def mix(
     """
     if list(costs) != sorted(costs) or len(costs) != most:
         raise ValueError("costs must not fall, and there is one for each of the passages allowed")
-    size, pattern, klass, bucket, pid, copies, taken = free_name(
-        docs, "size", "pattern", "size_class", "bucket", "pattern_id", "copies", "taken"
+    size, pattern, klass, bucket, copies, part, taken = free_name(
+        docs, "size", "pattern", "size_class", "bucket", "copies", "part", "taken"
     )
     sized = docs.withColumns(
         {
@@ -213,12 +221,12 @@ def mix(
         cells.join(F.broadcast(flows), cells["pattern"].eqNullSafe(flows["pattern"]))
         .select("pattern_id", "size_class", "bucket", "words", "flow")
         .groupBy("pattern_id")
-        .applyInPandas(_cells_taken(most), "pattern_id int, size_class int, bucket int, copies int")
+        .applyInPandas(_cells_taken(most), "pattern_id int, size_class int, bucket int, words long, copies int, part long")
     )
-    by_cell = written(spark, by_cell.filter("copies > 0"), "mix-taken")
+    by_cell = written(spark, by_cell.filter("copies > 0 or part > 0"), "mix-taken")
     # the cells of one pattern and size class become one array of at most `buckets` numbers
     arrays = by_cell.groupBy("pattern_id", "size_class").agg(
-        F.map_from_entries(F.collect_list(F.struct("bucket", "copies"))).alias("by_bucket")
+        F.map_from_entries(F.collect_list(F.struct("bucket", F.struct("copies", "part", "words")))).alias("by_bucket")
     )
     plan = written(spark, arrays, "mix-plan").select(
         F.col("pattern_id").alias("_p"), F.col("size_class").alias("_k"), "by_bucket"
@@ -235,10 +243,12 @@ def mix(
     out = out.join(
         F.broadcast(plan) if len(order) <= 64 else plan, (out["_p0"] == plan["_p"]) & (out[klass] == plan["_k"]), "left"
     )
-    got = F.coalesce(F.try_element_at(F.col("by_bucket"), F.col(bucket)), F.lit(0))
-    out = out.withColumn(copies, got).withColumn(taken, F.col(size) * F.col(copies))
-    keep = [*docs.columns, size, copies, taken]
-    return Mix(out.select(*[F.col(c) for c in keep], F.col("_sources").alias("mix_sources")), quotas, routed)
+    got = F.try_element_at(F.col("by_bucket"), F.col(bucket))
+    first = F.when(got["part"] > 0, F.floor(F.col(size).cast("decimal(38,0)") * got["part"] / got["words"]).cast("long"))
+    out = out.withColumns({copies: F.coalesce(got["copies"], F.lit(0)), part: F.coalesce(first, F.lit(0))})
+    out = out.withColumn(taken, F.col(size) * F.col(copies) + F.col(part))
+    keep = [*docs.columns, size, copies, part, taken]
+    return Mix(out.select(*[F.col(c) for c in keep], F.col("_sources").alias(free_name(docs, "mix_sources")[0])), quotas, routed)
 
 
 def cyclic_weights(values: Sequence[float]) -> callable:
