@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 
 from netquarry.llm.shared import SPACE, fresh_path, written
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Session settings while the stream starts. Files aren't preallocated: that takes 4 MB for each state partition.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Bytes of files in a micro-batch.
 BATCH_BYTES = 256 << 20
 
@@ -58,15 +61,17 @@ def caught_up(spark: SparkSession, path: str, id_col: str, text_col: str, digest
     state = fresh_path(spark, "dedup-stream")
     stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", batch_bytes).parquet(_as_glob(path))
     counted = _counted(_located(stream, id_col, text_col, digest))
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {key: spark.conf.get(key, None) for key in STATE_STORE}
+    for key, value in STATE_STORE.items():
+        spark.conf.set(key, value)
     try:
         query = (
             counted.writeStream.format("noop").outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).start()
         )
         query.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     stored = spark.read.format("statestore").load(state)
     return stored.select(
         F.col("key.digest").alias("digest"), F.col("value.count").alias("group_size"), F.col("value.max").alias("stays")
