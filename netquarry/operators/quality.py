@@ -12,8 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netquarry.functions.expr import compile_expr, parse
-from netquarry.functions.scalars import TIMESTAMP_FORMATS, parsed_timestamp
+from netquarry.functions.expr import parse, quoted, sql_expr
+from netquarry.functions.scalars import TIMESTAMP_FORMATS
 from netquarry.operators._columns import col
 
 
@@ -78,105 +78,110 @@ def initial_cleanup(df: DataFrame, drop: Sequence[str] = (), strings: Sequence[s
     return df.select(*[col(c) if c in strings else col(c).try_cast("double").alias(c) for c in df.columns])
 
 
-def numeric_flags(column: Column, check: Numeric) -> dict[str, Column]:
-    value = column.cast("double")
-    missing = column.isNull() | F.isnan(value)
-    present = ~missing
-    kept = F.lit(False)
-    for s in check.sentinel:
-        kept = kept | (present & (value == float(s)))
-    low, high = F.lit(True), F.lit(True)
-    if check.minimum is not None:
-        low = value >= float(check.minimum)
-    if check.maximum is not None:
-        high = value <= float(check.maximum)
-    outside = F.when(missing, F.lit(not check.integer)).otherwise(~(low & high) & ~kept)
+def numeric_sql(name: str, check: Numeric) -> dict[str, str]:
+    """A numeric column's checks as SQL predicates that are never null."""
+    column = quoted(name)
+    value = f"cast({column} AS double)"
+    missing = f"({column} IS NULL OR isnan({value}))"
+    kept = f"{value} IN ({', '.join(f'{float(s)!r}D' for s in check.sentinel)})" if check.sentinel else "false"
+    bounds = [f"{value} >= {float(check.minimum)!r}D"] if check.minimum is not None else []
+    bounds += [f"{value} <= {float(check.maximum)!r}D"] if check.maximum is not None else []
+    inside = " AND ".join(bounds) or "true"
     return {
-        "negative": F.lit(False) if check.allow_negative else present & (value < 0) & ~kept,
-        "infinite": F.lit(False) if check.allow_inf else present & value.isin(float("inf"), float("-inf")),
-        "missing": F.lit(False) if check.allow_nan else missing,
-        "outside": outside,
+        "negative": "false" if check.allow_negative else f"(NOT {missing} AND {value} < 0 AND NOT {kept})",
+        "infinite": "false" if check.allow_inf else f"(NOT {missing} AND abs({value}) = double('Infinity'))",
+        "missing": "false" if check.allow_nan else missing,
+        "outside": f"(CASE WHEN {missing} THEN {'false' if check.integer else 'true'} ELSE NOT ({inside}) AND NOT {kept} END)",
     }
 
 
-def text_flag(column: Column, check: Text) -> Column:
+def text_sql(name: str, check: Text) -> str:
     if check.allow_nan:
-        return F.lit(False)
-    return parsed_timestamp(column, check.formats).isNull() if check.formats else column.isNull()
+        return "false"
+    tries = [f"try_to_timestamp(cast({quoted(name)} AS string), '{f}')" for f in check.formats] or [quoted(name)]
+    return f"(coalesce({', '.join(tries)}) IS NULL)"
 
 
-def schema_flags(df: DataFrame, schema: Mapping[str, Numeric | Text]) -> dict[str, Column]:
-    """For each column whether its value is invalid. Columns without an entry pass; missing ones raise ValueError."""
-    if absent := [c for c in schema if c not in df.columns]:
+def schema_sql(columns: Sequence[str], schema: Mapping[str, Numeric | Text]) -> dict[str, str]:
+    if absent := [c for c in schema if c not in columns]:
         raise ValueError(f"columns are missing: {absent}")
-    out = {}
-    for name, check in schema.items():
-        if isinstance(check, Text):
-            out[name] = text_flag(col(name), check)
-        else:
-            out[name] = _any(list(numeric_flags(col(name), check).values()))
-    return out
+    return {
+        name: text_sql(name, check) if isinstance(check, Text) else f"({' OR '.join(x for x in numeric_sql(name, check).values() if x != 'false')})"
+        for name, check in schema.items()
+    }
 
 
-def _any(flags: Sequence[Column]) -> Column:
-    found = F.lit(False)
-    for flag in flags:
-        found = found | flag
-    return found
+def schema_flags(df: DataFrame, schema: Mapping[str, Numeric | Text]) -> dict[str, Column]:
+    """For each column whether its value is invalid. Columns without an entry pass; missing ones raise ValueError."""
+    return {name: F.expr(flag) for name, flag in schema_sql(df.columns, schema).items()}
 
 
-def rule_flags(df: DataFrame, rules: Sequence[Rule], chain_scope: str = "line") -> dict[str, Column]:
-    """For each rule whether a row violates it. A null outcome is no violation; a missing column raises ValueError."""
-    types = dict(df.dtypes)
+def rule_sql(types: Mapping[str, str], rules: Sequence[Rule], chain_scope: str = "line") -> dict[str, str]:
     out = {}
     for rule in rules:
-        valid = compile_expr(rule.expression, types, rule.constants, chain_scope)
+        valid = sql_expr(rule.expression, types, rule.constants, chain_scope)
         if rule.applies:
-            applies = F.coalesce(compile_expr(rule.applies, types, rule.constants, chain_scope), F.lit(False))
-            same = col(rule.target).cast("double") == float(rule.sentinel)
-            if types[rule.target] in ("double", "float"):
-                same = same & ~F.isnan(col(rule.target))
-            valid = F.when(applies, same).otherwise(valid)
-        out[rule.id] = ~F.coalesce(valid, F.lit(True))
+            applies = sql_expr(rule.applies, types, rule.constants, chain_scope)
+            target = f"cast({quoted(rule.target)} AS double)"
+            same = f"({target} = {float(rule.sentinel)!r}D)"
+            valid = f"(CASE WHEN coalesce({applies}, false) THEN {same} ELSE {valid} END)"
+        out[rule.id] = f"(NOT coalesce({valid}, true))"
     return out
 
 
+def rule_flags(df: DataFrame, rules: Sequence[Rule], chain_scope: str = "line") -> dict[str, Column]:
+    """For each rule whether a row violates it. A null outcome is no violation; a missing column raises ValueError."""
+    return {name: F.expr(flag) for name, flag in rule_sql(dict(df.dtypes), rules, chain_scope).items()}
+
+
 def rule_columns(rule: Rule) -> set[str]:
     return parse(rule.expression).names() - set(rule.constants)
 
 
-def classes(df: DataFrame, plan: Plan) -> tuple[Column, Column]:
-    """(dropped, repaired): rows that a non-repairable column or rule spoils, and others that can be repaired."""
-    columns, rules = schema_flags(df, plan.schema), rule_flags(df, plan.rules, plan.chain_scope)
-    dropped = _any(
-        [columns[c] for c in plan.schema if c in plan.non_repairable] + [rules[r] for r in rules if r not in plan.repairable_rules]
-    )
-    touched = _any([columns[c] for c in plan.schema if c in plan.formulas] + [rules[r] for r in rules if r in plan.repairable_rules])
-    return dropped, touched & ~dropped
+def _any(flags: Sequence[str]) -> str:
+    """Whether one of the flags, none of them null, holds.
+
+    A sum and not a disjunction: of hundreds of disjuncts the optimizer would make as many filters and carry them
+    through every projection as constraints.
+    """
+    return f"({' + '.join(f'int{flag}' if flag.startswith('(') else f'int({flag})' for flag in flags) or '0'} > 0)"
+
+
+def _classes(df: DataFrame, plan: Plan) -> tuple[str, str, dict[str, str]]:
+    """(spoilt, touched, rules): rows to drop, rows with something repairable, and each rule's flag."""
+    columns, rules = schema_sql(df.columns, plan.schema), rule_sql(dict(df.dtypes), plan.rules, plan.chain_scope)
+    spoilt = [columns[c] for c in plan.schema if c in plan.non_repairable] + [rules[r] for r in rules if r not in plan.repairable_rules]
+    touched = [columns[c] for c in plan.schema if c in plan.formulas] + [rules[r] for r in rules if r in plan.repairable_rules]
+    return _any([x for x in spoilt if x != "false"]), _any([x for x in touched if x != "false"]), rules
 
 
 def classified(df: DataFrame, plan: Plan, name: str = "row_class") -> DataFrame:
-    dropped, repaired = classes(df, plan)
-    return df.withColumn(name, F.when(dropped, "dropped").when(repaired, "repairable").otherwise("valid"))
+    spoilt, touched, _ = _classes(df, plan)
+    return df.withColumn(name, F.expr(f"CASE WHEN {spoilt} THEN 'dropped' WHEN {touched} THEN 'repairable' ELSE 'valid' END"))
 
 
 def repair(df: DataFrame, plan: Plan) -> DataFrame:
-    """df without spoilt rows; in repairable rows the targets of violated rules get their formulas, in order.
+    """df without spoilt rows; in the others the targets of violated repairable rules get their formulas, in order.
 
     All flags are taken before the first repair; a later formula sees the values earlier ones wrote.
     """
-    dropped, repaired = classes(df, plan)
-    rules = rule_flags(df, plan.rules, plan.chain_scope)
+    spoilt, _, rules = _classes(df, plan)
+    types = dict(df.dtypes)
     targets = {r.target: r.id for r in plan.rules if r.id in plan.repairable_rules}
     todo = [c for c in plan.formulas if c in targets]
     mark = "_repair_"
-    out = df.withColumns({f"{mark}{i}": repaired & rules[targets[c]] for i, c in enumerate(todo)} | {f"{mark}drop": dropped})
-    out = out.filter(~F.col(f"{mark}drop"))
-    types = dict(df.dtypes)
+    # a violated repairable rule makes a row repairable, so no further flag is needed once spoilt rows are gone
+    out = df.withColumns({f"{mark}{i}": F.expr(rules[targets[c]]) for i, c in enumerate(todo)} | {f"{mark}drop": F.expr(spoilt)})
+    out = out.filter(f"NOT {mark}drop")
+    written: set[str] = set()
+    pending: dict[str, Column] = {}
     for i, c in enumerate(todo):
-        fixed = compile_expr(plan.formulas[c], types).cast(types[c])
-        out = out.withColumn(c, F.when(F.col(f"{mark}{i}"), fixed).otherwise(col(c)))
-    return out.drop(*[f"{mark}{i}" for i in range(len(todo))], f"{mark}drop")
+        if pending and parse(plan.formulas[c]).names() & written:
+            out, pending = out.withColumns(pending), {}
+        fixed = sql_expr(plan.formulas[c], types)
+        pending[c] = F.expr(f"CASE WHEN {mark}{i} THEN cast({fixed} AS {types[c]}) ELSE {quoted(c)} END")
+        written.add(c)
+    return out.withColumns(pending).select(*[col(c) for c in df.columns])
 
 
 def clean_cycles(df: DataFrame, plan: Plan, cycles: int = 2) -> DataFrame:
@@ -188,16 +193,17 @@ def clean_cycles(df: DataFrame, plan: Plan, cycles: int = 2) -> DataFrame:
 
 def quality_metrics(df: DataFrame, plan: Plan) -> DataFrame:
     """Rows (kind, name, count): invalid cells by column and check, violations by rule, rows by class, in one pass."""
-    counts: list[tuple[str, str, Column]] = []
+    spoilt, touched, rules = _classes(df, plan)
+    counts: list[tuple[str, str, str]] = []
     for name, check in plan.schema.items():
         if isinstance(check, Text):
-            counts.append(("text", name, text_flag(col(name), check)))
+            counts.append(("text", name, text_sql(name, check)))
         else:
-            counts += [(kind, name, flag) for kind, flag in numeric_flags(col(name), check).items()]
-    counts += [("rule", name, flag) for name, flag in rule_flags(df, plan.rules, plan.chain_scope).items()]
-    dropped, repaired = classes(df, plan)
-    counts += [("row", "dropped", dropped), ("row", "repairable", repaired), ("row", "valid", ~(dropped | repaired))]
-    one = df.agg(*[F.count_if(flag).alias(f"c{i}") for i, (_, _, flag) in enumerate(counts)])
+            counts += [(kind, name, flag) for kind, flag in numeric_sql(name, check).items()]
+    counts += [("rule", name, flag) for name, flag in rules.items()]
+    counts += [("row", "dropped", "_spoilt"), ("row", "repairable", "(_touched AND NOT _spoilt)"), ("row", "valid", "NOT (_touched OR _spoilt)")]
+    marked = df.withColumns({"_spoilt": F.expr(spoilt), "_touched": F.expr(touched)})
+    one = marked.agg(*[F.expr(f"count_if({flag})").alias(f"c{i}") for i, (_, _, flag) in enumerate(counts)])
     entries = [F.struct(F.lit(k).alias("kind"), F.lit(n).alias("name"), F.col(f"c{i}").alias("count")) for i, (k, n, _) in enumerate(counts)]
     return one.select(F.explode(F.array(*entries)).alias("m")).select("m.*")
 
