@@ -2,12 +2,13 @@
 
 P(grade <= j) = sigmoid(threshold_j - score): one score, a sum of hashed-text weights shared by all grades, and
 ordered thresholds. The score gives the expected grade and the probability of reaching a grade, by which documents
-are selected. Features are the words of a text and their shapes (letters by case, digits, symbols), hashed; each
-counts by its share of the text's words, so length plays no part.
+are selected. Features are the words of a text and their shapes (letters by case, digits, symbols), hashed, and the
+repetition of a word right after itself; each counts by its share of the text's words, so length plays no part.
 """
 
 from __future__ import annotations
 
+import operator
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,6 +37,14 @@ def slots(word: bytes) -> tuple[int, int]:
     return xxhash.xxh64_intdigest(word.lower(), 1) % DIMS, xxhash.xxh64_intdigest(shape[:12], 2) % DIMS
 
 
+#: The feature of a word that repeats the one before it.
+REPEAT = xxhash.xxh64_intdigest(b"the word before", 3) % DIMS
+
+
+def repeats(words: list[bytes]) -> int:
+    return sum(map(operator.eq, words, words[1:]))
+
+
 class _Slots(dict):
     def __missing__(self, word: bytes) -> tuple[int, int]:
         if len(self) > 300_000:
@@ -68,7 +77,9 @@ class OrdinalModel:
 
         def score(text: str | None) -> float:
             words = (text or "").encode().split()
-            return SCALE * sum(map(table.__getitem__, words)) / len(words) if words else 0.0
+            if not words:
+                return 0.0
+            return SCALE * (sum(map(table.__getitem__, words)) + weights[REPEAT] * repeats(words)) / len(words)
 
         return score
 
@@ -131,8 +142,8 @@ def train(
             slot, value = [], []
             for text in batch.column(0).to_pylist():
                 words = text.encode().split()
-                found = np.array([s for w in words for s in known[w]], dtype=np.int64)
-                at, count = np.unique(found, return_counts=True)
+                found = [s for w in words for s in known[w]] + [REPEAT] * repeats(words)
+                at, count = np.unique(np.array(found, dtype=np.int64), return_counts=True)
                 slot.append(at.astype(np.int32))
                 value.append((SCALE * count / max(len(words), 1)).astype(np.float32))
             yield pa.RecordBatch.from_arrays(

@@ -105,5 +105,23 @@ def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+OP6_SQL = r"""WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS n FROM documents),
+k AS (SELECT *, first_value(doc_id) OVER (PARTITION BY n ORDER BY length(t) DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY n) AS group_size FROM d)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n) AS text_sha256 FROM k"""
+
+OP9_SQL = r"""WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
+firsts AS (SELECT s, min(doc_id) AS f FROM win GROUP BY s),
+hit AS (SELECT win.doc_id, i FROM win JOIN firsts USING (s) WHERE f < win.doc_id),
+cov AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM hit),
+each AS (SELECT doc_id, w[j] AS x, j FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS j FROM d)),
+kept AS (SELECT each.doc_id, string_agg(x, ' ' ORDER BY each.j) FILTER (WHERE cov.j IS NULL) AS k, count(cov.j) AS n
+  FROM each LEFT JOIN cov ON cov.doc_id = each.doc_id AND cov.j = each.j GROUP BY 1)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the two queries that it can express whole; the others are tested against brute force."""
+    return {"op6_stream_dedup": OP6_SQL, "op9_repeated_phrases": OP9_SQL}
