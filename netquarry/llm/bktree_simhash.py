@@ -29,6 +29,8 @@ SEED = 42
 SPREAD = np.uint64(0x0101010101010101)
 #: Fingerprints in a tree at most, and pairs of (query, node) that a search holds at once.
 MOST, FRONTIER = 4096, 500_000
+#: Texts whose hashes a worker holds at once.
+SLICE = 1000
 
 
 def shingle_hashes(text: str, shingle: int) -> list[int]:
@@ -79,7 +81,7 @@ def fingerprints(docs: DataFrame, shingle: int, lanes: int = 1, text_col: str =
     """docs with fp, 8 x lanes bytes, in the place of the text column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
             hashes = [shingle_hashes(t or "", shingle) for t in batch.column(0).to_pylist()]
             counts = np.fromiter(map(len, hashes), dtype=np.int64, count=len(hashes))
             flat = np.fromiter((h for hs in hashes for h in hs), dtype=np.uint64, count=int(counts.sum()))
