@@ -24,7 +24,7 @@ from netquarry.llm.shared import text_of
 
 DIMS = 1 << 15
 #: Rated documents that a fit uses at most, those with the smallest hash of the id.
-SAMPLE = 6000
+SAMPLE = 4000
 SCALE = 8.0
 _SHAPES = [(re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[0-9]+"), b"0")]
 
