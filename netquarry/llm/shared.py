@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,7 +100,3 @@ def components(spark: SparkSession, links: DataFrame, rounds: int = 60) -> DataF
 def _digest(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return tuple(row)
-
-
-def any_of(*conditions: Column) -> Column:
-    return reduce(lambda x, y: x | y, conditions, F.lit(False))
