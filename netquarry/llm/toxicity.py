@@ -1,9 +1,9 @@
 """Toxicity by compression distance: windows are compressed with a toxic and an ordinary zstandard dictionary.
 
-The ordinary dictionary is trained on windows of ordinary texts. The toxic one is trained on the segments of toxic
-texts that stand out against ordinary ones, and continues the ordinary dictionary, so that common wording is
-compressed alike by both and a window's gain (ordinary length minus toxic length) comes from toxic wording alone. A
-text's gains are summed up by their largest, their mean, the mean of the three largest and the share of large ones;
+The ordinary dictionary is trained on windows of ordinary texts. The toxic one holds every token of toxic texts that
+stands out against ordinary ones (training would leave out rare ones; beyond TOXIC_BYTES those in the fewest texts go),
+and continues the ordinary dictionary, so that common wording is compressed alike by both and a window's gain (ordinary
+length minus toxic length) comes from toxic wording alone. A text's gains are summed up by their largest, their mean, the mean of the three largest and the share of large ones;
 a logistic curve fitted on other rated texts than the dictionaries turns these into a probability, and the threshold
 is a point on that calibrated scale.
 """
@@ -14,6 +14,8 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cache
+from math import exp, lgamma, log, log1p
 
 import numpy as np
 import pandas as pd
@@ -27,11 +29,12 @@ WINDOW_WORDS = 20
 THRESHOLD = 0.3
 #: Rated texts of each class that a fit reads at most, those with the smallest hash of the id, and their bytes together.
 TOXIC_SAMPLE, ORDINARY_SAMPLE, SAMPLE_BYTES = 1200, 2400, 48_000_000
-ORDINARY_BYTES, TOXIC_BYTES = 32768, 4096
+ORDINARY_BYTES, TOXIC_BYTES = 32768, 32768
 GRAM = 5
-#: A word or a piece of one stands out if so many toxic texts, and this share of them, have it, and so many times more
-#: often than ordinary texts.
-LEAST_TEXTS, WORD_SHARE, PIECE_SHARE, CONTRAST = 4, 0.02, 0.05, 8
+#: A word or a piece of one stands out if so many toxic texts have it, so many times more often than ordinary texts, and
+#: if chance would deal as many of its texts to the toxic ones with this probability at most. No share of the toxic
+#: texts is asked for: wording of a language with few of them would never reach it.
+LEAST_TEXTS, CONTRAST, CHANCE = 4, 8, 1e-4
 LARGE_GAIN = 4
 _WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -71,6 +74,12 @@ def _segments(text: str, marked: set[bytes]) -> Iterator[bytes]:
             run = []
 
 
+def _tail(least: int, n: int, p: float) -> float:
+    """The probability of `least` or more hits among n, each with the probability p, 0 < p < 1."""
+    ways = (lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(p) + (n - i) * log1p(-p) for i in range(least, n + 1))
+    return sum(map(exp, ways))
+
+
 def _trained(samples: list[bytes], size: int, k: int) -> bytes:
     """A dictionary trained on samples; where there are too few of them for that, the samples themselves."""
     try:
@@ -114,18 +123,21 @@ def dictionaries(toxic: list[str], ordinary: list[str]) -> ToxicModel:
     known: dict = {}
     held, against = _shares(toxic, known), _shares(ordinary, known)
     n_toxic, n_plain = len(set(toxic)), len(set(ordinary))
+    chance = cache(lambda c, a: _tail(c, c + a, n_toxic / (n_toxic + n_plain)))
     marks = {
         g
         for g, c in held.items()
-        if c >= max(LEAST_TEXTS, (WORD_SHARE if len(g) > GRAM else PIECE_SHARE) * n_toxic)
+        if c >= LEAST_TEXTS
         and CONTRAST * (against[g] + 1) / (n_plain + 1) < c / n_toxic
+        and (not n_plain or chance(c, against[g]) <= CHANCE)
     }
     marked = {token for token, pieces in known.items() if not marks.isdisjoint(pieces)}
     plain = [w for text in ordinary for w in windows(text)]
-    standing_out = [s for text in toxic for s in _segments(text, marked)]
+    standing_out = Counter(w for text in dict.fromkeys(toxic) for w in {w for s in _segments(text, marked) for w in s.split()})
+    ordered = b" ".join(sorted(standing_out, key=lambda w: (standing_out[w], w)))
     return ToxicModel(
         _trained(plain[:: max(1, len(plain) // 60_000)], ORDINARY_BYTES, 64) if plain else b"",
-        _trained(standing_out, TOXIC_BYTES, 32) if standing_out else b"",
+        b" %b " % ordered[-TOXIC_BYTES:] if ordered else b"",
         np.array([-30.0, 0, 0, 0, 0]),
     )
 

@@ -53,3 +53,12 @@ def test_segments_and_windows():
     assert list(toxicity._segments("a numpty numpty b numpty", {b"numpty"})) == [b" numpty numpty ", b" numpty "]
     assert len(toxicity.windows("w " * 50)) == pytest.approx(-(-50 // toxicity.WINDOW_WORDS))
     assert toxicity.windows("") == []
+
+
+def test_wording_of_few_toxic_texts_enters_the_dictionary():
+    rng = random.Random(4)
+    common = [rude(rng, 30) for _ in range(990)]
+    rare = [f"{prose(rng, 15)} zwickwanst {prose(rng, 15)}" for _ in range(10)]  # 1 % of the toxic texts
+    model = toxicity.dictionaries(common + rare, [prose(rng, 30) for _ in range(2000)])
+    assert b"zwickwanst" in model.toxic and b"numpty" in model.toxic
+    assert model.measurer()("zwickwanst zwickwanst a b c d")[1] > 0
