@@ -71,14 +71,14 @@ class NoticeSearch:
                     spans.append([begin, end])
         out = []
         for k, spans in windows.items():
-            phrase, label, _, pattern = self.notices[k]
+            phrase, label, most, pattern = self.notices[k]
             for begin, end in _joined_spans(spans):
                 # whole words around the window, so that no character is cut
                 begin = plain.rfind(" ", 0, max(begin, 0) + 1) + 1
                 end = plain.find(" ", min(end, len(plain)))
                 end = len(plain) if end < 0 else end
                 piece = joined[begin:end].decode("utf-8", "replace")
-                for m in pattern.finditer(piece):
+                for m in _matches(pattern, piece, len(phrase) - most):
                     edits = sum(m.fuzzy_counts)
                     lead = len(piece[: m.start()].encode())
                     first = joined.count(b" ", 1, begin + lead + (1 if m[0].startswith(" ") else 0)) if begin + lead else 0
@@ -86,6 +86,21 @@ class NoticeSearch:
         return out
 
 
+def _matches(pattern: regex.Pattern, piece: str, least: int) -> list[regex.Match]:
+    """All matches that don't overlap a closer one, from left to right; least: the characters of the shortest.
+
+    The pattern finds the closest match of a stretch, so the parts before and after it are searched in turn.
+    """
+    out, stretches = [], [(0, len(piece))]
+    while stretches:
+        begin, end = stretches.pop()
+        m = pattern.search(piece, begin, end) if end - begin >= least else None
+        if m:
+            out.append(m)
+            stretches += [(begin, m.start()), (m.end(), end)]
+    return sorted(out, key=lambda m: m.start())
+
+
 def _joined_spans(spans: list[list[int]]) -> list[list[int]]:
     out: list[list[int]] = []
     for begin, end in sorted(spans):

@@ -54,3 +54,10 @@ def test_spans_count_words():
     found = lic.scan_text("one two All Rihgts Reserved here", lic.NoticeSearch())
     (notice,) = [n for n in found["notices"] if n["label"] == "reserved"]
     assert notice["first_word"] == 2 and notice["edits"] == 2 and found["n_base"] == 0 and found["score"] < 1
+
+
+def test_less_exact_notices_before_a_closer_one_are_reported():
+    search = lic.NoticeSearch()
+    kept = lambda text: [(n["first_word"], n["words"], n["edits"]) for n in lic.scan_text(text, search)["notices"] if n["label"] == "reserved"]
+    assert kept("all rihts reserved all rights reserved") == [(0, 3, 1), (3, 3, 0)]
+    assert kept("All rihgts reserved. All rigts reserved. All rights reserved. All rihts reserved.") == [(0, 3, 2), (3, 3, 1), (6, 3, 0), (9, 3, 1)]
