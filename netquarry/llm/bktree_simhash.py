@@ -77,12 +77,13 @@ def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int, lanes: int = 1, text_col: str = "text") -> DataFrame:
-    """docs with fp, 8 x lanes bytes, in the place of the text column."""
+def fingerprints(docs: DataFrame, shingle: int, lanes: int = 1, text_col: str = "text", distinct: bool = False) -> DataFrame:
+    """docs with fp, 8 x lanes bytes, in the place of the text column; distinct: repeated shingles count once."""
+    kind = set if distinct else list
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
-            hashes = [shingle_hashes(t or "", shingle) for t in batch.column(0).to_pylist()]
+            hashes = [kind(shingle_hashes(t or "", shingle)) for t in batch.column(0).to_pylist()]
             counts = np.fromiter(map(len, hashes), dtype=np.int64, count=len(hashes))
             flat = np.fromiter((h for hs in hashes for h in hs), dtype=np.uint64, count=int(counts.sum()))
             words = np.stack([majority(lane(flat, k), counts) for k in range(lanes)], axis=1).astype(">u8")
@@ -249,10 +250,16 @@ def links(spark: SparkSession, nodes: DataFrame, bands: list[list[int]], radius:
 
 
 def _grouped(
-    spark: SparkSession, slim: DataFrame, shingle: int, lanes: int, bands: list[list[int]] | None, radius: int
+    spark: SparkSession,
+    slim: DataFrame,
+    shingle: int,
+    lanes: int,
+    bands: list[list[int]] | None,
+    radius: int,
+    distinct: bool = False,
 ) -> DataFrame:
     """slim (id, text and more) without the text, with fp and root, the fingerprint that names its component."""
-    marked = written(spark, fingerprints(slim, shingle, lanes), "simhash-marked")
+    marked = written(spark, fingerprints(slim, shingle, lanes, distinct=distinct), "simhash-marked")
     nodes = written(spark, marked.select("fp").distinct(), "simhash-nodes")
     if bands is None:
         bands = exact_bands(nodes.count(), radius, 64 * lanes)
@@ -298,7 +305,8 @@ def first_of_each(
 ) -> DataFrame:
     """docs without near-duplicates: one row of each group stays, that with the smallest id (null last).
 
-    A Jaccard similarity J of shingle sets makes a cosine of about 2J / (1 + J), and each fingerprint bit differs
+    Fingerprints count each distinct shingle of a text once, so that a line's repeats don't outweigh the rest of it. A
+    Jaccard similarity J of shingle sets makes a cosine of about 2J / (1 + J), and each fingerprint bit differs
     with the probability acos(cosine) / pi. The radius lies 1.3 standard deviations beyond the mean for J =
     similarity. Rows with the same id and other texts are told apart by a hash of the text; of fully repeated rows
     one stays. Columns keep their names and order; an empty table gives an empty one.
@@ -309,7 +317,7 @@ def first_of_each(
     radius = int(bits * differing + 1.3 * math.sqrt(bits * differing * (1 - differing)))
     mark = F.xxhash64(text_of(docs, text_col))
     slim = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("id"), mark.alias("mark"))
-    rows = _grouped(spark, slim, shingle, lanes, bands, radius)
+    rows = _grouped(spark, slim, shingle, lanes, bands, radius, distinct=True)
     counted = rows.groupBy("root", "id", "mark").agg(F.count("*").alias("n"))
     order = F.struct(F.col("id").isNull().alias("x"), "id", "mark")
     firsts = counted.groupBy("root").agg(F.min_by(F.struct("id", "mark", "n"), order).alias("first"))

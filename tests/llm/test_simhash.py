@@ -113,3 +113,17 @@ def test_one_of_each_group_stays(spark, make_docs, odd_texts):
     assert {0, 3}.issubset({r.doc_id for r in odd}) and not {1, 2, 4, 6}.intersection({r.doc_id for r in odd})
     assert sim.first_of_each(spark, docs.limit(0)).count() == 0
     assert sim.simhash_groups(spark, docs.limit(0)).count() == 0
+
+
+def test_repeated_lines_count_once_among_near_duplicates(spark, make_docs):
+    rng = random.Random(11)
+
+    def jaccard(a, b):
+        x, y = (set(sim.shingle_hashes(t, 5)) for t in (a, b))
+        return len(x & y) / len(x | y)
+
+    line, other = prose(rng, 16), prose(rng, 150)
+    apart = [f"{prose(rng, 154)} " + " ".join([line] * times) for times in (20, 20, 40, 40)]
+    same = [f"{other} " + " ".join([prose(random.Random(12), 16)] * times) for times in (2, 20)]
+    assert all(jaccard(a, b) < 0.1 for i, a in enumerate(apart) for b in apart[:i]) and jaccard(*same) == 1
+    assert sorted(r.doc_id for r in sim.first_of_each(spark, make_docs(apart + same)).collect()) == [0, 1, 2, 3, 4]
