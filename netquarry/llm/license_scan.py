@@ -1,8 +1,8 @@
 """License scans: exact phrases, and short notices found with a bounded number of edits.
 
 A notice of m characters may appear with k = m // EDIT_EVERY edits. It is split into k + 1 pieces, of which at least
-one appears unchanged (pigeonhole); the pieces of all notices are looked for together, and around each hit the regex
-library's bounded-error matching verifies the notice and counts its edits. Texts are searched as their words (ASCII
+one appears unchanged (pigeonhole); the pieces of all notices are looked for together, and in a window of bounded
+length around each hit the regex library's bounded-error matching verifies the notice and reports its span and edits. Texts are searched as their words (ASCII
 letters in lower case, digits, all non-ASCII characters) joined by single spaces.
 """
 
@@ -16,6 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netquarry.llm.decontaminate import Pattern
 from netquarry.llm.shared import text_of
 
 #: Phrases whose every place counts, and their labels.
@@ -40,86 +41,93 @@ WORD_BYTES = bytes(
 
 
 class NoticeSearch:
-    """The notices with their pieces in one automaton and a bounded-error pattern each."""
+    """The notices with their pieces in one automaton and a pattern for each number of edits."""
 
     def __init__(self, notices=NOTICES, edit_every: int = EDIT_EVERY):
+        if edit_every < 7:
+            raise ValueError("edit_every must be 7 or more: a window holds one match then")
         self.notices, by_piece = [], {}
         for phrase, label in notices:
             edits = len(phrase) // edit_every
-            cuts = [len(phrase) * i // (edits + 1) for i in range(edits + 2)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                by_piece.setdefault(phrase[a:b], []).append((len(self.notices), a))
-            self.notices.append((phrase, label, edits, regex.compile(f"(?b)(?:{regex.escape(phrase)}){{e<={edits}}}")))
+            for offset, piece in _pieces(phrase, edits + 1):
+                by_piece.setdefault(piece, []).append((len(self.notices), offset))
+            halves = [half for _, half in _pieces(phrase, 2 * edits + 2)]
+            patterns = [regex.compile(f"(?:{regex.escape(phrase)}){{e<={e}}}") for e in range(edits + 1)]
+            self.notices.append((phrase, label, edits, halves, Pattern(phrase), patterns))
         self.automaton = ahocorasick.Automaton()
         for piece, where in by_piece.items():
             self.automaton.add_word(piece, (len(piece), where))
         self.automaton.make_automaton()
 
-    def find(self, joined: bytes) -> list[tuple[str, int, int, int, str, float]]:
-        """(label, first word, words, edits, matched text, closeness) of every notice found in the joined words."""
-        plain = joined.decode("latin-1")  # a character for each byte; pieces are ASCII
-        windows: dict[int, list[list[int]]] = {}
-        for last, (length, where) in self.automaton.iter(plain):
+    def find(self, joined: str) -> list[tuple[str, int, int, int, str, float]]:
+        """(label, first word, words, edits, matched text, closeness) of the notices found in the joined words.
+
+        Hits of one notice's pieces on diagonals near each other make a window of bounded length, in which the closest
+        match is taken. The windows go from left to right and begin behind the last match, so matches of a notice
+        don't overlap, and any stretch within the budget overlaps a match. Places and edits are in characters.
+        """
+        diagonals: dict[int, list[int]] = {}
+        for last, (length, where) in self.automaton.iter(joined):
             for k, offset in where:
-                phrase, _, edits, _ = self.notices[k]
-                begin = last + 1 - length - offset - edits
-                end = begin + len(phrase) + 2 * edits
-                spans = windows.setdefault(k, [])
-                if spans and begin <= spans[-1][1] and begin >= spans[-1][0]:
-                    spans[-1][1] = max(spans[-1][1], end)
-                else:
-                    spans.append([begin, end])
+                diagonals.setdefault(k, []).append(last + 1 - length - offset)
         out = []
-        for k, spans in windows.items():
-            phrase, label, most, pattern = self.notices[k]
-            for begin, end in _joined_spans(spans):
-                # whole words around the window, so that no character is cut
-                begin = plain.rfind(" ", 0, max(begin, 0) + 1) + 1
-                end = plain.find(" ", min(end, len(plain)))
-                end = len(plain) if end < 0 else end
-                piece = joined[begin:end].decode("utf-8", "replace")
-                for m in _matches(pattern, piece, len(phrase) - most):
+        for k, starts in diagonals.items():
+            phrase, label, most, halves, nearest, patterns = self.notices[k]
+            behind = counted = before = 0
+            for low, high in _runs(sorted(starts), most):
+                begin, end = max(behind, low - most, 0), high + len(phrase) + most
+                window = joined[begin:end]
+                if len(window) < len(phrase) - most or not _enough(halves, window, most):
+                    continue
+                # the least distance first: with a larger bound the pattern tries far more ways, and may take a worse one
+                distance = nearest.search(window)[0]
+                m = patterns[distance].search(joined, begin, end) if distance <= most else None
+                if m:
+                    behind = m.end()
+                    first = m.start() + (m[0][0] == " ")
+                    before += joined.count(" ", counted, first)  # of spaces before a word, one is the text's first
+                    counted = first
                     edits = sum(m.fuzzy_counts)
-                    lead = len(piece[: m.start()].encode())
-                    first = joined.count(b" ", 1, begin + lead + (1 if m[0].startswith(" ") else 0)) if begin + lead else 0
-                    out.append((label, first, len(m[0].split()), edits, m[0], 1 - edits / len(phrase)))
+                    out.append((label, max(before - 1, 0), len(m[0].split()), edits, m[0], 1 - edits / len(phrase)))
         return out
 
 
-def _matches(pattern: regex.Pattern, piece: str, least: int) -> list[regex.Match]:
-    """All matches that don't overlap a closer one, from left to right; least: the characters of the shortest.
+def _pieces(phrase: str, n: int) -> list[tuple[int, str]]:
+    cuts = [len(phrase) * i // n for i in range(n + 1)]
+    return [(a, phrase[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
-    The pattern finds the closest match of a stretch, so the parts before and after it are searched in turn.
-    """
-    out, stretches = [], [(0, len(piece))]
-    while stretches:
-        begin, end = stretches.pop()
-        m = pattern.search(piece, begin, end) if end - begin >= least else None
-        if m:
-            out.append(m)
-            stretches += [(begin, m.start()), (m.end(), end)]
-    return sorted(out, key=lambda m: m.start())
-
-
-def _joined_spans(spans: list[list[int]]) -> list[list[int]]:
-    out: list[list[int]] = []
-    for begin, end in sorted(spans):
-        if out and begin <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], end)
-        else:
-            out.append([begin, end])
-    return out
+
+def _runs(starts: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """The first and last of the diagonals that lie within 2 x most of their first."""
+    low = high = starts[0]
+    for start in starts:
+        if start > low + 2 * most:
+            yield low, high
+            low = start
+        high = start
+    yield low, high
+
+
+def _enough(halves: list[str], window: str, most: int) -> bool:
+    """Of 2 x (most + 1) pieces, an edit spoils one at most; without most + 2 of them there is no match."""
+    missing = 0
+    for half in halves:
+        if half not in window:
+            missing += 1
+            if missing > most:
+                return False
+    return True
 
 
 def scan_text(text: str | None, search: NoticeSearch, base=BASE) -> dict:
     words = (text or "").encode().translate(WORD_BYTES).split()
-    joined = b" ".join([b"", *words, b""]) if words else b""
+    joined = b" ".join([b"", *words, b""]).decode() if words else ""
     places, labels = [], set()
     for phrase, label in base:
-        wanted = b" " + phrase.encode() + b" "
+        wanted = f" {phrase} "
         at, before, passed = joined.find(wanted), 0, 0
         while at >= 0:
-            passed += joined.count(b" ", before, at)  # spaces before a word are as many as the words before it
+            passed += joined.count(" ", before, at)  # spaces before a word are as many as the words before it
             before = at
             places.append(passed)
             labels.add(label)

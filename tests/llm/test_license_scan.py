@@ -1,6 +1,7 @@
 import random
 import re
 import string
+import time
 
 from pyspark.sql import functions as F
 
@@ -61,3 +62,58 @@ def test_less_exact_notices_before_a_closer_one_are_reported():
     kept = lambda text: [(n["first_word"], n["words"], n["edits"]) for n in lic.scan_text(text, search)["notices"] if n["label"] == "reserved"]
     assert kept("all rihts reserved all rights reserved") == [(0, 3, 1), (3, 3, 0)]
     assert kept("All rihgts reserved. All rigts reserved. All rights reserved. All rihts reserved.") == [(0, 3, 2), (3, 3, 1), (6, 3, 0), (9, 3, 1)]
+
+
+def nearest(phrase, text):
+    """The least edit distance of the phrase to a substring of the text, by dynamic programming over code points."""
+    before = list(range(len(phrase) + 1))
+    best = before[-1]
+    for c in text:
+        now = [0]
+        for i, d in enumerate(phrase, 1):
+            now.append(min(before[i - 1] + (c != d), before[i] + 1, now[-1] + 1))
+        before, best = now, min(best, now[-1])
+    return best
+
+
+def edited(rng, phrase, edits):
+    chars = list(phrase)
+    for _ in range(edits):
+        at, new = rng.randrange(len(chars)), rng.choice("qz版é \U0001f600")
+        kind = rng.choice("sdi")
+        chars[at : at + (kind != "i")] = [] if kind == "d" else [new]
+    return "".join(chars)
+
+
+def test_matches_against_dynamic_programming():
+    """Every span is as near as it says, and nothing within the budget is left beside the spans of a notice."""
+    rng = random.Random(8)
+    search = lic.NoticeSearch()
+    for _ in range(60):
+        parts = []
+        for _ in range(5):
+            phrase = rng.choice(lic.NOTICES)[0]
+            parts += [edited(rng, phrase, rng.randint(0, len(phrase) // 8 + 1)), prose(rng, rng.randint(0, 3))]
+        words = " ".join(parts).encode().translate(lic.WORD_BYTES).split()
+        joined = b" ".join([b"", *words, b""]).decode()
+        for phrase, label in lic.NOTICES:
+            alone = lic.NoticeSearch([(phrase, label)])
+            most, rest = len(phrase) // lic.EDIT_EVERY, joined
+            found = alone.find(joined)
+            for _, first, n, edits, matched, _ in found:
+                assert nearest(matched, phrase) <= edits == nearest(phrase, matched) <= most
+                assert n == len(matched.split()) and matched.split()[0] in joined.split()[first]
+                rest = rest.replace(matched, "\x00", 1)
+            assert all(nearest(phrase, part) > most for part in rest.split("\x00")), (phrase, joined)
+        assert sorted(search.find(joined)) == sorted(f for p in lic.NOTICES for f in lic.NoticeSearch([p]).find(joined))
+
+
+def test_long_repetitive_texts_take_linear_time():
+    search = lic.NoticeSearch()
+    for phrase in ("all rights reserve ", "licensed under the apach license ", "right "):
+        began = time.perf_counter()
+        found = lic.scan_text(phrase * (1_000_000 // len(phrase)), search)
+        assert time.perf_counter() - began < 10
+        assert len(found["notices"]) in (0, 1_000_000 // len(phrase))
+    crowded = lic.scan_text("all 版rights版 reserved al rights reserved all rights reserved", search)["notices"]
+    assert [(n["first_word"], n["edits"]) for n in crowded] == [(0, 2), (3, 1), (6, 0)]
