@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: The six ASCII white-space characters that end a word.
 SPACE = r"\x20\x09-\x0D"
+#: Keys at most that a join by count broadcasts.
+HOT_KEYS = 4096
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,9 +39,9 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def removed(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files of a written table that no later plan reads."""
-    for path in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+def removed(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete the files of written tables that no later plan reads."""
+    for path in {name.rsplit("/", 1)[0] for df in tables for name in df.inputFiles()}:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
@@ -61,6 +63,37 @@ def text_of(df: DataFrame, name: str = "text") -> Column:
     return F.coalesce(df[name], F.lit(""))
 
 
+def join_counted(left: DataFrame, right: DataFrame, key: list[str], counted: str, how: str = "left") -> DataFrame:
+    """left joined with right (a row for each key), where right's column `counted` says how many rows of left have the key.
+
+    A key of more than one in HOT_KEYS of left's rows would overload the task it is dealt to. There are HOT_KEYS of
+    those at most, so they are joined by broadcast, where left's rows lie; the others are dealt by key. Both tables
+    are read more than once: they should be written ones.
+    """
+    total, most = right.agg(F.sum(counted), F.max(counted)).first()
+    if (most or 0) * HOT_KEYS <= (total or 0):
+        return left.join(right, key, how)
+    is_hot = F.col(counted) > total / HOT_KEYS
+    hot = right.filter(is_hot)
+    cold = left.join(F.broadcast(hot.select(*key)), key, "left_anti")
+    return left.join(F.broadcast(hot), key).unionByName(cold.join(right.filter(~is_hot), key, how))
+
+
+def likely_in(df: DataFrame, key: str, keys: DataFrame, bits: int = 26) -> DataFrame:
+    """df's rows whose key may be among keys (a column of that name): all that are, and some that are not.
+
+    The keys become a bitmap of 2^bits bits in pieces of 4 KB, so at most 8 MB are broadcast however many keys there
+    are; with very many of them more of the other rows come through.
+    """
+    at = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << bits))
+    held = keys.select((at / 32768).cast("int").alias("_piece"), (at % 32768).alias("_bit"))
+    held = held.groupBy("_piece").agg(F.bitmap_construct_agg("_bit").alias("_bitmap"))
+    marked = df.withColumns({"_piece": (at / 32768).cast("int"), "_bit": (at % 32768).cast("int")})
+    byte = F.conv(F.hex(F.substring("_bitmap", (F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = marked.join(F.broadcast(held), "_piece").filter(F.getbit(byte, F.col("_bit") % 8) == 1)
+    return found.select(*df.columns)
+
+
 def utf8_crc32(text: Column) -> Column:
     return F.crc32(F.encode(text, "UTF-8"))
 
@@ -68,27 +101,28 @@ def utf8_crc32(text: Column) -> Column:
 def components(spark: SparkSession, links: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of links (a, b): rows (node, root) with root the smallest node reachable.
 
-    Alternating large-star and small-star steps on edges: each step is two aggregations keyed by node, with
-    map-side minima, so a node with very many links is never gathered in one task. Every round is a written
-    table; it ends when a round changes nothing. Nodes that have no link to another node are absent.
-    Raises RuntimeError if rounds steps don't settle it.
+    Alternating large-star and small-star steps on edges. Each step takes minima by node with map-side partials and
+    joins them back by the number of edges, so that the edges of a node with very many of them stay where they are.
+    Every step is a written table; it ends when a round changes nothing. Nodes that have no link to another node are
+    absent. Raises RuntimeError if rounds steps don't settle it.
     """
     pairs = links.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v")
     pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = written(spark, pairs, "links")
     before = _digest(edges)
     for _ in range(rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         # large star: every larger neighbour hangs on the smallest of the neighbourhood
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n"))
+        low = written(spark, low.filter("n > 0").select(F.col("u").alias("v"), F.least("u", "m").alias("m"), "n"), "links-low")
+        large = join_counted(edges, low, ["v"], "n", "inner").select("u", F.col("m").alias("v"))
+        large = written(spark, large.filter("u <> v").distinct(), "links-large")
         # small star: the smaller neighbours and the node itself hang on the smallest neighbour
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = written(spark, large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "links-least")
+        small = join_counted(large, least, ["u"], "n", "inner").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         after = written(spark, small, "links")
-        removed(spark, edges)
+        removed(spark, edges, low, large, least)
         edges, found = after, _digest(after)
         if found == before:
             roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
