@@ -8,10 +8,10 @@ as live-looking. A further token that is live-looking adds a span of its own kin
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from netquarry.llm.shared import text_of, written
+from netquarry.llm.shared import join_counted, text_of, written
 
 #: The kinds in their order, with their patterns. The first is filtered by its second group's length.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -24,32 +24,31 @@ KINDS = ("assign", "access", "hex", "owned")
 PLACEHOLDER = r"(?i)example|sample|dummy|placeholder|changeme|your|xxxx|0000|1234567|(.)\1{5}"
 
 
-def spans(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
-    """array<struct(start, kind, end, value)> of the leftmost non-overlapping matches; code points, end exclusive.
+def matches(text: Column, pattern: str, kind: int, good: callable, group: int = 0) -> Column:
+    """array<struct> of the leftmost non-overlapping matches, each with the length of the gap before it.
 
-    The parts between matches and the matches alternate, so a running sum of their lengths gives the places.
+    good: from a match's value (its group) to whether it counts. The places follow from a running sum over gaps and
+    lengths, taken over exploded rows: summing within the array would copy it for every match.
     """
     parts = F.zip_with(
         F.split(text, pattern, -1),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
         lambda gap, match: F.struct(F.length(gap).alias("gap"), match.alias("match")),
     )
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
 
-    def step(state: Column, part: Column) -> Column:
-        start = state["at"] + part["gap"]
-        end = start + F.length(part["match"])
+    def described(part: Column) -> Column:
         value = F.regexp_extract(part["match"], pattern, group) if group else part["match"]
-        one = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), value.alias("value"))
-        return F.struct(end.alias("at"), F.array_append(state["found"], one).alias("found"))
-
-    found = F.aggregate(
-        F.filter(parts, lambda p: p["match"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), none.alias("found")),
-        step,
-        lambda state: state["found"],
-    )
-    return F.when(text.rlike(pattern), found).otherwise(none)
+        return F.struct(
+            F.lit(kind).alias("kind"),
+            part["gap"].alias("gap"),
+            F.length(part["match"]).alias("length"),
+            good(value).alias("good"),
+            F.unhex(F.sha2(value, 256)).alias("digest"),
+            (~value.rlike(PLACEHOLDER)).alias("lively"),
+        )
+
+    found = F.transform(F.filter(parts, lambda p: p["match"].isNotNull()), described)
+    return F.when(text.rlike(pattern), found)
 
 
 def _joined(found: Column) -> Column:
@@ -61,22 +60,40 @@ def _joined(found: Column) -> Column:
 
 
 def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs' other columns with base, the spans of the first three kinds, and further, the tokens that overlap none."""
+    """docs' other columns with found, the matches of all kinds; each kind's stand together and in order."""
     text = text_of(docs, text_col)
+    every = lambda value: F.lit(True)
+    kinds = (
+        matches(text, ASSIGN, 0, lambda value: F.length(value) >= 12, 2),
+        matches(text, ACCESS, 1, every),
+        matches(text, HEX, 2, every),
+        matches(text, TOKEN, 3, lambda v: v.rlike("[0-9]") & v.rlike("[A-Z]") & v.rlike("[a-z]")),
+    )
+    none = F.array().cast("array<struct<kind:int,gap:int,length:int,good:boolean,digest:binary,lively:boolean>>")
     rest = [docs[c] for c in docs.columns if c != text_col]
-    found = docs.select(
-        *rest,
-        F.filter(spans(text, ASSIGN, 0, 2), lambda s: F.length(s["value"]) >= 12).alias("assign"),
-        spans(text, ACCESS, 1).alias("access"),
-        spans(text, HEX, 2).alias("hex"),
-        F.filter(
-            spans(text, TOKEN, 3),
-            lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Z]") & s["value"].rlike("[a-z]"),
-        ).alias("token"),
+    return docs.select(*rest, F.concat(*[F.coalesce(k, none) for k in kinds]).alias("found"))
+
+
+def located(rows: DataFrame) -> DataFrame:
+    """(row, owner, repository, kind, start, end, digest, lively) of what counts in rows (row, owner, repository, found).
+
+    Places are code points, ends exclusive. A further token that overlaps a match of the other kinds is left out. All
+    windows are over one text's matches; their largest end so far and, from behind, their least start decide overlaps.
+    """
+    each = rows.select("row", "owner", "repository", F.posexplode("found").alias("at", "m")).select(
+        "row", "owner", "repository", "at", "m.*"
     )
-    base = F.concat("assign", "access", "hex")
-    apart = F.filter("token", lambda t: ~F.exists(base, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    return found.select(*[c for c in found.columns if c != "token"], base.alias("base"), apart.alias("further"))
+    own = Window.partitionBy("row", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    ends = each.repartition("row").withColumn("end", F.sum(F.col("gap") + F.col("length")).over(own))
+    spans = ends.filter("good").withColumn("start", F.col("end") - F.col("length"))
+    base = F.col("kind") < 3
+    onward = Window.partitionBy("row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
+    near = spans.withColumn("before", F.max(F.when(base, F.col("end"))).over(onward)).withColumn(
+        "after", F.min(F.when(base, F.col("start"))).over(back)
+    )
+    overlaps = F.coalesce(F.col("before") > F.col("start"), F.lit(False)) | F.coalesce(F.col("after") < F.col("end"), F.lit(False))
+    return near.filter(base | ~overlaps).select("row", "owner", "repository", "kind", "start", "end", "digest", "lively")
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -114,43 +131,29 @@ def scan(
         docs[id_col].alias("id"), docs[text_col].alias("text"), owner.cast("string").alias("owner"), repository.cast("string").alias("repository")
     )
     # the number of a row is written with it, so it can't change when a lost task runs again
-    rows = candidates(slim).withColumn("row", F.monotonically_increasing_id())
-    rows = rows.withColumn(
-        "all", F.transform(F.concat("base", "further"), lambda s: F.struct(s["start"], s["kind"], s["end"], F.sha2(s["value"], 256).alias("digest"), (~s["value"].rlike(PLACEHOLDER)).alias("lively")))
-    ).select(
-        "id",
-        "row",
-        "owner",
-        "repository",
-        *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]],
-        _joined(F.col("base")).alias("base_spans"),
-        F.transform("base", lambda s: F.struct(s["start"], s["kind"], s["end"])).alias("base"),
-        "all",
-    )
-    rows = written(spark, rows, "secret-rows")
-    each = rows.select("row", "owner", "repository", F.explode("all").alias("c")).select("row", "owner", "repository", "c.*")
-    verdicts = written(spark, ownership(each), "secret-ownership")
-    judged = each.join(verdicts, "digest").withColumn(
+    rows = written(spark, candidates(slim).withColumn("row", F.monotonically_increasing_id()), "secret-rows")
+    places = written(spark, located(rows), "secret-places")
+    verdicts = written(spark, ownership(places), "secret-ownership")
+    judged = join_counted(places, verdicts, ["digest"], "places", "inner").withColumn(
         "copied", (F.col("owners") > most_owners) | (F.col("repositories") > most_repositories)
     )
     live = ~F.col("copied") & F.col("lively")
-    mine = F.struct("start", "kind", "end")
+    mine, base = F.struct("start", "kind", "end"), F.col("kind") < 3
     by_row = judged.groupBy("row").agg(
+        *[F.count_if(F.col("kind") == i).alias(f"n_{k}") for i, k in enumerate(KINDS[:3])],
         F.count_if(live).alias("n_live"),
         F.count_if("copied").alias("n_copied"),
         F.max("owners").alias("most_owners"),
-        F.collect_list(F.when(live & (F.col("kind") == 3), mine)).alias("added"),
+        F.collect_list(F.when(base, mine)).alias("base"),
+        F.collect_list(F.when(base | live, mine)).alias("spans"),
     )
-    out = rows.join(by_row, "row", "left")
-    added = F.coalesce("added", F.array().cast("array<struct<start:int,kind:int,end:int>>"))
+    out = rows.select("id", "row").join(by_row, "row", "left")
+    none = F.array().cast("array<struct<start:long,kind:int,end:long>>")
+    counted = lambda name: F.coalesce(name, F.lit(0).cast("long")).alias(name)
     return out.select(
         F.col("id").alias(id_col),
-        "n_assign",
-        "n_access",
-        "n_hex",
-        F.sha2("base_spans", 256).alias("base_sha256"),
-        _joined(F.concat("base", added)).alias("spans"),
-        F.coalesce("n_live", F.lit(0)).alias("n_live"),
-        F.coalesce("n_copied", F.lit(0)).alias("n_copied"),
-        F.coalesce("most_owners", F.lit(0)).alias("most_owners"),
+        *[counted(f"n_{k}") for k in KINDS[:3]],
+        F.sha2(_joined(F.coalesce("base", none)), 256).alias("base_sha256"),
+        _joined(F.coalesce("spans", none)).alias("spans"),
+        *[counted(c) for c in ("n_live", "n_copied", "most_owners")],
     )
