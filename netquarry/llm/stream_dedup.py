@@ -3,25 +3,28 @@
 Documents arrive as a file stream in micro-batches of bounded size. The state store (RocksDB, with its checkpoint in
 the shared folder) keeps for every digest how many rows had it and the row that stays: its length, identifier and
 content locator (file and row). It never expires, so a copy is found however late it comes. After the stream has
-caught up the state is read as a table. Rows whose digest was hit more than once are compared by their full bytes: a
-digest that stands for different contents is resolved by grouping those rows by content. Only DataFrame operations
-are used.
+caught up the state is read as a table. Rows whose digest was hit more than once are compared by their full bytes (the
+contents of other rows stay where they are read): a digest that stands for different contents is resolved by grouping
+those rows by content. Only DataFrame operations are used.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from netquarry.llm.shared import SPACE, fresh_path, written
+from netquarry.llm.shared import SPACE, fresh_path, join_counted, likely_in, written
 
-#: Session settings while the stream starts. Files aren't preallocated: that takes 4 MB for each state partition.
+#: Settings of the session that the stream runs in. Files aren't preallocated: that takes 4 MB for each state partition.
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 #: Bytes of files in a micro-batch.
-BATCH_BYTES = 256 << 20
+BATCH_BYTES = 32 << 30
+#: Settings of the caller's session that the stream's own session takes over.
+SHARED_SETTINGS = ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
 
 
 def squeezed(text: Column) -> Column:
@@ -53,31 +56,35 @@ def _counted(keyed: DataFrame) -> DataFrame:
 
 
 def caught_up(spark: SparkSession, path: str, id_col: str, text_col: str, digest: callable, batch_bytes: int) -> DataFrame:
-    """The state after all files at path have streamed in: (digest, group_size, stays)."""
-    table = spark.read.parquet(path)
+    """The state after all files at path have streamed in: (digest, group_size, stays).
+
+    The stream runs in a session of its own, so that queries beside it don't see the settings of its state store.
+    """
+    table = _table(spark, path, id_col, text_col)
     if table.isEmpty():  # no file may ever have come: there is no state to read
         return _counted(_located(table, id_col, text_col, digest))
-    schema = table.schema
-    state = fresh_path(spark, "dedup-stream")
-    stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", batch_bytes).parquet(_as_glob(path))
-    counted = _counted(_located(stream, id_col, text_col, digest))
-    before = {key: spark.conf.get(key, None) for key in STATE_STORE}
+    state, own = fresh_path(spark, "dedup-stream"), spark.newSession()
+    for key, value in {k: spark.conf.get(k, None) for k in SHARED_SETTINGS}.items():
+        if value is not None:
+            own.conf.set(key, value)
     for key, value in STATE_STORE.items():
-        spark.conf.set(key, value)
-    try:
-        query = (
-            counted.writeStream.format("noop").outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).start()
-        )
-        query.awaitTermination()
-    finally:
-        for key, value in before.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+        own.conf.set(key, value)
+    stream = own.readStream.schema(table.schema).option("maxBytesPerTrigger", batch_bytes).parquet(_as_glob(path))
+    counted = _counted(_located(stream, id_col, text_col, digest))
+    query = counted.writeStream.format("noop").outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).start()
+    query.awaitTermination()
     stored = spark.read.format("statestore").load(state)
     return stored.select(
         F.col("key.digest").alias("digest"), F.col("value.count").alias("group_size"), F.col("value.max").alias("stays")
     )
 
 
+def _table(spark: SparkSession, path: str, id_col: str, text_col: str) -> DataFrame:
+    """The files' id and text alone: another column may have the name of the files' metadata."""
+    whole = spark.read.parquet(path).schema
+    return spark.read.schema(StructType([whole[id_col], whole[text_col]])).parquet(path)
+
+
 def _as_glob(path: str) -> str:
     """A pattern that only the path matches: a file stream takes a folder or a pattern, and this may be one file."""
     path = path.rstrip("/")
@@ -97,22 +104,23 @@ def stream_dedup(
 
     Texts are equal when they are the same without ASCII white space; null counts as empty. Of equal texts the row
     with the most code points in the original stays, then the smallest id; null ids come last, and of fully repeated
-    rows just one stays, by file and row. Ids are integers. An empty table gives an empty one; other columns play no part.
+    rows just one stays, by file and row. Ids are integers. An empty table gives an empty one; other columns play no part,
+    whatever their names.
     """
     state = written(spark, caught_up(spark, path, id_col, text_col, digest, batch_bytes), "dedup-state")
-    rows = _located(spark.read.parquet(path), id_col, text_col, digest)
-    # partial aggregation collapses copies where they are read, so a huge group costs each task one row
-    contents = rows.select("digest", "content").distinct()
-    mixed = contents.groupBy("digest").count().filter("count > 1").select("digest")
+    rows = _located(_table(spark, path, id_col, text_col), id_col, text_col, digest)
+    # only contents of digests that were hit are dealt out; copies collapse where they are read
+    hits = likely_in(rows.select("digest", "content"), "digest", state.filter("group_size > 1").select("digest"))
+    mixed = hits.distinct().groupBy("digest").count().filter("count > 1").select("digest")
     mixed = written(spark, mixed, "dedup-mixed")
-    slim = rows.select("id", "place", "digest").join(state, "digest", "left")
-    out = _decided(slim)
-    if not mixed.isEmpty():
-        apart = rows.join(mixed, "digest", "left_semi")
-        by_content = apart.groupBy("digest", "content").agg(F.count("*").alias("group_size"), F.max("place").alias("stays"))
-        resolved = apart.join(by_content, ["digest", "content"]).select("id", "place", "digest", "group_size", "stays")
-        out = _decided(slim.join(mixed, "digest", "left_anti")).unionByName(_decided(resolved))
-    return out.withColumnRenamed("id", id_col)
+    slim = rows.select("id", "place", "digest")
+    if mixed.isEmpty():
+        return _decided(join_counted(slim, state, ["digest"], "group_size")).withColumnRenamed("id", id_col)
+    apart = rows.join(mixed, "digest", "left_semi")
+    by_content = apart.groupBy("digest", "content").agg(F.count("*").alias("group_size"), F.max("place").alias("stays"))
+    resolved = apart.join(by_content, ["digest", "content"]).select("id", "place", "digest", "group_size", "stays")
+    sure = join_counted(slim.join(mixed, "digest", "left_anti"), state.join(mixed, "digest", "left_anti"), ["digest"], "group_size")
+    return _decided(sure).unionByName(_decided(resolved)).withColumnRenamed("id", id_col)
 
 
 def _decided(rows: DataFrame) -> DataFrame:

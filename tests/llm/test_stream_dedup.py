@@ -52,3 +52,21 @@ def test_empty_table_and_single_file(spark, make_docs, write_table, tmp_path):
 
     pd.DataFrame({"doc_id": [1, 2], "text": ["x", "x "]}).to_parquet(f"{tmp_path}/documents.parquet")
     assert {(r.doc_id, r.keep_id) for r in sd.stream_dedup(spark, f"{tmp_path}/documents.parquet").collect()} == {(1, 2), (2, 2)}
+
+
+def test_columns_with_the_names_of_metadata_play_no_part(spark, make_docs, write_table):
+    texts = ["a b", "ab", "c", None, ""] * 2
+    docs = make_docs(texts).withColumns({"_metadata": F.lit("clash"), "place": F.lit(1), "content": F.lit(2), "key": F.lit(3)})
+    folder = write_table(docs)
+    rows = sd.stream_dedup(spark, f"{folder}/documents.parquet").collect()
+    assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.digest) for r in rows) == brute(list(enumerate(texts)))
+
+
+def test_some_digests_collide(spark, make_docs, write_table):
+    rng = random.Random(4)
+    texts = [prose(rng, rng.randint(0, 2)) for _ in range(300)]
+    folder = write_table(make_docs(texts))
+    weak = lambda content: F.substring(F.sha2(content, 256), 1, 2)  # noqa: E731  256 digests for more contents
+    rows = sd.stream_dedup(spark, f"{folder}/documents.parquet", digest=weak).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size) for r in rows) == sorted((int(i), int(k), n) for i, k, n, _ in brute(list(enumerate(texts))))
+    assert spark.conf.get("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "unset") != "false"
