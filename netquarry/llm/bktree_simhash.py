@@ -7,8 +7,13 @@ Distinct fingerprints are dealt to shards by some of their bits. With the blocks
 within the radius agree on all bits of at least one band (pigeonhole), so searching each shard's tree alone loses
 no link. The children of a BK-tree's node are keyed by their integer Hamming distance to it, and a search follows
 only the edges within the radius of its own distance. Trees are built where their shard lies instead of being
-broadcast, since together they grow with the corpus. A shard of more than `most` fingerprints is split into chunks,
-one tree for each pair of chunks. A shard yields links that span its groups, never all pairs.
+broadcast, since together they grow with the corpus. A shard of far more than `most` fingerprints is dealt anew by
+bands of its other bits, if the bands are exact; one of more than `most` is split into chunks, one tree for each pair
+of chunks. A shard yields links that span its groups, never all pairs.
+
+Near-duplicates by the similarity of shingle sets take longer fingerprints. The radius and the bands find candidates,
+of which each shard yields those that span its groups, the closest first; a link counts if the sets of its two texts
+are as similar as asked.
 """
 
 from __future__ import annotations
@@ -23,12 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry.llm.shared import components, free_name, text_of, written
+from netquarry.llm.shared import components, free_name, join_counted, join_salted, likely_in, text_of, written
 
 SEED = 42
 SPREAD = np.uint64(0x0101010101010101)
 #: Fingerprints in a tree at most, and pairs of (query, node) that a search holds at once.
 MOST, FRONTIER = 4096, 500_000
+#: A shard of so many times MOST fingerprints is dealt anew by its other bits.
+AGAIN = 16
 #: Texts whose hashes a worker holds at once.
 SLICE = 1000
 
@@ -77,13 +84,12 @@ def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int, lanes: int = 1, text_col: str = "text", distinct: bool = False) -> DataFrame:
-    """docs with fp, 8 x lanes bytes, in the place of the text column; distinct: repeated shingles count once."""
-    kind = set if distinct else list
+def fingerprints(docs: DataFrame, shingle: int, lanes: int = 1, text_col: str = "text") -> DataFrame:
+    """docs with fp, 8 x lanes bytes, in the place of the text column; repeated shingles count as often as they come."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
-            hashes = [kind(shingle_hashes(t or "", shingle)) for t in batch.column(0).to_pylist()]
+            hashes = [shingle_hashes(t or "", shingle) for t in batch.column(0).to_pylist()]
             counts = np.fromiter(map(len, hashes), dtype=np.int64, count=len(hashes))
             flat = np.fromiter((h for hs in hashes for h in hs), dtype=np.uint64, count=int(counts.sum()))
             words = np.stack([majority(lane(flat, k), counts) for k in range(lanes)], axis=1).astype(">u8")
@@ -113,15 +119,22 @@ def exact_bands(n: int, radius: int, bits: int = 64) -> list[list[int]]:
     return best[1]
 
 
-def likely_bands(n: int, differing: float, missed: float = 0.03) -> tuple[int, list[list[int]]]:
-    """Lanes and disjoint bands for fingerprints of which each bit differs with the probability `differing`.
+def drawn_bands(bits: int, width: int, differing: float, missed: float, seed: int = 3) -> list[list[int]]:
+    """Bands of `width` bits each, drawn from all bits in turn.
 
-    The bands' width grows with log2(n), so that shards stay small, and there are so many that all of them differ
-    with the probability `missed` at most.
+    So many that, where each bit differs with the probability `differing`, all of them hold a differing bit with the
+    probability `missed` at most, as far as they don't share bits.
     """
-    width = max(12, math.ceil(math.log2(max(n, 2))) - 7)
-    count = math.ceil(math.log(missed) / math.log(1 - (1 - differing) ** width))
-    return -(-width * count // 64), [list(range(i * width, (i + 1) * width)) for i in range(count)]
+    rng, left, bands = np.random.default_rng(seed), [], []
+    for _ in range(math.ceil(math.log(missed) / math.log(1 - (1 - differing) ** width))):
+        band: list[int] = []
+        while len(band) < width:
+            left = left or rng.permutation(bits).tolist()
+            bit = left.pop()
+            if bit not in band:
+                band.append(bit)
+        bands.append(band)
+    return bands
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -164,17 +177,53 @@ class Forest:
             follow = np.abs(self.edge[child] - np.repeat(d, more)) <= radius
             q, node = np.repeat(q, more)[follow], child[follow]
 
-    def groups(self, radius: int) -> np.ndarray:
-        """For each row the first row of its tree that links of at most `radius` bits reach."""
-        n = len(self.words)
-        label = np.arange(n)
-        sizes = np.bincount(self.root, minlength=n)[self.root]
+    def pairs(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All pairs of near, for so many queries at once that the search stays within FRONTIER."""
+        sizes = np.bincount(self.root, minlength=len(self.words))[self.root]
         many = np.flatnonzero(sizes > 1)
         cut = np.cumsum(sizes[many]) // FRONTIER
         for k in np.unique(cut):
-            for a, b in self.near(many[cut == k], radius):
-                merge(label, a, b)
-        return label
+            yield from self.near(many[cut == k], radius)
+
+    def groups(self, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """Links (row, first row of its tree that links of at most `radius` bits reach)."""
+        label = np.arange(len(self.words))
+        for a, b in self.pairs(radius):
+            merge(label, a, b)
+        linked = np.flatnonzero(label != np.arange(len(label)))
+        return linked, label[linked]
+
+    def closest(self, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """Links of at most `radius` bits that span the groups with the least distances (a minimum spanning forest)."""
+        none = np.zeros(0, dtype=np.int64)
+        a, b, held_a, held_b, held = none, none, [], [], 0
+        for x, y in self.pairs(radius):
+            once = x < y
+            held_a.append(x[once])
+            held_b.append(y[once])
+            held += int(once.sum())
+            if held > FRONTIER:  # the forest of all pairs is that of the forest so far and the pairs since
+                a, b = self._spanning(np.concatenate([a, *held_a]), np.concatenate([b, *held_b]))
+                held_a, held_b, held = [], [], 0
+        return self._spanning(np.concatenate([a, *held_a]), np.concatenate([b, *held_b]))
+
+    def _spanning(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(distance(self.words[a], self.words[b]), kind="stable")
+        a, b = a[order], b[order]
+        label, alive, chosen = np.arange(len(self.words)), np.arange(len(a)), []
+        while True:  # every group takes its first link to another one
+            x, y = label[a[alive]], label[b[alive]]
+            apart = x != y
+            alive, x, y = alive[apart], x[apart], y[apart]
+            if not len(alive):
+                break
+            first = np.full(len(label), len(a))
+            np.minimum.at(first, x, alive)
+            np.minimum.at(first, y, alive)
+            chosen.append(np.unique(first[first < len(a)]))
+            merge(label, a[chosen[-1]], b[chosen[-1]])
+        picked = np.concatenate(chosen) if chosen else np.zeros(0, dtype=np.int64)
+        return a[picked], b[picked]
 
 
 def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -188,86 +237,89 @@ def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = nearer
 
 
-def shard_links(radius: int) -> callable:
-    """Over rows (shard, fp) sorted by shard: links (a, b) that span the groups of each shard."""
+def shard_links(radius: int, closest: bool) -> callable:
+    """Over rows (shard, fp, node) sorted by shard: links (a, b) of nodes that span the groups of each shard."""
 
-    def tree_links(shards: list, fps: list) -> pa.RecordBatch:
+    def tree_links(shards: list, fps: list, nodes: list) -> pa.RecordBatch:
         words = np.frombuffer(b"".join(fps), dtype=">u8").astype(np.uint64).reshape(len(fps), -1)
         keys = np.array(shards, dtype=np.int64)
-        group = np.concatenate(([0], np.cumsum(keys[1:] != keys[:-1])))
-        label = Forest(words, group).groups(radius)
-        linked = np.flatnonzero(label != np.arange(len(label)))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([fps[i] for i in linked], pa.binary()), pa.array([fps[i] for i in label[linked]], pa.binary())],
-            names=["a", "b"],
-        )
+        forest = Forest(words, np.concatenate(([0], np.cumsum(keys[1:] != keys[:-1]))))
+        ends = forest.closest(radius) if closest else forest.groups(radius)
+        return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in end], pa.binary()) for end in ends], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards, fps = [], []
+        held: list[list] = [[], [], []]
         for batch in batches:
-            shards += batch.column(0).to_pylist()
-            fps += batch.column(1).to_pylist()
-            keep = len(shards)  # the last shard may go on in the next batch
-            while keep and shards[keep - 1] == shards[-1]:
+            for rows, column in zip(held, batch.columns, strict=True):
+                rows += column.to_pylist()
+            keep = len(held[0])  # the last shard may go on in the next batch
+            while keep and held[0][keep - 1] == held[0][-1]:
                 keep -= 1
             if keep:
-                yield tree_links(shards[:keep], fps[:keep])
-                shards, fps = shards[keep:], fps[keep:]
-        if shards:
-            yield tree_links(shards, fps)
+                yield tree_links(*[rows[:keep] for rows in held])
+                held = [rows[keep:] for rows in held]
+        if held[0]:
+            yield tree_links(*held)
 
     return run
 
 
-def links(spark: SparkSession, nodes: DataFrame, bands: list[list[int]], radius: int, most: int = MOST) -> DataFrame:
-    """Links (a, b) between the distinct fingerprints of nodes (fp) that have the same components as all links."""
-    where = [np.array(b) for b in bands]
+def _deal(bands: list[list[int]], within: list[list[list[int]]] | None = None) -> callable:
+    """(band, key, fp, node) for every band of each node; within: the bands that a row of a former band gets."""
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["band", "key", "fp", "node"]
         for batch in batches:
-            fps = batch.column(0)
-            bits = np.unpackbits(
-                np.frombuffer(b"".join(fps.to_pylist()), dtype=np.uint8).reshape(len(fps), -1), axis=1
-            ).astype(np.int64)
-            for k, at in enumerate(where):
-                key = bits[:, at] @ (1 << np.arange(len(at), dtype=np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(key), k, dtype=np.int32)), pa.array(key), fps], names=["band", "key", "fp"]
-                )
-
-    dealt = nodes.select("fp").mapInArrow(deal, "band int, key long, fp binary")
-    large = written(
-        spark, dealt.groupBy("band", "key").count().filter(F.col("count") > most), "simhash-large"
-    )
+            fp = batch.column(batch.schema.get_field_index("fp"))
+            bits = np.unpackbits(np.frombuffer(b"".join(fp.to_pylist()), dtype=np.uint8).reshape(len(fp), -1), axis=1).astype(np.int64)
+            key_of = lambda at: bits[:, at] @ (1 << np.arange(len(at), dtype=np.int64))  # noqa: B023, E731
+            rest = [fp, batch.column(batch.schema.get_field_index("node"))]
+            if within is None:
+                for k, at in enumerate(bands):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), k, dtype=np.int32)), pa.array(key_of(at)), *rest], names=names)
+                continue
+            former = batch.column(batch.schema.get_field_index("band")).to_numpy()
+            for k in np.unique(former):
+                mine = np.flatnonzero(former == k)
+                whole = key_of(bands[k])[mine]
+                for j, at in enumerate(within[k]):
+                    # the former band and its key are part of the new key: no shard mixes two of them
+                    key = (whole * 1_000_003 + k) * 1_000_003 + j
+                    key = (key * 0x2545F4914F6CDD1D) ^ key_of(at)[mine]
+                    band = np.full(len(mine), len(bands) + j, dtype=np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(key), *[c.take(pa.array(mine)) for c in rest]], names=names)
+
+    return run
+
+
+def links(
+    spark: SparkSession, nodes: DataFrame, bands: list[list[int]], radius: int, most: int = MOST, *, closest: bool = False, exact: bool = True
+) -> DataFrame:
+    """Links (a, b) between nodes (node, fp), that span the groups of each shard.
+
+    exact: the bands lose no link of the radius, and neither may those of very large shards, which are dealt anew.
+    """
+    fields = "band int, key long, fp binary, node binary"
+    dealt = nodes.select("fp", "node").mapInArrow(_deal(bands), fields)
+    counts = written(spark, dealt.groupBy("band", "key").count().filter(F.col("count") > most), "simhash-large")
+    huge = counts.filter(F.col("count") > AGAIN * most).select("band", "key")
+    if exact and not huge.isEmpty():
+        bits = 1 + max(max(b) for b in bands)
+        within = []
+        for band in bands:
+            others = np.array(sorted(set(range(bits)) - set(band)))
+            within.append([others[b].tolist() for b in exact_bands(AGAIN * most, radius, len(others))])
+        anew = dealt.join(huge, ["band", "key"], "left_semi").mapInArrow(_deal(bands, within), fields)
+        dealt = written(spark, dealt.join(huge, ["band", "key"], "left_anti").unionByName(anew), "simhash-dealt")
+        counts = written(spark, dealt.groupBy("band", "key").count().filter(F.col("count") > most), "simhash-large")
     chunks = F.coalesce(F.ceil(F.col("count") / most), F.lit(1)).cast("int")
-    cut = dealt.join(large, ["band", "key"], "left").withColumn("chunks", chunks)
-    own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
+    cut = dealt.join(counts, ["band", "key"], "left").withColumn("chunks", chunks)
+    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     cut = cut.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     shard = F.xxhash64("band", "key", F.least("own", "other"), F.greatest("own", "other"))
     # two shards whose numbers collide share a tree: more is compared, and a link is a link by its distance alone
-    sharded = cut.select(shard.alias("shard"), "fp").repartition("shard").sortWithinPartitions("shard", "fp")
-    return sharded.mapInArrow(shard_links(radius), "a binary, b binary")
-
-
-def _grouped(
-    spark: SparkSession,
-    slim: DataFrame,
-    shingle: int,
-    lanes: int,
-    bands: list[list[int]] | None,
-    radius: int,
-    distinct: bool = False,
-) -> DataFrame:
-    """slim (id, text and more) without the text, with fp and root, the fingerprint that names its component."""
-    marked = written(spark, fingerprints(slim, shingle, lanes, distinct=distinct), "simhash-marked")
-    nodes = written(spark, marked.select("fp").distinct(), "simhash-nodes")
-    if bands is None:
-        bands = exact_bands(nodes.count(), radius, 64 * lanes)
-    found = written(spark, links(spark, nodes, bands, radius), "simhash-links")
-    roots = written(spark, components(spark, found), "simhash-roots")
-    return marked.join(roots, marked["fp"] == roots["node"], "left").select(
-        *marked.columns, F.coalesce("root", "fp").alias("root")
-    )
+    sharded = cut.select(shard.alias("shard"), "fp", "node").repartition("shard").sortWithinPartitions("shard", "node")
+    return sharded.mapInArrow(shard_links(radius, closest), "a binary, b binary")
 
 
 def simhash_groups(
@@ -289,9 +341,54 @@ def simhash_groups(
     all of its group are null. An empty table gives an empty one; other columns of docs play no part.
     """
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = _grouped(spark, slim, shingle, lanes, bands, radius)
-    firsts = written(spark, rows.groupBy("root").agg(F.min("id").alias("component_id")), "simhash-firsts")
-    return rows.join(firsts, "root").select(F.col("id").alias(id_col), "fp", "component_id")
+    marked = written(spark, fingerprints(slim, shingle, lanes), "simhash-marked")
+    nodes = marked.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    nodes = written(spark, nodes.withColumn("node", F.col("fp")), "simhash-nodes")
+    if bands is None:
+        bands = exact_bands(nodes.count(), radius, 64 * lanes)
+    found = written(spark, links(spark, nodes, bands, radius), "simhash-links")
+    roots = written(spark, components(spark, found), "simhash-roots")
+    placed = written(spark, nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "simhash-placed")
+    firsts = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    firsts = written(spark, firsts, "simhash-firsts")
+    # the rows of a fingerprint and the fingerprints of a component may be very many: both joins go by count
+    placed = written(spark, join_counted(placed, firsts, ["root"], "members").select("fp", "n", "component_id"), "simhash-named")
+    return join_counted(marked, placed, ["fp"], "n").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def shingle_sets(slim: DataFrame, shingle: int, lanes: int) -> DataFrame:
+    """slim (text and more) with hashes, the text's distinct shingle hashes, node, a name for that set, and fp."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
+            sets = [np.unique(np.array(shingle_hashes(t or "", shingle), dtype=np.uint64)) for t in batch.column(0).to_pylist()]
+            counts = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+            flat = np.concatenate(sets)
+            words = np.stack([majority(lane(flat, k), counts) for k in range(lanes)], axis=1).astype(">u8")
+            hashes = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(flat.view(np.int64)))
+            node = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
+            fp = pa.array([w.tobytes() for w in words], pa.binary())
+            yield pa.RecordBatch.from_arrays([hashes, node, fp, *batch.columns[1:]], names=["hashes", "node", "fp", *batch.schema.names[1:]])
+
+    rest = [c for c in slim.columns if c != "text"]
+    fields = ", ".join(["hashes array<long>, node binary, fp binary", *(f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in rest)])
+    return slim.select("text", *rest).mapInArrow(run, fields)
+
+
+def similar(spark: SparkSession, pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets (node, hashes) have a Jaccard similarity of at least `least`.
+
+    Sets are joined to pairs by salted keys, so a node with very many pairs is not gathered in one task.
+    """
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    held = likely_in(sets.select("node", "hashes"), "node", wanted).groupBy("node").agg(F.first("hashes").alias("hashes"))
+    held = written(spark, held, "simhash-sets")
+    one = join_salted(spark, pairs.select(F.col("a").alias("node"), "b"), held, "node")
+    one = one.select(F.col("node").alias("a"), F.col("b").alias("node"), F.col("hashes").alias("left"))
+    both = join_salted(spark, one, held, "node", written(spark, pairs.groupBy(F.col("b").alias("node")).count(), "simhash-uses"))
+    common = F.size(F.array_intersect("left", "hashes"))
+    union = F.size("left") + F.size("hashes") - common
+    return both.filter(common >= union * least).select("a", F.col("node").alias("b"))
 
 
 def first_of_each(
@@ -300,27 +397,48 @@ def first_of_each(
     *,
     similarity: float = 0.8,
     shingle: int = 5,
+    lanes: int = 5,
+    width: int = 14,
+    missed: float = 0.005,
+    deviations: float = 2.33,
+    most: int = 2048,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """docs without near-duplicates: one row of each group stays, that with the smallest id (null last).
 
-    Fingerprints count each distinct shingle of a text once, so that a line's repeats don't outweigh the rest of it. A
-    Jaccard similarity J of shingle sets makes a cosine of about 2J / (1 + J), and each fingerprint bit differs
-    with the probability acos(cosine) / pi. The radius lies 1.3 standard deviations beyond the mean for J =
-    similarity. Rows with the same id and other texts are told apart by a hash of the text; of fully repeated rows
-    one stays. Columns keep their names and order; an empty table gives an empty one.
+    Texts link if the Jaccard similarity J of their sets of shingles is `similarity` or more, which is checked for
+    each candidate link by the sets themselves (of 64-bit hashes); groups are the components of the links. No row
+    goes without a chain of such links to the row that stays.
+
+    Candidates come from fingerprints of 64 x lanes bits over distinct shingles, so that a line's repeats don't
+    outweigh the rest. J makes a cosine of about 2J / (1 + J), and each bit differs with the probability acos(cosine)
+    / pi. The radius lies `deviations` standard deviations beyond the mean for J = similarity, and all bands hold a
+    differing bit with the probability `missed`: a pair at the very limit is missed by about 1 % each, closer ones far
+    less. None of this depends on the number of documents; width, the bits of a band, sets the shards' size, and
+    2^width should be near the documents over 1000.
+
+    Texts without words are copies of each other. Rows with the same id and other texts are told apart by a hash of
+    the text; of fully repeated rows one stays. Columns keep their names and order; an empty table gives an empty one.
     """
     differing = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    lanes, bands = likely_bands(docs.count(), differing)
     bits = 64 * lanes
-    radius = int(bits * differing + 1.3 * math.sqrt(bits * differing * (1 - differing)))
+    radius = int(bits * differing + deviations * math.sqrt(bits * differing * (1 - differing)))
+    bands = drawn_bands(bits, width, differing, missed)
     mark = F.xxhash64(text_of(docs, text_col))
-    slim = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("id"), mark.alias("mark"))
-    rows = _grouped(spark, slim, shingle, lanes, bands, radius, distinct=True)
-    counted = rows.groupBy("root", "id", "mark").agg(F.count("*").alias("n"))
+    slim = docs.select(text_of(docs, text_col).alias("text"), F.col(id_col).alias("id"), mark.alias("mark"))
+    marked = written(spark, shingle_sets(slim, shingle, lanes), "simhash-marked")
     order = F.struct(F.col("id").isNull().alias("x"), "id", "mark")
-    firsts = counted.groupBy("root").agg(F.min_by(F.struct("id", "mark", "n"), order).alias("first"))
+    # whole groups of copies collapse by partial aggregation before anything is joined
+    counted = marked.groupBy("node", "fp", "id", "mark").agg(F.count("*").alias("n"))
+    nodes = counted.groupBy("node", "fp").agg(F.min_by(F.struct("id", "mark", "n"), order).alias("first"))
+    nodes = written(spark, nodes, "simhash-nodes")
+    found = links(spark, nodes, bands, radius, most, closest=True, exact=False)
+    pairs = written(spark, found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-pairs")
+    sure = written(spark, similar(spark, pairs, marked, similarity), "simhash-links")
+    roots = written(spark, components(spark, sure), "simhash-roots")
+    placed = nodes.select("node", "first.*").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    firsts = placed.groupBy("root").agg(F.min_by(F.struct("id", "mark", "n"), order).alias("first"))
     firsts = written(spark, firsts.select("first.*"), "simhash-kept")
     here, there, number = free_name(docs, "_mark", "_kept", "_n")
     stays = firsts.select(F.col("id").alias(there), F.col("mark").alias(here), F.col("n").alias(number))

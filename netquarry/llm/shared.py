@@ -79,6 +79,24 @@ def join_counted(left: DataFrame, right: DataFrame, key: list[str], counted: str
     return left.join(F.broadcast(hot), key).unionByName(cold.join(right.filter(~is_hot), key, how))
 
 
+def join_salted(
+    spark: SparkSession, left: DataFrame, right: DataFrame, key: str, uses: DataFrame | None = None, each: int = 256
+) -> DataFrame:
+    """left joined with right (a row for each key), whose rows may be too large to broadcast.
+
+    A key that left has more than `each` times is dealt over as many salts as it takes, and right's row is repeated
+    for each of them. uses: (key, count) of left's rows, where they are known; else left should be a written table.
+    """
+    uses = left.groupBy(key).count() if uses is None else uses
+    many = written(spark, uses.filter(F.col("count") > each).withColumn("_salts", F.ceil(F.col("count") / each).cast("int")), "salts")
+    others = [c for c in left.columns if c != key]
+    salted = join_counted(left, many, [key], "count").withColumn(
+        "_salt", F.pmod(F.xxhash64(*others), F.coalesce("_salts", F.lit(1))).cast("int")
+    )
+    spread = right.join(many, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
+    return salted.drop("count", "_salts").join(spread.drop("count", "_salts"), [key, "_salt"]).drop("_salt")
+
+
 def likely_in(df: DataFrame, key: str, keys: DataFrame, bits: int = 26) -> DataFrame:
     """df's rows whose key may be among keys (a column of that name): all that are, and some that are not.
 

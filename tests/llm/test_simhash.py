@@ -86,16 +86,41 @@ def test_bands_lose_no_link():
             assert any(changed.isdisjoint(b) for b in bands)
 
 
-def test_large_shards_are_split_without_losing_links(spark):
+def test_large_shards_are_split_without_losing_links(spark, monkeypatch):
+    from netquarry.llm.shared import components
+
     rng = random.Random(4)
     base = rng.getrandbits(64)
     prints = sorted({base ^ (1 << a) ^ (1 << b) for a in range(0, 64, 2) for b in range(1, 64, 2)})
-    nodes = spark.createDataFrame([(p.to_bytes(8, "big"),) for p in prints], "fp binary")
-    found = sim.links(spark, nodes, sim.exact_bands(len(prints), 4), 4, most=50)
-    from netquarry.llm.shared import components
-
-    roots = {r.root for r in components(spark, found).collect()}
-    assert len(roots) == 1 and components(spark, found).count() == len(prints)
+    apart = sorted({base ^ (0xFFFFF << 40) ^ rng.getrandbits(20) for _ in range(200)})
+    nodes = spark.createDataFrame([(p.to_bytes(8, "big"), p.to_bytes(8, "big")) for p in prints + apart], "fp binary, node binary")
+    bands = sim.exact_bands(len(prints), 4)
+    for most, again in ((50, 1000), (20, 2), (4096, 16)):  # in chunks; by other bits, then in chunks; whole
+        monkeypatch.setattr(sim, "AGAIN", again)
+        found = {r.node: r.root for r in components(spark, sim.links(spark, nodes, bands, 4, most=most)).collect()}
+        whole = dict(zip(prints + apart, brute_components(prints + apart, prints + apart)))
+        got = {int.from_bytes(n, "big"): int.from_bytes(r, "big") for n, r in found.items()}
+        assert {p: got.get(p, p) for p in whole} == whole
+
+
+def test_closest_links_are_a_minimum_spanning_forest(monkeypatch):
+    rng = np.random.default_rng(5)
+    for frontier in (500_000, 40):
+        monkeypatch.setattr(sim, "FRONTIER", frontier)
+        seeds = rng.integers(0, 2**64, 6, dtype=np.uint64)
+        words = np.unique(np.concatenate([s ^ (np.uint64(1) << rng.integers(0, 64, 12, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 12, dtype=np.uint64)) for s in seeds]))
+        group = np.sort(rng.integers(0, 2, len(words)))
+        a, b = sim.Forest(words.reshape(-1, 1), group).closest(6)
+        bits = lambda i, j: bin(int(words[i] ^ words[j])).count("1")  # noqa: B023, E731
+        root = list(range(len(words)))
+        find = lambda x: x if root[x] == x else find(root[x])  # noqa: B023, E731
+        total = 0
+        for d, i, j in sorted((bits(i, j), i, j) for i in range(len(words)) for j in range(i) if group[i] == group[j]):
+            if d <= 6 and find(i) != find(j):
+                root[find(i)] = find(j)
+                total += d
+        assert sum(bits(i, j) for i, j in zip(a, b)) == total
+        assert len(a) == len(words) - sum(find(i) == i for i in range(len(words)))
 
 
 def test_one_of_each_group_stays(spark, make_docs, odd_texts):
@@ -115,13 +140,61 @@ def test_one_of_each_group_stays(spark, make_docs, odd_texts):
     assert sim.simhash_groups(spark, docs.limit(0)).count() == 0
 
 
+def jaccard(a, b):
+    x, y = (set(sim.shingle_hashes(t, 5)) for t in (a, b))
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def test_near_duplicates_against_brute_force(spark, make_docs):
+    """No text goes without a chain of true links to one that stays; of the linked pairs at most a few stay both."""
+    rng = random.Random(21)
+    texts = []
+    for _ in range(60):
+        words = prose(rng, rng.randint(6, 260)).split()
+        texts.append(" ".join(words))
+        for _ in range(rng.randint(0, 4)):
+            words = list(words) if rng.random() < 0.5 else texts[-1].split()
+            for _ in range(rng.randint(1, max(1, len(words) // 40))):
+                words[rng.randrange(len(words))] = prose(rng, 1)
+            texts.append(" ".join(words))
+    rng.shuffle(texts)
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
+    root = list(range(len(texts)))
+    for _ in range(len(texts)):
+        for i, j in links:
+            root[i] = root[j] = min(root[i], root[j])
+    want = {i for i, r in enumerate(root) if i == r}
+    got = {r.doc_id for r in sim.first_of_each(spark, make_docs(texts)).collect()}
+    assert len(links) > 60 and want <= got
+    assert sum(i in got and j in got for i, j in links) <= 0.02 * len(links)
+
+
+def test_a_large_group_of_near_copies(spark, make_docs):
+    rng = random.Random(22)
+    base = prose(rng, 120).split()
+    texts = []
+    for _ in range(300):
+        words = list(base)
+        words[rng.randrange(len(words))] = prose(rng, 1)
+        texts.append(" ".join(words))
+    other = [prose(rng, 60) for _ in range(20)]
+    got = sim.first_of_each(spark, make_docs(texts + other), most=40)  # its shards are cut in chunks
+    assert sorted(r.doc_id for r in got.collect()) == [0, *range(300, 320)]
+
+
+def test_pairs_that_share_a_node_are_salted(spark):
+    from netquarry.llm import shared
+
+    left = spark.createDataFrame([(b"h" if i % 3 else bytes([i % 7]), i) for i in range(200)], "node binary, i int")
+    right = spark.createDataFrame([(b"h", [1, 2]), *[(bytes([k]), [k]) for k in range(5)]], "node binary, hashes array<long>")
+    got = shared.join_salted(spark, left, right, "node", each=10)
+    want = {(r.node, r.i, tuple(r.hashes)) for r in left.join(right, "node").collect()}
+    assert {(r.node, r.i, tuple(r.hashes)) for r in got.collect()} == want and got.count() == len(want)
+
+
 def test_repeated_lines_count_once_among_near_duplicates(spark, make_docs):
     rng = random.Random(11)
 
-    def jaccard(a, b):
-        x, y = (set(sim.shingle_hashes(t, 5)) for t in (a, b))
-        return len(x & y) / len(x | y)
-
     line, other = prose(rng, 16), prose(rng, 150)
     apart = [f"{prose(rng, 154)} " + " ".join([line] * times) for times in (20, 20, 40, 40)]
     same = [f"{other} " + " ".join([prose(random.Random(12), 16)] * times) for times in (2, 20)]
