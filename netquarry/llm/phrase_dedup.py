@@ -3,9 +3,9 @@
 A window of `window` words is represented by the smallest-hashed of its phrases of `gram` words, so equal windows
 share a phrase and long texts give few. Phrases that several documents have are candidates; their documents are put
 together in blocks of bounded size. The candidates are confirmed by their words, and every block gets an Aho-Corasick
-automaton of the confirmed phrases its documents can hold; all its documents stream through it, every occurrence is
-located, and the windows around the occurrences are looked up among the recurring windows with the smallest document
-that has each. Copies of a whole text are settled by a digest before that and need no windows.
+automaton of the confirmed phrases its documents can hold. All its documents stream through it, and every occurrence
+is located. The windows that an occurrence represents are read off the text, and those whose words an earlier document
+has are removed. Copies of a whole text are settled by a digest before that and need no windows.
 """
 
 from __future__ import annotations
@@ -15,20 +15,19 @@ from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry.llm.shared import text_of, written
+from netquarry.llm.shared import join_counted, text_of, written
 
 WINDOW, GRAM = 50, 8
-#: Documents of a block, and so of an automaton, on average.
-BLOCK = 400
+#: Words of a block's documents, and so of what an automaton is for, on average.
+BLOCK_WORDS = 400_000
 LAST = (1 << 63) - 1
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
-_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_BASE = 0x9E3779B97F4A7C15
 _FULL = (1 << 64) - 1
 
 
@@ -77,27 +76,20 @@ def sliding_min(x: np.ndarray, k: int) -> np.ndarray:
 
 
 class Words:
-    """A text's words with the hashes of its phrases and windows. One per worker: it keeps words' hashes."""
+    """The hashes of a text's phrases. One per worker: it keeps words' hashes."""
 
     def __init__(self, window: int, gram: int):
         self.window, self.gram = window, gram
-        self.known, self.first, self.second = WordHash(), Rolling(_BASES[0]), Rolling(_BASES[1])
+        self.known, self.rolling = WordHash(), Rolling(_BASE)
 
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.known.__getitem__, words), dtype=np.uint64, count=len(words))
-
-    def phrases(self, sums: np.ndarray) -> np.ndarray:
-        return mixed(self.first.runs(sums, self.gram))
+    def phrases(self, words: list[bytes]) -> np.ndarray:
+        hashes = np.fromiter(map(self.known.__getitem__, words), dtype=np.uint64, count=len(words))
+        return mixed(self.rolling.runs(self.rolling.sums(hashes), self.gram))
 
     def chosen(self, phrases: np.ndarray) -> np.ndarray:
         """For each window the hash of the phrase that represents it."""
         return sliding_min(phrases, self.window - self.gram + 1)
 
-    def windows(self, hashes: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two hashes of every window, of 64 and 32 bits."""
-        second = self.second.runs(self.second.sums(mixed(hashes)), self.window)
-        return mixed(self.first.runs(sums, self.window)).view(np.int64), (mixed(second) >> np.uint64(32)).astype(np.int64)
-
 
 def _marks(window: int, gram: int) -> callable:
     """(id, mark, text) to (id, mark, n_words, same, whole, phrases)."""
@@ -115,8 +107,7 @@ def _marks(window: int, gram: int) -> callable:
                 if len(words) < window:
                     phrases.append(None)
                 else:
-                    found = tool.phrases(tool.first.sums(tool.hashes(words)))
-                    phrases.append(np.unique(tool.chosen(found)).view(np.int64))
+                    phrases.append(np.unique(tool.chosen(tool.phrases(words))).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(same, pa.binary()), pa.array(whole), pa.array(phrases, pa.list_(pa.int64()))],
                 names=["id", "mark", "n_words", "same", "whole", "phrases"],
@@ -125,95 +116,89 @@ def _marks(window: int, gram: int) -> callable:
     return run
 
 
-def _chosen_rows(window: int, gram: int) -> callable:
-    """From blocks' texts: for every candidate phrase (phrase, its words), for every window around one (h1, h2)."""
+def _spelled(window: int, gram: int) -> callable:
+    """(block, id, text, hits) to (block, id, phrase): the words of every candidate phrase."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = Words(window, gram)
         for batch in batches:
+            blocks, ids, spelled = [], [], []
             for block, id_, text, hits in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 words = text.encode().split()
-                hashes = tool.hashes(words)
-                sums = tool.first.sums(hashes)
-                phrases = tool.phrases(sums)
-                wanted = np.array(hits, dtype=np.int64).view(np.uint64)
-                at = np.flatnonzero(np.isin(phrases, wanted))
-                _, first = np.unique(phrases[at], return_index=True)
-                spelled = [b" ".join(words[i : i + gram]).decode() for i in at[first]]
-                h1, h2 = tool.windows(hashes, sums)
-                here = np.flatnonzero(np.isin(tool.chosen(phrases), wanted))
-                pairs = np.unique(np.stack((h1[here], h2[here]), axis=1), axis=0)
-                n, m = len(spelled), len(pairs)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(n + m, block, dtype=np.int64)),
-                        pa.array(np.full(n + m, id_, dtype=np.int64)),
-                        pa.array([*spelled, *[None] * m], pa.string()),
-                        pa.array(np.concatenate((np.zeros(n, np.int64), pairs[:, 0]))),
-                        pa.array(np.concatenate((np.zeros(n, np.int64), pairs[:, 1]))),
-                    ],
-                    names=["block", "id", "phrase", "h1", "h2"],
-                )
+                phrases = tool.phrases(words)
+                at = np.flatnonzero(np.isin(phrases, np.array(hits, dtype=np.int64).view(np.uint64)))
+                found = {b" ".join(words[i : i + gram]).decode() for i in at}
+                spelled += found
+                blocks += [block] * len(found)
+                ids += [id_] * len(found)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(blocks, pa.int64()), pa.array(ids, pa.int64()), pa.array(spelled, pa.string())], names=["block", "id", "phrase"]
+            )
 
     return run
 
 
-def _without_repeats(window: int, gram: int) -> callable:
-    """A block's documents and what recurs in it, to (id, mark, n_removed, kept)."""
+_WINDOWS = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("start", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
+
 
-    def run(docs: pd.DataFrame, recurring: pd.DataFrame) -> pd.DataFrame:
-        tool, spelled = Words(window, gram), recurring["phrase"].notna()
-        automaton = ahocorasick.Automaton()
-        for phrase in recurring.loc[spelled, "phrase"]:
+def _located(window: int, gram: int) -> callable:
+    """A block's documents and its confirmed phrases, to (id, mark, start, h1, h2): the windows that occurrences represent."""
+
+    def run(docs: pa.Table, confirmed: pa.Table) -> pa.Table:
+        tool, automaton = Words(window, gram), ahocorasick.Automaton()
+        for phrase in confirmed.column("phrase").to_pylist():
             phrase = f" {phrase} ".encode().decode("latin-1")  # a character for each byte, in texts too
             automaton.add_word(phrase, len(phrase))
-        if len(automaton):
-            automaton.make_automaton()
-        known = recurring.loc[~spelled, ["h1", "h2", "least"]].sort_values(["h1", "h2"])
-        k1, k2, least = (known[c].to_numpy() for c in ("h1", "h2", "least"))
-        out = []
-        for id_, mark, text in zip(docs["id"], docs["mark"], docs["text"], strict=True):
-            words = text.encode().split()
-            drop = np.zeros(len(words), dtype=bool)
-            if len(automaton) and len(k1):
-                joined = b" ".join([b"", *words, b""]).decode("latin-1")
-                hits = [last + 1 - length for last, length in automaton.iter(joined)]
-                if hits:
-                    drop = _covered(tool, words, hits, (k1, k2, least), id_)
-            kept = b" ".join(w for w, gone in zip(words, drop.tolist(), strict=True) if not gone)
-            out.append((id_, mark, int(drop.sum()), hashlib.sha256(kept).hexdigest()))
-        return pd.DataFrame(out, columns=["id", "mark", "n_removed", "kept"]).astype({"id": "int64", "mark": "int64", "n_removed": "int64", "kept": str})
+        if not len(automaton) or not docs.num_rows:
+            return _WINDOWS.empty_table()
+        automaton.make_automaton()
+        parts = []
+        for id_, mark, text in zip(*(docs.column(c).to_pylist() for c in ("id", "mark", "text")), strict=True):
+            starts, names = _windows(tool, automaton, text.encode().split())
+            columns = (np.full(len(starts), id_), np.full(len(starts), mark), starts, names[:, 0], names[:, 1])
+            parts.append(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _WINDOWS, strict=True)], schema=_WINDOWS))
+        return pa.concat_tables(parts)
 
     return run
 
 
-def _covered(tool: Words, words: list[bytes], hits: list[int], known: tuple, id_: int) -> np.ndarray:
-    """Which words stand in a window around an occurrence that a document with a smaller id has too."""
-    n, window, gram = len(words), tool.window, tool.gram
-    lengths = np.fromiter(map(len, words), dtype=np.int64, count=n)
-    begins = np.cumsum(lengths + 1) - lengths - 1  # of the space before each word
-    at = np.searchsorted(begins, np.array(hits))
-    around = np.zeros(n + 1, dtype=np.int64)  # +1 where the windows that hold an occurrence start, -1 past their end
-    np.add.at(around, np.maximum(at + gram - window, 0), 1)
-    np.add.at(around, np.minimum(at, n - window) + 1, -1)
-    starts = np.flatnonzero(np.cumsum(around)[: n - window + 1] > 0)
-    hashes = tool.hashes(words)
-    h1, h2 = tool.windows(hashes, tool.first.sums(hashes))
-    h1, h2 = h1[starts], h2[starts]
-    k1, k2, least = known
-    place = np.searchsorted(k1, h1)
-    found = np.zeros(len(starts), dtype=bool)
-    while True:  # a step for each of the rare windows that share h1
-        same = (place < len(k1)) & (k1[np.minimum(place, len(k1) - 1)] == h1)
-        if not same.any():
-            break
-        safe = np.minimum(place, len(k1) - 1)
-        found |= same & (k2[safe] == h2) & (least[safe] < id_)
-        place = place + 1
-    cover = np.zeros(n + 1, dtype=np.int64)
-    cover[starts[found]] += 1
-    cover[starts[found] + window] -= 1
-    return np.cumsum(cover)[:n] > 0
+def _windows(tool: Words, automaton: ahocorasick.Automaton, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Where the windows start whose representing phrase the automaton finds, and 128 bits of each one's words."""
+    joined = b" ".join([b"", *words, b""])
+    hits = np.array([last + 1 - length for last, length in automaton.iter(joined.decode("latin-1"))], dtype=np.int64)
+    if not len(hits):
+        return np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
+    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    begins = np.concatenate(([0], np.cumsum(lengths + 1)))  # of the space before each word, and of the last one
+    phrases = tool.phrases(words)
+    found = phrases[np.searchsorted(begins, hits)]
+    starts = np.flatnonzero(np.isin(tool.chosen(phrases), found))
+    digest = xxhash.xxh3_128_digest
+    ends = begins[starts + tool.window]
+    names = b"".join([digest(joined[a:b]) for a, b in zip(begins[starts].tolist(), ends.tolist(), strict=True)])
+    return starts, np.frombuffer(names, dtype=np.int64).reshape(-1, 2)
+
+
+def _without(window: int) -> callable:
+    """(id, mark, text, starts) to (id, mark, n_removed, kept): the text without the windows that start there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            removed, kept = [], []
+            for text, starts in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
+                words = text.encode().split()
+                cover, at = np.zeros(len(words) + 1, dtype=np.int64), starts.values.to_numpy()
+                cover[at] += 1  # starts are distinct
+                cover[at + window] -= 1
+                drop = np.cumsum(cover)[:-1] > 0
+                removed.append(int(drop.sum()))
+                rest = b" ".join(w for w, gone in zip(words, drop.tolist(), strict=True) if not gone)
+                kept.append(hashlib.sha256(rest).hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["id", "mark", "n_removed", "kept"]
+            )
+
+    return run
 
 
 def remove_repeats(
@@ -222,7 +207,7 @@ def remove_repeats(
     *,
     window: int = WINDOW,
     gram: int = GRAM,
-    block: int = BLOCK,
+    block_words: int = BLOCK_WORDS,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -231,7 +216,7 @@ def remove_repeats(
     Words end at ASCII white space and are taken unchanged; null and empty texts have none. A word goes if a window
     that covers it also starts in a document with a smaller id; windows are judged on the input. Rows that share an id
     don't remove each other's words. A null id counts as greater than all. Repeated rows give repeated results. An
-    empty table gives an empty one; other columns play no part. Windows are told apart by 96 bits of two hashes.
+    empty table gives an empty one; other columns play no part. Windows are told apart by a 128-bit hash of their words.
     """
     slim = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"),
@@ -244,39 +229,38 @@ def remove_repeats(
         "phrase-marks",
     )
     firsts = marks.filter(F.col("n_words") >= window).groupBy("same").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    firsts = written(spark, firsts.filter("n > 1").select("same", "first"), "phrase-firsts")
-    rows = marks.join(firsts, "same", "left").withColumn("copy", F.coalesce(F.col("first") < F.col("id"), F.lit(False)))
+    firsts = written(spark, firsts.filter("n > 1"), "phrase-firsts")
+    rows = join_counted(marks, firsts, ["same"], "n").withColumn("copy", F.coalesce(F.col("first") < F.col("id"), F.lit(False)))
     # shorter texts have no entry among the firsts: they have no window
-    each = rows.filter(~F.col("copy")).select("id", "mark", F.explode("phrases").alias("p"))
-    several = each.groupBy("p").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("p")
-    several = written(spark, several, "phrase-several")
-    hits = each.join(several, "p").groupBy("id", "mark").agg(F.collect_set("p").alias("hits"))
+    each = rows.filter(~F.col("copy")).select("id", "mark", "n_words", F.explode("phrases").alias("p"))
+    each = written(spark, each, "phrase-each")
+    several = each.groupBy("p").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n")).filter("a < b")
+    several = written(spark, several.select("p", "n"), "phrase-several")
+    hits = join_counted(each, several, ["p"], "n", "inner").groupBy("id", "mark", "n_words").agg(F.collect_set("p").alias("hits"))
     hits = written(spark, hits, "phrase-hits")
-    blocks = hits.count() // block + 1
+    blocks = (hits.agg(F.sum("n_words")).first()[0] or 0) // block_words + 1
     texts = slim.join(hits, ["id", "mark"]).select(
         F.pmod(F.xxhash64("id", "mark"), F.lit(blocks)).alias("block"), "id", "text", "hits", "mark"
     )
     texts = written(spark, texts, "phrase-texts")
-    found = texts.mapInArrow(_chosen_rows(window, gram), "block long, id long, phrase string, h1 long, h2 long")
-    found = written(spark, found, "phrase-found")
-    phrases = found.filter("phrase is not null")
+    phrases = written(spark, texts.mapInArrow(_spelled(window, gram), "block long, id long, phrase string"), "phrase-found")
     confirmed = phrases.groupBy("phrase").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("phrase")
-    confirmed = written(spark, confirmed, "phrase-confirmed")
-    runs = found.filter("phrase is null").select("block", "id", "h1", "h2")
-    recurring = runs.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("b")).filter("least < b")
-    recurring = written(spark, recurring.select("h1", "h2", "least"), "phrase-windows")
-    here = phrases.select("block", "phrase").distinct().join(confirmed, "phrase").select(
-        "block", "phrase", *[F.lit(0).cast("long").alias(c) for c in ("h1", "h2", "least")]
-    )
-    here = here.unionByName(
-        runs.select("block", "h1", "h2").distinct().join(recurring, ["h1", "h2"]).select("block", F.lit(None).cast("string").alias("phrase"), "h1", "h2", "least")
-    )
-    removed = (
+    here = written(spark, phrases.select("block", "phrase").distinct(), "phrase-blocks")
+    confirmed = written(spark, confirmed.join(here.groupBy("phrase").agg(F.count("*").alias("n")), "phrase"), "phrase-confirmed")
+    here = join_counted(here, confirmed, ["phrase"], "n", "inner").select("block", "phrase")
+    located = (
         texts.select("block", "id", "mark", "text")
         .groupBy("block")
         .cogroup(here.groupBy("block"))
-        .applyInPandas(_without_repeats(window, gram), "id long, mark long, n_removed long, kept string")
+        .applyInArrow(_located(window, gram), "id long, mark long, start int, h1 long, h2 long")
     )
+    located = written(spark, located, "phrase-windows")
+    recurring = located.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("b"), F.count("*").alias("n"))
+    recurring = written(spark, recurring.filter("least < b").select("h1", "h2", "least", "n"), "phrase-recurring")
+    gone = join_counted(located, recurring, ["h1", "h2"], "n", "inner").filter("least < id")
+    gone = gone.groupBy("id", "mark").agg(F.collect_set("start").alias("starts"))
+    removed = texts.select("id", "mark", "text").join(gone, ["id", "mark"]).select("id", "mark", "text", "starts")
+    removed = removed.mapInArrow(_without(window), "id long, mark long, n_removed long, kept string")
     removed = written(spark, removed.distinct(), "phrase-removed")
     out = rows.select("id", "mark", "n_words", "whole", "copy").join(removed, ["id", "mark"], "left")
     return out.select(

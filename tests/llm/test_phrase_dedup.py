@@ -59,7 +59,7 @@ def test_small_windows_null_and_repeated_ids(spark, make_docs):
     ids[5] = ids[6] = 40
     ids[7] = ids[9] = None
     docs = make_docs(texts, ids).withColumn("mark", F.lit(1)).withColumn("block", F.lit(2))
-    rows = pd_.remove_repeats(spark, docs, window=10, gram=3, block=7).collect()
+    rows = pd_.remove_repeats(spark, docs, window=10, gram=3, block_words=300).collect()
     assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in rows) == brute(list(zip(ids, texts)), 10)
 
 
@@ -68,3 +68,12 @@ def test_nothing_repeats_and_empty(spark, make_docs, odd_texts):
     docs = make_docs([prose(rng, 60) for _ in range(5)])
     assert {r.n_removed for r in pd_.remove_repeats(spark, docs).collect()} == {0}
     assert pd_.remove_repeats(spark, docs.limit(0)).count() == 0
+
+
+def test_a_passage_that_most_documents_share(spark, make_docs):
+    rng = random.Random(4)
+    shared = prose(rng, 80)
+    texts = [f"{prose(rng, 30)} {shared} {prose(rng, 10)}" for _ in range(200)]
+    texts.append(" ".join([shared] * 30))  # a text of one passage over and over
+    rows = pd_.remove_repeats(spark, make_docs(texts), block_words=2000).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in rows) == brute(list(enumerate(texts)))
