@@ -16,15 +16,16 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry.llm.shared import text_of
+from netquarry.llm.shared import free_name, text_of
 
 DIMS = 1 << 15
 #: Rated documents that a fit uses at most, those with the smallest hash of the id.
-SAMPLE = 4000
+SAMPLE = 6000
 SCALE = 8.0
 _SHAPES = [(re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[0-9]+"), b"0")]
 
@@ -93,48 +94,68 @@ def fit_ordinal(
     and every document gets the middle of the scale.
     """
     n, w = len(grade), np.zeros(DIMS)
-    cuts = np.concatenate(([0.0], np.zeros(grades - 2)))
+    cuts = np.zeros(grades - 1)
     if not n or len(np.unique(grade)) < 2:
         return OrdinalModel(w, np.arange(grades - 1, dtype=float))
     m, v = np.zeros(DIMS + grades - 1), np.zeros(DIMS + grades - 1)
-    rows = np.arange(n)
     for t in range(1, steps + 1):
-        score = np.bincount(doc, weights=value * w[slot], minlength=n)
-        theta = cuts[0] + np.concatenate(([0.0], np.cumsum(np.exp(cuts[1:]))))
-        below = 1 / (1 + np.exp(np.clip(score[:, None] - theta[None, :], -50, 50)))  # P(grade <= j)
-        full = np.concatenate((np.zeros((n, 1)), below, np.ones((n, 1))), axis=1)
-        slope = full * (1 - full)
-        p = np.maximum(full[rows, grade + 1] - full[rows, grade], 1e-12)
-        up, down = slope[rows, grade + 1] / p, slope[rows, grade] / p
-        by_score = (up - down) / n  # the loss grows as the score passes the grade's interval
-        by_theta = np.zeros(grades - 1)
-        inner = grade < grades - 1
-        by_theta += np.bincount(grade[inner], weights=-up[inner], minlength=grades - 1) / n
-        inner = grade > 0
-        by_theta += np.bincount(grade[inner] - 1, weights=down[inner], minlength=grades - 1) / n
-        tails = np.cumsum(by_theta[::-1])[::-1]
-        by_cuts = np.concatenate(([tails[0]], tails[1:] * np.exp(cuts[1:])))
-        by_w = np.bincount(slot, weights=value * by_score[doc], minlength=DIMS) + decay * w
+        _, by_w, by_cuts = loss_and_slopes(w, cuts, doc, slot, value, grade, decay)
         g = np.concatenate((by_w, by_cuts))
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, cuts = w - step[:DIMS], cuts - step[DIMS:]
-    theta = cuts[0] + np.concatenate(([0.0], np.cumsum(np.exp(cuts[1:]))))
-    return OrdinalModel(w, theta)
+    return OrdinalModel(w, ordered(cuts))
+
+
+def ordered(cuts: np.ndarray) -> np.ndarray:
+    """Thresholds from the first one and the logarithms of the gaps."""
+    return cuts[0] + np.concatenate(([0.0], np.cumsum(np.exp(cuts[1:]))))
+
+
+def loss_and_slopes(
+    w: np.ndarray, cuts: np.ndarray, doc: np.ndarray, slot: np.ndarray, value: np.ndarray, grade: np.ndarray, decay: float
+) -> tuple[float, np.ndarray, np.ndarray]:
+    """The mean negative log likelihood with decay / 2 x |w|^2, and its slopes by the weights and by cuts."""
+    n, grades, rows = len(grade), len(cuts) + 1, np.arange(len(grade))
+    score = np.bincount(doc, weights=value * w[slot], minlength=n)
+    below = 1 / (1 + np.exp(np.clip(score[:, None] - ordered(cuts)[None, :], -50, 50)))  # P(grade <= j)
+    full = np.concatenate((np.zeros((n, 1)), below, np.ones((n, 1))), axis=1)
+    slope = full * (1 - full)
+    p = np.maximum(full[rows, grade + 1] - full[rows, grade], 1e-12)
+    up, down = slope[rows, grade + 1] / p, slope[rows, grade] / p
+    by_score = (up - down) / n  # the loss grows as the score passes the grade's interval
+    by_theta = np.zeros(grades - 1)
+    inner = grade < grades - 1
+    by_theta += np.bincount(grade[inner], weights=-up[inner], minlength=grades - 1) / n
+    inner = grade > 0
+    by_theta += np.bincount(grade[inner] - 1, weights=down[inner], minlength=grades - 1) / n
+    tails = np.cumsum(by_theta[::-1])[::-1]
+    by_cuts = np.concatenate(([tails[0]], tails[1:] * np.exp(cuts[1:])))
+    by_w = np.bincount(slot, weights=value * by_score[doc], minlength=len(w)) + decay * w
+    return float(-np.log(p).mean() + decay / 2 * (w @ w)), by_w, by_cuts
 
 
 def train(
     spark: SparkSession, docs: DataFrame, rated: DataFrame, grades: int, *, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text"
 ) -> OrdinalModel:
-    """A model from rated (id, grade), a bounded sample of them; their features are made on the executors."""
+    """A model from rated (id, grade), a bounded sample of them; their features are made on the executors.
+
+    Null ids, null grades and grades beyond 0 ... grades - 1 are left out; of several grades of one id the lowest
+    counts, of several texts of one id one that a hash picks, so at most `sample` rows come to the driver. Null and
+    empty texts have no features; long ones count whole, by the shares of their words. Without rated rows, or with
+    one grade only, the weights are 0. Other columns play no part.
+    """
     chosen = (
-        rated.filter(F.col("grade").isNotNull() & F.col(id_col).isNotNull())
-        .select(F.col(id_col).alias("_id"), F.col("grade").cast("int").alias("grade"))
-        .orderBy(F.xxhash64("_id"), "_id", "grade")
+        rated.filter(F.col("grade").between(0, grades - 1) & F.col(id_col).isNotNull())
+        .groupBy(F.col(id_col).alias("_id"))
+        .agg(F.min("grade").cast("int").alias("grade"))
+        .orderBy(F.xxhash64("_id"), "_id")
         .limit(sample)
     )
     slim = docs.select(docs[id_col].alias("_doc"), text_of(docs, text_col).alias("text"))
-    picked = slim.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("text", "grade")
+    picked = slim.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select(
+        "text", F.col("_id").cast("string").alias("id"), "grade", F.xxhash64("text").alias("mark")
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Slots()
@@ -147,21 +168,26 @@ def train(
                 slot.append(at.astype(np.int32))
                 value.append((SCALE * count / max(len(words), 1)).astype(np.float32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array(slot, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))],
-                names=["grade", "slot", "value"],
+                [*batch.columns[1:], pa.array(slot, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))],
+                names=["id", "grade", "mark", "slot", "value"],
             )
 
-    got = picked.mapInArrow(run, "grade int, slot array<int>, value array<float>").toPandas()  # at most `sample` rows
-    got = got[got["grade"].between(0, grades - 1)]
-    sizes = got["slot"].map(len).to_numpy(dtype=np.int64)
-    flat = lambda c, kind: np.concatenate([np.asarray(x, dtype=kind) for x in got[c]]) if len(got) else np.zeros(0, kind)
-    return fit_ordinal(
-        np.repeat(np.arange(len(got)), sizes), flat("slot", np.int64), flat("value", np.float64), got["grade"].to_numpy(dtype=np.int64), grades
-    )
+    features = picked.mapInArrow(run, "id string, grade int, mark long, slot array<int>, value array<float>")
+    once = features.groupBy("id").agg(F.min_by(F.struct("grade", "slot", "value"), "mark").alias("f"))
+    got = once.orderBy("id").select("f.*").toArrow().combine_chunks()  # at most `sample` rows
+    column = lambda name: got.column(name).combine_chunks()
+    sizes = pc.list_value_length(column("slot")).to_numpy(zero_copy_only=False)
+    flat = lambda name: column(name).flatten().to_numpy(zero_copy_only=False)
+    grade = column("grade").to_numpy(zero_copy_only=False).astype(np.int64)
+    return fit_ordinal(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), flat("slot"), flat("value"), grade, grades)
 
 
 def graded(docs: DataFrame, model: OrdinalModel, *, text_col: str = "text", name: str = "graded") -> DataFrame:
-    """docs with a struct column (expected, tail): the expected grade and P(grade >= 1). Null texts count as empty."""
+    """docs with a struct column (expected, tail): the expected grade and P(grade >= 1), from the text alone.
+
+    Null and empty texts score 0. Where docs has a column of that name the new one's ends in an underscore. Repeated
+    rows are graded alike; an empty table gives an empty one.
+    """
     score = model.scorer()
 
     @F.pandas_udf("expected double, tail double")
@@ -169,7 +195,7 @@ def graded(docs: DataFrame, model: OrdinalModel, *, text_col: str = "text", name
         tails = model.tails(np.array([score(t) for t in texts], dtype=float))
         return pd.DataFrame({"expected": tails.sum(axis=1), "tail": tails[:, 0]})
 
-    return docs.withColumn(name, marks(text_of(docs, text_col)))
+    return docs.withColumn(free_name(docs, name)[0], marks(text_of(docs, text_col)))
 
 
 def quality_grades(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
