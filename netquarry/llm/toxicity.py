@@ -23,13 +23,15 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry.llm.shared import text_of
+from netquarry.llm.shared import free_name, text_of
 
 WINDOW_WORDS = 20
 THRESHOLD = 0.3
 #: Rated texts of each class that a fit reads at most, those with the smallest hash of the id, and their bytes together.
 TOXIC_SAMPLE, ORDINARY_SAMPLE, SAMPLE_BYTES = 1200, 2400, 48_000_000
 ORDINARY_BYTES, TOXIC_BYTES = 32768, 32768
+#: Windows that the ordinary dictionary is trained on, about: every so many of those of the sampled texts.
+TRAINED_WINDOWS = 60_000
 GRAM = 5
 #: A word or a piece of one stands out if so many toxic texts have it, so many times more often than ordinary texts, and
 #: if chance would deal as many of its texts to the toxic ones with this probability at most. No share of the toxic
@@ -136,16 +138,17 @@ def dictionaries(toxic: list[str], ordinary: list[str]) -> ToxicModel:
     standing_out = Counter(w for text in dict.fromkeys(toxic) for w in {w for s in _segments(text, marked) for w in s.split()})
     ordered = b" ".join(sorted(standing_out, key=lambda w: (standing_out[w], w)))
     return ToxicModel(
-        _trained(plain[:: max(1, len(plain) // 60_000)], ORDINARY_BYTES, 64) if plain else b"",
+        _trained(plain[:: max(1, len(plain) // TRAINED_WINDOWS)], ORDINARY_BYTES, 64) if plain else b"",
         b" %b " % ordered[-TOXIC_BYTES:] if ordered else b"",
         np.array([-30.0, 0, 0, 0, 0]),
     )
 
 
-def fit(toxic: list[str], ordinary: list[str]) -> ToxicModel:
+def fit(toxic: list[str], ordinary: list[str], odds: float | None = None) -> ToxicModel:
     """Dictionaries from all texts; the calibration from each half measured by the other half's dictionaries.
 
-    With a class absent every score is 0.
+    odds: ordinary texts for each toxic one where the scores are to hold; None: as among the texts. With a class
+    absent every score is 0.
     """
     model = dictionaries(toxic, ordinary)
     if len(toxic) < 2 or len(ordinary) < 2:
@@ -156,12 +159,13 @@ def fit(toxic: list[str], ordinary: list[str]) -> ToxicModel:
         for texts, label in ((toxic[1 - k :: 2], 1.0), (ordinary[1 - k :: 2], 0.0)):
             x += [measure(text) for text in texts]
             y += [label] * len(texts)
-    return ToxicModel(model.ordinary, model.toxic, _logistic(np.array(x), np.array(y)))
+    odds = len(ordinary) / len(toxic) if odds is None else odds
+    return ToxicModel(model.ordinary, model.toxic, _logistic(np.array(x), np.array(y), odds))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    # the classes are sampled apart: a weight brings back their balance, kept at one toxic text in eight
-    balance = np.where(y == 1, 1.0, 7.0 * y.sum() / max(len(y) - y.sum(), 1))
+def _logistic(x: np.ndarray, y: np.ndarray, odds: float) -> np.ndarray:
+    # the classes are sampled apart: a weight brings back their balance
+    balance = np.where(y == 1, 1.0, odds * y.sum() / max(len(y) - y.sum(), 1))
     w = np.zeros(x.shape[1])
     ridge = np.diag([1e-6, *[0.05] * (x.shape[1] - 1)])
     for _ in range(40):  # Newton's method
@@ -175,7 +179,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def _sample(rows: Iterable, most: int) -> list[str]:
     out, size = [], 0
     for row in rows:
-        size += len(row["text"])
+        size += len(row["text"].encode())
         if len(out) >= most or size > SAMPLE_BYTES:
             break
         out.append(row["text"])
@@ -183,24 +187,29 @@ def _sample(rows: Iterable, most: int) -> list[str]:
 
 
 def train(spark: SparkSession, docs: DataFrame, rated: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> ToxicModel:
-    """A model from rated (id, toxic 0 or 1): whole texts of a bounded sample of each class."""
+    """A model from rated (id, toxic 0 or 1): whole texts of a bounded sample of each class.
+
+    The classes' balance is that of all rated ids. Null ids and ratings are left out; repeated ratings count once, and
+    an id rated both ways is in both classes. Null and empty texts add nothing. Rows with the same id are all read,
+    within the sample's bound. Without rated rows every score is 0. Other columns play no part.
+    """
     slim = docs.select(docs[id_col].alias("id"), text_of(docs, text_col).alias("text"))
+    known = rated.filter(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("rated"), "toxic").distinct()
+    sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}  # two rows
     found = {}
     for toxic, most in ((1, TOXIC_SAMPLE), (0, ORDINARY_SAMPLE)):
-        chosen = (
-            rated.filter((F.col("toxic") == toxic) & F.col(id_col).isNotNull())
-            .select(F.col(id_col).alias("rated"))
-            .distinct()
-            .orderBy(F.xxhash64("rated"), "rated")
-            .limit(most)
-        )
+        chosen = known.filter(F.col("toxic") == toxic).select("rated").orderBy(F.xxhash64("rated"), "rated").limit(most)
         rows = slim.join(F.broadcast(chosen), F.col("id") == F.col("rated")).select("id", "text")
         found[toxic] = _sample(rows.orderBy(F.xxhash64("id"), "id", "text").toLocalIterator(), most)
-    return fit(found[1], found[0])
+    return fit(found[1], found[0], sizes.get(0, 0) / sizes[1] if 1 in sizes else None)
 
 
 def scored(docs: DataFrame, model: ToxicModel, *, text_col: str = "text", name: str = "score") -> DataFrame:
-    """docs with the probability of being toxic, from the text alone; null and empty texts get the curve's base."""
+    """docs with the probability of being toxic, from the text alone; null and empty texts get the curve's base.
+
+    Whole texts are measured, window by window. Where docs has a column of that name the new one's ends in an
+    underscore. Repeated rows score alike; an empty table gives an empty one.
+    """
     measure = model.measurer
 
     @F.pandas_udf("double")
@@ -210,7 +219,7 @@ def scored(docs: DataFrame, model: ToxicModel, *, text_col: str = "text", name:
             x = np.array([ready(t) for t in texts], dtype=float).reshape(len(texts), 5)
             yield pd.Series(model.probability(x))
 
-    return docs.withColumn(name, probability(text_of(docs, text_col)))
+    return docs.withColumn(free_name(docs, name)[0], probability(text_of(docs, text_col)))
 
 
 def held_out(id_: Column) -> Column:

@@ -1,6 +1,9 @@
+import math
 import random
 import zlib
 
+import numpy as np
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,3 +65,39 @@ def test_wording_of_few_toxic_texts_enters_the_dictionary():
     model = toxicity.dictionaries(common + rare, [prose(rng, 30) for _ in range(2000)])
     assert b"zwickwanst" in model.toxic and b"numpty" in model.toxic
     assert model.measurer()("zwickwanst zwickwanst a b c d")[1] > 0
+
+
+def test_scores_against_a_slow_version(spark, make_docs, odd_texts):
+    """Every window compressed by fresh compressors, the features and the curve written out."""
+    import zstandard
+
+    rng = random.Random(8)
+    toxic, plain = [rude(rng, 40) for _ in range(60)], [prose(rng, 40) for _ in range(200)]
+    model = toxicity.fit(toxic, plain)
+
+    def length(content, data):
+        settings = zstandard.ZstdCompressionParameters.from_level(
+            6, min_match=4, write_checksum=0, write_content_size=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS
+        )
+        kept = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(dict_data=kept, compression_params=settings).compress(data))
+
+    texts = odd_texts + toxic[:20] + plain[:20]
+    got = {r.doc_id: r.score_ for r in toxicity.scored(make_docs(texts).withColumn("score", F.lit(1)), model).collect()}
+    for i, text in enumerate(texts):
+        words = (text or "").encode().lower().split()
+        gains = []
+        for k in range(0, len(words), 20):
+            data = b" " + b" ".join(words[k : k + 20]) + b" "
+            gains.append(length(model.ordinary, data) - length(model.toxic + model.ordinary, data))
+        gains.sort()
+        x = [1.0, 0, 0, 0, 0] if not gains else [1.0, gains[-1], sum(gains) / len(gains), sum(gains[-3:]) / len(gains[-3:]), sum(g >= 4 for g in gains) / len(gains)]
+        score = 1 / (1 + math.exp(-max(-30, min(30, sum(a * b for a, b in zip(x, model.weights))))))
+        assert abs(got[i] - score) < 1e-9
+
+
+def test_balance_follows_the_rated_rows():
+    rng = random.Random(9)
+    toxic, plain = [rude(rng, 15) for _ in range(40)], [prose(rng, 15) for _ in range(120)]
+    base = lambda odds: toxicity.fit(toxic, plain, odds).probability(np.array([[1.0, 0, 0, 0, 0]]))[0]
+    assert base(1.0) > base(8.0) > base(100.0) and base(None) == base(3.0)
