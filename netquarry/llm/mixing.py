@@ -193,7 +193,8 @@ def mix(
         {
             size: word_count(docs[text_col]),
             pattern: F.array_sort(F.array_distinct(members)),
-            bucket: F.pmod(F.xxhash64(F.lit(seed), docs[id_col]), F.lit(buckets)).cast("int"),
+            # by id and text: rows without an id are dealt over the buckets as well
+            bucket: F.pmod(F.xxhash64(F.lit(seed), docs[id_col], docs[text_col]), F.lit(buckets)).cast("int"),
         }
     ).withColumn(klass, F.when(F.col(size) > 0, F.floor(F.log2(F.col(size).cast("double")))).otherwise(-1).cast("int"))
     slim = sized.select(*[F.col(c).alias(n) for c, n in ((pattern, "pattern"), (klass, "size_class"), (bucket, "bucket"), (size, "words"))])
