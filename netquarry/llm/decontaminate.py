@@ -11,15 +11,18 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
+import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry.llm.shared import text_of
+from netquarry.llm.shared import text_of, written
 
 #: Edits allowed for each character of an item.
 RATE = 0.1
-#: Characters of items in one automaton; a larger benchmark is searched for in several passes over the documents.
+#: Characters of items in one automaton, and so in one broadcast (and one item more at most); a larger benchmark is
+#: searched for in several passes over the documents.
 BLOCK_CHARS = 4_000_000
 
 
@@ -149,7 +152,7 @@ def matches(
     kind = docs.schema[id_col].dataType.simpleString()
     found = None
     for block in _blocks(items, block_chars):
-        part = slim.mapInArrow(_search(block, rate), f"id {kind}, item_id long, distance int, match_start int, match_end int")
+        part = slim.mapInArrow(_search(spark.sparkContext.broadcast(block), rate), f"id {kind}, item_id long, distance int, match_start int, match_end int")
         found = part if found is None else found.unionByName(part)
     return found.withColumnRenamed("id", id_col)
 
@@ -162,14 +165,14 @@ def _blocks(items: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]
         held += len(row[1])
         if held >= block_chars:
             yield block
-            block, held, any_ = [], 0, True
+            block, held, any_ = [], 0, True  # one block at a time is on the driver
     if block or not any_:
         yield block
 
 
-def _search(block: list, rate: float) -> callable:
+def _search(block: Broadcast, rate: float) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(block, rate)
+        matcher = Matcher(block.value, rate)
         for batch in batches:
             rows = [(i, *hit) for i, t in zip(batch.column(0), batch.column(1), strict=True) for hit in matcher.find(t.as_py())]
             ids = pa.array([r[0].as_py() for r in rows], batch.schema.field(0).type)
@@ -179,20 +182,33 @@ def _search(block: list, rate: float) -> callable:
     return run
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, *, rate: float = RATE) -> DataFrame:
-    """docs without the rows whose text contains an item. Only the text goes to Python; nothing is shuffled."""
-    found = F.lit(False)
-    for block in _blocks(items, BLOCK_CHARS):
-        found = found | F.udf(_holds(block, rate), "boolean", useArrow=True)(text_of(docs))
-    return docs.filter(~found)
+def without_leaks(
+    spark: SparkSession,
+    docs: DataFrame,
+    items: DataFrame,
+    *,
+    rate: float = RATE,
+    text_col: str = "text",
+    block_chars: int = BLOCK_CHARS,
+) -> DataFrame:
+    """docs without the rows whose text contains an item. Only the text goes to Python; nothing is shuffled.
 
+    Null and empty items are ignored; null and empty texts stay. Repeated rows stay or go together. Columns keep their
+    names and order, whatever they are called; an empty table on either side gives docs as it is. With items of more
+    than block_chars characters the rows left by each block are written before the next one's automaton is built.
+    """
+    out, first = docs, True
+    for block in _blocks(items, block_chars):
+        out = out if first else written(spark, out, "unleaked")
+        out, first = out.filter(~_holds(spark.sparkContext.broadcast(block), rate)(text_of(out, text_col))), False
+    return out
 
-def _holds(block: list, rate: float) -> callable:
-    cached: list[Matcher] = []
 
-    def holds(text: str) -> bool:
-        if not cached:
-            cached.append(Matcher(block, rate))
-        return bool(cached[0].find(text))
+def _holds(block: Broadcast, rate: float) -> callable:
+    @F.pandas_udf("boolean")
+    def holds(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = Matcher(block.value, rate)
+        for texts in parts:
+            yield pd.Series([bool(matcher.find(t)) for t in texts], dtype=bool)
 
     return holds

@@ -59,8 +59,9 @@ def test_tables_with_odd_rows(spark, make_docs, odd_texts):
     rows = dec.matches(spark, docs, bench).collect()
     n = len(odd_texts)
     assert sorted((r.doc_id, r.item_id, r.distance) for r in rows) == [(n, 1, 0), (n + 1, 1, 0), (n + 2, 1, 0)]
-    kept = dec.without_leaks(docs, bench)
+    kept = dec.without_leaks(spark, docs, bench)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == list(range(n))
     assert dec.matches(spark, docs, bench, block_chars=1).count() == 3  # a pass per item finds the same
+    assert sorted(r.doc_id for r in dec.without_leaks(spark, docs, bench, block_chars=1).collect()) == list(range(n))
     assert dec.matches(spark, docs.limit(0), bench).count() == 0
-    assert dec.matches(spark, docs, bench.limit(0)).count() == 0 and dec.without_leaks(docs, bench.limit(0)).count() == len(texts)
+    assert dec.matches(spark, docs, bench.limit(0)).count() == 0 and dec.without_leaks(spark, docs, bench.limit(0)).count() == len(texts)
