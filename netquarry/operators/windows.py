@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netquarry.functions.expr import compile_expr
@@ -55,54 +55,8 @@ FEATURES = (
 CONSTANTS = {"tcp": "TCP", "udp": "UDP"}
 
 
-def trailing(partition: Sequence[str], micros: str, window_seconds: float) -> WindowSpec:
-    return Window.partitionBy(*partition).orderBy(micros).rangeBetween(-int(window_seconds * 1_000_000), -1)
-
-
-def entropy_sum(values: Column) -> Column:
-    """Sum of p log2 p over the distinct values of an array (0 or less); null for an empty array."""
-    ordered = F.array_sort(values)
-    n = F.size(values)
-    # in the sorted values a run of c equal ones gives c log2 c; runs end where the next value differs
-    zero = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("run"), F.get(ordered, F.lit(0)).alias("last"))
-
-    def step(state: Column, v: Column) -> Column:
-        same = v.eqNullSafe(state["last"])
-        done = F.when(state["run"] > 0, state["run"] * F.log2(state["run"])).otherwise(0.0)
-        return F.struct(
-            F.when(same, state["sum"]).otherwise(state["sum"] + done).alias("sum"),
-            F.when(same, state["run"] + 1.0).otherwise(1.0).alias("run"),
-            v.alias("last"),
-        )
-
-    def close(state: Column) -> Column:
-        return state["sum"] + F.when(state["run"] > 0, state["run"] * F.log2(state["run"])).otherwise(0.0)
-
-    return F.when(n > 0, F.aggregate(ordered, zero, step, close) / n - F.log2(n.cast("double")))
-
-
-def sequentiality_parts(values: Column) -> tuple[Column, Column]:
-    """(run_length, total_transitions) of values in time order.
-
-    A step of +1 or -1 between neighbours is valid; it qualifies if a neighbouring step equals it. total_transitions
-    counts the values that touch a valid step, run_length those that touch a qualifying one.
-    """
-    n = F.size(values)
-    steps = F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.get(values, i + 1) - F.get(values, i))).otherwise(F.array())
-    steps = steps.cast("array<double>")
-    kinds = F.transform(
-        steps,
-        lambda e, i: F.when(F.abs(e) != 1, 0)
-        .when((F.get(steps, i - 1) == e) | (F.get(steps, i + 1) == e), 2)
-        .otherwise(1),
-    )
-
-    def touching(least: int) -> Column:
-        at = F.sequence(F.lit(0), n - 1)
-        hit = F.filter(at, lambda i: (F.coalesce(F.get(kinds, i - 1), F.lit(0)) >= least) | (F.coalesce(F.get(kinds, i), F.lit(0)) >= least))
-        return F.when(n > 0, F.size(hit)).otherwise(0).cast("double")
-
-    return touching(2), touching(1)
+#: Resolution of the sums of c log2 c, which are kept as integers: adding and taking away leaves no error behind.
+SCALE = 1 << 28
 
 
 def behaviour_features(
@@ -115,89 +69,178 @@ def behaviour_features(
     micros: str = "micros",
     ordinal: str = "ordinal",
     partition: Sequence[str] = (),
+    chunk_windows: int = 8,
 ) -> DataFrame:
     """rows with one column per feature. micros: time in microseconds; ordinal: order among rows of one instant.
 
-    Only what the features need is computed. A feature whose history is empty or undefined has its missing value.
-    For sources with very long histories see grouped_behaviour_features, which costs a step per row and not a frame.
+    Only what the features need is computed. A feature whose history is empty or undefined has its missing value, as
+    has a row without a time. No frame is read anew for a row: what enters and leaves it is summed up, and first and
+    last members come from running minima and maxima, so the work is a constant number of sorts. One shuffle for each
+    stream deals rows by group and by time chunk of chunk_windows windows; a chunk gets the eligible rows of the
+    window before it as well. So a group that holds most of the rows is dealt over its chunks.
     """
+    known = {"unique_count", "span_rate_unique", "span_rate_raw", "entropy", "sequentiality"}
+    for feature in features:
+        if feature.statistic not in known:
+            raise ValueError(f"unknown statistic: {feature.statistic}")
+    out, span = rows, int(window_seconds * 1_000_000)
+    for name in dict.fromkeys(f.stream for f in features):
+        mine = [f for f in features if f.stream == name]
+        out = _with_stream(out, streams[name], mine, constants, span, micros, ordinal, partition, chunk_windows * span)
+    return out.select(*[F.col(f"`{c}`") for c in rows.columns], *[f.name for f in features])
+
+
+def _with_stream(
+    rows: DataFrame,
+    stream: Stream,
+    features: Sequence[Feature],
+    constants: dict[str, object],
+    span: int,
+    micros: str,
+    ordinal: str,
+    partition: Sequence[str],
+    chunk: int,
+) -> DataFrame:
+    kinds = {f.statistic for f in features}
     types = dict(rows.dtypes)
-    made = {}
+    present = F.col(micros).isNotNull()
+    for name in (*stream.requires, *stream.group_by):
+        present = present & F.col(name).isNotNull()
+    eligible = F.coalesce(compile_expr(stream.eligible, types, constants), F.lit(False)) & present
+    value = compile_expr(stream.value, types, constants) if stream.value else F.lit(1)
+    home = F.floor(F.col(micros) / F.lit(chunk))
+    follows = F.col("_x_ok") & (F.col(micros) >= (F.col("_x_home") + 1) * chunk - span)
+    key = [*partition, *stream.group_by, "_x_chunk"]
+    out = rows.withColumns({"_x_ok": eligible & value.isNotNull(), "_x_value": value, "_x_home": home})
+    out = out.withColumn("_x_chunk", F.explode(F.when(follows, F.array("_x_home", F.col("_x_home") + 1)).otherwise(F.array("_x_home"))))
+    out = _with_ends(out.repartition(*key), key, span, micros, ordinal, "sequentiality" in kinds)
+    moving = kinds & {"unique_count", "span_rate_unique", "entropy"}
+    out = _with_moves(out, key, span, micros, ordinal, "entropy" in kinds, kinds != {"entropy"}) if moving else out
+    out = out.filter(F.col("_x_chunk").eqNullSafe(F.col("_x_home")))
+    some = F.coalesce(F.col("_x_last.at") >= F.col(micros) - span, F.lit(False))
+    count = F.col("_x_last.n") - F.col("_x_first.n") + 1
+    duration = F.greatest(F.col("_x_last.at") - F.col("_x_first.at"), F.lit(LEAST_MICROS)) / 1e6
     for feature in features:
-        stream = streams[feature.stream]
-        frame = trailing([*partition, *stream.group_by], micros, window_seconds)
-        present = F.lit(True)
-        for name in (*stream.requires, *stream.group_by):
-            present = present & F.col(name).isNotNull()
-        eligible = F.coalesce(compile_expr(stream.eligible, types, constants), F.lit(False)) & present
-        value = compile_expr(stream.value, types, constants) if stream.value else F.lit(1)
-        mine, at = F.when(eligible, value), F.when(eligible, F.col(micros))
-        duration = F.greatest(F.max(at).over(frame) - F.min(at).over(frame), F.lit(LEAST_MICROS)) / 1e6
-        count, kinds = F.count(mine).over(frame), F.size(F.collect_set(mine).over(frame))
         if feature.statistic == "unique_count":
-            names, defined = {"count": kinds.cast("double")}, count > 0
+            names, defined = {"count": F.col("_x_kinds").cast("double")}, some
         elif feature.statistic in ("span_rate_unique", "span_rate_raw"):
-            many = kinds if feature.statistic == "span_rate_unique" else count
-            names, defined = {"N": many.cast("double"), "duration": duration}, count > 0
+            many = F.col("_x_kinds") if feature.statistic == "span_rate_unique" else count
+            names, defined = {"N": many.cast("double"), "duration": duration}, some
         elif feature.statistic == "entropy":
-            names, defined = {"entropy_sum": entropy_sum(F.collect_list(mine).over(frame))}, count > 0
-        elif feature.statistic == "sequentiality":
-            seen = F.collect_list(F.when(eligible, F.struct(micros, ordinal, value.alias("v")))).over(frame)
-            made[f"_seq_{feature.name}"] = F.transform(F.array_sort(seen), lambda s: s["v"])
-            run, total = sequentiality_parts(F.col(f"_seq_{feature.name}"))
-            names, defined = {"run_length": run, "total_transitions": total}, total > 0
+            inner = F.col("_x_inner").cast("double") / SCALE
+            names, defined = {"entropy_sum": F.least(inner / count - F.log2(count.cast("double")), F.lit(0.0))}, some
         else:
-            raise ValueError(f"unknown statistic: {feature.statistic}")
+            run, total = sequentiality_parts(F.col("_x_first"), F.col("_x_last"), count)
+            names, defined = {"run_length": run, "total_transitions": total}, some & (total > 0)
         found = compile_expr(feature.formula, {}, columns=names)
-        made[feature.name] = F.coalesce(F.when(defined, found), F.lit(float(feature.missing)))
-    lists = {k: v for k, v in made.items() if k.startswith("_seq_")}
-    rest = {k: v for k, v in made.items() if k not in lists}
-    return rows.withColumns(lists).withColumns(rest).drop(*lists)
+        out = out.withColumn(feature.name, F.coalesce(F.when(defined, found), F.lit(float(feature.missing))))
+    return out.drop(*[c for c in out.columns if c.startswith("_x_")])
+
 
+def _flag(condition: Column) -> Column:
+    return F.coalesce(condition, F.lit(False)).cast("int")
 
-def grouped_behaviour_features(rows: DataFrame, *, window_seconds: float = 300, partition: Sequence[str] = (), schema: str) -> DataFrame:
-    """dst_port_unique_cnt and dst_port_entropy of the ports stream with constant work per row, per group in pandas.
 
-    rows: src_ip, protocol, dst_port, micros, ordinal and more. For groups that fit an executor but whose frames hold
-    very many rows each. schema: that of rows followed by the two columns.
+def _with_ends(rows: DataFrame, key: Sequence[str], span: int, micros: str, ordinal: str, steps: bool) -> DataFrame:
+    """rows with _x_first and _x_last, the first member of the group since span before a row, and the last one before it.
+
+    Both have the member's place n among the group's. With steps they also say what sequentiality_parts asks: a step
+    is the difference of two members that follow each other, right if it is +1 or -1, strong if a step beside it
+    equals it. right_in and right_out: of the steps to and from a member; strong_in and strong_out: the same, seen
+    without what lies beyond the member; touched and held: members so far that touch a right or a strong step.
+    """
+    members = Window.partitionBy(*key, "_x_ok").orderBy(micros, ordinal)
+    so_far = members.rowsBetween(Window.unboundedPreceding, 0)
+    fields = {"at": F.col(micros), "order": F.col(ordinal), "n": F.row_number().over(members).cast("long")}
+    out = rows
+    if steps:
+        v = F.col("_x_value").cast("double")
+        out = out.withColumns({"_x_in": v - F.lag(v, 1).over(members)})
+        into, after = F.col("_x_in"), F.lead("_x_in", 1).over(members)
+        right = F.abs(into) == 1
+        backward = _flag(right & (F.lag("_x_in", 1).over(members) == into))
+        forward = _flag(right & (after == into))
+        # of the step that leads to each member
+        out = out.withColumns({"_x_right": _flag(right), "_x_back": backward, "_x_fore": forward})
+        strong = F.greatest("_x_back", "_x_fore")
+        out = out.withColumns({"_x_strong": strong})
+        ahead = lambda c, k=1: F.coalesce(F.lead(c, k).over(members), F.lit(0))
+        out = out.withColumns(
+            {
+                "_x_touched": F.greatest(F.col("_x_right"), ahead("_x_right")),
+                "_x_held": F.greatest(F.col("_x_strong"), ahead("_x_strong")),
+            }
+        )
+        out = out.withColumns({"_x_touched_sum": F.sum("_x_touched").over(so_far), "_x_held_sum": F.sum("_x_held").over(so_far)})
+        fields |= {
+            "touches": F.col("_x_touched"),
+            "right_in": F.col("_x_right"),
+            "right_out": ahead("_x_right"),
+            "strong_in": F.col("_x_back"),
+            "strong_out": ahead("_x_fore"),
+            "touched": F.col("_x_touched_sum"),
+            # of the member after the first, and of the second before the last: those inside both ends' reach
+            "next_strong": ahead("_x_strong", 2),
+            "next_held": F.coalesce(F.lead("_x_held_sum", 1).over(members), F.col("_x_held_sum")),
+            "former_strong": F.coalesce(F.lag("_x_strong", 1).over(members), F.lit(0)),
+            "former_held": F.coalesce(F.lag("_x_held_sum", 2).over(members), F.lit(0).cast("long")),
+        }
+    out = out.withColumn("_x_member", F.when(F.col("_x_ok"), F.struct(*[c.alias(n) for n, c in fields.items()])))
+    before = Window.partitionBy(*key).orderBy(micros).rangeBetween(Window.unboundedPreceding, -1)
+    since = Window.partitionBy(*key).orderBy(-F.col(micros)).rangeBetween(Window.unboundedPreceding, span)
+    return out.withColumns({"_x_last": F.max("_x_member").over(before), "_x_first": F.min("_x_member").over(since)})
+
+
+def _with_moves(rows: DataFrame, key: Sequence[str], span: int, micros: str, ordinal: str, entropy: bool, kinds: bool) -> DataFrame:
+    """rows with _x_kinds, the distinct values in a row's frame, and _x_inner, SCALE times the sum of c log2 c over their counts c.
+
+    A member enters the frames of the rows after it and leaves those more than span later: a second row stands for
+    its leaving. The changes that these moves make are summed up to the row.
     """
-    import numpy as np
-    import pandas as pd
-
-    span = int(window_seconds * 1_000_000)
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["micros", "ordinal"], kind="stable")
-        at = group["micros"].to_numpy()
-        takes = (group["protocol"].isin(["TCP", "UDP"]) & group["dst_port"].notna() & group["src_ip"].notna()).to_numpy()
-        port = group["dst_port"].to_numpy()
-        counts: dict = {}
-        total, inner, low, high = 0, 0.0, 0, 0
-        kinds, entropy = np.zeros(len(group)), np.zeros(len(group))
-
-        def change(i: int, by: int) -> None:
-            nonlocal total, inner
-            c = counts.get(port[i], 0)
-            inner -= c * np.log2(c) if c else 0.0
-            c += by
-            inner += c * np.log2(c) if c else 0.0
-            total += by
-            if c:
-                counts[port[i]] = c
-            else:
-                del counts[port[i]]
-
-        for i in range(len(group)):
-            while at[high] < at[i]:
-                if takes[high]:
-                    change(high, 1)
-                high += 1
-            while at[low] < at[i] - span:
-                if takes[low] and low < high:
-                    change(low, -1)
-                low += 1
-            if total:
-                kinds[i], entropy[i] = len(counts), max(np.log2(total) - inner / total, 0.0)
-        return group.assign(dst_port_unique_cnt=kinds, dst_port_entropy=entropy)
-
-    return rows.groupBy(*partition, "src_ip").applyInPandas(run, schema)
+    alike = Window.partitionBy(*key, "_x_ok", "_x_value").orderBy(micros, ordinal)
+    before, after = F.lag(micros, 1).over(alike), F.lead(micros, 1).over(alike)
+    at, ok = F.col(micros), F.col("_x_ok")
+    out = rows.withColumns(
+        {
+            "_x_comes": _flag(ok & (before.isNull() | (at - before > span))),
+            "_x_goes": _flag(ok & (after.isNull() | (after - at > span))),
+        }
+    )
+    own = F.struct(at.alias("at"), F.lit(1).alias("by"), F.col("_x_comes").alias("kinds"))
+    leaves = F.struct((at + span).alias("at"), F.lit(-1).alias("by"), (-F.col("_x_goes")).alias("kinds"))
+    doubled = ok if entropy else F.col("_x_goes") == 1
+    out = out.withColumn("_x_move", F.explode(F.when(doubled, F.array(own, leaves)).otherwise(F.array(own))))
+    out = out.withColumns({"_x_at": F.col("_x_move.at"), "_x_by": F.when(ok, F.col("_x_move.by")).otherwise(0)})
+    sums = {"_x_kinds": F.col("_x_move.kinds")} if kinds else {}
+    if entropy:
+        counted = Window.partitionBy(*key, "_x_ok", "_x_value").orderBy("_x_at", F.desc("_x_by"), ordinal)
+        c = F.sum("_x_by").over(counted.rowsBetween(Window.unboundedPreceding, 0))
+        part = lambda x: F.when(x > 1, F.round(x * F.log2(x.cast("double")) * SCALE).cast("long")).otherwise(0)
+        out = out.withColumn("_x_count", c)
+        change = part(F.col("_x_count")) - part(F.col("_x_count") - F.col("_x_by"))
+        sums["_x_inner"] = F.when(ok, change).otherwise(0)
+    frame = Window.partitionBy(*key).orderBy("_x_at").rangeBetween(Window.unboundedPreceding, -1)
+    out = out.withColumns({n: F.coalesce(F.sum(c).over(frame), F.lit(0)) for n, c in sums.items()})
+    return out.filter(F.col("_x_move.by") == 1)
+
+
+def sequentiality_parts(first: Column, last: Column, n: Column) -> tuple[Column, Column]:
+    """(run_length, total_transitions) of the n members from first to last, in order.
+
+    total_transitions counts the members that touch a right step, run_length those that touch a strong one (see
+    _with_ends), steps beyond the frame left out: sums between the ends, put right where an end's steps reach out.
+    """
+    total = (
+        last["touched"] - first["touched"] + first["touches"]
+        - F.when((first["right_in"] == 1) & (first["right_out"] == 0), 1).otherwise(0)
+        - F.when((last["right_out"] == 1) & (last["right_in"] == 0), 1).otherwise(0)
+    )
+    inside = last["former_held"] - first["next_held"]
+    edges = (
+        first["strong_out"]
+        + F.greatest(first["strong_out"], first["next_strong"])
+        + F.greatest(last["former_strong"], last["strong_in"])
+        + last["strong_in"]
+    )
+    run = F.when(n < 3, 0).when(n == 3, 3 * first["strong_out"]).otherwise(inside + edges)
+    return run.cast("double"), F.when(n < 2, 0).otherwise(total).cast("double")

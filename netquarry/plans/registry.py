@@ -365,14 +365,16 @@ def xf_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_id", F.abs(F.round("dst_port_entropy", 5)).alias("dst_port_entropy"))
 
 
-_SEQ = """, h AS (SELECT event_id, list(dst_port % 6 ORDER BY tm, event_id) FILTER (WHERE ok) OVER w AS v FROM {0} WINDOW {1}),
-e AS (SELECT event_id, v, CASE WHEN len(v) > 1 THEN list_transform(range(1, len(v)), lambda i: v[i + 1] - v[i]) ELSE [] END AS d FROM h),
-k AS (SELECT event_id, v, list_transform(range(1, len(d) + 1), lambda i: CASE WHEN abs(d[i]) <> 1 THEN 0
-  WHEN (i > 1 AND d[i - 1] = d[i]) OR (i < len(d) AND d[i + 1] = d[i]) THEN 2 ELSE 1 END) AS q FROM e),
-t AS (SELECT event_id,
+def _seq_sql(source: str, value: str, by: str) -> str:
+    """event_id and dst_port_sequentiality of the trailing members of a table with event_id, tm and ok."""
+    return f"""SELECT event_id, round(CASE WHEN coalesce(den, 0) = 0 THEN 0 ELSE num * 1.0 / den END, 6) AS dst_port_sequentiality FROM (
+  SELECT event_id,
   len(list_filter(range(1, len(v) + 1), lambda i: (i > 1 AND q[i - 1] = 2) OR (i <= len(q) AND q[i] = 2))) AS num,
-  len(list_filter(range(1, len(v) + 1), lambda i: (i > 1 AND q[i - 1] >= 1) OR (i <= len(q) AND q[i] >= 1))) AS den FROM k)
-SELECT event_id, round(CASE WHEN coalesce(den, 0) = 0 THEN 0 ELSE num * 1.0 / den END, 6) AS dst_port_sequentiality FROM t"""
+  len(list_filter(range(1, len(v) + 1), lambda i: (i > 1 AND q[i - 1] >= 1) OR (i <= len(q) AND q[i] >= 1))) AS den FROM (
+    SELECT event_id, v, list_transform(range(1, len(d) + 1), lambda i: CASE WHEN abs(d[i]) <> 1 THEN 0
+      WHEN (i > 1 AND d[i - 1] = d[i]) OR (i < len(d) AND d[i + 1] = d[i]) THEN 2 ELSE 1 END) AS q FROM (
+      SELECT event_id, v, CASE WHEN len(v) > 1 THEN list_transform(range(1, len(v)), lambda i: v[i + 1] - v[i]) ELSE [] END AS d FROM (
+        SELECT event_id, list({value} ORDER BY tm, event_id) FILTER (WHERE ok) OVER w AS v FROM {source} WINDOW {_TRAIL_W.format(by)}))))"""
 
 
 def _sequentiality(spark: SparkSession, sf_dir: str, partition: tuple = ()) -> DataFrame:
@@ -382,12 +384,12 @@ def _sequentiality(spark: SparkSession, sf_dir: str, partition: tuple = ()) -> D
     return rounded(found.select("event_id", "dst_port_sequentiality"))
 
 
-@register("xf_sequentiality", f"WITH {TRAIL}" + _SEQ.format("trail", _TRAIL_W.format("src_ip")))
+@register("xf_sequentiality", f"WITH {TRAIL} {_seq_sql('trail', 'dst_port % 6', 'src_ip')}")
 def xf_sequentiality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sequentiality(spark, sf_dir)
 
 
-@register("xf_capture_reset", f"WITH {TRAIL}" + _SEQ.format("trail", _TRAIL_W.format("capture, src_ip")))
+@register("xf_capture_reset", f"WITH {TRAIL} {_seq_sql('trail', 'dst_port % 6', 'capture, src_ip')}")
 def xf_capture_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sequentiality(spark, sf_dir, ("capture",))
 
@@ -413,11 +415,38 @@ def xf_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def xf_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _trail_rows(spark, sf_dir).drop("capture", "dst_ip")
-    schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes) + ", dst_port_unique_cnt double, dst_port_entropy double"
-    found = windows.grouped_behaviour_features(rows, window_seconds=DAYS * 86400, schema=schema)
+    chosen = [f for f in windows.FEATURES if f.name in ("dst_port_unique_cnt", "dst_port_entropy")]
+    found = windows.behaviour_features(rows, features=chosen, window_seconds=DAYS * 86400)
     return found.select("event_id", "dst_port_unique_cnt", F.abs(F.round("dst_port_entropy", 5)).alias("dst_port_entropy"))
 
 
+_HOT = f"""WITH {TRAIL}, h AS (SELECT event_id, tm, CASE WHEN event_id % 3 = 0 THEN 0 ELSE src_ip END AS src_ip, dst_ip % 4 AS dst_ip, dst_port % 6 AS dst_port, ok FROM trail),
+f AS (SELECT event_id, count(DISTINCT dst_port) FILTER (WHERE ok) OVER w * 1.0 AS dst_port_unique_cnt,
+  count(DISTINCT dst_port) FILTER (WHERE ok) OVER w / ({_SPAN}) AS dst_port_scan_rate, entropy(dst_port) FILTER (WHERE ok) OVER w AS dst_port_entropy
+  FROM h WINDOW {_TRAIL_W.format('src_ip')}),
+p AS (SELECT event_id, count(*) OVER w / (greatest(max(epoch_us(tm)) OVER w - min(epoch_us(tm)) OVER w, 1000) / 1e6) AS src_dst_pair_flow_rate
+  FROM h WINDOW {_TRAIL_W.format('src_ip, dst_ip')}),
+s AS ({_seq_sql('h', 'dst_port', 'src_ip')})
+SELECT event_id, dst_port_unique_cnt, round(coalesce(dst_port_scan_rate, 0), 6) AS dst_port_scan_rate, dst_port_sequentiality,
+  round(abs(coalesce(dst_port_entropy, 0)), 4) AS dst_port_entropy, round(coalesce(src_dst_pair_flow_rate, 0), 6) AS src_dst_pair_flow_rate
+FROM f JOIN p USING (event_id) JOIN s USING (event_id)"""
+
+
+@register("xf_hot_source", _HOT)
+def xf_hot_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All five features, with one source that has a third of all rows."""
+    rows = _trail_rows(spark, sf_dir).withColumns(
+        {
+            "src_ip": F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.col("src_ip")),
+            "dst_ip": F.col("dst_ip") % 4,
+            "dst_port": F.col("dst_port") % 6,
+        }
+    )
+    found = windows.behaviour_features(rows, window_seconds=DAYS * 86400)
+    chosen = rounded(found.select("event_id", *[f.name for f in windows.FEATURES]))
+    return chosen.withColumn("dst_port_entropy", F.abs(F.round("dst_port_entropy", 4)))
+
+
 # ---------------------------------------------------------------- quality
 
 ITEM = ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "rate", "stamp", "l_returnflag"]

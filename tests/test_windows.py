@@ -1,5 +1,8 @@
-import pandas as pd
+import math
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from netquarry.operators import windows as w
 
@@ -36,13 +39,52 @@ def test_ineligible_rows_see_but_do_not_count(spark):
     assert [r.src_dst_pair_flow_rate > 0 for r in found] == [False, False, False, True, True]
 
 
-def test_grouped_agrees(spark):
-    rows = [("s%d" % (i % 3), "d", i * 7 % 11, "TCP" if i % 4 else "ICMP", i // 3 * 20_000_000, i) for i in range(200)]
-    df = spark.createDataFrame(rows, KIND)
-    plain = w.behaviour_features(df).select("ordinal", "dst_port_unique_cnt", "dst_port_entropy").toPandas().sort_values("ordinal")
-    quick = w.grouped_behaviour_features(df, schema=KIND + ", dst_port_unique_cnt double, dst_port_entropy double")
-    quick = quick.select("ordinal", "dst_port_unique_cnt", "dst_port_entropy").toPandas().sort_values("ordinal")
-    pd.testing.assert_frame_equal(plain.reset_index(drop=True), quick.reset_index(drop=True), atol=1e-9)
+def brute(rows, span):
+    """All five features of each row, from its frame read anew."""
+    out = {}
+    for src, dst, _, _, at, order in rows:
+        frame = sorted((r[4], r[5], r[2]) for r in rows if r[0] == src is not None and r[3] in ("TCP", "UDP") and r[2] is not None and at - span <= r[4] < at)
+        ports = [p for _, _, p in frame]
+        pairs = [r[4] for r in rows if r[0] == src is not None and r[1] == dst is not None and at - span <= r[4] < at]
+        seconds = lambda times: max(max(times) - min(times), 1000) / 1e6
+        steps = [b - a for a, b in zip(ports, ports[1:])]
+        right = [abs(d) == 1 for d in steps]
+        strong = [r and (d in steps[i - 1 : i][-1:] if i else False) or r and i + 1 < len(steps) and steps[i + 1] == d for i, (d, r) in enumerate(zip(steps, right))]
+        touch = lambda marks: sum(any(marks[max(i - 1, 0) : i + 1]) for i in range(len(ports)))  # noqa: B023, E731
+        shares = [ports.count(p) / len(ports) for p in set(ports)]
+        out[order] = (
+            len(set(ports)),
+            len(set(ports)) / seconds([t for t, _, _ in frame]) if frame else 0,
+            touch(strong) / touch(right) if touch(right) else 0,
+            -sum(x * math.log2(x) for x in shares),
+            len(pairs) / seconds(pairs) if pairs else 0,
+        )
+    return out
+
+
+@pytest.mark.parametrize(("seed", "span", "chunks"), [(1, 20, 1), (2, 7, 2), (3, 50, 8), (4, 1000, 1)])
+def test_all_features_against_frames_read_anew(spark, seed, span, chunks):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(350):
+        src = rng.choice(["hot", "hot", "a", "b", None])
+        port = rng.choice([None, 1, 2, 3, 4, 5]) if rng.random() < 0.6 else (i // 2) % 9
+        rows.append((src, rng.choice(["x", "y", None]), port, rng.choice(["TCP", "UDP", "ICMP"]), rng.randrange(120) * 1_000_000, i))
+    df = spark.createDataFrame(rows, KIND).withColumn("_x", F.lit("kept"))
+    found = w.behaviour_features(df, window_seconds=span, chunk_windows=chunks)
+    assert found.columns == [*df.columns, *[f.name for f in w.FEATURES]]
+    want = brute(rows, span * 1_000_000)
+    got = {r.ordinal: [r[f.name] for f in w.FEATURES] for r in found.collect()}
+    assert len(got) == len(rows)
+    for order, values in want.items():
+        assert got[order] == pytest.approx(values, abs=1e-7), (rows[order], order)
+
+
+def test_rows_without_a_time_and_no_rows(spark):
+    rows = [("s", "d", 1, "TCP", None, 0), ("s", "d", 2, "TCP", 5, 1), ("s", "d", 3, "TCP", 1_000_005, 2)]
+    got = {r.ordinal: (r.dst_port_unique_cnt, r.dst_port_entropy) for r in w.behaviour_features(spark.createDataFrame(rows, KIND)).collect()}
+    assert got == {0: (0, 0), 1: (0, 0), 2: (1, 0)}
+    assert w.behaviour_features(spark.createDataFrame([], KIND)).count() == 0
 
 
 def test_unknown_statistic(spark):
