@@ -428,7 +428,7 @@ p AS (SELECT event_id, count(*) OVER w / (greatest(max(epoch_us(tm)) OVER w - mi
   FROM h WINDOW {_TRAIL_W.format('src_ip, dst_ip')}),
 s AS ({_seq_sql('h', 'dst_port', 'src_ip')})
 SELECT event_id, dst_port_unique_cnt, round(coalesce(dst_port_scan_rate, 0), 6) AS dst_port_scan_rate, dst_port_sequentiality,
-  round(abs(coalesce(dst_port_entropy, 0)), 4) AS dst_port_entropy, round(coalesce(src_dst_pair_flow_rate, 0), 6) AS src_dst_pair_flow_rate
+  round(abs(coalesce(dst_port_entropy, 0)), 5) AS dst_port_entropy, round(coalesce(src_dst_pair_flow_rate, 0), 6) AS src_dst_pair_flow_rate
 FROM f JOIN p USING (event_id) JOIN s USING (event_id)"""
 
 
@@ -443,8 +443,8 @@ def xf_hot_source(spark: SparkSession, sf_dir: str) -> DataFrame:
         }
     )
     found = windows.behaviour_features(rows, window_seconds=DAYS * 86400)
-    chosen = rounded(found.select("event_id", *[f.name for f in windows.FEATURES]))
-    return chosen.withColumn("dst_port_entropy", F.abs(F.round("dst_port_entropy", 4)))
+    found = found.withColumn("dst_port_entropy", F.abs(F.round("dst_port_entropy", 5)))
+    return rounded(found.select("event_id", *[f.name for f in windows.FEATURES]))
 
 
 # ---------------------------------------------------------------- quality
