@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from netquarry.operators._columns import col
 
+#: Ranks that a sketch errs by are a share of one in ACCURACY of the rows.
+ACCURACY = 10_000
 PERFECT, VERY_HIGH, HIGH = 0.9999995, 0.95, 0.90
 
 
@@ -43,13 +45,64 @@ def _long(one: DataFrame, columns: Sequence[str], fields: dict[str, str]) -> Dat
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """column, count, mean, std (sample), min, exact quartiles, max; in one pass."""
-    made = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
-    aggregates = [how(col(c).cast("double")).alias(f"{name}_{i}") for i, c in enumerate(columns) for name, how in made.items()]
-    for i, c in enumerate(columns):
-        aggregates += [F.percentile(col(c).cast("double"), q).alias(f"{n}_{i}") for n, q in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))]
-    order = ("count", "mean", "std", "min", "p25", "p50", "p75", "max")
-    return _long(df.agg(*aggregates), columns, {n: f"{n}_" for n in order})
+    """column, count, mean, std (sample), min, exact quartiles, max; NaN and text that is no number count as missing.
+
+    Two passes without a shuffle of rows. The first takes the moments and, from mergeable sketches, a narrow bracket
+    around each quartile; the second counts what lies below each bracket and how often each value in it comes. So the
+    quartiles are exact, and no task holds more than one bracket's values. The result is made when this is called.
+    """
+    spark, quarters = df.sparkSession, (0.25, 0.5, 0.75)
+    number = [col(c).try_cast("double") for c in columns]
+    view = df.select(*[F.when(~F.isnan(v), v).alias(f"c{i}") for i, v in enumerate(number)])
+    near = [max(min(q + d * 2 / ACCURACY, 1.0), 0.0) for q in quarters for d in (-1, 1)]
+    first = []
+    for i in range(len(columns)):
+        c = F.col(f"c{i}")
+        sketch = F.percentile_approx(c, F.array(*[F.lit(x) for x in near]), F.lit(ACCURACY))
+        first.append(F.struct(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("low"), F.max(c).alias("high"), sketch.alias("near")))
+    summary = list(view.agg(*[f.alias(f"s{i}") for i, f in enumerate(first)]).first())  # one row
+    brackets = [(i, k, s["near"][2 * k], s["near"][2 * k + 1]) for i, s in enumerate(summary) if s["n"] for k in range(len(quarters))]
+    picked = _order_statistics(view, {(i, k): (low, high, quarters[k] * (summary[i]["n"] - 1)) for i, k, low, high in brackets})
+    rows = [(c, s["n"], s["mean"], s["std"], s["low"], *[picked.get((i, k)) for k in range(3)], s["high"]) for i, (c, s) in enumerate(zip(columns, summary, strict=True))]
+    kinds = ", ".join(f"{n} double" for n in ("mean", "std", "min", "p25", "p50", "p75", "max"))
+    return spark.createDataFrame(rows, f"column string, count long, {kinds}")
+
+
+def _order_statistics(view: DataFrame, brackets: dict[tuple[int, int], tuple[float, float, float]]) -> dict[tuple[int, int], float]:
+    """Interpolated order statistics of the columns c0, c1 ...: (column, number) to (low, high, place from 0).
+
+    The place, or the value before it, must lie in [low, high]; the next value above may lie beyond.
+    """
+    if not brackets:
+        return {}
+    below = [F.count_if(F.col(f"c{i}") < low) for (i, _), (low, _, _) in brackets.items()]
+    above = [F.min(F.when(F.col(f"c{i}") > high, F.col(f"c{i}"))) for (i, _), (_, high, _) in brackets.items()]
+    ends = view.agg(*below, *above).first()  # one row
+    inside = F.array(
+        *[
+            F.when(F.col(f"c{i}").between(low, high), F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), F.col(f"c{i}").alias("v")))
+            for (i, k), (low, high, _) in brackets.items()
+        ]
+    )
+    counted = view.select(F.explode(F.filter(inside, lambda x: x.isNotNull())).alias("x")).groupBy("x.i", "x.k", "x.v").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("i", "k").orderBy("v"))
+    n = len(brackets)
+    wanted = view.sparkSession.createDataFrame(
+        [(i, k, ends[j], int(place)) for j, ((i, k), (_, _, place)) in enumerate(brackets.items())], "i int, k int, below long, at long"
+    )
+    reach = F.col("below") + F.col("upto")
+    found = counted.withColumn("upto", upto).join(F.broadcast(wanted), ["i", "k"]).groupBy("i", "k").agg(
+        F.min(F.when(reach > F.col("at"), F.col("v"))).alias("a"), F.min(F.when(reach > F.col("at") + 1, F.col("v"))).alias("b")
+    )
+    values = {(r["i"], r["k"]): (r["a"], r["b"]) for r in found.collect()}  # a row per bracket
+    out = {}
+    for j, (key, (_, _, place)) in enumerate(brackets.items()):
+        a, b = values[key]
+        a = ends[n + j] if a is None else a
+        b = ends[n + j] if b is None else b
+        part = place - int(place)
+        out[key] = a if b is None or not part else a + (b - a) * part
+    return out
 
 
 def negatives(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -79,27 +79,40 @@ def host_features(
 ) -> DataFrame:
     """One row per window and host with out_ and in_ features, 0 where it had no such flow.
 
-    Each flow gives one row for either end, and one aggregation makes both sides: a single shuffle and no join.
+    Each flow gives two rows for either end, for its peer and for its port. They are summed up by window, host, way
+    and peer or port first, with map-side partials, so that distinct peers and ports are plain counts in the second
+    aggregation; a host with very many flows is dealt over its peers and ports.
     """
     carried = list(dict.fromkeys([*sums, *means, *ratios]))
+    text = lambda c: col(c).cast("string")
 
     def side(host: str, peer: str, way: str) -> DataFrame:
-        return df.select(
-            window, col(host).alias("host"), col(peer).alias("_peer"), col(columns.dst_port).alias("_port"), F.lit(way).alias("_way"), *[col(c).alias(f"_{c}") for c in carried]
+        kinds = F.array(
+            F.struct(F.lit(True).alias("peer"), text(peer).alias("value")), F.struct(F.lit(False).alias("peer"), text(columns.dst_port).alias("value"))
         )
+        return df.select(window, col(host).alias("host"), F.lit(way).alias("_way"), F.explode(kinds).alias("_kind"), *[col(c).alias(f"_{c}") for c in carried])
 
     ends = side(columns.src, columns.dst, "out").unionByName(side(columns.dst, columns.src, "in")).filter("host is not null")
+    is_peer = F.col("_kind.peer")
+    # what is summed up counts with the peer's row only
+    first = ends.groupBy(window, "host", "_way", is_peer.alias("_peer"), F.col("_kind.value").alias("_value")).agg(
+        F.count_if(is_peer).alias("_n"),
+        *[F.sum(F.when(is_peer, F.col(f"_{c}"))).alias(f"_sum_{c}") for c in carried],
+        *[F.count(F.when(is_peer, F.col(f"_{c}"))).alias(f"_with_{c}") for c in carried],
+    )
     out = []
     for way in ("out", "in"):
         mine = F.col("_way") == way
-        n = F.count_if(mine)
+        total = lambda name: F.sum(F.when(mine, F.col(name)))  # noqa: B023, E731
+        n = F.coalesce(total("_n"), F.lit(0))
         out.append(n.alias(f"{way}_flow_count"))
-        out += [F.coalesce(F.sum(F.when(mine, F.col(f"_{c}"))), F.lit(0.0)).alias(f"{way}_{c}_sum") for c in sums]
-        out += [F.coalesce(F.avg(F.when(mine, F.col(f"_{c}"))), F.lit(0.0)).alias(f"{way}_{c}_mean") for c in means]
-        out += [F.coalesce(F.try_divide(F.sum(F.when(mine, F.col(f"_{c}"))), n), F.lit(0.0)).alias(f"{way}_{c}_ratio") for c in ratios]
-        out.append(F.count_distinct(F.when(mine, F.col("_peer"))).alias(f"{way}_unique_peers"))
-        out.append(F.count_distinct(F.when(mine, F.col("_port"))).alias(f"{way}_unique_dst_ports"))
-    return ends.groupBy(window, "host").agg(*out)
+        out += [F.coalesce(total(f"_sum_{c}"), F.lit(0.0)).alias(f"{way}_{c}_sum") for c in sums]
+        out += [F.coalesce(F.try_divide(total(f"_sum_{c}"), total(f"_with_{c}")), F.lit(0.0)).alias(f"{way}_{c}_mean") for c in means]
+        out += [F.coalesce(F.try_divide(total(f"_sum_{c}"), n), F.lit(0.0)).alias(f"{way}_{c}_ratio") for c in ratios]
+        there = mine & F.col("_value").isNotNull()
+        out.append(F.count_if(there & F.col("_peer")).alias(f"{way}_unique_peers"))
+        out.append(F.count_if(there & ~F.col("_peer")).alias(f"{way}_unique_dst_ports"))
+    return first.groupBy(window, "host").agg(*out)
 
 
 def top_hosts(hosts: DataFrame, k: int = 50, by: str = "flow_count", window: str = "window_start") -> DataFrame:
@@ -171,19 +184,17 @@ def delta_host(top: DataFrame, columns: Sequence[str], window: str = "window_sta
 
     Hosts of the first window have the fill. Windows are paired by their order among the (few) windows.
     """
-    order = top.select(window).distinct().withColumn("_n", F.row_number().over(Window.orderBy(window)))
-    ranked = top.join(order, window)
-    last = ranked.select((F.col("_n") + 1).alias("_n"), "host", *[col(c).alias(f"_last_{c}") for c in columns])
-    both = ranked.join(last, ["_n", "host"], "left")
-    return both.select(
-        window,
-        "host",
-        "place",
-        *[
-            F.when(F.col("_n") == 1, F.lit(fill)).otherwise(col(c).cast("double") - F.coalesce(F.col(f"_last_{c}").cast("double"), F.lit(0.0))).alias(f"delta_{c}")
-            for c in columns
-        ],
-    )
+    before = Window.orderBy(window)
+    order = top.select(window).distinct().withColumns({"_first": F.lag(window).over(before).isNull(), "_before": F.lag(window).over(before)})
+    # a host's last row is of the window before, or it wasn't chosen there
+    own = Window.partitionBy("host").orderBy(window)
+    ranked = top.join(order, window).withColumn("_there", F.coalesce(F.lag(window).over(own) == F.col("_before"), F.lit(False)))
+
+    def change(c: str) -> Column:
+        value = col(c).cast("double")
+        return F.when(F.col("_first"), F.lit(fill)).otherwise(value - F.coalesce(F.when(F.col("_there"), F.lag(value).over(own)), F.lit(0.0)))
+
+    return ranked.select(window, "host", "place", *[change(c).alias(f"delta_{c}") for c in columns])
 
 
 def window_labels(df: DataFrame, attacks: Sequence[str], benign: str = "Benign", label: str = "label", window: str = "window_start") -> DataFrame:
