@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from netquarry.functions.scalars import parsed_timestamp
 from netquarry.operators._columns import col
+from netquarry.session import settled
 
 PROTOCOLS = {"tcp": 6, "udp": 17, "icmp": 1}
 
@@ -141,6 +142,12 @@ def label_flows(
     return kept.withColumn(label, label_column(rules, time, columns, default, artifacts))
 
 
+def dropped_count(flows: DataFrame, columns: FlowColumns = FlowColumns(), protocols: Sequence[str] = ("6", "17")) -> DataFrame:
+    """How many rows label_flows leaves out for their protocol."""
+    kept = col(columns.protocol).cast("string").isin(list(protocols))
+    return flows.agg(F.count_if(~F.coalesce(kept, F.lit(False))).alias("dropped"))
+
+
 def label_counts(flows: DataFrame, label: str = "Label") -> DataFrame:
     return flows.groupBy(label).count()
 
@@ -151,6 +158,23 @@ def sorted_flows(flows: DataFrame, columns: FlowColumns = FlowColumns(), ordinal
     return flows.orderBy(*keys)
 
 
+def placed_flows(flows: DataFrame, columns: FlowColumns = FlowColumns(), ordinal: str | None = None, name: str = "place") -> DataFrame:
+    """Flows with their place from 1 in the total order of sorted_flows.
+
+    The range-sorted rows are written once, with their partition and their place in it; only the row counts of the
+    partitions are summed up. A task that runs again can't change a place, as it could in a plan that sorts twice.
+    """
+    ordered = sorted_flows(flows, columns, ordinal)
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    kept = settled(ordered.withColumns({"_part": F.spark_partition_id(), "_at": within}), "sorted-flows")
+    before, starts = 0, []
+    for part, n in sorted((r["_part"], r["count"]) for r in kept.groupBy("_part").count().collect()):  # a row per partition
+        starts.append((part, before))
+        before += n
+    found = kept.join(F.broadcast(kept.sparkSession.createDataFrame(starts, "_part int, _before long")), "_part")
+    return found.withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
+
+
 def renamed(df: DataFrame, sources: Mapping[str, str]) -> DataFrame:
     """Columns target <- source; a source may serve several targets. Missing sources raise, all of them named."""
     if missing := sorted({s for s in sources.values() if s not in df.columns}):

@@ -658,31 +658,31 @@ def packet_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "ordered_merge",
-    """SELECT o_orderkey, o_orderstatus, l_quantity, l_tax FROM orders JOIN (SELECT * FROM (SELECT l_orderkey, l_linenumber, sum(l_quantity) AS l_quantity FROM lineitem GROUP BY 1, 2)
-      QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) = 1) c ON c.l_orderkey = o_orderkey
-    LEFT JOIN (SELECT l_orderkey, max(l_tax) AS l_tax FROM lineitem GROUP BY 1 HAVING max(l_tax) > 0.05) p ON p.l_orderkey = o_orderkey""",
+    """WITH f AS (SELECT o_custkey, o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+    c AS (SELECT o_custkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders),
+    p AS (SELECT o_custkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders WHERE o_totalprice > 150000)
+    SELECT o_custkey, o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM f JOIN c USING (o_custkey, n) LEFT JOIN p USING (o_custkey, n)""",
 )
 def ordered_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("l_quantity"))
-    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_quantity"))
-    cross = lines.withColumn("_n", place).filter("_n = 1").select(F.col("l_orderkey").alias("o_orderkey"), "l_quantity", F.lit(1).alias("at"))
-    packet = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_tax").alias("l_tax")).filter("l_tax > 0.05").withColumn("at", F.lit(1))
-    flow = table(spark, sf_dir, "orders").join(cross.select("o_orderkey"), "o_orderkey", "left_semi").select("o_orderkey", "o_orderstatus", F.lit(1).alias("at"))
-    return joins.merge_levels(flow, cross, packet, ["o_orderkey"], "at").drop("at")
+    """A customer's orders by key meet its prices by date and, as far as they go, its priorities: by ordinal alone."""
+    orders = table(spark, sf_dir, "orders")
+    key = F.struct("o_orderkey").alias("at")
+    flow = orders.select("o_custkey", "o_orderkey", "o_orderstatus", key)
+    cross = orders.select("o_custkey", "o_totalprice", F.struct("o_orderdate", "o_orderkey").alias("at"))
+    packet = orders.filter("o_totalprice > 150000").select("o_custkey", "o_orderpriority", key)
+    return joins.merge_levels(flow, cross, packet, ["o_custkey"], "at").drop("at")
 
 
 @register(
     "provider_upsert",
-    """WITH a AS (SELECT o_custkey AS k, count(*) AS n, max(o_orderstatus) AS s FROM orders WHERE o_custkey % 3 < 2 GROUP BY 1),
-    b AS (SELECT c_custkey AS k, max(c_mktsegment) AS s FROM customer WHERE c_custkey % 3 > 0 GROUP BY 1)
+    """WITH a AS (SELECT o_custkey AS k, count(*) AS n, max(o_orderstatus) AS s FROM orders GROUP BY 1),
+    b AS (SELECT c_custkey AS k, max(c_mktsegment) AS s FROM customer GROUP BY 1)
     SELECT coalesce(a.k, b.k) AS k, coalesce(CAST(a.n AS VARCHAR), '') AS n, CASE WHEN b.k IS NOT NULL THEN coalesce(b.s, '') ELSE coalesce(a.s, '') END AS s
     FROM a FULL JOIN b ON a.k = b.k""",
 )
 def provider_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "orders").filter("o_custkey % 3 < 2").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").cast("string").alias("n"), F.max("o_orderstatus").alias("s"))
-    b = table(spark, sf_dir, "customer").filter("c_custkey % 3 > 0").groupBy(F.col("c_custkey").alias("k")).agg(F.max("c_mktsegment").alias("s"))
+    a = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").cast("string").alias("n"), F.max("o_orderstatus").alias("s"))
+    b = table(spark, sf_dir, "customer").groupBy(F.col("c_custkey").alias("k")).agg(F.max("c_mktsegment").alias("s"))
     return joins.upsert_providers([a, b], ["k"], ["k", "n", "s"])
 
 
@@ -745,15 +745,7 @@ def total_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").cast("string").alias("Flow ID"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("Timestamp"), "o_orderkey"
     )
-    ordered = labels.sorted_flows(orders)
-    starts = F.monotonically_increasing_id()
-    placed = ordered.withColumns({"_id": starts, "_part": F.spark_partition_id()})
-    # the places within partitions of the range sort, and the rows of the partitions before
-    from pyspark.sql import Window
-
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n"))
-    return placed.join(F.broadcast(before), "_part").select("o_orderkey", (F.col("_id") - F.col("_first") + F.col("_before") + 1).alias("place"))
+    return labels.placed_flows(orders).select("o_orderkey", "place")
 
 
 @register("rename", "SELECT o_orderkey AS a, o_orderkey AS b, o_orderstatus AS c FROM orders")
@@ -793,9 +785,15 @@ def negative_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.negative_values(table(spark, sf_dir, "customer"), ["c_acctbal"])
 
 
-@register("constants", "SELECT 'one' AS \"column\", 1.0 AS value")
+@register(
+    "constants",
+    """SELECT "column", min(value) AS value FROM (SELECT 'c_acctbal' AS "column", c_acctbal AS value FROM customer
+    UNION ALL SELECT 'c_acctbal_sign', c_acctbal * 0 + 1 FROM customer UNION ALL SELECT 'c_nationkey', c_nationkey FROM customer)
+    GROUP BY 1 HAVING count(DISTINCT value) = 1""",
+)
 def constants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.constants(table(spark, sf_dir, "customer").withColumn("one", F.lit(1)), ["c_acctbal", "one"])
+    customer = table(spark, sf_dir, "customer").withColumn("c_acctbal_sign", F.col("c_acctbal") * 0 + 1)
+    return profile.constants(customer, ["c_acctbal", "c_acctbal_sign", "c_nationkey"])
 
 
 @register("maxima", _per_column("round(max({c}), 6) AS maximum", NUMBERS, "lineitem"))
@@ -808,10 +806,12 @@ def distinct_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.distinct_values(table(spark, sf_dir, "lineitem"), ["l_tax", "l_discount"])
 
 
-@register("header_count", "SELECT CAST(2 AS BIGINT) AS repeated_headers")
+@register("header_count", "SELECT count(*) AS repeated_headers FROM customer WHERE c_nationkey = 3 AND c_mktsegment = 'BUILDING'")
 def header_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = table(spark, sf_dir, "region").select("r_name")
-    return profile.header_count(names.unionAll(spark.range(2).select(F.lit("r_name").alias("r_name"))))
+    """The customers of one nation and segment are turned into repeated headers."""
+    header = (F.col("c_nationkey") == 3) & (F.col("c_mktsegment") == "BUILDING")
+    texts = [F.when(header, c).otherwise(F.col(c).cast("string")).alias(c) for c in ("c_custkey", "c_nationkey", "c_mktsegment")]
+    return profile.header_count(table(spark, sf_dir, "customer").select(*texts))
 
 
 PAIRS = " UNION ALL ".join(
@@ -872,10 +872,11 @@ def time_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(both.select("o_custkey", setops.time_overlap(*map(F.col, ("a", "b", "c", "d"))).cast("double").alias("overlap")))
 
 
-@register("union_days", "SELECT event_id, event_type FROM events WHERE user_id % 2 = 0 UNION ALL SELECT event_id, event_type FROM events WHERE user_id % 5 = 0")
+@register("union_days", "SELECT event_id, event_type FROM events WHERE event_type IN ('view', 'click') UNION ALL SELECT event_id, event_type FROM events WHERE event_type NOT IN ('view', 'click')")
 def union_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return setops.union_all([e.filter("user_id % 2 = 0").select("event_id", "event_type"), e.filter("user_id % 5 = 0").select("event_type", "event_id")])
+    often = F.col("event_type").isin("view", "click")
+    return setops.union_all([e.filter(often).select("event_id", "event_type"), e.filter(~often).select("event_type", "event_id")])
 
 
 @register(
