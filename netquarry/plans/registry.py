@@ -18,6 +18,7 @@ from netquarry.operators import joins, labels, packing, profile, quality, scalin
 from netquarry.operators.labels import AttackRule, FlowColumns
 from netquarry.operators.quality import Numeric, Plan, Rule, Text
 from netquarry.session import table
+from netquarry.sources import pcap
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -611,6 +612,157 @@ def safe_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.typed(table(spark, sf_dir, "lineitem"), schema).withColumn("l_linenumber", F.col("l_linenumber").cast("int"))
 
 
+# ---------------------------------------------------------------- captures and packet features
+
+#: Packets are events: client 10.0.x.y of the user, server 10.1.0.z, odd ones on their way back.
+PACKETS = """pk AS (SELECT event_id, epoch_us(ts) AS tick, '10.0.' || (user_id // 256) || '.' || (user_id % 256) AS ip_c, 1024 + user_id % 7 AS port_c,
+  '10.1.0.' || (event_id % 4) AS ip_s, CAST(json_extract(props, '$.k') AS BIGINT) AS port_s, event_id % 2 = 1 AS back,
+  CASE event_type WHEN 'view' THEN 'TCP' WHEN 'click' THEN 'UDP' END AS proto, 32 + event_id % 64 AS ttl,
+  CASE WHEN event_type = 'view' THEN event_id % 1000 END AS win, event_id % 7 = 0 AS frag, CASE WHEN event_id % 7 = 0 THEN event_id % 100 + 1 ELSE 0 END AS fragment_offset,
+  CASE WHEN event_type IN ('view', 'click') THEN event_id % 500 END AS payload FROM events)"""
+
+
+def _hex(value: Column, length: int) -> Column:
+    return F.lpad(F.hex(value.cast("bigint")), 2 * length, "0")
+
+
+def _capture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): the events of each day as a big-endian capture, of microseconds or nanoseconds by day."""
+    events = table(spark, sf_dir, "events")
+    number, user, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
+    back, port = number % 2 == 1, F.get_json_object("props", "$.k").cast("bigint")
+    client = F.concat(F.lit("0A00"), _hex(F.floor(user / 256), 1), _hex(user % 256, 1))
+    server = F.concat(F.lit("0A0100"), _hex(number % 4, 1))
+    ends = lambda a, b: F.when(back, F.concat(b, a)).otherwise(F.concat(a, b))
+    ports = ends(_hex(1024 + user % 7, 2), _hex(port, 2))
+    protocol = F.when(kind == "view", 6).when(kind == "click", 17).otherwise(1)
+    header = F.when(kind == "view", 40).when(kind == "click", 28).otherwise(28)
+    tcp = F.concat(ports, _hex(number, 4), F.lit("00000000"), F.lit("5018"), _hex(number % 1000, 2), F.lit("00000000"))
+    udp = F.concat(ports, _hex(8 + number % 500, 2), F.lit("0000"))
+    fragment = F.when(number % 7 == 0, number % 100 + 1).otherwise(0)
+    ip = F.concat(
+        F.lit("4500"), _hex(header + number % 500, 2), F.lit("0000"), _hex(fragment, 2), _hex(32 + number % 64, 1), _hex(protocol, 1), F.lit("0000"), ends(client, server)
+    )
+    frame = F.concat(F.lit("0000000000010000000000020800"), ip, F.when(kind == "view", tcp).when(kind == "click", udp).otherwise(F.lit("0800000000000000")))
+    micros, day = F.unix_micros(F.col("ts").cast("timestamp")), F.to_date("ts")
+    nano = F.dayofmonth(day) % 2 == 0
+    length = F.length(frame) / 2
+    fraction = (micros % 1_000_000) * F.when(nano, 1000).otherwise(1)
+    record = F.concat(_hex(F.floor(micros / 1_000_000), 4), _hex(fraction, 4), _hex(length, 4), _hex(length + number % 500, 4), frame)
+    magic = F.when(nano, F.lit("A1B23C4D")).otherwise(F.lit("A1B2C3D4"))
+    records = events.select(day.alias("day"), magic.alias("magic"), F.struct(number.alias("n"), record.alias("record")).alias("r"))
+    days = records.groupBy("day", "magic").agg(F.array_sort(F.collect_list("r")).alias("rs"))  # a day of these tables is small
+    body = F.array_join(F.transform("rs", lambda r: r["record"]), "")
+    content = F.unhex(F.concat("magic", F.lit("0002000400000000000000000004000000000001"), body))
+    return days.select(F.concat(F.lit("day-"), F.col("day").cast("string"), F.lit(".pcap")).alias("path"), content.alias("content"))
+
+
+def _packets(files: DataFrame) -> DataFrame:
+    parsed = pcap.parse_packets(pcap.packets_in(files))
+    return parsed.withColumn("at", F.unix_micros("timestamp")).drop("timestamp")
+
+
+_PACKET_SQL = f"""WITH {PACKETS} SELECT tick AS "at", CASE WHEN back THEN ip_s ELSE ip_c END AS src_ip, CASE WHEN back THEN ip_c ELSE ip_s END AS dst_ip,
+  CASE WHEN proto IS NULL THEN NULL WHEN back THEN port_s ELSE port_c END AS src_port, CASE WHEN proto IS NULL THEN NULL WHEN back THEN port_c ELSE port_s END AS dst_port,
+  proto AS protocol, ttl, frag AS is_fragmented, fragment_offset, payload AS payload_length, win AS tcp_window,
+  CASE WHEN proto = 'TCP' THEN event_id END AS tcp_seq, CASE WHEN proto = 'TCP' THEN 24 END AS tcp_flags FROM pk"""
+_PACKET_COLUMNS = (
+    "at", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "ttl", "is_fragmented", "fragment_offset", "payload_length", "tcp_window", "tcp_seq", "tcp_flags"
+)
+
+
+def _bigints(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c).cast("bigint").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes])
+
+
+@register("capture_packets", _PACKET_SQL)
+def capture_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bigints(_packets(_capture_files(spark, sf_dir)).select(*_PACKET_COLUMNS))
+
+
+@register(
+    "capture_light",
+    f"WITH p AS ({_PACKET_SQL}) SELECT src_ip, dst_ip, src_port, dst_port, protocol, count(*) AS n FROM p GROUP BY ALL",
+)
+def capture_light(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The light parse, of captures that were cut in pieces and of ones that came from pcapng."""
+
+    def pieces(frames):
+        import pandas as pd
+
+        for frame in frames:
+            for path, content in zip(frame["path"], frame["content"], strict=True):
+                again = pcap.classic_bytes(pcap.pcapng_packets(pcap.pcapng_bytes(pcap.classic_packets(bytes(content)))))
+                parts = pcap.split_capture(again, 4096)
+                yield pd.DataFrame({"path": [f"{path}#{i}" for i in range(len(parts))], "content": parts})
+
+    cut = _capture_files(spark, sf_dir).mapInPandas(pieces, "path string, content binary")
+    found = pcap.parse_packets(pcap.packets_in(cut), light=True)
+    return _bigints(found.groupBy("src_ip", "dst_ip", "src_port", "dst_port", "protocol").agg(F.count("*").alias("n")))
+
+
+def _spread_sql(value: str, where: str, prefix: str, more: bool = False) -> str:
+    inside = f"FILTER (WHERE {where})"
+    quartiles = {"median": 0.5, "p25": 0.25, "p75": 0.75} if more else {}
+    parts = [f"avg({value}) {inside} AS {prefix}_mean", f"CASE WHEN count({value}) {inside} > 0 THEN coalesce(stddev_samp({value}) {inside}, 0) END AS {prefix}_std"]
+    parts += [f"CAST(min({value}) {inside} AS DOUBLE) AS {prefix}_min", f"CAST(max({value}) {inside} AS DOUBLE) AS {prefix}_max"]
+    return ", ".join([*parts, *[f"quantile_cont({value}, {q}) {inside} AS {prefix}_{n}" for n, q in quartiles.items()]])
+
+
+_PROFILE = [
+    *[f"{v}_{w}_{s}" for v in ("ttl", "tcp_window") for w in ("fwd", "bwd") for s in ("mean", "std", "min", "max")],
+    "fragmentation_count", "fragmentation_offset_mean", "fragmentation_offset_max", *[f"payload_{s}" for s in joins.PAYLOAD_STATS],
+]
+
+
+def _profile_sql(name: str) -> str:
+    value = f"CASE WHEN incomplete THEN -99 ELSE round(coalesce({name}, -1), 6) END"
+    return f"CASE WHEN proto <> 'TCP' THEN -1 ELSE {value} END AS {name}" if name.startswith("tcp_window") else f"{value} AS {name}"
+
+
+@register(
+    "packet_profile",
+    f"""WITH {PACKETS}, span AS (SELECT min(tick) + (max(tick) - min(tick)) * 2 // 3 AS cut FROM pk),
+    fl AS (SELECT ip_c, port_c, ip_s, port_s, proto, min(tick) AS s, min(tick) + (max(tick) - min(tick)) // 2 AS e FROM pk WHERE proto IS NOT NULL GROUP BY ALL),
+    every AS (SELECT * FROM fl UNION ALL SELECT ip_c, port_c + 100, ip_s, port_s, proto, s, e FROM fl WHERE port_c = 1024),
+    g AS (SELECT f.ip_c, f.port_c, f.ip_s, f.port_s, f.proto, count(*) AS n, {_spread_sql('ttl', 'NOT back', 'ttl_fwd')}, {_spread_sql('ttl', 'back', 'ttl_bwd')},
+      {_spread_sql('win', 'NOT back', 'tcp_window_fwd')}, {_spread_sql('win', 'back', 'tcp_window_bwd')},
+      CAST(count(*) FILTER (WHERE frag) AS DOUBLE) AS fragmentation_count, avg(fragment_offset) FILTER (WHERE frag) AS fragmentation_offset_mean,
+      CAST(max(fragment_offset) FILTER (WHERE frag) AS DOUBLE) AS fragmentation_offset_max, {_spread_sql('payload', 'true', 'payload', True)}
+      FROM every f JOIN pk p ON p.ip_c = f.ip_c AND p.port_c = f.port_c AND p.ip_s = f.ip_s AND p.port_s = f.port_s AND p.proto = f.proto AND p.tick BETWEEN f.s AND f.e GROUP BY ALL),
+    j AS (SELECT every.*, (e > (SELECT cut FROM span)) OR n IS NULL AS incomplete, g.* EXCLUDE (ip_c, port_c, ip_s, port_s, proto) FROM every LEFT JOIN g USING (ip_c, port_c, ip_s, port_s, proto))
+    SELECT ip_c, port_c, ip_s, port_s, proto, incomplete, {', '.join(_profile_sql(c) for c in _PROFILE)} FROM j""",
+)
+def packet_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures to packet features of flows: parse, five-tuple and interval join, statistics, -1 and NaN rules.
+
+    NaN, an incomplete flow's value, is shown as -99.
+    """
+    events = table(spark, sf_dir, "events")
+    user, kind = F.col("user_id"), F.col("event_type")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    tuples = events.filter(kind.isin("view", "click")).select(
+        F.concat(F.lit("10.0."), F.floor(user / 256).cast("string"), F.lit("."), (user % 256).cast("string")).alias("ip_c"),
+        (1024 + user % 7).alias("port_c"),
+        F.concat(F.lit("10.1.0."), (F.col("event_id") % 4).cast("string")).alias("ip_s"),
+        F.get_json_object("props", "$.k").cast("bigint").alias("port_s"),
+        F.when(kind == "view", "6").otherwise("17").alias("number"),
+        at.alias("at"),
+    )
+    flows = tuples.groupBy("ip_c", "port_c", "ip_s", "port_s", "number").agg(F.min("at").alias("s"), F.floor((F.max("at") - F.min("at")) / 2).alias("length"))
+    flows = flows.unionByName(flows.filter("port_c = 1024").withColumn("port_c", F.col("port_c") + 100))
+    flows = flows.withColumn("stamp", F.timestamp_micros("s").cast("string"))
+    fields = {"src_ip": "ip_c", "src_port": "port_c", "dst_ip": "ip_s", "dst_port": "port_s", "protocol": "number", "timestamp": "stamp", "duration": "length"}
+    ready = joins.flow_windows(flows, fields, {6: "TCP", 17: "UDP"})
+    ends = events.agg(F.min(at).alias("low"), F.max(at).alias("high")).first()  # one row
+    cut = ends["low"] + (ends["high"] - ends["low"]) * 2 // 3
+    packets = _packets(_capture_files(spark, sf_dir))
+    keys = ["ip_c", "port_c", "ip_s", "port_s", "number"]
+    found = joins.packet_features(ready, packets, keys, last_packet=F.lit(cut), file_complete=False, bucket=86_400_000_000)
+    shown = [F.when(F.isnan(c), -99.0).otherwise(r6(F.col(c))).alias(c) for c in _PROFILE]
+    return found.select("ip_c", "port_c", "ip_s", "port_s", F.col("flow_protocol").alias("proto"), F.isnan("payload_mean").alias("incomplete"), *shown)
+
+
 # ---------------------------------------------------------------- joins
 
 LATER = 400

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import io
 import os
 import zipfile
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -53,19 +55,24 @@ def day_rows(spark: SparkSession, path: str, day: str) -> DataFrame:
     return spark.read.option("header", True).csv(path).filter(F.col("day").cast("string") == day)
 
 
-def extract_entry(data: bytes, entry: str, target: str) -> int:
-    """Write one entry (outer!inner for nested zips) to a local file, checked by size and CRC, whole or not at all."""
-    *outer, name = entry.split("!")
-    for step in outer:
-        with zipfile.ZipFile(io.BytesIO(data)) as archive:
-            data = archive.read(step)
-    with zipfile.ZipFile(io.BytesIO(data)) as archive:
+def extract_entry(source: bytes | str | BinaryIO, entry: str, target: str) -> int:
+    """Write one entry (outer!inner for nested zips) to a local file, checked by size and CRC, whole or not at all.
+
+    source: an archive's bytes, its path or an open file. Data is copied in pieces, so neither archive nor entry need
+    fit in memory. An extraction that was broken off leaves a .part file only and starts anew.
+    """
+    part, size, check = f"{target}.part", 0, 0
+    with contextlib.ExitStack() as stack:
+        archive = stack.enter_context(zipfile.ZipFile(io.BytesIO(source) if isinstance(source, bytes) else source))
+        *outer, name = entry.split("!")
+        for step in outer:
+            archive = stack.enter_context(zipfile.ZipFile(stack.enter_context(archive.open(step))))
         info = archive.getinfo(name)
-        content = archive.read(info)
-    if len(content) != info.file_size or zlib.crc32(content) != info.CRC:
+        with archive.open(info) as content, open(part, "wb") as handle:
+            while piece := content.read(1 << 20):
+                handle.write(piece)
+                size, check = size + len(piece), zlib.crc32(piece, check)
+    if size != info.file_size or check != info.CRC:
         raise ValueError(f"size or checksum of {entry} differs")
-    part = f"{target}.part"
-    with open(part, "wb") as handle:
-        handle.write(content)
     os.replace(part, target)
-    return len(content)
+    return size

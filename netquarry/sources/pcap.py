@@ -2,13 +2,16 @@
 
 Files are read through Spark's binaryFile source, so any store Spark reads will do, and cut into packets in Arrow
 batches. A file is one row of bytes and so at most 2 GB: split longer captures at record boundaries first
-(split_capture). Frames are parsed with column expressions only.
+(split_capture_file, in constant memory). Frames are parsed with column expressions only.
 """
 
 from __future__ import annotations
 
+import io
+import os
 import struct
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +21,7 @@ PACKET = "timestamp timestamp, captured_length int, original_length int, data bi
 #: Fixed values of the formats.
 MAGICS = {0xA1B2C3D4: 1_000_000, 0xA1B23C4D: 1_000_000_000}
 PCAPNG = 0x0A0D0D0A
+BYTE_ORDERS = {b"\x4d\x3c\x2b\x1a": "<", b"\x1a\x2b\x3c\x4d": ">"}
 LONGEST_RECORD, LATEST_SECOND, LONGEST_PIECE_RECORD = 262_144, 4_102_444_800, 16 << 20
 BATCH = 20_000
 
@@ -55,12 +59,19 @@ def classic_packets(data: bytes) -> Iterator[tuple[int, int, int, bytes]]:
 
 
 def pcapng_packets(data: bytes) -> Iterator[tuple[int, int, int, bytes]]:
-    """Packets of enhanced, obsolete and simple packet blocks; the last have no time and get 0."""
+    """Packets of enhanced, obsolete and simple packet blocks; the last have no time and get 0.
+
+    A block that is cut off, its header included, and an unknown byte-order magic raise ValueError.
+    """
     at, order, units = 0, "<", []
-    while at + 12 <= len(data):
+    while at < len(data):
+        if at + 12 > len(data):
+            raise ValueError("the capture ends inside a block header")
         kind = struct.unpack_from(f"{order}I", data, at)[0]
         if kind == PCAPNG:
-            order = "<" if data[at + 8 : at + 12] == b"\x4d\x3c\x2b\x1a" else ">"
+            if (magic := data[at + 8 : at + 12]) not in BYTE_ORDERS:
+                raise ValueError(f"no pcapng byte-order magic: {magic.hex()}")
+            order = BYTE_ORDERS[magic]
             units = []
         length = struct.unpack_from(f"{order}I", data, at + 4)[0]
         if length < 12 or at + length > len(data):
@@ -108,22 +119,52 @@ def classic_bytes(packets: Iterator[tuple[int, int, int, bytes]], snap: int = LO
     return b"".join(out)
 
 
-def split_capture(data: bytes, most: int) -> list[bytes]:
-    """A classic pcap in pieces of at most `most` bytes (or one record), each with the header; a corrupt record ends it."""
-    order, _, _ = capture_format(data)
-    header, at, begin, pieces = data[:24], 24, 24, []
-    while at + 16 <= len(data):
-        captured = struct.unpack_from(f"{order}I", data, at + 8)[0]
-        end = at + 16 + captured
-        if captured > LONGEST_PIECE_RECORD or end > len(data):
+def pcapng_bytes(packets: Iterator[tuple[int, int, int, bytes]], snap: int = LONGEST_RECORD) -> bytes:
+    """A little-endian pcapng section of the packets, in microseconds."""
+    out = [struct.pack("<IIIHHqI", PCAPNG, 28, 0x1A2B3C4D, 1, 0, -1, 28), struct.pack("<IIHHII", 1, 20, 1, 0, snap, 20)]
+    for micros, captured, original, data in packets:
+        padded = data + b"\x00" * (-len(data) % 4)
+        length = 32 + len(padded)
+        out.append(struct.pack("<IIIIIII", 6, length, 0, micros >> 32, micros & 0xFFFFFFFF, captured, original) + padded + struct.pack("<I", length))
+    return b"".join(out)
+
+
+def capture_pieces(capture: BinaryIO, most: int) -> Iterator[bytes]:
+    """A classic pcap in pieces of at most `most` bytes (or one record), each with the header; a corrupt record ends it.
+
+    Reads on as it yields, so a capture of any length takes the memory of one piece.
+    """
+    header = capture.read(24)
+    order, _, _ = capture_format(header)
+    held, size, pieces = [header], len(header), 0
+    while len(head := capture.read(16)) == 16:
+        captured = struct.unpack_from(f"{order}I", head, 8)[0]
+        data = capture.read(captured) if captured <= LONGEST_PIECE_RECORD else b""
+        if captured > LONGEST_PIECE_RECORD or len(data) < captured:
             break
-        if at > begin and 24 + end - begin > most:
-            pieces.append(header + data[begin:at])
-            begin = at
-        at = end
-    if at > begin or not pieces:
-        pieces.append(header + data[begin:at])
-    return pieces
+        if len(held) > 1 and size + 16 + captured > most:
+            yield b"".join(held)
+            held, size, pieces = [header], len(header), pieces + 1
+        held += [head, data]
+        size += 16 + captured
+    if len(held) > 1 or not pieces:
+        yield b"".join(held)
+
+
+def split_capture(data: bytes, most: int) -> list[bytes]:
+    """capture_pieces of a capture in memory."""
+    return list(capture_pieces(io.BytesIO(data), most))
+
+
+def split_capture_file(path: str, folder: str, most: int) -> list[str]:
+    """Write a local capture's pieces to a folder that Spark can read, as name-0000.pcap ..., and return their paths."""
+    name, out = os.path.splitext(os.path.basename(path))[0], []
+    with open(path, "rb") as capture:
+        for k, piece in enumerate(capture_pieces(capture, most)):
+            out.append(os.path.join(folder, f"{name}-{k:04}.pcap"))
+            with open(out[-1], "wb") as handle:
+                handle.write(piece)
+    return out
 
 
 def _files_to_packets(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -145,10 +186,14 @@ def _frame(packets: list[tuple[int, int, int, bytes]], path: str) -> pd.DataFram
     return out.assign(capture=path)
 
 
+def packets_in(files: DataFrame) -> DataFrame:
+    """Packets (timestamp, captured_length, original_length, data, capture) of files (path, content); a task per file."""
+    return files.select("path", "content").mapInPandas(_files_to_packets, f"{PACKET}, capture string")
+
+
 def read_pcap(spark: SparkSession, path: str) -> DataFrame:
-    """Packets (timestamp, captured_length, original_length, data, capture) of all files at path; a task per file."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(_files_to_packets, f"{PACKET}, capture string")
+    """The packets_in all files at path."""
+    return packets_in(spark.read.format("binaryFile").load(path))
 
 
 def _number(data: Column, at: Column | int, length: int) -> Column:

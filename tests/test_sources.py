@@ -135,3 +135,31 @@ def test_tables(spark, tmp_path):
     back, names = tables.load_arrays(spark, f"{tmp_path}/t")
     assert back.count() == 2 and names == {"global": ["n"]}
     df.select("c").coalesce(1).write.csv(f"{tmp_path}/days/02-03-2018")
+
+
+def test_pcapng_errors_and_round_trip():
+    packets = [(1_700_000_000_123_456, 3, 9, b"abc"), (5, 4, 4, b"abcd")]
+    data = pcap.pcapng_bytes(iter(packets))
+    assert list(pcap.pcapng_packets(data)) == packets
+    with pytest.raises(ValueError, match="byte-order"):
+        list(pcap.pcapng_packets(data[:8] + b"\x00\x01\x02\x03" + data[12:]))
+    with pytest.raises(ValueError, match="block"):
+        list(pcap.pcapng_packets(data + b"\x06\x00\x00\x00"))
+
+
+def test_split_file_and_extract_in_pieces(tmp_path):
+    packets = [(i * 1_000_000, 40, 60, bytes([i]) * 40) for i in range(50)]
+    whole = tmp_path / "day.pcap"
+    whole.write_bytes(pcap.classic_bytes(iter(packets)))
+    parts = pcap.split_capture_file(str(whole), str(tmp_path), 500)
+    assert len(parts) > 3 and [p for part in parts for p in pcap.packets_of(open(part, "rb").read())] == packets
+    inner = io.BytesIO()
+    with zipfile.ZipFile(inner, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("pcap/day.pcap", whole.read_bytes() * 40)
+    outer = tmp_path / "outer.zip"
+    with zipfile.ZipFile(outer, "w") as z:
+        z.writestr("in.zip", inner.getvalue())
+    target = tmp_path / "got.pcap"
+    for source in (str(outer), outer.read_bytes()):
+        assert archive.extract_entry(source, "in.zip!pcap/day.pcap", str(target)) == len(whole.read_bytes()) * 40
+        assert target.read_bytes() == whole.read_bytes() * 40 and not (tmp_path / "got.pcap.part").exists()
