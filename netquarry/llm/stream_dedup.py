@@ -108,19 +108,21 @@ def stream_dedup(
     whatever their names.
     """
     state = written(spark, caught_up(spark, path, id_col, text_col, digest, batch_bytes), "dedup-state")
-    rows = _located(_table(spark, path, id_col, text_col), id_col, text_col, digest)
-    # only contents of digests that were hit are dealt out; copies collapse where they are read
-    hits = likely_in(rows.select("digest", "content"), "digest", state.filter("group_size > 1").select("digest"))
-    mixed = hits.distinct().groupBy("digest").count().filter("count > 1").select("digest")
-    mixed = written(spark, mixed, "dedup-mixed")
-    slim = rows.select("id", "place", "digest")
+    table = _table(spark, path, id_col, text_col)
+    rows = written(spark, _located(table, id_col, text_col, digest).select("id", "place", "digest"), "dedup-rows")
+    joined = written(spark, join_counted(rows, state, ["digest"], "group_size"), "dedup-joined")
+    # only contents of digests that were hit are made and dealt out; copies collapse where they are read
+    hit = joined.filter("group_size > 1").select(F.xxhash64("place.file", "place.row").alias("at"))
+    place = F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index")).alias("at")
+    contents = likely_in(table.select(F.col(text_col).alias("text"), place), "at", hit).select(squeezed(F.col("text")).alias("content"))
+    contents = contents.select(digest(F.col("content")).alias("digest"), "content").distinct()
+    mixed = written(spark, contents.groupBy("digest").count().filter("count > 1").select("digest"), "dedup-mixed")
     if mixed.isEmpty():
-        return _decided(join_counted(slim, state, ["digest"], "group_size")).withColumnRenamed("id", id_col)
-    apart = rows.join(mixed, "digest", "left_semi")
+        return _decided(joined).withColumnRenamed("id", id_col)
+    apart = _located(table, id_col, text_col, digest).join(mixed, "digest", "left_semi")
     by_content = apart.groupBy("digest", "content").agg(F.count("*").alias("group_size"), F.max("place").alias("stays"))
     resolved = apart.join(by_content, ["digest", "content"]).select("id", "place", "digest", "group_size", "stays")
-    sure = join_counted(slim.join(mixed, "digest", "left_anti"), state.join(mixed, "digest", "left_anti"), ["digest"], "group_size")
-    return _decided(sure).unionByName(_decided(resolved)).withColumnRenamed("id", id_col)
+    return _decided(joined.join(mixed, "digest", "left_anti")).unionByName(_decided(resolved)).withColumnRenamed("id", id_col)
 
 
 def _decided(rows: DataFrame) -> DataFrame:
