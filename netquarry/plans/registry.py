@@ -248,13 +248,39 @@ def window_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("attack_types_present", F.array_join("attack_types_present", ","))
 
 
-@register("window_tensors")
+@register(
+    "window_tensors",
+    f"""WITH {EDGES}, g AS ({GLOBAL_SQL.replace('round(avg(bytes), 6)', 'avg(bytes)')}),
+    parts AS (SELECT window_start, 'global' AS part, 0 AS i, 0 AS j, CAST(flow_count AS FLOAT) AS value FROM g UNION ALL SELECT window_start, 'global', 0, 1, CAST(bytes_mean AS FLOAT) FROM g
+      UNION ALL SELECT window_start, 'host', place, 0, CAST(out_bytes_sum AS FLOAT) FROM top UNION ALL SELECT window_start, 'host', place, 1, CAST(in_bytes_sum AS FLOAT) FROM top
+      UNION ALL SELECT window_start, 'mask', place, 0, 1 FROM top UNION ALL SELECT window_start, 'adjacency', i, j, 1 FROM inner_edges
+      UNION ALL SELECT window_start, 'edge', i, j, CAST(bytes_sum AS FLOAT) FROM inner_edges)
+    SELECT window_start, part, CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(CAST(value AS DOUBLE), 2) AS value FROM parts WHERE value <> 0""",
+)
 def window_tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dense arrays of each window, of which the places that aren't 0 are shown."""
     top = _top(spark, sf_dir)
     edges = states.edges_between(_edges(spark, sf_dir), top)
-    return states.window_tensors(
+    made = states.window_tensors(
         _global(spark, sf_dir), top, edges, global_columns=["flow_count", "bytes_mean"], host_columns=["out_bytes_sum", "in_bytes_sum"], edge_columns=["bytes_sum"], k=10
     )
+    return shown_tensors(made)
+
+
+def shown_tensors(made: DataFrame) -> DataFrame:
+    """(window_start, part, i, j, value) of the places of window_tensors that aren't 0; edges by their first feature."""
+    cell = lambda part, i, j, value: F.struct(
+        F.lit(part).alias("part"), F.lit(i).cast("int").alias("i") if isinstance(i, int) else i.cast("int").alias("i"), j.cast("int").alias("j"), value.cast("double").alias("value")
+    )
+    rows = F.concat(
+        F.transform("global", lambda v, j: cell("global", 0, j, v)),
+        F.flatten(F.transform("host", lambda h, i: F.transform(h, lambda v, j: cell("host", i, j, v)))),
+        F.transform("host_mask", lambda v, i: cell("mask", i, F.lit(0), v)),
+        F.flatten(F.transform("adjacency", lambda row, i: F.transform(row, lambda v, j: cell("adjacency", i, j, v)))),
+        F.flatten(F.transform("edge", lambda row, i: F.transform(row, lambda v, j: cell("edge", i, j, v[0])))),
+    )
+    flat = made.select("window_start", F.explode(F.filter(rows, lambda r: r["value"] != 0)).alias("r"))
+    return flat.select("window_start", "r.part", "r.i", "r.j", F.round("r.value", 2).alias("value"))
 
 
 # ---------------------------------------------------------------- scaling
@@ -1075,3 +1101,6 @@ def text_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = items(spark, sf_dir)
     flag = quality.schema_flags(df, {"stamp": Text(False, quality.TIMESTAMP_FORMATS)})["stamp"]
     return df.select("l_orderkey", "l_linenumber", flag.alias("invalid"))
+
+
+from netquarry.plans import job_queries  # noqa: E402, F401  registers the queries of whole jobs
