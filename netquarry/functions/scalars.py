@@ -18,12 +18,22 @@ def risk_band(score: Column) -> Column:
     return F.when(score >= 90, "CRITICAL").when(score >= 70, "HIGH").when(score >= 50, "MEDIUM").otherwise("LOW")
 
 
+# What becomes of an entry's name, in this order (pattern, replacement).
+NAME_STEPS = (
+    (r"(?i)\.pcap$", ""),
+    (r"(?i)part\s+(\d)", "part$1"),
+    (r"\s+", "-"),
+    (r"-{2,}", "-"),
+    (r"-+$", ""),
+)
+
+
 def capture_name(day: Column, entry: Column) -> Column:
     """A capture's file name: the day, then the entry's name with `part N` joined and white space as single hyphens."""
-    stem = F.regexp_replace(F.element_at(F.split(entry, "/"), -1), r"(?i)\.pcap$", "")
-    stem = F.regexp_replace(stem, r"(?i)part\s+(\d)", "part$1")
-    stem = F.regexp_replace(F.regexp_replace(stem, r"\s+", "-"), "-{2,}", "-")
-    return F.concat(day, F.lit("-"), F.regexp_replace(stem, "-+$", ""), F.lit(".pcap"))
+    stem = F.element_at(F.split(entry, "/"), -1)
+    for pattern, by in NAME_STEPS:
+        stem = F.regexp_replace(stem, pattern, by)
+    return F.concat(day, F.lit("-"), stem, F.lit(".pcap"))
 
 
 def file_day(path: Column) -> Column:

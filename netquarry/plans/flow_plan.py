@@ -21,12 +21,12 @@ GROUPS = (
     (MEASURE, ("Subflow Fwd Packets", "Subflow Bwd Packets", "Subflow Fwd Bytes", "Subflow Bwd Bytes")),
     (MEASURE, ("Flow IAT Mean", "Flow IAT Std", "Fwd IAT Mean", "Fwd IAT Std", "Bwd IAT Mean", "Bwd IAT Std", "Active Mean", "Active Std", "Idle Mean", "Idle Std")),
     (COUNT, ("Flow Duration", "Flow IAT Max", "Flow IAT Min", "Fwd IAT Total", "Fwd IAT Max", "Fwd IAT Min", "Bwd IAT Total", "Bwd IAT Max", "Bwd IAT Min", "Active Max", "Active Min", "Idle Max", "Idle Min")),
-    (LENGTH, tuple(f"{way} Packet Length {s}" for way in ("Fwd", "Bwd") for s in ("Max", "Min", "Mean", "Std"))),
+    (LENGTH, ("Fwd Packet Length Max", "Fwd Packet Length Min", "Fwd Packet Length Mean", "Fwd Packet Length Std", "Bwd Packet Length Max", "Bwd Packet Length Min", "Bwd Packet Length Mean", "Bwd Packet Length Std")),
     (LENGTH, ("Packet Length Min", "Packet Length Max", "Packet Length Mean", "Packet Length Std")),
     (MEASURE, ("Packet Length Variance", "Flow Bytes/s", "Flow Packets/s", "Fwd Packets/s", "Bwd Packets/s", "Down/Up Ratio", "dst_port_scan_rate", "src_dst_pair_flow_rate")),
     (TCP, ("Init_Win_bytes_forward", "Init_Win_bytes_backward", "min_seg_size_forward")),
-    (COUNT, ("Fwd PSH Flags", "Bwd PSH Flags", "Fwd URG Flags", "Bwd URG Flags", *[f"{f} Flag Count" for f in ("FIN", "SYN", "RST", "PSH", "ACK", "URG", "CWE", "ECE")])),
-    (MEASURE, tuple(f"{way} Avg {what}" for what in ("Bytes/Bulk", "Packets/Bulk", "Bulk Rate") for way in ("Fwd", "Bwd"))),
+    (COUNT, ("Fwd PSH Flags", "Bwd PSH Flags", "Fwd URG Flags", "Bwd URG Flags", "FIN Flag Count", "SYN Flag Count", "RST Flag Count", "PSH Flag Count", "ACK Flag Count", "URG Flag Count", "CWE Flag Count", "ECE Flag Count")),
+    (MEASURE, ("Fwd Avg Bytes/Bulk", "Bwd Avg Bytes/Bulk", "Fwd Avg Packets/Bulk", "Bwd Avg Packets/Bulk", "Fwd Avg Bulk Rate", "Bwd Avg Bulk Rate")),
     (COUNT, ("dst_port_unique_cnt",)),
     (RATIO, ("dst_port_sequentiality",)),
     (MEASURE, ("dst_port_entropy",)),
@@ -38,6 +38,7 @@ GROUPS = (
     (PAYLOAD, ("Payload Min",)),
     (COUNT, ("Retransmission Count",)),
 )
+# The columns that are dropped first.
 DROPPED = (
     "Fragmentation Count", "Fragmentation Offset Mean", "Fragmentation Offset Max", "Avg Fwd Segment Size", "Avg Bwd Segment Size", "Fwd Header Length.1", "Payload Max", "Average Packet Size",
 )
@@ -48,56 +49,82 @@ VALID_LABELS = (
     "Benign", "Bot", "Brute Force -Web", "Brute Force -XSS", "DDoS attacks-LOIC-HTTP", "DDoS attacks-HOIC", "DDoS attacks-LOIC-UDP", "DDOS attack-Hulk", "DDOS attack-GoldenEye", "DDOS attack-Slowloris",
     "DDOS attack-SlowHTTPTest", "FTP-BruteForce", "SSH-BruteForce", "Infilteration", "SQL Injection",
 )
-#: Labels a schedule may use for what VALID_LABELS names otherwise; for callers that want to keep those rows.
-LABEL_ALIASES = {
-    "SSH-Bruteforce": "SSH-BruteForce", "DoS attacks-GoldenEye": "DDOS attack-GoldenEye", "DoS attacks-Slowloris": "DDOS attack-Slowloris", "DoS attacks-Hulk": "DDOS attack-Hulk",
-    "DDOS attack-LOIC-UDP": "DDoS attacks-LOIC-UDP", "DDOS attack-HOIC": "DDoS attacks-HOIC",
-}
-
-_PER_SECOND = "( {0} ) / ( Flow Duration / 1000000 )"
-RATES = {
-    "R016": ("Flow Bytes/s", _PER_SECOND.format("Total Length of Fwd Packets + Total Length of Bwd Packets")),
-    "R017": ("Flow Packets/s", _PER_SECOND.format("Total Fwd Packets + Total Bwd Packets")),
-    "R018": ("Fwd Packets/s", _PER_SECOND.format("Total Fwd Packets")),
-    "R019": ("Bwd Packets/s", _PER_SECOND.format("Total Bwd Packets")),
-    "R022": ("Down/Up Ratio", "Total Bwd Packets / Total Fwd Packets"),
-    "R023": ("Packet Length Variance", "Packet Length Std ** 2"),
-}
-
-
-def _rules() -> list[Rule]:
-    ordered = {"R002": "Packet Length", "R003": "Fwd Packet Length", "R004": "Bwd Packet Length", "R005": "Active", "R006": "Idle", "R010": "Flow IAT", "R011": "Fwd IAT", "R012": "Bwd IAT"}
-    out = [Rule("R001", "0 <= Destination Port <= 65535")]
-    out += [Rule(k, f"{n} Min <= {n} Mean <= {n} Max") for k, n in ordered.items()]
-    out += [
-        Rule("R007", "act_data_pkt_fwd <= Total Fwd Packets"),
-        Rule("R008", "Fwd Header Length >= 0 AND Bwd Header Length >= 0"),
-        Rule("R009", "Active Max <= Flow Duration AND Idle Max <= Flow Duration"),
-        Rule("R014", "Flow Duration > 0"),
-        Rule("R015", "Label IN VALID_LABEL_SET", constants={"VALID_LABEL_SET": list(VALID_LABELS)}),
-    ]
-    # the comparisons stand on lines of their own, which matters under chain_scope "line"
-    out += [Rule(k, f"{e} - 0.000001\n<=\n{target}\n<=\n{e} + 0.000001", target=target) for k, (target, e) in RATES.items()]
-    windows = [f"TCP Window {way} {s}" for way in ("Fwd", "Bwd") for s in ("Mean", "Std", "Min", "Max")]
-    hops = [f"TTL {way} {s}" for way in ("Fwd", "Bwd") for s in ("Mean", "Std", "Min", "Max")]
-    out += [Rule(f"R{25 + i:03}", f"{c} == -1 OR {c} >= 0", target=c) for i, c in enumerate(windows)]
-    out += [Rule("R033", "Payload Min != -1", target="Payload Min"), Rule("R034", "Payload P25 != -1", target="Payload P25")]
-    for i, c in enumerate([*windows, *hops]):
-        none = f"Total {'Fwd' if 'Fwd' in c else 'Bwd'} Packets == 0"
-        out.append(Rule(f"G{1 + i:03}", f"{c} != -1", target=c, applies=f"Protocol != 6 OR {none}" if c in windows else none))
-    return out
-
-
-FORMULAS = (
-    {target: e for target, e in RATES.values()}
-    | {f"TCP Window {way} {s}": f"TCP Window {way} {s} + 65536" for way in ("Fwd", "Bwd") for s in ("Mean", "Std", "Min", "Max")}
-    | {"Payload Min": "Payload Min * 0", "Payload P25": "Payload P25 * 0"}
+# The rules. A comparison on a line of its own is read by itself under chain_scope "line".
+RULES = (
+    Rule("R001", "0 <= Destination Port <= 65535"),
+    Rule("R002", "Packet Length Min <= Packet Length Mean <= Packet Length Max"),
+    Rule("R003", "Fwd Packet Length Min <= Fwd Packet Length Mean <= Fwd Packet Length Max"),
+    Rule("R004", "Bwd Packet Length Min <= Bwd Packet Length Mean <= Bwd Packet Length Max"),
+    Rule("R005", "Active Min <= Active Mean <= Active Max"),
+    Rule("R006", "Idle Min <= Idle Mean <= Idle Max"),
+    Rule("R007", "act_data_pkt_fwd <= Total Fwd Packets"),
+    Rule("R008", "Fwd Header Length >= 0 AND Bwd Header Length >= 0"),
+    Rule("R009", "Active Max <= Flow Duration AND Idle Max <= Flow Duration"),
+    Rule("R010", "Flow IAT Min <= Flow IAT Mean <= Flow IAT Max"),
+    Rule("R011", "Fwd IAT Min <= Fwd IAT Mean <= Fwd IAT Max"),
+    Rule("R012", "Bwd IAT Min <= Bwd IAT Mean <= Bwd IAT Max"),
+    Rule("R014", "Flow Duration > 0"),
+    Rule("R015", "Label IN VALID_LABEL_SET", constants={"VALID_LABEL_SET": list(VALID_LABELS)}),
+    Rule("R016", "( Total Length of Fwd Packets + Total Length of Bwd Packets ) / ( Flow Duration / 1000000 ) - 0.000001\n<=\nFlow Bytes/s\n<=\n( Total Length of Fwd Packets + Total Length of Bwd Packets ) / ( Flow Duration / 1000000 ) + 0.000001", target="Flow Bytes/s"),
+    Rule("R017", "( Total Fwd Packets + Total Bwd Packets ) / ( Flow Duration / 1000000 ) - 0.000001\n<=\nFlow Packets/s\n<=\n( Total Fwd Packets + Total Bwd Packets ) / ( Flow Duration / 1000000 ) + 0.000001", target="Flow Packets/s"),
+    Rule("R018", "( Total Fwd Packets ) / ( Flow Duration / 1000000 ) - 0.000001\n<=\nFwd Packets/s\n<=\n( Total Fwd Packets ) / ( Flow Duration / 1000000 ) + 0.000001", target="Fwd Packets/s"),
+    Rule("R019", "( Total Bwd Packets ) / ( Flow Duration / 1000000 ) - 0.000001\n<=\nBwd Packets/s\n<=\n( Total Bwd Packets ) / ( Flow Duration / 1000000 ) + 0.000001", target="Bwd Packets/s"),
+    Rule("R022", "Total Bwd Packets / Total Fwd Packets - 0.000001\n<=\nDown/Up Ratio\n<=\nTotal Bwd Packets / Total Fwd Packets + 0.000001", target="Down/Up Ratio"),
+    Rule("R023", "Packet Length Std ** 2 - 0.000001\n<=\nPacket Length Variance\n<=\nPacket Length Std ** 2 + 0.000001", target="Packet Length Variance"),
+    Rule("R025", "TCP Window Fwd Mean == -1 OR TCP Window Fwd Mean >= 0", target="TCP Window Fwd Mean"),
+    Rule("R026", "TCP Window Fwd Std == -1 OR TCP Window Fwd Std >= 0", target="TCP Window Fwd Std"),
+    Rule("R027", "TCP Window Fwd Min == -1 OR TCP Window Fwd Min >= 0", target="TCP Window Fwd Min"),
+    Rule("R028", "TCP Window Fwd Max == -1 OR TCP Window Fwd Max >= 0", target="TCP Window Fwd Max"),
+    Rule("R029", "TCP Window Bwd Mean == -1 OR TCP Window Bwd Mean >= 0", target="TCP Window Bwd Mean"),
+    Rule("R030", "TCP Window Bwd Std == -1 OR TCP Window Bwd Std >= 0", target="TCP Window Bwd Std"),
+    Rule("R031", "TCP Window Bwd Min == -1 OR TCP Window Bwd Min >= 0", target="TCP Window Bwd Min"),
+    Rule("R032", "TCP Window Bwd Max == -1 OR TCP Window Bwd Max >= 0", target="TCP Window Bwd Max"),
+    Rule("R033", "Payload Min != -1", target="Payload Min"),
+    Rule("R034", "Payload P25 != -1", target="Payload P25"),
+    Rule("G001", "TCP Window Fwd Mean != -1", target="TCP Window Fwd Mean", applies="Protocol != 6 OR Total Fwd Packets == 0"),
+    Rule("G002", "TCP Window Fwd Std != -1", target="TCP Window Fwd Std", applies="Protocol != 6 OR Total Fwd Packets == 0"),
+    Rule("G003", "TCP Window Fwd Min != -1", target="TCP Window Fwd Min", applies="Protocol != 6 OR Total Fwd Packets == 0"),
+    Rule("G004", "TCP Window Fwd Max != -1", target="TCP Window Fwd Max", applies="Protocol != 6 OR Total Fwd Packets == 0"),
+    Rule("G005", "TCP Window Bwd Mean != -1", target="TCP Window Bwd Mean", applies="Protocol != 6 OR Total Bwd Packets == 0"),
+    Rule("G006", "TCP Window Bwd Std != -1", target="TCP Window Bwd Std", applies="Protocol != 6 OR Total Bwd Packets == 0"),
+    Rule("G007", "TCP Window Bwd Min != -1", target="TCP Window Bwd Min", applies="Protocol != 6 OR Total Bwd Packets == 0"),
+    Rule("G008", "TCP Window Bwd Max != -1", target="TCP Window Bwd Max", applies="Protocol != 6 OR Total Bwd Packets == 0"),
+    Rule("G009", "TTL Fwd Mean != -1", target="TTL Fwd Mean", applies="Total Fwd Packets == 0"),
+    Rule("G010", "TTL Fwd Std != -1", target="TTL Fwd Std", applies="Total Fwd Packets == 0"),
+    Rule("G011", "TTL Fwd Min != -1", target="TTL Fwd Min", applies="Total Fwd Packets == 0"),
+    Rule("G012", "TTL Fwd Max != -1", target="TTL Fwd Max", applies="Total Fwd Packets == 0"),
+    Rule("G013", "TTL Bwd Mean != -1", target="TTL Bwd Mean", applies="Total Bwd Packets == 0"),
+    Rule("G014", "TTL Bwd Std != -1", target="TTL Bwd Std", applies="Total Bwd Packets == 0"),
+    Rule("G015", "TTL Bwd Min != -1", target="TTL Bwd Min", applies="Total Bwd Packets == 0"),
+    Rule("G016", "TTL Bwd Max != -1", target="TTL Bwd Max", applies="Total Bwd Packets == 0"),
 )
-REPAIRABLE_RULES = frozenset([*RATES, *[f"R{k:03}" for k in range(25, 35)]])
-#: Columns that never make a row invalid.
+# What a repair writes, in this order.
+FORMULAS = {
+    "Flow Bytes/s": "( Total Length of Fwd Packets + Total Length of Bwd Packets ) / ( Flow Duration / 1000000 )",
+    "Flow Packets/s": "( Total Fwd Packets + Total Bwd Packets ) / ( Flow Duration / 1000000 )",
+    "Fwd Packets/s": "( Total Fwd Packets ) / ( Flow Duration / 1000000 )",
+    "Bwd Packets/s": "( Total Bwd Packets ) / ( Flow Duration / 1000000 )",
+    "Down/Up Ratio": "Total Bwd Packets / Total Fwd Packets",
+    "Packet Length Variance": "Packet Length Std ** 2",
+    "TCP Window Fwd Mean": "TCP Window Fwd Mean + 65536",
+    "TCP Window Fwd Std": "TCP Window Fwd Std + 65536",
+    "TCP Window Fwd Min": "TCP Window Fwd Min + 65536",
+    "TCP Window Fwd Max": "TCP Window Fwd Max + 65536",
+    "TCP Window Bwd Mean": "TCP Window Bwd Mean + 65536",
+    "TCP Window Bwd Std": "TCP Window Bwd Std + 65536",
+    "TCP Window Bwd Min": "TCP Window Bwd Min + 65536",
+    "TCP Window Bwd Max": "TCP Window Bwd Max + 65536",
+    "Payload Min": "Payload Min * 0",
+    "Payload P25": "Payload P25 * 0",
+}
+# The rules whose violation a formula mends.
+REPAIRABLE_RULES = frozenset({
+    "R016", "R017", "R018", "R019", "R022", "R023", "R025", "R026", "R027", "R028", "R029", "R030", "R031", "R032", "R033", "R034",
+})
+# Columns that never make a row invalid.
 IGNORED = frozenset({"Source Port", "Flow ID", "Source IP", "Destination IP"})
 
 
 def flow_plan(chain_scope: str = "line") -> Plan:
     """The plan for the whole flow table. chain_scope "expression" reads the tolerance rules as they are meant."""
-    return Plan(SCHEMA, _rules(), FORMULAS, REPAIRABLE_RULES, frozenset(SCHEMA) - frozenset(FORMULAS) - IGNORED, chain_scope)
+    return Plan(SCHEMA, RULES, FORMULAS, REPAIRABLE_RULES, frozenset(SCHEMA) - frozenset(FORMULAS) - IGNORED, chain_scope)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry.operators import labels
-from netquarry.plans import config, jobs
+from netquarry.operators import labels, quality
+from netquarry.plans import config, flow_plan, jobs
 from netquarry.plans.registry import CHECKED, HOSTS, LABELLED, WINDOWED, flows, items, register, shown_tensors
 from netquarry.session import fresh_path, table
 from netquarry.sources import tables
@@ -136,3 +136,27 @@ def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = shown_tensors(made).filter("part IN ('global', 'host', 'mask')").filter("value <> 0")
     marks = made.select("window_start", F.lit("label").alias("part"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("attack_presence").cast("double").alias("value"))
     return shown.unionByName(marks.filter("value <> 0"))
+
+
+@register(
+    "flow_table",
+    """SELECT l_orderkey || '-' || l_linenumber AS "Flow ID", CASE WHEN l_linenumber = 1 THEN 65436.0 ELSE 1.0 END AS "TCP Window Fwd Mean",
+    CAST(CASE WHEN l_linenumber = 2 THEN 0 ELSE 1 END AS BIGINT) AS "Payload Min", 'Benign' AS "Label", 109 AS columns
+    FROM lineitem WHERE l_returnflag <> 'A' AND l_orderkey % 5 <> 0 AND l_quantity <= 40""",
+)
+def flow_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole plan of the flow table over 109 columns: unknown labels, no duration and an impossible flag count go, two columns are mended."""
+    lines = table(spark, sf_dir, "lineitem")
+    row = {c: F.lit(1.0) for c in flow_plan.SCHEMA if c not in flow_plan.TEXTS} | {c: F.lit("x") for c in flow_plan.TEXTS}
+    row |= {"Flow Bytes/s": F.lit(2.0), "Flow Packets/s": F.lit(2.0), "Protocol": F.lit(6.0), "Timestamp": F.lit("2018-02-14 14:00:00")}
+    row |= {
+        "Flow ID": F.concat_ws("-", "l_orderkey", "l_linenumber"),
+        "Label": F.when(F.col("l_returnflag") == "A", "no such attack").otherwise("Benign"),
+        "Flow Duration": F.when(F.col("l_orderkey") % 5 == 0, 0.0).otherwise(1_000_000.0),
+        "FIN Flag Count": F.when(F.col("l_quantity") > 40, -2.0).otherwise(1.0),
+        "TCP Window Fwd Mean": F.when(F.col("l_linenumber") == 1, -100.0).otherwise(1.0),
+        "Payload Min": F.when(F.col("l_linenumber") == 2, -1.0).otherwise(1.0),
+    }
+    wide = lines.select(*[c.alias(n) for n, c in row.items()])
+    out = quality.typed(quality.clean_cycles(wide, flow_plan.flow_plan()), flow_plan.SCHEMA)
+    return out.select("Flow ID", "TCP Window Fwd Mean", "Payload Min", "Label", F.lit(len(out.columns)).alias("columns"))
