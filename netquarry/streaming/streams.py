@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 
@@ -11,6 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from netquarry.operators import states
+from netquarry.operators.states import StateColumns
+
 
 def windowed_state(flows: DataFrame, *, timestamp: str = "ts", length: str = "60 seconds", late: str = "2 minutes", sums: Sequence[str] = ()) -> DataFrame:
     """Flow count, sums and means per tumbling window; a window closes when the watermark has passed its end."""
@@ -22,6 +24,27 @@ def windowed_state(flows: DataFrame, *, timestamp: str = "ts", length: str = "60
     )
 
 
+def _windowed(flows: DataFrame, timestamp: str, length: str, late: str) -> DataFrame:
+    return flows.withWatermark(timestamp, late).withColumn("window", F.window(timestamp, length))
+
+
+def _from_start(found: DataFrame) -> DataFrame:
+    return found.select(F.col("window.start").alias("window_start"), *[c for c in found.columns if c != "window"])
+
+
+def host_state(flows: DataFrame, *, columns: StateColumns = StateColumns(), length: str = "60 seconds", late: str = "2 minutes", **features: Sequence[str]) -> DataFrame:
+    """host_features of a stream, in append mode: a window's hosts come when the watermark has passed its end.
+
+    features: sums, means and ratios as in host_features.
+    """
+    return _from_start(states.host_features(_windowed(flows, columns.timestamp, length, late), columns=columns, window="window", **features))
+
+
+def edge_state(flows: DataFrame, *, columns: StateColumns = StateColumns(), length: str = "60 seconds", late: str = "2 minutes", **features: Sequence[str]) -> DataFrame:
+    """edge_table of a stream, in append mode."""
+    return _from_start(states.edge_table(_windowed(flows, columns.timestamp, length, late), columns=columns, window="window", **features))
+
+
 def trailing_ports(flows: DataFrame, window_seconds: float = 300, idle: str = "1 hour", late: str = "2 minutes") -> DataFrame:
     """Distinct ports each source used in the seconds before a flow, not counting flows of the same instant.
 
@@ -35,7 +58,7 @@ def trailing_ports(flows: DataFrame, window_seconds: float = 300, idle: str = "1
         if state.hasTimedOut:
             state.remove()
             return
-        held = deque(json.loads(state.get[0])) if state.exists else deque()
+        held = deque(zip(*state.get, strict=True)) if state.exists else deque()
         rows = pd.concat(list(parts)).sort_values("ts", kind="stable")
         micros = rows["ts"].astype("datetime64[us]").astype("int64").to_numpy()
         if held and len(micros) and micros[0] < held[-1][0]:
@@ -60,7 +83,7 @@ def trailing_ports(flows: DataFrame, window_seconds: float = 300, idle: str = "1
             if not pd.isna(port):
                 waiting.append((int(at), int(port)))
         held.extend(waiting)
-        state.update((json.dumps(list(held)),))
+        state.update(([at for at, _ in held], [port for _, port in held]))
         state.setTimeoutTimestamp(max(int(micros[-1]) // 1000, state.getCurrentWatermarkMs()) + patience)
         yield rows.assign(dst_port_unique_cnt=found)[["src_ip", "ts", "dst_port", "dst_port_unique_cnt"]]
 
@@ -68,7 +91,7 @@ def trailing_ports(flows: DataFrame, window_seconds: float = 300, idle: str = "1
         flows.withWatermark("ts", late)
         .groupBy("src_ip")
         .applyInPandasWithState(
-            update, "src_ip string, ts timestamp, dst_port long, dst_port_unique_cnt long", "pairs string", "append", GroupStateTimeout.EventTimeTimeout
+            update, "src_ip string, ts timestamp, dst_port long, dst_port_unique_cnt long", "micros array<long>, ports array<long>", "append", GroupStateTimeout.EventTimeTimeout
         )
     )
 
