@@ -71,13 +71,14 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def _order_statistics(view: DataFrame, brackets: dict[tuple[int, int], tuple[float, float, float]]) -> dict[tuple[int, int], float]:
     """Interpolated order statistics of the columns c0, c1 ...: (column, number) to (low, high, place from 0).
 
-    The place, or the value before it, must lie in [low, high]; the next value above may lie beyond.
+    The values at a place and at the next one lie in [low, high], or are the nearest beyond it.
     """
     if not brackets:
         return {}
     below = [F.count_if(F.col(f"c{i}") < low) for (i, _), (low, _, _) in brackets.items()]
+    before = [F.max(F.when(F.col(f"c{i}") < low, F.col(f"c{i}"))) for (i, _), (low, _, _) in brackets.items()]
     above = [F.min(F.when(F.col(f"c{i}") > high, F.col(f"c{i}"))) for (i, _), (_, high, _) in brackets.items()]
-    ends = view.agg(*below, *above).first()  # one row
+    ends = view.agg(*below, *before, *above).first()  # one row
     inside = F.array(
         *[
             F.when(F.col(f"c{i}").between(low, high), F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), F.col(f"c{i}").alias("v")))
@@ -97,11 +98,13 @@ def _order_statistics(view: DataFrame, brackets: dict[tuple[int, int], tuple[flo
     values = {(r["i"], r["k"]): (r["a"], r["b"]) for r in found.collect()}  # a row per bracket
     out = {}
     for j, (key, (_, _, place)) in enumerate(brackets.items()):
+        at, part = int(place), place - int(place)
+        if at < ends[j] - 1:
+            raise RuntimeError(f"a bracket of column {key[0]} lies too high")
         a, b = values[key]
-        a = ends[n + j] if a is None else a
-        b = ends[n + j] if b is None else b
-        part = place - int(place)
-        out[key] = a if b is None or not part else a + (b - a) * part
+        a = ends[n + j] if at < ends[j] else ends[2 * n + j] if a is None else a
+        b = ends[2 * n + j] if b is None else b
+        out[key] = a + (b - a) * part if part else a
     return out
 
 
