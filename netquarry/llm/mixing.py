@@ -3,7 +3,8 @@
 Documents are aggregated by the set of sources they belong to (their pattern). A flow on the small graph
 pattern -> source routes words to the source quotas; a pattern's words cost nothing the first time and more for
 each repetition (convex), so repetition is used only where a quota can't be met otherwise. The flow is integral
-and is solved on the driver over at most max_patterns patterns, whatever the number of documents.
+and is solved on the driver over at most max_patterns patterns, whatever the number of documents; rarer patterns than those
+are served through the smallest of their sources.
 
 Documents are then selected by seed: within a pattern they fall in cells of (size class, seeded bucket). Size
 classes go from large to small; each takes the same share of its words, in bucket order and by whole cells, and
@@ -176,18 +177,21 @@ def mix(
 
     members: array of the sources a document belongs to; null entries are a source of their own. weights: from the
     sorted list of sources (code points, null last) to their weights. Sources share the words of all documents by
-    weight, none above most times its own words. A document in several sources counts in the size of each, and its
-    words may go to either quota.
+    weight, none above most times its share of them (its own words, where sources don't overlap). A document in
+    several sources counts in the size of each, and its words may go to either quota.
 
-    The patterns are collected to the driver: more than max_patterns raises ValueError. A null or empty text has size
-    0 and is never taken. Repeated ids fall in the same cell and are taken alike. An empty table gives an empty one.
-    Ties don't arise: the seed and the id decide. Reruns agree. Columns of docs keep their names; where one clashes
-    with a column made here, the made one gets a trailing underscore.
+    The flow knows at most max_patterns patterns. Where there are more, those with the fewest words are served through
+    the smallest of their sources alone: every document is still mixed and quotas are met as before, only the choice
+    between those sources is lost. More than half as many sources raise ValueError.
+
+    A null or empty text has size 0 and is never taken. Rows of equal id and text fall in the same cell and are taken
+    alike. An empty table gives an empty one. Ties don't arise: the seed, the id and the text decide. Reruns agree.
+    Columns of docs keep their names; where one clashes with a column made here, the made one gets a trailing underscore.
     """
     if list(costs) != sorted(costs) or len(costs) != most:
         raise ValueError("costs must not fall, and there is one for each of the passages allowed")
-    size, pattern, klass, bucket, copies, part, taken = free_name(
-        docs, "size", "pattern", "size_class", "bucket", "copies", "part", "taken"
+    size, pattern, klass, bucket, copies, part, taken, shown = free_name(
+        docs, "size", "pattern", "size_class", "bucket", "copies", "part", "taken", "mix_sources"
     )
     sized = docs.withColumns(
         {
@@ -201,19 +205,41 @@ def mix(
     cells = written(
         spark, slim.groupBy("pattern", "size_class", "bucket").agg(F.sum("words").alias("words")), "mix-cells"
     )
-    totals = cells.groupBy("pattern").agg(F.sum("words").alias("words"))
-    known = totals.limit(max_patterns + 1).collect()
-    if len(known) > max_patterns:
-        raise ValueError(f"more than {max_patterns} membership patterns")
-    patterns = {tuple(r["pattern"]): r["words"] for r in known}
-    names = sorted({s for key in patterns for s in key}, key=lambda s: (s is None, s or ""))
-    sizes = [sum(w for key, w in patterns.items() if s in key) for s in names]
-    total = sum(patterns.values())
+    totals = written(spark, cells.groupBy("pattern").agg(F.sum("words").alias("words")), "mix-patterns")
+    own = totals.select(F.explode("pattern").alias("source"), "words").groupBy("source").agg(F.sum("words").alias("words"))
+    found = own.limit(max_patterns // 2 + 1).collect()
+    if len(found) > max_patterns // 2:
+        raise ValueError(f"more than {max_patterns // 2} sources")
+    by_source = {r["source"]: r["words"] for r in found}
+    names = sorted(by_source, key=lambda s: (s is None, s or ""))
+    sizes = [by_source[s] for s in names]
+    total = totals.agg(F.sum("words")).first()[0] or 0
     targets = source_targets([s * total / max(sum(sizes), 1) for s in sizes], weights(names), most) if names else []
     quotas = {s: round(t) for s, t in zip(names, targets, strict=True)}
+    # one row, of at most max_patterns / 2 sources
+    facts = spark.createDataFrame(
+        [({_key(s): (t, n) for s, t, n in zip(names, targets, sizes, strict=True)},)], "_facts map<string,struct<target:double,source_size:long>>"
+    )
+    fact = lambda s: F.col("_facts")[F.coalesce(F.concat(F.lit("="), s), F.lit(""))]
+    sized, served = sized.crossJoin(F.broadcast(facts)), pattern
+    if totals.limit(max_patterns + 1).count() > max_patterns:
+        (served,) = free_name(sized, "served")
+        largest = totals.orderBy(F.desc("words"), F.xxhash64("pattern")).limit(max_patterns - len(names))
+        largest = written(spark, largest.select(F.col("pattern").alias("_large")), "mix-largest")
+        smallest = lambda p: F.array(F.array_min(F.transform(p, lambda s: F.struct(fact(s)["source_size"], s.isNull(), s.alias("s"))))["s"])
+
+        def through(df: DataFrame, p: str, name: str) -> DataFrame:
+            known = df.join(F.broadcast(largest), df[p].eqNullSafe(largest["_large"]), "left")
+            return known.withColumn(name, F.coalesce("_large", smallest(F.col(p)))).drop("_large")
+
+        sized = through(sized, pattern, served)
+        cells = through(cells.crossJoin(F.broadcast(facts)), "pattern", "pattern").groupBy("pattern", "size_class", "bucket")
+        cells = written(spark, cells.agg(F.sum("words").alias("words")), "mix-cells")
+        totals = cells.groupBy("pattern").agg(F.sum("words").alias("words"))
+    patterns = {tuple(r["pattern"]): r["words"] for r in totals.collect()}  # at most max_patterns rows
     order = sorted(patterns, key=lambda key: [(s is None, s or "") for s in key])
     routed = route({key: patterns[key] for key in order}, quotas, costs)
-    # at most max_patterns rows: these two small tables are broadcast
+    # at most max_patterns rows: this small table is broadcast
     flows = spark.createDataFrame(
         [(i, list(key), sum(routed[key].values())) for i, key in enumerate(order)],
         "pattern_id int, pattern array<string>, flow long",
@@ -232,14 +258,8 @@ def mix(
     plan = written(spark, arrays, "mix-plan").select(
         F.col("pattern_id").alias("_p"), F.col("size_class").alias("_k"), "by_bucket"
     )
-    one = spark.createDataFrame(
-        [
-            (i, list(key), [(s, float(dict(zip(names, targets, strict=True))[s]), int(dict(zip(names, sizes, strict=True))[s])) for s in key])
-            for i, key in enumerate(order)
-        ],
-        "_p0 int, _pattern array<string>, _sources array<struct<source:string,target:double,source_size:long>>",
-    )
-    out = sized.join(F.broadcast(one), sized[pattern].eqNullSafe(one["_pattern"]), "left")
+    ids = flows.select(F.col("pattern_id").alias("_p0"), F.col("pattern").alias("_pattern"))
+    out = sized.join(F.broadcast(ids), sized[served].eqNullSafe(ids["_pattern"]), "left")
     # proven bound: max_patterns x 63 size classes, a map of at most `buckets` entries each
     out = out.join(
         F.broadcast(plan) if len(order) <= 64 else plan, (out["_p0"] == plan["_p"]) & (out[klass] == plan["_k"]), "left"
@@ -248,8 +268,12 @@ def mix(
     first = F.when(got["part"] > 0, F.floor(F.col(size).cast("decimal(38,0)") * got["part"] / got["words"]).cast("long"))
     out = out.withColumns({copies: F.coalesce(got["copies"], F.lit(0)), part: F.coalesce(first, F.lit(0))})
     out = out.withColumn(taken, F.col(size) * F.col(copies) + F.col(part))
-    keep = [*docs.columns, size, copies, part, taken]
-    return Mix(out.select(*[F.col(c) for c in keep], F.col("_sources").alias(free_name(docs, "mix_sources")[0])), quotas, routed)
+    sources = F.transform(pattern, lambda s: F.struct(s.alias("source"), fact(s)["target"].alias("target"), fact(s)["source_size"].alias("source_size")))
+    return Mix(out.select(*[F.col(c) for c in (*docs.columns, size, copies, part, taken)], sources.alias(shown)), quotas, routed)
+
+
+def _key(source: str | None) -> str:
+    return "" if source is None else f"={source}"
 
 
 def cyclic_weights(values: Sequence[float]) -> callable:

@@ -70,5 +70,32 @@ def test_overlapping_sources_clashing_columns_and_empty(spark, make_docs):
     assert {"size", "taken", "size_", "taken_", "copies", "part"} <= set(found.documents.columns)
     assert found.documents.agg(F.sum("taken_")).first()[0] == pytest.approx(1800, abs=10)
     assert mixing.mix(spark, docs.limit(0), members, mixing.cyclic_weights((1,))).documents.count() == 0
-    with pytest.raises(ValueError, match="patterns"):
+    with pytest.raises(ValueError, match="sources"):
         mixing.mix(spark, docs, members, mixing.cyclic_weights((1,)), max_patterns=2)
+
+
+def test_overlapping_sources_and_more_patterns_than_the_flow_knows(spark, make_docs):
+    """Rare patterns go through their smallest source; all rows stay, quotas are met, no document is taken too often."""
+    rng = random.Random(5)
+    texts = [prose(rng, rng.randint(1, 40)) for _ in range(600)] + [None, ""]
+    groups = [sorted(rng.sample(["a", "b", "c", "d"], rng.randint(1, 3))) for _ in texts]
+    docs = make_docs(texts, sources=["+".join(g) for g in groups]).withColumn("served", F.lit("clash"))
+    split = F.split("source", "\\+")
+    taken = {}
+    for most in (100, 8):
+        made = mixing.mix(spark, docs, split, mixing.cyclic_weights((5, 2, 1)), max_patterns=most)
+        assert len(made.routed) <= most and ((most == 100) == (len(made.routed) > 8))
+        rows = made.documents.collect()
+        assert len(rows) == len(texts) and made.documents.columns[: len(docs.columns)] == docs.columns
+        for r in rows:
+            assert 0 <= r.taken <= 3 * r.size and sorted(s.source for s in r.mix_sources) == r.source.split("+")
+        taken[most] = sum(r.taken for r in rows)
+        by_pattern = {}
+        for key, flows in made.routed.items():
+            for s, n in flows.items():
+                by_pattern[s] = by_pattern.get(s, 0) + n
+        assert all(abs(by_pattern.get(s, 0) - q) <= 1 for s, q in made.quotas.items())
+    words = sum(len((t or "").split()) for t in texts)
+    assert all(abs(n - words) <= 0.02 * words for n in taken.values())
+    with pytest.raises(ValueError, match="sources"):
+        mixing.mix(spark, docs, split, mixing.cyclic_weights((1,)), max_patterns=6)
