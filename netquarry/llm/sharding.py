@@ -73,7 +73,9 @@ def numbered(spark: SparkSession, df: DataFrame, order: list[Column], name: str
 
     One range shuffle on (order, place in the input): the place makes every key distinct, so even a key that a third
     of all rows share is dealt over many partitions. The sorted rows are written once, with their partition and their
-    place in it, and only the partitions' row counts are summed up, so a lost executor can't change a number.
+    place in it, and only the partitions' row counts are summed up, so a lost executor can't change a number. Null
+    keys come first, rows of equal keys (repeated rows, too) in the order they are read; texts may be of any length,
+    and an empty table gives an empty one. df must not have a column called name; other columns keep theirs.
     """
     part, at, tie = free_name(df, "_part", "_at", "_tie")
     placed = df.withColumn(tie, F.monotonically_increasing_id())

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The six ASCII white-space characters that end a word.
 SPACE = r"\x20\x09-\x0D"
+#: Where the paths of written tables are noted, if anywhere.
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 #: Keys at most that a join by count broadcasts.
 HOT_KEYS = 4096
 
@@ -36,14 +41,41 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage ends there, so lost executors cost no recomputation."""
     path = fresh_path(spark, name)
     df.write.parquet(path)
+    if (scope := _scope.get()) is not None:
+        scope.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables written within are deleted at the end, but for those written by the function that this yields."""
+    outer, paths = _scope.get(), []
+    token = _scope.set(paths)
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        out = written(spark, df, name)
+        path = paths.pop()
+        if outer is not None:
+            outer.append(path)
+        return out
+
+    try:
+        yield kept
+    finally:
+        _scope.reset(token)
+        for path in paths:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def removed(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete the files of written tables that no later plan reads."""
     for path in {name.rsplit("/", 1)[0] for df in tables for name in df.inputFiles()}:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        _delete(spark, path)
 
 
 def free_name(df: DataFrame, *wanted: str) -> list[str]:
