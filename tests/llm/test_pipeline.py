@@ -1,5 +1,8 @@
+import os
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from netquarry.llm import decontaminate, mixing
 from tests.llm.conftest import prose
@@ -46,3 +49,37 @@ def test_empty_documents(spark, make_docs, write_table):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     assert cp.run(spark, folder).count() == 0
+
+
+def test_repeated_rows_null_ids_and_clashing_columns(spark, make_docs, write_table, odd_texts):
+    """Stage by stage, with columns called like those that the operators make."""
+    rng = random.Random(3)
+    texts = odd_texts + [prose(rng, 60) for _ in range(20)] + [prose(rng, 30)] * 2
+    ids = [None if i % 4 == 0 else i // 2 for i in range(len(texts))]
+    names = ("graded", "_mark", "_kept", "_n", "size", "copies", "part", "taken", "mix_sources", "row_number", "shard", "slot", "_pass", "node", "root", "_facts")
+    docs = make_docs(texts + texts[:3], ids + ids[:3], sources=[None if i % 5 == 0 else "s" for i in range(len(texts) + 3)])
+    docs = docs.withColumns({n: F.lit(f"clash {n}") for n in names if n != "_facts"})
+    folder = write_table(docs)
+    spark.createDataFrame([(1, texts[20]), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0), (2, 0, 0), (3, None, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    rows = spark.read.parquet(f"{folder}/documents.parquet")
+    sizes = {}
+    for name, stage in cp.STAGES:
+        out = stage(spark, rows, folder)
+        assert out.columns[: len(docs.columns)] == docs.columns and (name == "shards" or out.columns == docs.columns), name
+        assert out.filter("size <> 'clash size' or shard <> 'clash shard'").isEmpty()
+        sizes[name] = sorted(str((r.doc_id, r.text)) for r in out.select("doc_id", "text").collect())
+    assert sizes["shards"] == sorted(str((r.doc_id, r.text)) for r in rows.select("doc_id", "text").collect())
+    assert len(sizes["near_duplicates"]) < len(texts) and not any(texts[20] in t for t in sizes["benchmark_leaks"])
+    assert {t for t in sizes["source_mix"]} <= set(sizes["shards"])
+
+
+def test_run_leaves_only_its_result(spark, make_docs, write_table, tmp_path):
+    rng = random.Random(4)
+    folder = write_table(make_docs([prose(rng, 40) for _ in range(30)]))
+    spark.createDataFrame([(1, prose(rng, 10))], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(shared))
+    assert cp.run(spark, folder).count() > 0
+    assert [n.rsplit("-", 1)[0] for n in set(os.listdir(shared)) - before] == ["pipeline-shards"]
