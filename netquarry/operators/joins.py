@@ -186,6 +186,26 @@ def merge_levels(flow: DataFrame, cross: DataFrame, packet: DataFrame, keys: Seq
     return both.filter(F.when(problem.isNotNull(), F.raise_error(problem).cast("boolean")).otherwise(True)).drop("_ordinal", "_f", "_c", "_p")
 
 
+def aligned(left: DataFrame, right: DataFrame, place: str, same: Sequence[str] = ()) -> DataFrame:
+    """Rows of two tables side by side, by the place that each table's rows have (1, 2 ...).
+
+    A place that one table lacks, so tables of different lengths too, and rows that differ in a column of `same` raise
+    when the result is computed. Other columns must differ in name; those of `same` come once.
+    """
+    twice = sorted(set(left.columns) & set(right.columns) - {place, *same})
+    if twice:
+        raise ValueError(f"columns appear twice: {twice}")
+    a = left.withColumn("_l", F.lit(True))
+    b = right.select(place, *[col(c).alias(f"_{c}") for c in same], *[col(c) for c in right.columns if c != place and c not in same], F.lit(True).alias("_r"))
+    both = a.join(b, place, "full")
+    differs = F.lit(False)
+    for c in same:
+        differs = differs | ~col(c).eqNullSafe(col(f"_{c}"))
+    problem = F.when(F.col("_l").isNull() | F.col("_r").isNull(), "the tables differ in length").when(differs, "rows at one place differ")
+    checked = both.filter(F.when(problem.isNotNull(), F.raise_error(problem).cast("boolean")).otherwise(True))
+    return checked.drop("_l", "_r", *[f"_{c}" for c in same])
+
+
 def upsert_providers(providers: Sequence[DataFrame], keys: Sequence[str], columns: Sequence[str], fill: object = "") -> DataFrame:
     """All rows of all providers by key; a later provider's columns win over earlier ones, missing values are filled.
 

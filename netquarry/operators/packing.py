@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from netquarry.operators._columns import col
 
+#: Items of a group at most.
+MOST = 1_000_000
+
 
 def plan_batches(sizes: Iterable[int], limit: int) -> list[int]:
     """The batch number of each item: a batch closes before the item that would exceed the limit; one may stand alone."""
@@ -21,23 +25,18 @@ def plan_batches(sizes: Iterable[int], limit: int) -> list[int]:
     return out
 
 
-def with_batches(df: DataFrame, order: Sequence[str], size: str, limit: int, group: Sequence[str] = ()) -> DataFrame:
-    """df with batch, the batch number from 0 in the given order, within each group.
+def with_batches(df: DataFrame, order: Sequence[str], size: str, limit: int, group: Sequence[str] = (), most: int = MOST) -> DataFrame:
+    """df with batch, the batch number from 0 in the given order (nulls first), within each group. A null size counts as 0.
 
-    The fold needs the items of a group in order: meant for inventories of files, of which a group holds thousands.
+    The fold needs the items of a group in order: meant for inventories of files, of which a group holds thousands. A
+    group of more than `most` items raises ValueError.
     """
-    item = F.struct(*[col(c) for c in order], *[col(c).alias(f"_x{i}") for i, c in enumerate(df.columns)], col(size).cast("bigint").alias("_size"))
-    keys = [col(g) for g in group] or [F.lit(0)]
-    gathered = df.groupBy(*[k.alias(f"_g{i}") for i, k in enumerate(keys)]).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    zero = F.struct(F.lit(-1).alias("batch"), F.lit(0).cast("bigint").alias("held"), F.array().cast("array<int>").alias("out"))
-
-    def step(s, x):
-        fits = (s["batch"] >= 0) & ((s["held"] == 0) | (s["held"] + x["_size"] <= limit))
-        batch = F.when(fits, s["batch"]).otherwise(s["batch"] + 1)
-        return F.struct(
-            batch.alias("batch"), F.when(fits, s["held"] + x["_size"]).otherwise(x["_size"]).alias("held"), F.array_append(s["out"], batch).alias("out")
-        )
-
-    numbered = gathered.withColumn("batches", F.aggregate("items", zero, step, lambda s: s["out"]))
-    flat = numbered.select(F.explode(F.arrays_zip("items", "batches")).alias("z"))
-    return flat.select(*[F.col(f"z.items._x{i}").alias(c) for i, c in enumerate(df.columns)], F.col("z.batches").alias("batch"))
+    kind = StructType([*df.schema.fields, StructField("batch", IntegerType())])
+
+    def fold(items: pd.DataFrame) -> pd.DataFrame:
+        if len(items) > most:
+            raise ValueError(f"a group has {len(items)} items, more than {most}")
+        items = items.sort_values(list(order), na_position="first", kind="stable")
+        return items.assign(batch=pd.Series(plan_batches(items[size].fillna(0).tolist(), limit), index=items.index, dtype="int32"))
+
+    return df.groupBy(*[col(g) for g in group]).applyInPandas(fold, kind)

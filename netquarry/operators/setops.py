@@ -16,6 +16,12 @@ def fingerprint(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.groupBy(F.xxhash64(*[col(c) for c in columns]).alias("print")).agg(F.count("*").alias("n"))
 
 
+def capture_summary(df: DataFrame, columns: Sequence[str], time: str) -> DataFrame:
+    """One row for a capture: rows, distinct rows, first and last time."""
+    bag = df.groupBy(F.xxhash64(*[col(c) for c in columns]).alias("print")).agg(F.count("*").alias("n"), F.min(col(time)).alias("first"), F.max(col(time)).alias("last"))
+    return bag.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count("*").alias("distinct_rows"), F.min("first").alias("first"), F.max("last").alias("last"))
+
+
 def _bag_row(prints_a: DataFrame, prints_b: DataFrame) -> DataFrame:
     a, b = prints_a.select("print", F.col("n").alias("a")), prints_b.select("print", F.col("n").alias("b"))
     n_a, n_b = F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0))

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netquarry.functions.expr import compile_expr
+from netquarry.functions.scalars import parsed_timestamp
+from netquarry.operators._columns import col
 
 LEAST_MICROS = 1000
 
@@ -90,6 +92,41 @@ def behaviour_features(
     return out.select(*[F.col(f"`{c}`") for c in rows.columns], *[f.name for f in features])
 
 
+def flow_behaviour(
+    flows: DataFrame, fields: dict[str, str], protocols: dict[int, str], *, ordinal: str, **options: object
+) -> DataFrame:
+    """flows with the features of behaviour_features; rows keep their columns, and `ordinal` restores their order.
+
+    fields: src_ip, dst_ip, dst_port, protocol, timestamp to column names. A protocol's number becomes its label, an
+    unknown one its number as text; times may be text. options: those of behaviour_features.
+    """
+    number = col(fields["protocol"]).try_cast("bigint")
+    label = number.cast("string")
+    for value, name in protocols.items():
+        label = F.when(number == value, name).otherwise(label)
+    time = col(fields["timestamp"])
+    if dict(flows.dtypes)[fields["timestamp"]] == "string":
+        time = parsed_timestamp(time)
+    operands = {
+        "src_ip": col(fields["src_ip"]), "dst_ip": col(fields["dst_ip"]), "dst_port": col(fields["dst_port"]).try_cast("bigint"), "protocol": label,
+        "micros": F.unix_micros(time.cast("timestamp")), "ordinal": col(ordinal),
+    }
+    whole = F.struct(*[col(c) for c in flows.columns]).alias("_flow")
+    partition = options.get("partition", ())
+    found = behaviour_features(flows.select(whole, *[c.alias(n) for n, c in operands.items()], *[col(c) for c in partition]), **options)
+    names = [c for c in found.columns if c not in ("_flow", *operands, *partition)]
+    return found.select("_flow.*", *names)
+
+
+def longest_history(rows: DataFrame, streams: dict[str, Stream] = STREAMS, **options: object) -> DataFrame:
+    """(stream, members): the most members that a row's frame of each stream has. options: those of behaviour_features."""
+    counts = [Feature(f"_members_{i}", name, "span_rate_raw", "N") for i, name in enumerate(streams)]
+    found = behaviour_features(rows, streams=streams, features=counts, **options)
+    one = found.agg(*[F.max(f.name).cast("long").alias(f.name) for f in counts])
+    entries = F.array(*[F.struct(F.lit(f.stream).alias("stream"), F.col(f.name).alias("members")) for f in counts])
+    return one.select(F.explode(entries).alias("e")).select("e.*")
+
+
 def _with_stream(
     rows: DataFrame,
     stream: Stream,

@@ -474,6 +474,39 @@ def xf_hot_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.select("event_id", *[f.name for f in windows.FEATURES]))
 
 
+@register(
+    "xf_flows",
+    f"""WITH {TRAIL}, e AS (SELECT t.*, CASE event_type WHEN 'view' THEN 'ICMP' WHEN 'click' THEN 'TCP' WHEN 'error' THEN 'UDP' ELSE '99' END AS protocol FROM trail t JOIN events USING (event_id)),
+    h AS (SELECT event_id, protocol, tm, src_ip, dst_port, protocol IN ('TCP', 'UDP') AS ok FROM e)
+    SELECT event_id, count(DISTINCT dst_port) FILTER (WHERE ok) OVER w * 1.0 AS dst_port_unique_cnt FROM h WINDOW {_TRAIL_W.format('src_ip')}""",
+)
+def xf_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trailing features of a flow table as it comes: text times, protocol numbers, columns of any name."""
+    events = table(spark, sf_dir, "events")
+    kind = F.col("event_type")
+    raw = events.select(
+        "event_id",
+        F.date_format(F.date_trunc("hour", F.col("ts").cast("timestamp")), "yyyy-MM-dd HH:mm:ss").alias("When"),
+        F.when(kind == "view", "1").when(kind == "click", "6").when(kind == "error", "17").otherwise("99").alias("Protocol No"),
+        F.col("user_id").alias("Src"),
+        (F.col("event_id") % 20).alias("Dst"),
+        F.get_json_object("props", "$.k").alias("Port"),
+    )
+    fields = {"src_ip": "Src", "dst_ip": "Dst", "dst_port": "Port", "protocol": "Protocol No", "timestamp": "When"}
+    chosen = [f for f in windows.FEATURES if f.name == "dst_port_unique_cnt"]
+    found = windows.flow_behaviour(raw, fields, {1: "ICMP", 6: "TCP", 17: "UDP"}, ordinal="event_id", features=chosen, window_seconds=DAYS * 86400)
+    return found.select("event_id", "dst_port_unique_cnt")
+
+
+@register(
+    "xf_longest",
+    f"""WITH {TRAIL} SELECT 'ports' AS stream, max(n) AS members FROM (SELECT count(dst_port) FILTER (WHERE ok) OVER w AS n FROM trail WINDOW {_TRAIL_W.format('src_ip')})
+    UNION ALL SELECT 'pairs', max(n) FROM (SELECT count(*) OVER w AS n FROM trail WINDOW {_TRAIL_W.format('src_ip, dst_ip')})""",
+)
+def xf_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.longest_history(_trail_rows(spark, sf_dir), window_seconds=DAYS * 86400)
+
+
 # ---------------------------------------------------------------- quality
 
 ITEM = ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "rate", "stamp", "l_returnflag"]
@@ -851,6 +884,20 @@ def ordered_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.merge_levels(flow, cross, packet, ["o_custkey"], "at").drop("at")
 
 
+@register(
+    "positional_align",
+    """WITH a AS (SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY CAST(o_orderdate AS VARCHAR), CAST(o_orderkey AS VARCHAR)) AS place FROM orders)
+    SELECT place, o_custkey, CAST(o_orderkey AS VARCHAR) AS "Flow ID", o_custkey * 2 AS twice FROM a""",
+)
+def positional_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table and what was made of it, side by side by their places alone; the flow ids are checked."""
+    orders = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("Flow ID"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("Timestamp"), "o_custkey"
+    )
+    placed = labels.placed_flows(orders).drop("Timestamp")
+    return joins.aligned(placed, placed.select("place", "Flow ID", (F.col("o_custkey") * 2).alias("twice")), "place", ["Flow ID"])
+
+
 @register(
     "provider_upsert",
     """WITH a AS (SELECT o_custkey AS k, count(*) AS n, max(o_orderstatus) AS s FROM orders GROUP BY 1),
@@ -1035,6 +1082,15 @@ def bag_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(setops.bag_similarity(df.filter("l_linestatus = 'F'"), df.filter("l_linestatus = 'O'"), keys))
 
 
+@register(
+    "capture_summary",
+    """SELECT count(*) AS rows, count(DISTINCT user_id || '/' || event_type) AS distinct_rows, epoch_us(min(ts)) AS first, epoch_us(max(ts)) AS last FROM events""",
+)
+def capture_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    return setops.capture_summary(table(spark, sf_dir, "events").withColumn("micros", micros), ["user_id", "event_type"], "micros")
+
+
 @register(
     "time_overlap",
     """WITH o AS (SELECT o_custkey, epoch(min(o_orderdate)) AS a, epoch(max(o_orderdate)) AS b FROM orders GROUP BY 1)

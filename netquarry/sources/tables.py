@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from netquarry.functions.scalars import file_day
@@ -46,10 +47,12 @@ def write_parquet(df: DataFrame, path: str, level: int = 22, mode: str = "overwr
     )
 
 
-def parquet_batches(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> Iterator:
-    """Rows of a Parquet table one by one, a partition at a time on the driver."""
+def parquet_batches(spark: SparkSession, path: str, columns: Sequence[str] | None = None, size: int = 1_000_000) -> Iterator[list[Row]]:
+    """A Parquet table's rows in lists of `size`, the last one shorter; a partition at a time is on the driver."""
     df = spark.read.parquet(path)
-    return (df.select(*columns) if columns else df).toLocalIterator(prefetchPartitions=True)
+    rows = (df.select(*columns) if columns else df).toLocalIterator(prefetchPartitions=True)
+    while batch := list(itertools.islice(rows, size)):
+        yield batch
 
 
 def chronological(df: DataFrame) -> DataFrame:

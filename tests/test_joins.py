@@ -74,3 +74,14 @@ def test_upsert(spark):
     assert rows == [(1, "a", "b"), (2, "c", "z"), (3, "-", "-")]
     with pytest.raises(Exception, match="twice"):
         joins.upsert_providers([a.union(a), b], ["k"], ["k", "x", "y"]).collect()
+
+
+def test_tables_side_by_side(spark):
+    left = spark.createDataFrame([(1, "a", 5), (2, "b", 6)], "place int, id string, x int")
+    right = spark.createDataFrame([(2, "b", 8), (1, "a", 7)], "place int, id string, y int")
+    assert sorted(tuple(r) for r in joins.aligned(left, right, "place", ["id"]).select("place", "id", "x", "y").collect()) == [(1, "a", 5, 7), (2, "b", 6, 8)]
+    for bad in (right.limit(1), right.withColumn("id", F.lit("a"))):
+        with pytest.raises(Exception, match="length|differ"):
+            joins.aligned(left, bad, "place", ["id"]).collect()
+    with pytest.raises(ValueError, match="twice"):
+        joins.aligned(left, right, "place")

@@ -129,7 +129,8 @@ def test_tables(spark, tmp_path):
     with pytest.raises(ValueError, match="header"):
         tables.write_csv(df.select("c"), path, append=True)
     tables.write_parquet(df.select(F.col("c")), f"{tmp_path}/p")
-    assert [r.c for r in tables.parquet_batches(spark, f"{tmp_path}/p")].count("x") == 1
+    assert [r.c for batch in tables.parquet_batches(spark, f"{tmp_path}/p", size=2) for r in batch].count("x") == 1
+    assert [len(b) <= 2 for b in tables.parquet_batches(spark, f"{tmp_path}/p", size=2)]
     tensors = spark.range(2).select("id", F.array(F.lit(1.0)).alias("global"))
     tables.save_arrays(tensors, {"global": ["n"]}, f"{tmp_path}/t")
     back, names = tables.load_arrays(spark, f"{tmp_path}/t")

@@ -96,3 +96,11 @@ def test_profile(spark):
     assert [tuple(r) for r in profile.constants(v, ["a", "b"]).collect()] == [("b", 2.0)]
     assert profile.finite_rows(v.withColumn("a", F.lit(math.inf)), ["a"]).count() == 0
     assert {r["column"]: r.p50 for r in profile.describe(v, ["a", "b"]).collect()} == {"a": -1.0, "b": 2.0}
+
+
+def test_packing_bounds_and_nulls(spark):
+    df = spark.createDataFrame([(1, None), (None, 30), (2, 5)], "i int, size long")
+    assert sorted((str(r.i), r.batch) for r in packing.with_batches(df, ["i"], "size", 20).collect()) == [("1", 1), ("2", 1), ("None", 0)]
+    with pytest.raises(Exception, match="more than 2"):
+        packing.with_batches(df, ["i"], "size", 20, most=2).collect()
+    assert packing.with_batches(df.limit(0), ["i"], "size", 20).count() == 0
