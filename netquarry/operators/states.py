@@ -86,16 +86,18 @@ def host_features(
     carried = list(dict.fromkeys([*sums, *means, *ratios]))
     text = lambda c: col(c).cast("string")
 
-    def side(host: str, peer: str, way: str) -> DataFrame:
-        kinds = F.array(
-            F.struct(F.lit(True).alias("peer"), text(peer).alias("value")), F.struct(F.lit(False).alias("peer"), text(columns.dst_port).alias("value"))
-        )
-        return df.select(window, col(host).alias("host"), F.lit(way).alias("_way"), F.explode(kinds).alias("_kind"), *[col(c).alias(f"_{c}") for c in carried])
-
-    ends = side(columns.src, columns.dst, "out").unionByName(side(columns.dst, columns.src, "in")).filter("host is not null")
-    is_peer = F.col("_kind.peer")
+    def end(host: str, way: str, peer: bool, value: str) -> Column:
+        return F.struct(col(host).alias("host"), F.lit(way).alias("way"), F.lit(peer).alias("peer"), text(value).alias("value"))
+
+    four = F.array(
+        end(columns.src, "out", True, columns.dst), end(columns.src, "out", False, columns.dst_port),
+        end(columns.dst, "in", True, columns.src), end(columns.dst, "in", False, columns.dst_port),
+    )
+    ends = df.select(window, F.explode(four).alias("_end"), *[col(c).alias(f"_{c}") for c in carried])
+    ends = ends.filter("_end.host is not null").withColumn("host", F.col("_end.host"))
+    is_peer = F.col("_end.peer")
     # what is summed up counts with the peer's row only
-    first = ends.groupBy(window, "host", "_way", is_peer.alias("_peer"), F.col("_kind.value").alias("_value")).agg(
+    first = ends.groupBy(window, "host", F.col("_end.way").alias("_way"), is_peer.alias("_peer"), F.col("_end.value").alias("_value")).agg(
         F.count_if(is_peer).alias("_n"),
         *[F.sum(F.when(is_peer, F.col(f"_{c}"))).alias(f"_sum_{c}") for c in carried],
         *[F.count(F.when(is_peer, F.col(f"_{c}"))).alias(f"_with_{c}") for c in carried],
