@@ -33,24 +33,29 @@ from netquarry.llm.shared import components, free_name, join_counted, join_salte
 SEED = 42
 SPREAD = np.uint64(0x0101010101010101)
 #: Fingerprints in a tree at most, and pairs of (query, node) that a search holds at once.
-MOST, FRONTIER = 4096, 500_000
+MOST, FRONTIER = 4096, 200_000
 #: A shard of so many times MOST fingerprints is dealt anew by its other bits.
 AGAIN = 16
+#: Shingles that are hashed at once.
+PIECE = 100_000
 #: Texts whose hashes a worker holds at once.
-SLICE = 1000
+SLICE = 500
 
 
-def shingle_hashes(text: str, shingle: int) -> list[int]:
+def shingle_hashes(text: str, shingle: int) -> np.ndarray:
     words = text.encode().lower().split()  # on bytes both touch ASCII letters and ASCII white space only
     if not words:
-        return []
-    joined = b" ".join(words)
+        return np.zeros(0, dtype=np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return [xxhash.xxh64_intdigest(joined, SEED)]
+        return np.array([digest(joined, SEED)], dtype=np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
-    starts = np.concatenate(([0], ends[:-shingle])).tolist()
-    digest = xxhash.xxh64_intdigest
-    return [digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)]
+    starts, ends = np.concatenate(([0], ends[:-shingle])), ends[shingle - 1 :] - 1
+    out = np.empty(len(starts), dtype=np.uint64)
+    for k in range(0, len(out), PIECE):  # a very long text's places aren't lists as a whole
+        places = zip(starts[k : k + PIECE].tolist(), ends[k : k + PIECE].tolist(), strict=True)
+        out[k : k + PIECE] = [digest(joined[a:b], SEED) for a, b in places]
+    return out
 
 
 def lane(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -91,7 +96,7 @@ def fingerprints(docs: DataFrame, shingle: int, lanes: int = 1, text_col: str =
         for batch in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
             hashes = [shingle_hashes(t or "", shingle) for t in batch.column(0).to_pylist()]
             counts = np.fromiter(map(len, hashes), dtype=np.int64, count=len(hashes))
-            flat = np.fromiter((h for hs in hashes for h in hs), dtype=np.uint64, count=int(counts.sum()))
+            flat = np.concatenate(hashes)
             words = np.stack([majority(lane(flat, k), counts) for k in range(lanes)], axis=1).astype(">u8")
             packed = pa.FixedSizeBinaryArray.from_buffers(
                 pa.binary(8 * lanes), len(words), [None, pa.py_buffer(np.ascontiguousarray(words).tobytes())]
@@ -271,8 +276,8 @@ def _deal(bands: list[list[int]], within: list[list[list[int]]] | None = None) -
         names = ["band", "key", "fp", "node"]
         for batch in batches:
             fp = batch.column(batch.schema.get_field_index("fp"))
-            bits = np.unpackbits(np.frombuffer(b"".join(fp.to_pylist()), dtype=np.uint8).reshape(len(fp), -1), axis=1).astype(np.int64)
-            key_of = lambda at: bits[:, at] @ (1 << np.arange(len(at), dtype=np.int64))  # noqa: B023, E731
+            bits = np.unpackbits(np.frombuffer(b"".join(fp.to_pylist()), dtype=np.uint8).reshape(len(fp), -1), axis=1)
+            key_of = lambda at: bits[:, at].astype(np.int64) @ (1 << np.arange(len(at), dtype=np.int64))  # noqa: B023, E731
             rest = [fp, batch.column(batch.schema.get_field_index("node"))]
             if within is None:
                 for k, at in enumerate(bands):
@@ -361,7 +366,7 @@ def shingle_sets(slim: DataFrame, shingle: int, lanes: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
-            sets = [np.unique(np.array(shingle_hashes(t or "", shingle), dtype=np.uint64)) for t in batch.column(0).to_pylist()]
+            sets = [np.unique(shingle_hashes(t or "", shingle)) for t in batch.column(0).to_pylist()]
             counts = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
             flat = np.concatenate(sets)
             words = np.stack([majority(lane(flat, k), counts) for k in range(lanes)], axis=1).astype(">u8")

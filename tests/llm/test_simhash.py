@@ -141,7 +141,7 @@ def test_one_of_each_group_stays(spark, make_docs, odd_texts):
 
 
 def jaccard(a, b):
-    x, y = (set(sim.shingle_hashes(t, 5)) for t in (a, b))
+    x, y = (set(sim.shingle_hashes(t, 5).tolist()) for t in (a, b))
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
