@@ -4,8 +4,9 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from netquarry.llm import decontaminate, mixing
+from netquarry.llm import mixing
 from tests.llm.conftest import prose
+from tests.llm.test_decontaminate import distance
 
 
 def test_stages_and_run(spark, make_docs, write_table, odd_texts):
@@ -30,8 +31,10 @@ def test_stages_and_run(spark, make_docs, write_table, odd_texts):
     good, apart, unleaked, mixed = seen
     assert set(range(80)) <= set(good) and not set(range(80, 100)) & set(good)
     assert set(range(80)) <= set(apart) and not set(range(100, 110)) & set(apart)
-    matcher = decontaminate.Matcher(items)
-    assert unleaked == [i for i in apart if not matcher.find(texts[i] or "")]
+    plain = [" ".join(text.lower().split()) for _, text in items]
+    holds = lambda text: any(distance(p, " ".join((text or "").lower().split())) <= len(p) // 10 for p in plain)
+    long = [i for i in apart if len(texts[i] or "") > 20_000]  # too long for dynamic programming; it is random prose
+    assert unleaked == [i for i in apart if i in long or not holds(texts[i])]
     assert set(range(110, 114)) & set(apart) and not set(range(110, 114)) & set(unleaked)
     assert max(mixed.count(i) for i in set(mixed)) <= 3 and set(mixed) <= set(unleaked)
     words = sum(len((texts[i] or "").split()) for i in unleaked)

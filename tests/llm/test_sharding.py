@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -49,3 +50,36 @@ def test_many_equal_keys_are_dealt_and_names_clash(spark):
     assert {"shard", "shard_", "slot", "row_number", "_part"} == set(out.columns) - {"k"}
     assert sorted(r[0] for r in out.select("row_number").collect()) == list(range(5000))
     assert sharding.feistel_shards(spark, df.limit(0), [F.col("k")]).count() == 0
+
+
+def brute_place(x, n, seed, rounds=sharding.ROUNDS):
+    """The permutation of one row number in plain integers: Feistel rounds over the halves, walked until below n."""
+    full = (1 << 64) - 1
+
+    def mixed(v):
+        v = (v + 0x9E3779B97F4A7C15) & full
+        v = ((v ^ (v >> 30)) * 0xBF58476D1CE4E5B9) & full
+        v = ((v ^ (v >> 27)) * 0x94D049BB133111EB) & full
+        return v ^ (v >> 31)
+
+    half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
+    low = (1 << half) - 1
+    while True:
+        left, right = x >> half, x & low
+        for r in range(rounds):
+            left, right = right, left ^ (mixed(right ^ mixed(seed * 1_000_003 + r)) & low)
+        x = left << half | right
+        if x < n:
+            return x
+
+
+def test_shard_and_slot_against_plain_integers(spark, make_docs, write_table):
+    for n, seed in ((1, 3), (2, 3), (100, 11), (1025, 7)):
+        shuffle = sharding.RowShuffle(n, seed)
+        assert shuffle.place(np.arange(n)).tolist() == [brute_place(x, n, seed) for x in range(n)]
+    ids = random.Random(1).sample(range(10_000), 157)
+    rows = {r.doc_id: r for r in queries.op3_feistel_shards(spark, write_table(make_docs([f"t{i}" for i in ids], ids))).collect()}
+    for number, i in enumerate(sorted(ids)):
+        at = brute_place(number, 157, 11)
+        assert (rows[i].shard, rows[i].slot, rows[i].law) == (at % 24, at // 24, "rows")
+        assert (rows[i].size, rows[i].text_crc32) == (len(f"t{i}") + 8, zlib.crc32(f"t{i}".encode()))
