@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,9 +12,28 @@ from pyspark.sql import functions as F
 TIMESTAMP_FORMATS = ("yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd HH:mm:ss")
 
 
-def parsed_timestamp(column: Column, formats: tuple[str, ...] = TIMESTAMP_FORMATS) -> Column:
+def timestamp_sql(text: str, formats: Sequence[str] = TIMESTAMP_FORMATS) -> str:
+    """SQL for the timestamp of an SQL text under the first format that fits, else null.
+
+    A format of numbers fits texts with a point only if it has one itself: the others aren't tried, as each failure
+    costs an exception.
+    """
+    tries = []
+    for f in formats:
+        numbers = re.fullmatch(r"[yMdHhmsS :/.-]*", f) and "MMM" not in f
+        fitting = f"if(instr({text}, '.') {'>' if '.' in f else '='} 0, {text}, NULL)" if numbers else text
+        tries.append(f"try_to_timestamp({fitting}, '{f}')")
+    return f"coalesce({', '.join(tries)})"
+
+
+def parsed_timestamp(column: Column, formats: Sequence[str] = TIMESTAMP_FORMATS) -> Column:
     """The timestamp under the first format that fits, else null."""
-    return F.coalesce(*[F.try_to_timestamp(column.cast("string"), F.lit(f)) for f in formats])
+    text, tries = column.cast("string"), []
+    for f in formats:
+        numbers = re.fullmatch(r"[yMdHhmsS :/.-]*", f) and "MMM" not in f  # as in timestamp_sql
+        fitting = F.when((F.instr(text, ".") > 0) == ("." in f), text) if numbers else text
+        tries.append(F.try_to_timestamp(fitting, F.lit(f)))
+    return F.coalesce(*tries)
 
 
 def risk_band(score: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netquarry.functions.expr import parse, quoted, sql_expr
-from netquarry.functions.scalars import TIMESTAMP_FORMATS
+from netquarry.functions.scalars import TIMESTAMP_FORMATS, timestamp_sql
 from netquarry.operators._columns import col
 
 
@@ -98,8 +98,8 @@ def numeric_sql(name: str, check: Numeric) -> dict[str, str]:
 def text_sql(name: str, check: Text) -> str:
     if check.allow_nan:
         return "false"
-    tries = [f"try_to_timestamp(cast({quoted(name)} AS string), '{f}')" for f in check.formats] or [quoted(name)]
-    return f"(coalesce({', '.join(tries)}) IS NULL)"
+    value = timestamp_sql(f"cast({quoted(name)} AS string)", check.formats) if check.formats else quoted(name)
+    return f"({value} IS NULL)"
 
 
 def schema_sql(columns: Sequence[str], schema: Mapping[str, Numeric | Text]) -> dict[str, str]:
