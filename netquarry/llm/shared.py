@@ -43,7 +43,9 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     if (scope := _scope.get()) is not None:
         scope.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_written_at"] = path
+    return out
 
 
 @contextmanager
@@ -73,9 +75,9 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def removed(spark: SparkSession, *tables: DataFrame) -> None:
-    """Delete the files of written tables that no later plan reads."""
-    for path in {name.rsplit("/", 1)[0] for df in tables for name in df.inputFiles()}:
-        _delete(spark, path)
+    """Delete the files of tables that `written` made and that no later plan reads."""
+    for df in tables:
+        _delete(spark, df.__dict__["_written_at"])
 
 
 def free_name(df: DataFrame, *wanted: str) -> list[str]:
