@@ -362,7 +362,10 @@ def simhash_groups(
 
 
 def shingle_sets(slim: DataFrame, shingle: int, lanes: int) -> DataFrame:
-    """slim (text and more) with hashes, the text's distinct shingle hashes, node, a name for that set, and fp."""
+    """slim (text and more) with hashes, the text's distinct shingle hashes, node, a name for that set, and fp.
+
+    hashes are 64-bit words in order, as bytes: an array column would cost the JVM a step for every element.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
@@ -370,13 +373,13 @@ def shingle_sets(slim: DataFrame, shingle: int, lanes: int) -> DataFrame:
             counts = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
             flat = np.concatenate(sets)
             words = np.stack([majority(lane(flat, k), counts) for k in range(lanes)], axis=1).astype(">u8")
-            hashes = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(flat.view(np.int64)))
-            node = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
+            packed = [x.tobytes() for x in sets]
+            hashes, node = pa.array(packed, pa.binary()), pa.array([xxhash.xxh3_128_digest(x) for x in packed], pa.binary())
             fp = pa.array([w.tobytes() for w in words], pa.binary())
             yield pa.RecordBatch.from_arrays([hashes, node, fp, *batch.columns[1:]], names=["hashes", "node", "fp", *batch.schema.names[1:]])
 
     rest = [c for c in slim.columns if c != "text"]
-    fields = ", ".join(["hashes array<long>, node binary, fp binary", *(f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in rest)])
+    fields = ", ".join(["hashes binary, node binary, fp binary", *(f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in rest)])
     return slim.select("text", *rest).mapInArrow(run, fields)
 
 
@@ -391,9 +394,21 @@ def similar(spark: SparkSession, pairs: DataFrame, sets: DataFrame, least: float
     one = join_salted(spark, pairs.select(F.col("a").alias("node"), "b"), held, "node")
     one = one.select(F.col("node").alias("a"), F.col("b").alias("node"), F.col("hashes").alias("left"))
     both = join_salted(spark, one, held, "node", written(spark, pairs.groupBy(F.col("b").alias("node")).count(), "simhash-uses"))
-    common = F.size(F.array_intersect("left", "hashes"))
-    union = F.size("left") + F.size("hashes") - common
-    return both.filter(common >= union * least).select("a", F.col("node").alias("b"))
+    both = both.select("a", F.col("node").alias("b"), "left", "hashes")
+
+    def unpacked(packed: pa.BinaryScalar) -> np.ndarray:
+        return np.frombuffer(packed.as_py(), dtype=np.uint64) if packed.as_py() else np.zeros(0, np.uint64)
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for left, right in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = unpacked(left), unpacked(right)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common >= (len(x) + len(y) - common) * least)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(close, "a binary, b binary")
 
 
 def first_of_each(
