@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from netquarry.llm import (
     bktree_simhash,
     decontaminate,
+    filter_audit,
     license_scan,
     mixing,
     phrase_dedup,
     quality_model,
+    resample,
     secret_scan,
     sharding,
     stream_dedup,
@@ -101,6 +103,15 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = filter_audit.flagged(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return filter_audit.audit(rows, "part", list("ABCDE"), ["good", "toxic"])
+
+
+def op13_target_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -122,6 +133,28 @@ kept AS (SELECT each.doc_id, string_agg(x, ' ' ORDER BY each.j) FILTER (WHERE co
 SELECT d.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
 
 
+OP11_SQL = r"""WITH w AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS part,
+  list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+firsts AS (SELECT t, min(doc_id) AS f FROM w GROUP BY t),
+marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+d AS (SELECT part, len(w) < 50 AS a, 100 * len(list_distinct(w)) < 65 * len(w) AS b,
+  100 * length(regexp_replace(w.t, '[^A-Z]', '', 'g')) > 5 * length(w.t) AS c, regexp_matches(w.t, '[#$%&*|]') AS d, coalesce(f < doc_id, false) AS e,
+  coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM w JOIN firsts ON firsts.t = w.t LEFT JOIN marks USING (doc_id)),
+p AS (SELECT part, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS bits, count(*) AS n, count_if(good) AS good, count_if(toxic) AS toxic FROM d GROUP BY 1, 2),
+f AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS v(l, bit)),
+o AS (SELECT f1.l || f2.l || f3.l || f4.l || f5.l AS filter_order, [f1.bit, f2.bit, f3.bit, f4.bit, f5.bit] AS bits
+  FROM f f1 JOIN f f2 ON f2.l <> f1.l JOIN f f3 ON f3.l NOT IN (f1.l, f2.l) JOIN f f4 ON f4.l NOT IN (f1.l, f2.l, f3.l) JOIN f f5 ON f5.l NOT IN (f1.l, f2.l, f3.l, f4.l)),
+s AS (SELECT filter_order, i AS step, bits[i] AS own, coalesce(list_sum(bits[1:i - 1]), 0)::INT AS former FROM o, range(1, 6) AS r(i)),
+x AS (SELECT part, filter_order, step, any_value(own) AS own,
+  sum(n) FILTER (WHERE p.bits & (former | own) = 0) AS kept, sum(n) FILTER (WHERE p.bits & own > 0 AND p.bits & former = 0) AS removed,
+  sum(n) FILTER (WHERE p.bits & own > 0 AND p.bits & former > 0) AS redundant, sum(n) FILTER (WHERE p.bits = own) AS unique_fails,
+  sum(good) FILTER (WHERE p.bits & own > 0 AND p.bits & former = 0) AS good_lost, sum(toxic) FILTER (WHERE p.bits & own > 0 AND p.bits & former = 0) AS toxic_lost
+  FROM p, s GROUP BY part, filter_order, step)
+SELECT part, filter_order, CAST(step AS INT) AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+  coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  coalesce(sum(removed) OVER (PARTITION BY part, own), 0)::BIGINT AS shapley FROM x"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """SQL for the two queries that it can express whole; the others are tested against brute force."""
-    return {"op6_stream_dedup": OP6_SQL, "op9_repeated_phrases": OP9_SQL}
+    """SQL for the queries that it can express whole; the others are tested against brute force."""
+    return {"op6_stream_dedup": OP6_SQL, "op9_repeated_phrases": OP9_SQL, "op11_filter_audit": OP11_SQL}
