@@ -11,6 +11,7 @@ from netquarry.llm import (
     bktree_simhash,
     decontaminate,
     filter_audit,
+    jaccard_join,
     license_scan,
     mixing,
     phrase_dedup,
@@ -108,6 +109,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(rows, "part", list("ABCDE"), ["good", "toxic"])
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_groups(spark, _table(spark, sf_dir, "documents"))
+
+
 def op13_target_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -155,6 +160,43 @@ SELECT part, filter_order, CAST(step AS INT) AS step, coalesce(kept, 0)::BIGINT
   coalesce(sum(removed) OVER (PARTITION BY part, own), 0)::BIGINT AS shapley FROM x"""
 
 
+OP12_SQL = r"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[i:i + 3], ' ') || ' ' || least(len(w), 4) AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+kinds AS (SELECT r, n, min(r) OVER (PARTITION BY n, k) AS node FROM (SELECT r, count(*) AS n, list(g ORDER BY g) AS k FROM s GROUP BY r)),
+p AS (SELECT x.r AS a, y.r AS b, count(*) AS both FROM s x JOIN s y ON x.g = y.g AND x.r < y.r
+  WHERE x.r IN (SELECT node FROM kinds) AND y.r IN (SELECT node FROM kinds) GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n na ON na.r = a JOIN n nb ON nb.r = b WHERE 100 * both >= 85 * (na.n + nb.n - both)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l UNION SELECT node, r FROM kinds UNION SELECT r, node FROM kinds),
+reach AS (SELECT r AS f, r AS t FROM n UNION SELECT f, e.b FROM reach JOIN e ON e.a = reach.t)
+SELECT d.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, coalesce(min(o.doc_id), d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (r) LEFT JOIN reach ON f = d.r LEFT JOIN d o ON o.r = t GROUP BY d.r, d.doc_id"""
+
+#: CRC-32 byte by byte, by a table made from its polynomial.
+OP13_SQL = r"""WITH tab AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+texts AS (SELECT doc_id, text, true AS own FROM documents UNION ALL SELECT NULL, text, false FROM benchmark),
+w AS (SELECT row_number() OVER () AS r, doc_id, own,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+g AS (SELECT r, own, unnest(w) AS f FROM w
+  UNION ALL SELECT r, own, w[i] || ' ' || w[i + 1] FROM (SELECT r, own, w, unnest(range(1, len(w))) AS i FROM w)),
+kinds AS (SELECT f, hex(encode(f)) AS h FROM g GROUP BY f),
+coded AS (SELECT f, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT],
+    list_transform(range(1, length(h), 2), lambda i: ('0x' || substr(h, i::INT, 2))::BIGINT)), lambda c, z: xor(t[(xor(c, z) & 255) + 1], c >> 8))) % 10000 AS bucket FROM kinds, tab),
+c AS (SELECT r, own, bucket, count(*) AS n FROM g JOIN coded USING (f) GROUP BY ALL),
+b AS (SELECT bucket, coalesce(sum(n) FILTER (WHERE own), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (WHERE NOT own), 0)::DOUBLE AS t FROM c GROUP BY 1),
+sums AS (SELECT coalesce(sum(s), 0) + 10000 AS s_all, coalesce(sum(t), 0) + 10000 AS t_all FROM b),
+gains AS (SELECT bucket, floor(1000 * ln(((t + 1) * s_all) / ((s + 1) * t_all)))::BIGINT AS gain FROM b, sums),
+d AS (SELECT r, sum(n) AS n, floor(sum(n * gain)::DOUBLE / sum(n))::BIGINT AS weight FROM c JOIN gains USING (bucket) WHERE own GROUP BY r),
+x AS (SELECT doc_id, len(w) AS n_words, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+  coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5) / 4294967296)))::BIGINT AS score
+  FROM w LEFT JOIN d USING (r) WHERE own),
+o AS (SELECT doc_id, n_features, weight, score, n_words >= 20 AS able,
+  row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features) AS k, count(*) OVER (PARTITION BY n_words >= 20) AS n FROM x)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND k <= 25 * n // 100 THEN k END AS rank FROM o"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that it can express whole; the others are tested against brute force."""
-    return {"op6_stream_dedup": OP6_SQL, "op9_repeated_phrases": OP9_SQL, "op11_filter_audit": OP11_SQL}
+    return {"op6_stream_dedup": OP6_SQL, "op9_repeated_phrases": OP9_SQL, "op11_filter_audit": OP11_SQL, "op12_jaccard_join": OP12_SQL, "op13_target_resample": OP13_SQL}
