@@ -165,9 +165,9 @@ OP12_SQL = r"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, li
 s AS (SELECT DISTINCT r, array_to_string(w[i:i + 3], ' ') || ' ' || least(len(w), 4) AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM d WHERE len(w) > 0)),
 n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
 kinds AS (SELECT r, n, min(r) OVER (PARTITION BY n, k) AS node FROM (SELECT r, count(*) AS n, list(g ORDER BY g) AS k FROM s GROUP BY r)),
-p AS (SELECT x.r AS a, y.r AS b, count(*) AS both FROM s x JOIN s y ON x.g = y.g AND x.r < y.r
+p AS (SELECT x.r AS a, y.r AS b, count(*) AS common FROM s x JOIN s y ON x.g = y.g AND x.r < y.r
   WHERE x.r IN (SELECT node FROM kinds) AND y.r IN (SELECT node FROM kinds) GROUP BY 1, 2),
-l AS (SELECT a, b FROM p JOIN n na ON na.r = a JOIN n nb ON nb.r = b WHERE 100 * both >= 85 * (na.n + nb.n - both)),
+l AS (SELECT a, b FROM p JOIN n na ON na.r = a JOIN n nb ON nb.r = b WHERE 100 * common >= 85 * (na.n + nb.n - common)),
 e AS (SELECT a, b FROM l UNION SELECT b, a FROM l UNION SELECT node, r FROM kinds UNION SELECT r, node FROM kinds),
 reach AS (SELECT r AS f, r AS t FROM n UNION SELECT f, e.b FROM reach JOIN e ON e.a = reach.t)
 SELECT d.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, coalesce(min(o.doc_id), d.doc_id) AS component_id
