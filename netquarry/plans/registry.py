@@ -17,8 +17,9 @@ from netquarry.functions.scalars import capture_name, contains_ignoring_case, is
 from netquarry.operators import joins, labels, packing, profile, quality, scaling, setops, states, windows
 from netquarry.operators.labels import AttackRule, FlowColumns
 from netquarry.operators.quality import Numeric, Plan, Rule, Text
-from netquarry.session import table
+from netquarry.session import fresh_path, table
 from netquarry.sources import pcap
+from netquarry.sources.capture_ranges import opened, read_capture
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -687,8 +688,8 @@ def _hex(value: Column, length: int) -> Column:
     return F.lpad(F.hex(value.cast("bigint")), 2 * length, "0")
 
 
-def _capture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, content): the events of each day as a big-endian capture, of microseconds or nanoseconds by day."""
+def _capture_records(spark: SparkSession, sf_dir: str, nano: Column) -> DataFrame:
+    """(day, nano, n, record): the events as records of a big-endian capture, in hexadecimal digits."""
     events = table(spark, sf_dir, "events")
     number, user, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
     back, port = number % 2 == 1, F.get_json_object("props", "$.k").cast("bigint")
@@ -706,16 +707,55 @@ def _capture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     frame = F.concat(F.lit("0000000000010000000000020800"), ip, F.when(kind == "view", tcp).when(kind == "click", udp).otherwise(F.lit("0800000000000000")))
     micros, day = F.unix_micros(F.col("ts").cast("timestamp")), F.to_date("ts")
-    nano = F.dayofmonth(day) % 2 == 0
     length = F.length(frame) / 2
     fraction = (micros % 1_000_000) * F.when(nano, 1000).otherwise(1)
     record = F.concat(_hex(F.floor(micros / 1_000_000), 4), _hex(fraction, 4), _hex(length, 4), _hex(length + number % 500, 4), frame)
-    magic = F.when(nano, F.lit("A1B23C4D")).otherwise(F.lit("A1B2C3D4"))
-    records = events.select(day.alias("day"), magic.alias("magic"), F.struct(number.alias("n"), record.alias("record")).alias("r"))
-    days = records.groupBy("day", "magic").agg(F.array_sort(F.collect_list("r")).alias("rs"))  # a day of these tables is small
+    return events.select(day.alias("day"), nano.alias("nano"), number.alias("n"), record.alias("record"))
+
+
+def _capture_head(nano: Column) -> Column:
+    return F.concat(F.when(nano, F.lit("A1B23C4D")).otherwise(F.lit("A1B2C3D4")), F.lit("0002000400000000000000000004000000000001"))
+
+
+def _capture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): the events of each day as a big-endian capture, of microseconds or nanoseconds by day."""
+    records = _capture_records(spark, sf_dir, F.dayofmonth(F.to_date("ts")) % 2 == 0)
+    days = records.groupBy("day", "nano").agg(F.array_sort(F.collect_list(F.struct("n", "record"))).alias("rs"))  # a day of these tables is small
     body = F.array_join(F.transform("rs", lambda r: r["record"]), "")
-    content = F.unhex(F.concat("magic", F.lit("0002000400000000000000000004000000000001"), body))
-    return days.select(F.concat(F.lit("day-"), F.col("day").cast("string"), F.lit(".pcap")).alias("path"), content.alias("content"))
+    return days.select(F.concat(F.lit("day-"), F.col("day").cast("string"), F.lit(".pcap")).alias("path"), F.unhex(F.concat(_capture_head(F.col("nano")), body)).alias("content"))
+
+
+def _one_capture(spark: SparkSession, sf_dir: str) -> str:
+    """All events in one capture, in the folder that driver and executors share: its path. Tasks write pieces, which are put together as streams."""
+    path = fresh_path(spark, "capture")
+    records = _capture_records(spark, sf_dir, F.lit(False)).select("n", F.unhex("record").alias("record"))
+    pieces = records.repartitionByRange("n").sortWithinPartitions("n").withColumn("part", F.spark_partition_id())
+
+    def write(frames):
+        import pandas as pd
+        from netquarry.sources.capture_ranges import opened
+
+        held, part = [], None
+        for frame in frames:
+            part = int(frame["part"].iloc[0]) if len(frame) else part
+            held += frame["record"].tolist()
+        if part is not None:
+            system, inner = opened(path)
+            system.create_dir(inner)
+            with system.open_output_stream(f"{inner}/_piece-{part:05}") as out:
+                out.write(b"".join(held))
+            yield pd.DataFrame({"part": [part]})
+
+    parts = sorted(r["part"] for r in pieces.mapInPandas(write, "part int").collect())
+    system, inner = opened(path)
+    system.create_dir(inner)
+    with system.open_output_stream(f"{inner}/whole.pcap") as out:
+        out.write(bytes.fromhex("A1B2C3D40002000400000000000000000004000000000001"))
+        for part in parts:
+            with system.open_input_stream(f"{inner}/_piece-{part:05}") as piece:
+                while data := piece.read(1 << 20):
+                    out.write(data)
+    return f"{path}/whole.pcap"
 
 
 def _packets(files: DataFrame) -> DataFrame:
@@ -741,6 +781,13 @@ def capture_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bigints(_packets(_capture_files(spark, sf_dir)).select(*_PACKET_COLUMNS))
 
 
+@register("capture_by_ranges", _PACKET_SQL)
+def capture_by_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One capture of all events, read by ranges of 64 KB."""
+    packets = pcap.parse_packets(read_capture(spark, _one_capture(spark, sf_dir), 64 << 10))
+    return _bigints(packets.withColumn("at", F.unix_micros("timestamp")).select(*_PACKET_COLUMNS))
+
+
 @register(
     "capture_light",
     f"WITH p AS ({_PACKET_SQL}) SELECT src_ip, dst_ip, src_port, dst_port, protocol, count(*) AS n FROM p GROUP BY ALL",

@@ -1,8 +1,9 @@
 """Packet captures as DataFrames: classic pcap in four byte orders and resolutions, and pcapng.
 
-Files are read through Spark's binaryFile source, so any store Spark reads will do, and cut into packets in Arrow
-batches. A file is one row of bytes and so at most 2 GB: split longer captures at record boundaries first
-(split_capture_file, in constant memory). Frames are parsed with column expressions only.
+Files are read by byte ranges (see capture_ranges), so one large file is dealt over many tasks. A store that only Spark
+can open is read through its binaryFile source instead: there a file is one row of bytes and so at most 2 GB, split
+longer ones at record boundaries first (split_capture_file, in constant memory). Frames are parsed with column
+expressions only.
 """
 
 from __future__ import annotations
@@ -10,17 +11,18 @@ from __future__ import annotations
 import io
 import os
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import BinaryIO
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PACKET = "timestamp timestamp, captured_length int, original_length int, data binary"
 #: Fixed values of the formats.
 MAGICS = {0xA1B2C3D4: 1_000_000, 0xA1B23C4D: 1_000_000_000}
-PCAPNG = 0x0A0D0D0A
+PCAPNG, PCAPNG_START = 0x0A0D0D0A, b"\x0a\x0d\x0d\x0a"
 BYTE_ORDERS = {b"\x4d\x3c\x2b\x1a": "<", b"\x1a\x2b\x3c\x4d": ">"}
 LONGEST_RECORD, LATEST_SECOND, LONGEST_PIECE_RECORD = 262_144, 4_102_444_800, 16 << 20
 BATCH = 20_000
@@ -59,24 +61,30 @@ def classic_packets(data: bytes) -> Iterator[tuple[int, int, int, bytes]]:
 
 
 def pcapng_packets(data: bytes) -> Iterator[tuple[int, int, int, bytes]]:
-    """Packets of enhanced, obsolete and simple packet blocks; the last have no time and get 0.
+    """pcapng_blocks of a capture in memory."""
+    return pcapng_blocks(io.BytesIO(data).read)
+
+
+def pcapng_blocks(read: Callable[[int], bytes]) -> Iterator[tuple[int, int, int, bytes]]:
+    """Packets of enhanced, obsolete and simple packet blocks; the last have no time and get 0. Reads a block at a time.
 
     A block that is cut off, its header included, and an unknown byte-order magic raise ValueError.
     """
-    at, order, units = 0, "<", []
-    while at < len(data):
-        if at + 12 > len(data):
+    order, units = "<", []
+    while head := read(12):
+        if len(head) < 12:
             raise ValueError("the capture ends inside a block header")
-        kind = struct.unpack_from(f"{order}I", data, at)[0]
+        kind = struct.unpack_from(f"{order}I", head)[0]
         if kind == PCAPNG:
-            if (magic := data[at + 8 : at + 12]) not in BYTE_ORDERS:
+            if (magic := head[8:12]) not in BYTE_ORDERS:
                 raise ValueError(f"no pcapng byte-order magic: {magic.hex()}")
             order = BYTE_ORDERS[magic]
             units = []
-        length = struct.unpack_from(f"{order}I", data, at + 4)[0]
-        if length < 12 or at + length > len(data):
+        length = struct.unpack_from(f"{order}I", head, 4)[0]
+        rest = read(length - 12) if length >= 12 else b""
+        if length < 12 or len(rest) < length - 12:
             raise ValueError("the capture ends inside a block")
-        body = data[at + 8 : at + length - 4]
+        body = (head[8:] + rest)[:-4]
         if kind == 1:
             units.append(_resolution(body, order))
         elif kind in (2, 6):
@@ -90,7 +98,6 @@ def pcapng_packets(data: bytes) -> Iterator[tuple[int, int, int, bytes]]:
             original = struct.unpack_from(f"{order}I", body)[0]
             packet = body[4 : 4 + original]
             yield 0, len(packet), original, packet
-        at += length
 
 
 def _resolution(body: bytes, order: str) -> int:
@@ -108,7 +115,7 @@ def _resolution(body: bytes, order: str) -> int:
 
 
 def packets_of(data: bytes) -> Iterator[tuple[int, int, int, bytes]]:
-    return pcapng_packets(data) if data[:4] == b"\x0a\x0d\x0d\x0a" else classic_packets(data)
+    return pcapng_packets(data) if data[:4] == PCAPNG_START else classic_packets(data)
 
 
 def classic_bytes(packets: Iterator[tuple[int, int, int, bytes]], snap: int = LONGEST_RECORD) -> bytes:
@@ -191,9 +198,15 @@ def packets_in(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(_files_to_packets, f"{PACKET}, capture string")
 
 
-def read_pcap(spark: SparkSession, path: str) -> DataFrame:
-    """The packets_in all files at path."""
-    return packets_in(spark.read.format("binaryFile").load(path))
+def read_pcap(spark: SparkSession, path: str, range_bytes: int = 128 << 20) -> DataFrame:
+    """The packets of all files at path, by ranges of range_bytes; the packets_in them where only Spark opens the store."""
+    from netquarry.sources.capture_ranges import opened, read_capture
+
+    try:
+        opened(path)
+    except (pa.ArrowInvalid, ValueError):  # not a file system of pyarrow
+        return packets_in(spark.read.format("binaryFile").load(path))
+    return read_capture(spark, path, range_bytes)
 
 
 def _number(data: Column, at: Column | int, length: int) -> Column:
