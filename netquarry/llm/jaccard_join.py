@@ -11,6 +11,10 @@ subsets that differ in one token too: its own subset less each token, among the
 among the others' less one token (the one-deletion neighbourhoods). A set most of whose segments are common can't make
 up for them and keeps all.
 
+Bands of large sets have an eighth more segments than that, and so a similar pair meets that much more often: by the
+same count, what a set spends on its segments beyond what differs in them adds up to the surplus and one. Pairs that meet less
+often share a passage, no more, and aren't verified.
+
 What is found is verified by the whole sets. Copies of a set are one node from the start. Groups of one subset don't
 become all pairs: each set is first tested against the one centre that most of its groups name; what then still lies in
 different components of one group is tested, the rest of a group against its largest component.
@@ -19,7 +23,6 @@ different components of one group is tested, the rest of a group against its lar
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,7 @@ from netquarry.llm.shared import components, join_counted, join_salted, likely_i
 #: Sets of the next band are at most so many times as large.
 BAND = 1.5
 #: A subset that more sets share costs too much where another segment can make up for it.
-COMMON = 64
+COMMON = 8
 #: Bits of the bitmaps that tell workers which subsets matter: 8 MB each, however many subsets there are.
 BITS = 26
 #: Tokens that are dealt at once.
@@ -43,7 +46,6 @@ BYTE_BASE, WORD_BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD
 SKETCH = 256
 
 
-@lru_cache(maxsize=1)
 def _powers(n: int) -> np.ndarray:
     return np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, BYTE_BASE))), dtype=np.uint64)
 
@@ -62,7 +64,7 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), counts
     first = np.cumsum(length) - length
     at = np.arange(int(length.sum())) - np.repeat(first, length)
-    values = (data[inside].astype(np.uint64) + np.uint64(1)) * _powers(1 << int(length.max()).bit_length())[at]
+    values = (data[inside].astype(np.uint64) + np.uint64(1)) * _powers(int(length.max()))[at]
     return _mixed(np.add.reduceat(values, first)), counts
 
 
@@ -101,7 +103,11 @@ class Bands:
             high.append(max(low[-1], int(low[-1] * BAND)))
         self.low, self.high = np.array(low), np.array(high)
         #: sets x <= y <= high differ in (x + y) (100 - percent) / (100 + percent) tokens at most
-        self.segments = 2 * self.high * (100 - percent) // (100 + percent) + 1
+        differ = 2 * self.high * (100 - percent) // (100 + percent)
+        surplus = differ // 8
+        self.segments = np.where(differ > 0, differ + 1 + surplus, 1)
+        #: keys that a similar pair shares in a band at least: a key counts twice at most
+        self.least = surplus // 2 + 1
 
     def entries(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(set, band, whether it is the set's own): where sets of these sizes are filed. Bands of equal sets only are left out."""
@@ -123,6 +129,7 @@ class Dealt:
 
     def __init__(self, tokens: np.ndarray, sizes: np.ndarray, bands: Bands):
         self.set, band, self.own = bands.entries(sizes)
+        self.least = bands.least[band]
         width, n = bands.segments[band], sizes[self.set]
         base, start = np.cumsum(width) - width, (np.cumsum(sizes) - sizes)[self.set]
         self.entry = np.repeat(np.arange(len(width)), width)
@@ -233,9 +240,10 @@ def searched_keys(texts: DataFrame, shingle: int, bands: Bands, common: np.ndarr
 
 
 def filed(texts: DataFrame, shingle: int, bands: Bands, common: np.ndarray, wanted: np.ndarray, neighbours: np.ndarray) -> DataFrame:
-    """(key, node, size, own, probe): subsets that are in `wanted` and neighbours that are searched or looked for.
+    """(key, node, size, own, probe, least): subsets that are in `wanted` and neighbours that are searched or looked for.
 
-    own: filed in the set's own band; probe: the set searches there, and isn't only found there.
+    own: filed in the set's own band; probe: the set searches there, and isn't only found there; least: how many keys a
+    similar pair shares in that band at least.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,10 +257,10 @@ def filed(texts: DataFrame, shingle: int, bands: Bands, common: np.ndarray, want
             keys = np.concatenate((dealt.keys[exact], less[near]))
             searches = np.concatenate((probe[exact], mine[near]))
             at = dealt.set[entry]
-            columns = [_long(keys), _long(node[at]), _long(sizes[at]), pa.array(dealt.own[entry]), pa.array(searches)]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "size", "own", "probe"])
+            columns = [_long(keys), _long(node[at]), _long(sizes[at]), pa.array(dealt.own[entry]), pa.array(searches), _long(dealt.least[entry])]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "size", "own", "probe", "least"])
 
-    return texts.mapInArrow(run, "key long, node long, size long, own boolean, probe boolean")
+    return texts.mapInArrow(run, "key long, node long, size long, own boolean, probe boolean, least long")
 
 
 def sets_of(texts: DataFrame, shingle: int, nodes: np.ndarray) -> DataFrame:
@@ -320,13 +328,14 @@ def _linked(spark: SparkSession, texts: DataFrame, facts: DataFrame, shingle: in
     met = written(spark, join_counted(rows, groups, ["key"], "n", "inner"), "jaccard-met")
     removed(spark, rows)
     # each set against the centre that most of its groups name
-    stars = met.filter("node <> centre").groupBy("node", "centre").count().groupBy("node").agg(F.max_by("centre", F.struct("count", "centre")).alias("b"))
+    stars = met.filter("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("count"), F.min("least").alias("least"))
+    stars = stars.filter("count >= least").groupBy("node").agg(F.max_by("centre", F.struct("count", "centre")).alias("b"))
     stars = written(spark, stars.select(F.col("node").alias("a"), "b"), "jaccard-stars")
     near = written(spark, verified(spark, stars, facts, texts, shingle, percent), "jaccard-near")
     roots = written(spark, components(spark, near), "jaccard-roots")
     # what lies in different components of a group
     part = F.coalesce("root", "node").alias("part")
-    placed = met.drop("n", "centre").join(roots, "node", "left").select("key", "node", "size", "own", "probe", part)
+    placed = met.drop("n", "centre").join(roots, "node", "left").select("key", "node", "size", "own", "probe", "least", part)
     placed = written(spark, placed, "jaccard-placed")
     removed(spark, met, groups)
     sizes = placed.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key")
@@ -334,7 +343,7 @@ def _linked(spark: SparkSession, texts: DataFrame, facts: DataFrame, shingle: in
     mixed = written(spark, mixed.select("key", "main", "n"), "jaccard-mixed")
     split = written(spark, join_counted(placed, mixed, ["key"], "n", "inner").drop("n"), "jaccard-split")
     removed(spark, placed)
-    side = lambda c: [F.col(x).alias(f"{c}_{x}") for x in ("node", "size", "own", "probe", "part")]
+    side = lambda c: [F.col(x).alias(f"{c}_{x}") for x in ("node", "size", "own", "probe", "least", "part")]
     few = split.filter("part <> main").select("key", "main", *side("a"))
     pairs = few.join(split.select("key", *side("b")), "key").filter(
         (F.col("a_part") != F.col("b_part"))
@@ -344,7 +353,8 @@ def _linked(spark: SparkSession, texts: DataFrame, facts: DataFrame, shingle: in
         & (F.least("a_size", "b_size") * 100 >= F.greatest("a_size", "b_size") * percent)
     )
     ends = (F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
-    pairs = written(spark, pairs.select(*ends).distinct(), "jaccard-pairs")
+    pairs = pairs.groupBy(*ends).agg(F.count("*").alias("n"), F.min("a_least").alias("least")).filter("n >= least")
+    pairs = written(spark, pairs.select("a", "b"), "jaccard-pairs")
     further = written(spark, verified(spark, pairs, facts, texts, shingle, percent), "jaccard-further")
     return kept(components(spark, near.unionByName(further)), "jaccard-components")
 
