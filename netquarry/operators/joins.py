@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netquarry.operators._columns import col
+from netquarry.session import settled
 
 NAN = float("nan")
 
@@ -31,10 +32,15 @@ def interval_join(
 ) -> DataFrame:
     """Rows of intervals with the points of equal keys that lie in [start, end], both ends included; whole numbers.
 
-    Without bucket the keys alone are the join keys. With it, time is cut into buckets of that length and an interval
-    meets a point in the point's bucket only: a key that very many rows share is dealt over its buckets. points must
-    not have columns named like those of intervals, but for the keys. how: inner or left.
+    Without bucket the keys alone are the join keys. With it, a key that very many rows share is dealt over time: an
+    interval is filed by its length, in the class of the least power of two above it (that of bucket at least), under the
+    one or two buckets of that length it touches, and a point looks into its own bucket of every class that there is. So
+    neither side grows with an interval's length, however wrong that may be; which classes there are, one pass over
+    intervals tells. points must not have columns named like those of intervals, but for the keys. how: inner or left; an
+    interval that ends before it starts, or lacks an end, has no points.
     """
+    if how not in ("inner", "left"):
+        raise ValueError(f"an interval join is inner or left, not {how}")
     inside = F.col(at).between(F.col(start), F.col(end))
     if bucket is None:
         right = points.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in points.columns if c not in keys])
@@ -42,12 +48,19 @@ def interval_join(
         for k in keys:
             on = on & (F.col(k) == F.col(f"_{k}"))
         return intervals.join(right, on, how).drop(*[f"_{k}" for k in keys])
-    if how != "inner":
-        raise ValueError("a bucketed interval join is an inner join; join what has no point afterwards")
-    buckets = F.sequence(F.floor(F.col(start) / bucket), F.floor(F.col(end) / bucket))
-    left = intervals.filter(F.col(start) <= F.col(end)).withColumn("_bucket", F.explode(buckets))
-    right = points.withColumn("_bucket", F.floor(F.col(at) / bucket))
-    return left.join(right, [*keys, "_bucket"]).filter(inside).drop("_bucket")
+    if how == "left":
+        told = settled(intervals.withColumn("_interval", F.monotonically_increasing_id()), "intervals")
+        met = settled(interval_join(told, points, keys, start, end, at, bucket=bucket), "intervals-met")
+        return met.unionByName(told.join(met.select("_interval").distinct(), "_interval", "left_anti"), allowMissingColumns=True).drop("_interval")
+    length = F.try_subtract(F.col(end), F.col(start))
+    bits = F.greatest(F.length(F.bin(F.coalesce(length, F.lit((1 << 63) - 1)))), F.lit(max(1, (bucket - 1).bit_length())))
+    left = intervals.filter(F.col(start) <= F.col(end)).withColumn("_class", F.least(bits, F.lit(63)))
+    there = left.agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_class")))).first()[0] or 0
+    classes = [F.lit(k) for k in range(64) if there >> k & 1]
+    of = lambda c: F.call_function("shiftright", F.col(c).cast("bigint"), F.col("_class"))
+    left = left.withColumn("_bucket", F.explode(F.array_distinct(F.array(of(start), of(end)))))
+    right = points.withColumn("_class", F.explode(F.array(*classes) if classes else F.array().cast("array<int>"))).withColumn("_bucket", of(at))
+    return left.join(right, [*keys, "_class", "_bucket"]).filter(inside).drop("_bucket", "_class")
 
 
 def flow_windows(flows: DataFrame, fields: dict[str, str], protocols: dict[int, str]) -> DataFrame:
@@ -69,7 +82,7 @@ def flow_windows(flows: DataFrame, fields: dict[str, str], protocols: dict[int,
             "flow_dst": F.struct(col(fields["dst_ip"]).alias("ip"), number["dst_port"].alias("port")),
             "flow_protocol": label,
             "flow_start": stamp,
-            "flow_end": stamp + number["duration"],
+            "flow_end": F.try_add(stamp, number["duration"]),
         }
     )
     return out.filter(

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,12 +139,96 @@ def maxima(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return _long(df.agg(*[F.max(col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(columns)]), columns, {"maximum": "m"})
 
 
-def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of each pair of columns, in the order given; all pairs in one pass."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    one = df.agg(*[F.corr(col(a).cast("double"), col(b).cast("double")).alias(f"r{k}") for k, (a, b) in enumerate(pairs)])
-    rows = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{k}").alias("r")) for k, (a, b) in enumerate(pairs)]
-    return one.select(F.explode(F.array(*rows)).alias("p")).select("p.*")
+class CoMoments:
+    """Counts, means, squared deviations and co-deviations of all pairs of columns, each over the rows that have both.
+
+    Entry (a, b) of mean and square is of column a where b is present. Blocks merge, in any order.
+    """
+
+    def __init__(self, n: np.ndarray, mean: np.ndarray, square: np.ndarray, cross: np.ndarray, odd: np.ndarray):
+        self.parts = (n, mean, square, cross, odd)
+
+    @classmethod
+    def of(cls, values: np.ndarray) -> CoMoments:
+        """A block: rows of doubles, of which `values` is a masked array. Products of whole matrices, about each column's own mean."""
+        present, data = ~np.ma.getmaskarray(values), np.ma.getdata(values)
+        finite = np.isfinite(data)
+        odd, here = (present & ~finite).astype(float), present.astype(float)
+        use = present & finite
+        low, high = (f(np.where(use, data, fill), axis=0) for f, fill in ((np.min, np.inf), (np.max, -np.inf)))
+        count = use.sum(axis=0)
+        centre = np.where(count == 0, 0.0, np.where(low == high, low, np.where(use, data, 0.0).sum(axis=0) / np.maximum(count, 1)))
+        x = np.where(use, data - centre, 0.0)
+        n = here.T @ here
+        sums = x.T @ here
+        least = np.maximum(n, 1)
+        square = np.maximum((x * x).T @ here - sums * sums / least, 0.0)
+        return cls(n, centre[:, None] + sums / least, square, x.T @ x - sums * sums.T / least, odd.T @ here)
+
+    def merged(self, other: CoMoments) -> CoMoments:
+        n, mean, square, cross, odd = self.parts
+        m, mean2, square2, cross2, odd2 = other.parts
+        total = np.maximum(n + m, 1)
+        apart = np.where((n > 0) & (m > 0), mean2 - mean, 0.0)
+        weight = n * m / total
+        return CoMoments(
+            n + m, np.where(n > 0, mean, mean2) + apart * m / total, square + square2 + apart * apart * weight, cross + cross2 + apart * apart.T * weight, odd + odd2
+        )
+
+    def correlation(self) -> np.ma.MaskedArray:
+        """r of each pair; masked without a row that has both, NaN for a constant or where a value isn't finite."""
+        n, _, square, cross, odd = self.parts
+        with np.errstate(all="ignore"):
+            r = cross / np.sqrt(square * square.T)
+        return np.ma.masked_array(np.where(odd + odd.T > 0, np.nan, r), n == 0)
+
+    def packed(self) -> bytes:
+        return np.stack(self.parts).tobytes()
+
+    @classmethod
+    def unpacked(cls, data: bytes, width: int) -> CoMoments:
+        return cls(*np.frombuffer(data).reshape(5, width, width))
+
+
+def correlations(df: DataFrame, columns: Sequence[str], *, block: int = 8192, fan_in: int = 64) -> DataFrame:
+    """Rows (a, b, r): Pearson correlation of each pair of columns, in the order given, over the rows that have both.
+
+    Each partition makes one CoMoments of its rows, block by block as products of matrices; fan_in tasks merge these and
+    one merges theirs. So the plan doesn't grow with the columns, and what is shuffled not with the rows.
+    """
+    width = len(columns)
+    slim = df.select(*[col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[CoMoments]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, block):
+                piece = batch.slice(k, block).columns
+                data = np.stack([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in piece], axis=1)
+                yield CoMoments.of(np.ma.masked_array(data, np.stack([c.is_null().to_numpy(zero_copy_only=False) for c in piece], axis=1)))
+
+    def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[CoMoments]:
+        for batch in batches:
+            for x in batch.column(0):
+                yield CoMoments.unpacked(x.as_py(), width)
+
+    def merging(read: Callable) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = reduce(CoMoments.merged, read(batches), CoMoments(*np.zeros((5, width, width))))
+            yield pa.RecordBatch.from_arrays([pa.array([found.packed()], pa.binary())], names=["m"])
+
+        return run
+
+    def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(0):
+                a, b = np.triu_indices(width, 1)
+                r = CoMoments.unpacked(x.as_py(), width).correlation()[a, b]
+                names = [pa.array([columns[i] for i in end], pa.string()) for end in (a, b)]
+                yield pa.RecordBatch.from_arrays([*names, pa.array(np.ma.getdata(r), mask=np.ma.getmaskarray(r))], names=["a", "b", "r"])
+
+    parts = slim.mapInArrow(merging(blocks), "m binary").repartition(fan_in)
+    one = parts.mapInArrow(merging(stored), "m binary").repartition(1).mapInArrow(merging(stored), "m binary")
+    return one.mapInArrow(shown, "a string, b string, r double")
 
 
 def correlation_report(df: DataFrame, columns: Sequence[str], top: int = 10) -> DataFrame:

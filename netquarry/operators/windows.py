@@ -156,24 +156,35 @@ def _with_stream(
     out = out.filter(F.col("_x_chunk").eqNullSafe(F.col("_x_home")))
     some = F.coalesce(F.col("_x_last.at") >= F.col(micros) - span, F.lit(False))
     count = F.col("_x_last.n") - F.col("_x_first.n") + 1
-    duration = F.greatest(F.col("_x_last.at") - F.col("_x_first.at"), F.lit(LEAST_MICROS)) / 1e6
     for feature in features:
-        if feature.statistic == "unique_count":
-            names, defined = {"count": F.col("_x_kinds").cast("double")}, some
-        elif feature.statistic in ("span_rate_unique", "span_rate_raw"):
-            many = F.col("_x_kinds") if feature.statistic == "span_rate_unique" else count
-            names, defined = {"N": many.cast("double"), "duration": duration}, some
-        elif feature.statistic == "entropy":
-            inner = F.col("_x_inner").cast("double") / SCALE
-            names, defined = {"entropy_sum": F.least(inner / count - F.log2(count.cast("double")), F.lit(0.0))}, some
-        else:
-            run, total = sequentiality_parts(F.col("_x_first"), F.col("_x_last"), count)
-            names, defined = {"run_length": run, "total_transitions": total}, some & (total > 0)
-        found = compile_expr(feature.formula, {}, columns=names)
-        out = out.withColumn(feature.name, F.coalesce(F.when(defined, found), F.lit(float(feature.missing))))
+        kinds_here = F.col("_x_kinds") if "_x_kinds" in out.columns else F.lit(None)
+        inner = F.col("_x_inner") if "_x_inner" in out.columns else F.lit(None)
+        run, total = sequentiality_parts(F.col("_x_first"), F.col("_x_last"), count) if "sequentiality" in kinds else (F.lit(None), F.lit(None))
+        made = feature_value(feature, some, count, kinds_here, F.col("_x_first.at"), F.col("_x_last.at"), inner, run, total)
+        out = out.withColumn(feature.name, made)
     return out.drop(*[c for c in out.columns if c.startswith("_x_")])
 
 
+def feature_value(
+    feature: Feature, some: Column, count: Column, kinds: Column, first: Column, last: Column, inner: Column, run: Column, total: Column
+) -> Column:
+    """A feature by its formula. some: whether its history has members; count and kinds: members and distinct values.
+
+    first, last: their times; inner: SCALE times the entropy's inner sum; run, total: as in sequentiality_parts.
+    """
+    duration = F.greatest(last - first, F.lit(LEAST_MICROS)) / 1e6
+    if feature.statistic == "unique_count":
+        names, defined = {"count": kinds.cast("double")}, some
+    elif feature.statistic in ("span_rate_unique", "span_rate_raw"):
+        many = kinds if feature.statistic == "span_rate_unique" else count
+        names, defined = {"N": many.cast("double"), "duration": duration}, some
+    elif feature.statistic == "entropy":
+        names, defined = {"entropy_sum": F.least(inner.cast("double") / SCALE / count - F.log2(count.cast("double")), F.lit(0.0))}, some
+    else:
+        names, defined = {"run_length": run.cast("double"), "total_transitions": total.cast("double")}, some & (total > 0)
+    return F.coalesce(F.when(defined, compile_expr(feature.formula, {}, columns=names)), F.lit(float(feature.missing)))
+
+
 def _flag(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False)).cast("int")
 

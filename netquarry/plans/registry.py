@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 
 from netquarry.functions.expr import compile_expr
 from netquarry.functions.scalars import capture_name, contains_ignoring_case, is_capture, risk_band
-from netquarry.operators import joins, labels, packing, profile, quality, scaling, setops, states, windows
+from netquarry.operators import assembly, joins, labels, packing, profile, quality, scaling, setops, states, windows
 from netquarry.operators.labels import AttackRule, FlowColumns
 from netquarry.operators.quality import Numeric, Plan, Rule, Text
 from netquarry.session import fresh_path, table
 from netquarry.sources import pcap
 from netquarry.sources.capture_ranges import opened, read_capture
+from netquarry.streaming import trailing
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -460,6 +461,28 @@ SELECT event_id, dst_port_unique_cnt, round(coalesce(dst_port_scan_rate, 0), 6)
 FROM f JOIN p USING (event_id) JOIN s USING (event_id)"""
 
 
+@register("xf_stream", _HOT.replace("CASE WHEN event_id % 3 = 0 THEN 0 ELSE src_ip END", "src_ip % 40"))
+def xf_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All five features as keyed state of a stream: the rows arrive in four batches, in order of time."""
+    session = spark.newSession()  # the state store is a setting of the session
+    session.conf.set(trailing.PROVIDER, trailing.ROCKS_DB)
+    session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = _trail_rows(session, sf_dir).withColumns(
+        {"src_ip": F.col("src_ip") % 40, "dst_ip": F.col("dst_ip") % 4, "dst_port": F.col("dst_port") % 6, "ts": F.timestamp_micros("micros")}
+    )
+    low, high = rows.agg(F.min("micros"), F.max("micros")).first()  # one row
+    batch = F.least(F.floor((F.col("micros") - F.lit(low or 0)) * 4 / F.lit(max(1, (high or 0) - (low or 0)))), F.lit(3))
+    source, done, path = (fresh_path(spark, n) for n in ("stream-in", "stream-state", "stream-out"))
+    for k in range(4):
+        rows.filter(batch == k).coalesce(1).write.mode("append").parquet(source)
+    flows = session.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    found = trailing.trailing_features(flows, window_seconds=DAYS * 86400, late="365 days").select("event_id", *[f.name for f in windows.FEATURES])
+    query = found.writeStream.format("parquet").option("checkpointLocation", done).trigger(availableNow=True).start(path)
+    query.awaitTermination()
+    out = spark.read.schema(found.schema).parquet(path)
+    return rounded(out.withColumn("dst_port_entropy", F.abs(F.round("dst_port_entropy", 5))))
+
+
 @register("xf_hot_source", _HOT)
 def xf_hot_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All five features, with one source that has a third of all rows."""
@@ -828,6 +851,48 @@ def _profile_sql(name: str) -> str:
     return f"CASE WHEN proto <> 'TCP' THEN -1 ELSE {value} END AS {name}" if name.startswith("tcp_window") else f"{value} AS {name}"
 
 
+#: Conversations of few clients and servers, in a thousandth of the time; every 53rd packet has FIN, every 97th RST.
+_TALK = f"""WITH RECURSIVE {PACKETS}, p AS (SELECT (CAST(split_part(ip_c, '.', 3) AS INT) * 256 + CAST(split_part(ip_c, '.', 4) AS INT)) % 5 AS c, event_id % 4 // 2 AS s, proto, tick // 1000 AS "at", tick, event_id, back, payload, win,
+    CASE WHEN proto = 'TCP' THEN 24 + CASE WHEN event_id % 53 = 0 THEN 1 ELSE 0 END + CASE WHEN event_id % 97 = 0 THEN 4 ELSE 0 END ELSE 0 END AS flags FROM pk WHERE proto IS NOT NULL),
+  o AS (SELECT *, row_number() OVER (PARTITION BY c, s, proto ORDER BY tick) AS n FROM p),
+  w AS (SELECT *, "at" AS start, event_id AS first, back AS first_back FROM o WHERE n = 1
+    UNION ALL SELECT o.*, CASE WHEN cut THEN o."at" ELSE start END, CASE WHEN cut THEN o.event_id ELSE first END, CASE WHEN cut THEN o.back ELSE first_back END
+    FROM (SELECT w.*, o AS o, o."at" - w.start > 120000000 OR w.flags & 5 > 0 AS cut FROM w JOIN o ON o.c = w.c AND o.s = w.s AND o.proto = w.proto AND o.n = w.n + 1)),
+  g AS (SELECT *, back = first_back AS fwd, "at" - lag("at") OVER f AS gap, "at" - lag("at") OVER (PARTITION BY first, back = first_back ORDER BY n) AS own FROM w WINDOW f AS (PARTITION BY first ORDER BY n)),
+  r AS (SELECT *, sum(CASE WHEN gap > 5000000 THEN 1 ELSE 0 END) OVER (PARTITION BY first ORDER BY n) AS run FROM g),
+  a AS (SELECT first, round(avg(active), 6) AS active_mean, max(active) AS active_max FROM (SELECT first, max("at") - min("at") AS active FROM r GROUP BY first, run) WHERE active > 0 GROUP BY 1)
+  SELECT '10.0.0.' || any_value(CASE WHEN first_back THEN 100 + s ELSE c END) AS src_ip, '10.0.0.' || any_value(CASE WHEN first_back THEN c ELSE 100 + s END) AS dst_ip,
+    any_value(CASE proto WHEN 'TCP' THEN 6 ELSE 17 END) AS protocol, min(start) AS start, max("at") - min(start) AS duration, CAST(count_if(fwd) AS BIGINT) AS fwd, CAST(count_if(NOT fwd) AS BIGINT) AS bwd,
+    CAST(coalesce(sum(payload) FILTER (WHERE fwd), 0) AS BIGINT) AS fwd_bytes, round(coalesce(avg(gap), 0), 6) AS iat_mean, round(coalesce(stddev_samp(gap), 0), 6) AS iat_std,
+    CAST(coalesce(sum(own) FILTER (WHERE NOT fwd), 0) AS DOUBLE) AS bwd_iat_total, CAST(coalesce(max(gap) FILTER (WHERE gap > 5000000), 0) AS DOUBLE) AS idle_max,
+    coalesce(any_value(active_mean), 0) AS active_mean, CAST(coalesce(any_value(active_max), 0) AS DOUBLE) AS active_max, CAST(count_if(flags & 1 > 0) AS BIGINT) AS fins,
+    CAST(coalesce(first(win ORDER BY n) FILTER (WHERE NOT fwd AND win IS NOT NULL), -1) AS BIGINT) AS window_back
+  FROM r LEFT JOIN a USING (first) GROUP BY first"""
+
+
+@register("flow_assembly", _TALK)
+def flow_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures to flows: parsed packets, whose conversations are walked, and their statistics."""
+    packets = _packets(_capture_files(spark, sf_dir))
+    place = lambda c, i: F.split_part(c, F.lit("."), F.lit(i)).cast("int")
+    end = lambda c: F.concat(
+        F.lit("10.0.0."), F.when(place(c, 2) == 1, 100 + F.floor(place(c, 4) / 2)).otherwise((place(c, 3) * 256 + place(c, 4)) % 5).cast("string")
+    )
+    port = lambda c: F.when(place(c, 2) == 1, 80).otherwise(1000)
+    ends = F.when(F.col("tcp_seq") % 53 == 0, assembly.FIN).otherwise(0) + F.when(F.col("tcp_seq") % 97 == 0, assembly.RST).otherwise(0)
+    few = packets.select(
+        F.floor(F.col("at") / 1000).alias("at"), F.col("at").alias("tie"), end(F.col("src_ip")).alias("src_ip"), end(F.col("dst_ip")).alias("dst_ip"),
+        port(F.col("src_ip")).alias("src_port"), port(F.col("dst_ip")).alias("dst_port"), "protocol", "payload_length", "tcp_window", (F.col("tcp_flags") + ends).alias("tcp_flags"),
+    )
+    shown = {
+        "Source IP": "src_ip", "Destination IP": "dst_ip", "Protocol": "protocol", "start": "start", "Flow Duration": "duration", "Total Fwd Packets": "fwd", "Total Bwd Packets": "bwd",
+        "Total Length of Fwd Packets": "fwd_bytes", "Flow IAT Mean": "iat_mean", "Flow IAT Std": "iat_std", "Bwd IAT Total": "bwd_iat_total", "Idle Max": "idle_max",
+        "Active Mean": "active_mean", "Active Max": "active_max", "FIN Flag Count": "fins", "Init_Win_bytes_backward": "window_back",
+    }
+    made = assembly.assemble_flows(few, tie="tie").withColumn("start", F.unix_micros("Timestamp"))
+    return rounded(_bigints(made.select(*[F.col(f"`{c}`").alias(n) for c, n in shown.items()])))
+
+
 @register(
     "packet_profile",
     f"""WITH {PACKETS}, span AS (SELECT min(tick) + (max(tick) - min(tick)) * 2 // 3 AS cut FROM pk),
@@ -890,6 +955,30 @@ def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _met(spark, sf_dir).select("o_orderkey", "l_linenumber", "l_quantity", "l_linestatus")
 
 
+#: Events as intervals of every length, from 0 to 2^53 microseconds and a few that end before they start, each other event a point.
+_LONG = """WITH i AS (SELECT event_id, user_id % 7 AS k, epoch_us(ts) AS s, epoch_us(ts) + CASE WHEN event_id % 29 = 0 THEN -5 ELSE (1::BIGINT << CAST(event_id % 54 AS INT)) - 1 END AS e
+    FROM events WHERE event_id % 2 = 0),
+  p AS (SELECT user_id % 7 AS k, epoch_us(ts) AS t, event_id AS point FROM events WHERE event_id % 2 = 1)"""
+
+
+def _long_intervals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    events = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 7).alias("k"), F.unix_micros(F.col("ts").cast("timestamp")).alias("s"))
+    power = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("event_id") % 54).cast("int")) - 1
+    left = events.filter("event_id % 2 = 0").withColumn("e", F.col("s") + F.when(F.col("event_id") % 29 == 0, -5).otherwise(power))
+    return left, events.filter("event_id % 2 = 1").select("k", F.col("s").alias("t"), F.col("event_id").alias("point"))
+
+
+@register(
+    "interval_classes",
+    f"""{_LONG} SELECT event_id, count(point) AS points, min(point) AS first_point, max(point) AS last_point
+    FROM i LEFT JOIN p ON i.k = p.k AND t BETWEEN s AND e GROUP BY event_id""",
+)
+def interval_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A left outer interval join over lengths from a microsecond to centuries, by length classes."""
+    found = joins.interval_join(*_long_intervals(spark, sf_dir), ["k"], "s", "e", "t", bucket=1 << 16, how="left")
+    return found.groupBy("event_id").agg(F.count("point").alias("points"), F.min("point").alias("first_point"), F.max("point").alias("last_point"))
+
+
 def _stats_sql(flag: str, name: str) -> str:
     v = f"FILTER (WHERE l_linestatus = '{flag}')"
     n = f"count(*) {v} = 0"
@@ -1104,6 +1193,28 @@ def corr_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(profile.correlations(*_correlated(spark, sf_dir)))
 
 
+#: Columns of mixed sums of two, each with nulls of its own.
+WIDE = 40
+
+
+@register(
+    "corr_wide",
+    "WITH w AS (SELECT "
+    + ", ".join(f"CASE WHEN (l_orderkey + l_linenumber) % {k + 3} = 0 THEN NULL ELSE l_quantity * {k} + l_extendedprice / {50 * (k % 7 + 1)} + l_partkey % {k + 2} END AS c{k}" for k in range(WIDE))
+    + " FROM lineitem), r AS (SELECT "
+    + ", ".join(f"corr(c{i}, c{j}) AS c{i}_c{j}" for i in range(WIDE) for j in range(i + 1, WIDE))
+    + " FROM w) SELECT split_part(pair, '_', 1) AS a, split_part(pair, '_', 2) AS b, round(r, 6) AS r FROM (UNPIVOT r ON COLUMNS(*) INTO NAME pair VALUE r)",
+)
+def corr_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 780 pairs of 40 columns that lack values in different rows."""
+    key = F.col("l_orderkey") + F.col("l_linenumber")
+    made = [
+        F.when(key % (k + 3) != 0, F.col("l_quantity") * k + F.col("l_extendedprice") / (50 * (k % 7 + 1)) + F.col("l_partkey") % (k + 2)).alias(f"c{k}") for k in range(WIDE)
+    ]
+    df = table(spark, sf_dir, "lineitem").select(*made)
+    return rounded(profile.correlations(df, df.columns))
+
+
 @register(
     "corr_report",
     f"""WITH {VIEW}, p AS ({PAIRS}), c AS (SELECT * FROM (VALUES ('perfect'), ('very_high'), ('high'), ('high_negative')) t(category)),

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,3 +86,29 @@ def test_tables_side_by_side(spark):
             joins.aligned(left, bad, "place", ["id"]).collect()
     with pytest.raises(ValueError, match="twice"):
         joins.aligned(left, right, "place")
+
+
+def test_intervals_of_every_length_by_classes(spark):
+    """Lengths from nothing to the whole range of a long, ends before starts, nulls; the same as a plain join, left outer too."""
+    rng = random.Random(12)
+    top = 2**63 - 1
+    rows = [(i, rng.randrange(3), (s := rng.randint(-1000, 1000)), s + rng.choice((0, 1, 3, 50, 4000, -2))) for i in range(120)]
+    rows += [(900, 0, 5, top), (901, 1, -top, top), (902, 2, None, 5), (903, 0, 7, None), (904, None, 0, 10)]
+    dots = [(rng.randrange(3), rng.randint(-1200, 1200), f"p{i}") for i in range(150)] + [(0, None, "none"), (None, 5, "null")]
+    left = spark.createDataFrame(rows, "id int, k int, s long, e long")
+    right = spark.createDataFrame(dots, "k int, t long, name string")
+    for how in ("inner", "left"):
+        want = sorted((r.id, r.t, r.name) for r in joins.interval_join(left, right, ["k"], "s", "e", "t", how=how).collect() if r.name or how == "left")
+        for bucket in (1, 7, 10_000):
+            got = joins.interval_join(left, right, ["k"], "s", "e", "t", bucket=bucket, how=how)
+            assert sorted(((r.id, r.t, r.name) for r in got.collect()), key=str) == sorted(want, key=str)
+            assert got.columns[:4] == left.columns
+    assert joins.interval_join(left.limit(0), right, ["k"], "s", "e", "t", bucket=5).count() == 0
+    with pytest.raises(ValueError, match="inner or left"):
+        joins.interval_join(left, right, ["k"], "s", "e", "t", how="full")
+
+
+def test_a_corrupt_duration_makes_no_rows(spark):
+    flows = spark.createDataFrame([("a", 1, "b", 2, 6, "2020-01-01 00:00:00", 2**63 - 1), ("a", 1, "b", 2, 6, "2020-01-01 00:00:00", 5)], "s string, p int, d string, q int, n int, at string, long bigint")
+    fields = {"src_ip": "s", "src_port": "p", "dst_ip": "d", "dst_port": "q", "protocol": "n", "timestamp": "at", "duration": "long"}
+    assert [r.long for r in joins.flow_windows(flows, fields, {6: "TCP"}).collect()] == [5]
