@@ -60,7 +60,7 @@ def interval_join(
     of = lambda c: F.call_function("shiftright", F.col(c).cast("bigint"), F.col("_class"))
     left = left.withColumn("_bucket", F.explode(F.array_distinct(F.array(of(start), of(end)))))
     right = points.withColumn("_class", F.explode(F.array(*classes) if classes else F.array().cast("array<int>"))).withColumn("_bucket", of(at))
-    return left.join(right, [*keys, "_class", "_bucket"]).filter(inside).drop("_bucket", "_class")
+    return left.join(right, [*keys, "_class", "_bucket"]).filter(inside).select(*[col(c) for c in intervals.columns], *[col(c) for c in points.columns if c not in keys])
 
 
 def flow_windows(flows: DataFrame, fields: dict[str, str], protocols: dict[int, str]) -> DataFrame:
