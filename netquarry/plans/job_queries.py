@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import zipfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netquarry.operators import labels, quality
-from netquarry.plans import config, flow_plan, jobs
-from netquarry.plans.registry import CHECKED, HOSTS, LABELLED, WINDOWED, flows, items, register, shown_tensors
+from netquarry.plans import config, flow_plan, jobs, ledger
+from netquarry.plans.registry import CHECKED, HOSTS, LABELLED, PACKET_SQL, WINDOWED, capture_files_of, flows, items, register, shown_tensors
 from netquarry.session import fresh_path, table
-from netquarry.sources import tables
+from netquarry.sources import pcap, tables
+from netquarry.sources.capture_ranges import opened
 
 CLEAN = """
 columns:
@@ -160,3 +164,33 @@ def flow_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = lines.select(*[c.alias(n) for n, c in row.items()])
     out = quality.typed(quality.clean_cycles(wide, flow_plan.flow_plan()), flow_plan.SCHEMA)
     return out.select("Flow ID", "TCP Window Fwd Mean", "Payload Min", "Label", F.lit(len(out.columns)).alias("columns"))
+
+
+def _day_archives(spark: SparkSession, sf_dir: str) -> str:
+    """Two zip archives, each with an archive of captures within it: even days stored, odd days deflated. Their folder."""
+    folder = fresh_path(spark, "archives")
+    system, inner = opened(folder)
+    system.create_dir(inner)
+    with contextlib.ExitStack() as stack:
+        kept = []
+        for k, method in enumerate((zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED)):
+            outer = stack.enter_context(zipfile.ZipFile(stack.enter_context(system.open_output_stream(f"{inner}/set{k}.zip")), "w"))
+            outer.writestr("readme.txt", "captures")
+            kept.append(stack.enter_context(zipfile.ZipFile(stack.enter_context(outer.open("captures.zip", "w", force_zip64=True)), "w", method)))
+        for row in capture_files_of(spark, sf_dir).toLocalIterator():  # a day of these tables is small
+            kept[int(row["path"][-6:-5]) % 2].writestr(f"pcap/{row['path'].removesuffix('.pcap')}", bytes(row["content"]))
+    return folder
+
+
+@register(
+    "archive_days",
+    f"WITH p AS ({PACKET_SQL}), d AS (SELECT *, 'set' || (day(epoch_ms(\"at\" // 1000)) % 2) AS day FROM p) SELECT day, src_ip, dst_ip, protocol, count(*) AS packets, min(\"at\") AS first, max(ttl) AS ttl FROM d GROUP BY ALL",
+)
+def archive_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From archives to packets: listed and extracted by ranges, batch by batch over a ledger, and run again, which changes nothing."""
+    source, work, out = _day_archives(spark, sf_dir), fresh_path(spark, "archive-work"), fresh_path(spark, "archive-rows")
+    process = lambda folder: pcap.parse_packets(pcap.read_pcap(spark, folder)).withColumn("at", F.unix_micros("timestamp"))
+    for _ in range(2):
+        ledger.archive_job(spark, source, work, out, process, batch_bytes=1 << 20, reserve=0)
+    rows = spark.read.parquet(out)
+    return rows.groupBy("day", "src_ip", "dst_ip", "protocol").agg(F.count("*").alias("packets"), F.min("at").alias("first"), F.max("ttl").cast("bigint").alias("ttl"))

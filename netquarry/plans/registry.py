@@ -740,7 +740,7 @@ def _capture_head(nano: Column) -> Column:
     return F.concat(F.when(nano, F.lit("A1B23C4D")).otherwise(F.lit("A1B2C3D4")), F.lit("0002000400000000000000000004000000000001"))
 
 
-def _capture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def capture_files_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, content): the events of each day as a big-endian capture, of microseconds or nanoseconds by day."""
     records = _capture_records(spark, sf_dir, F.dayofmonth(F.to_date("ts")) % 2 == 0)
     days = records.groupBy("day", "nano").agg(F.array_sort(F.collect_list(F.struct("n", "record"))).alias("rs"))  # a day of these tables is small
@@ -786,7 +786,7 @@ def _packets(files: DataFrame) -> DataFrame:
     return parsed.withColumn("at", F.unix_micros("timestamp")).drop("timestamp")
 
 
-_PACKET_SQL = f"""WITH {PACKETS} SELECT tick AS "at", CASE WHEN back THEN ip_s ELSE ip_c END AS src_ip, CASE WHEN back THEN ip_c ELSE ip_s END AS dst_ip,
+PACKET_SQL = f"""WITH {PACKETS} SELECT tick AS "at", CASE WHEN back THEN ip_s ELSE ip_c END AS src_ip, CASE WHEN back THEN ip_c ELSE ip_s END AS dst_ip,
   CASE WHEN proto IS NULL THEN NULL WHEN back THEN port_s ELSE port_c END AS src_port, CASE WHEN proto IS NULL THEN NULL WHEN back THEN port_c ELSE port_s END AS dst_port,
   proto AS protocol, ttl, frag AS is_fragmented, fragment_offset, payload AS payload_length, win AS tcp_window,
   CASE WHEN proto = 'TCP' THEN event_id END AS tcp_seq, CASE WHEN proto = 'TCP' THEN 24 END AS tcp_flags FROM pk"""
@@ -799,12 +799,12 @@ def _bigints(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).cast("bigint").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes])
 
 
-@register("capture_packets", _PACKET_SQL)
+@register("capture_packets", PACKET_SQL)
 def capture_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bigints(_packets(_capture_files(spark, sf_dir)).select(*_PACKET_COLUMNS))
+    return _bigints(_packets(capture_files_of(spark, sf_dir)).select(*_PACKET_COLUMNS))
 
 
-@register("capture_by_ranges", _PACKET_SQL)
+@register("capture_by_ranges", PACKET_SQL)
 def capture_by_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One capture of all events, read by ranges of 64 KB."""
     packets = pcap.parse_packets(read_capture(spark, _one_capture(spark, sf_dir), 64 << 10))
@@ -813,7 +813,7 @@ def capture_by_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "capture_light",
-    f"WITH p AS ({_PACKET_SQL}) SELECT src_ip, dst_ip, src_port, dst_port, protocol, count(*) AS n FROM p GROUP BY ALL",
+    f"WITH p AS ({PACKET_SQL}) SELECT src_ip, dst_ip, src_port, dst_port, protocol, count(*) AS n FROM p GROUP BY ALL",
 )
 def capture_light(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The light parse, of captures that were cut in pieces and of ones that came from pcapng."""
@@ -827,7 +827,7 @@ def capture_light(spark: SparkSession, sf_dir: str) -> DataFrame:
                 parts = pcap.split_capture(again, 4096)
                 yield pd.DataFrame({"path": [f"{path}#{i}" for i in range(len(parts))], "content": parts})
 
-    cut = _capture_files(spark, sf_dir).mapInPandas(pieces, "path string, content binary")
+    cut = capture_files_of(spark, sf_dir).mapInPandas(pieces, "path string, content binary")
     found = pcap.parse_packets(pcap.packets_in(cut), light=True)
     return _bigints(found.groupBy("src_ip", "dst_ip", "src_port", "dst_port", "protocol").agg(F.count("*").alias("n")))
 
@@ -873,7 +873,7 @@ _TALK = f"""WITH RECURSIVE {PACKETS}, p AS (SELECT (CAST(split_part(ip_c, '.', 3
 @register("flow_assembly", _TALK)
 def flow_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captures to flows: parsed packets, whose conversations are walked, and their statistics."""
-    packets = _packets(_capture_files(spark, sf_dir))
+    packets = _packets(capture_files_of(spark, sf_dir))
     place = lambda c, i: F.split_part(c, F.lit("."), F.lit(i)).cast("int")
     end = lambda c: F.concat(
         F.lit("10.0.0."), F.when(place(c, 2) == 1, 100 + F.floor(place(c, 4) / 2)).otherwise((place(c, 3) * 256 + place(c, 4)) % 5).cast("string")
@@ -929,7 +929,7 @@ def packet_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready = joins.flow_windows(flows, fields, {6: "TCP", 17: "UDP"})
     ends = events.agg(F.min(at).alias("low"), F.max(at).alias("high")).first()  # one row
     cut = ends["low"] + (ends["high"] - ends["low"]) * 2 // 3
-    packets = _packets(_capture_files(spark, sf_dir))
+    packets = _packets(capture_files_of(spark, sf_dir))
     keys = ["ip_c", "port_c", "ip_s", "port_s", "number"]
     found = joins.packet_features(ready, packets, keys, last_packet=F.lit(cut), file_complete=False, bucket=86_400_000_000)
     shown = [F.when(F.isnan(c), -99.0).otherwise(r6(F.col(c))).alias(c) for c in _PROFILE]
