@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry.llm.shared import components, free_name, join_counted, join_salted, likely_in, text_of, written
+from netquarry.llm.shared import components, free_name, join_counted, join_salted, likely_in, text_of, with_likely, written
 
 SEED = 42
 SPREAD = np.uint64(0x0101010101010101)
@@ -198,8 +198,11 @@ class Forest:
         linked = np.flatnonzero(label != np.arange(len(label)))
         return linked, label[linked]
 
-    def closest(self, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """Links of at most `radius` bits that span the groups with the least distances (a minimum spanning forest)."""
+    def closest(self, radius: int, forests: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Links of at most `radius` bits that span the groups with the least distances, and the number of each one's forest.
+
+        Forest 0 is a minimum spanning one, forest 1 that of the links which are left, and so on.
+        """
         none = np.zeros(0, dtype=np.int64)
         a, b, held_a, held_b, held = none, none, [], [], 0
         for x, y in self.pairs(radius):
@@ -208,13 +211,24 @@ class Forest:
             held_b.append(y[once])
             held += int(once.sum())
             if held > FRONTIER:  # the forest of all pairs is that of the forest so far and the pairs since
-                a, b = self._spanning(np.concatenate([a, *held_a]), np.concatenate([b, *held_b]))
+                a, b, _ = self._disjoint(np.concatenate([a, *held_a]), np.concatenate([b, *held_b]), forests)
                 held_a, held_b, held = [], [], 0
-        return self._spanning(np.concatenate([a, *held_a]), np.concatenate([b, *held_b]))
+        return self._disjoint(np.concatenate([a, *held_a]), np.concatenate([b, *held_b]), forests)
 
-    def _spanning(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _disjoint(self, a: np.ndarray, b: np.ndarray, forests: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         order = np.argsort(distance(self.words[a], self.words[b]), kind="stable")
         a, b = a[order], b[order]
+        left, picked, number = np.arange(len(a)), [], []
+        for k in range(forests):
+            mine = left[self._spanning(a[left], b[left])]
+            picked.append(mine)
+            number.append(np.full(len(mine), k))
+            left = np.setdiff1d(left, mine, assume_unique=True)
+        found = np.concatenate(picked)
+        return a[found], b[found], np.concatenate(number)
+
+    def _spanning(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The places of links, given by distance, that make a minimum spanning forest."""
         label, alive, chosen = np.arange(len(self.words)), np.arange(len(a)), []
         while True:  # every group takes its first link to another one
             x, y = label[a[alive]], label[b[alive]]
@@ -227,8 +241,7 @@ class Forest:
             np.minimum.at(first, y, alive)
             chosen.append(np.unique(first[first < len(a)]))
             merge(label, a[chosen[-1]], b[chosen[-1]])
-        picked = np.concatenate(chosen) if chosen else np.zeros(0, dtype=np.int64)
-        return a[picked], b[picked]
+        return np.concatenate(chosen) if chosen else np.zeros(0, dtype=np.int64)
 
 
 def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -242,15 +255,19 @@ def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = nearer
 
 
-def shard_links(radius: int, closest: bool) -> callable:
-    """Over rows (shard, fp, node) sorted by shard: links (a, b) of nodes that span the groups of each shard."""
+def shard_links(radius: int, forests: int) -> callable:
+    """Over rows (shard, fp, node) sorted by shard: links (a, b, forest) of nodes that span the groups of each shard.
+
+    forests: so many, each of the closest links that the ones before leave; 0: any links that span.
+    """
 
     def tree_links(shards: list, fps: list, nodes: list) -> pa.RecordBatch:
         words = np.frombuffer(b"".join(fps), dtype=">u8").astype(np.uint64).reshape(len(fps), -1)
         keys = np.array(shards, dtype=np.int64)
         forest = Forest(words, np.concatenate(([0], np.cumsum(keys[1:] != keys[:-1]))))
-        ends = forest.closest(radius) if closest else forest.groups(radius)
-        return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in end], pa.binary()) for end in ends], names=["a", "b"])
+        a, b, number = forest.closest(radius, forests) if forests else (*forest.groups(radius), None)
+        ends = [pa.array([nodes[i] for i in end], pa.binary()) for end in (a, b)]
+        return pa.RecordBatch.from_arrays([*ends, pa.array(np.zeros(len(a)) if number is None else number, pa.int32())], names=["a", "b", "forest"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[], [], []]
@@ -298,9 +315,9 @@ def _deal(bands: list[list[int]], within: list[list[list[int]]] | None = None) -
 
 
 def links(
-    spark: SparkSession, nodes: DataFrame, bands: list[list[int]], radius: int, most: int = MOST, *, closest: bool = False, exact: bool = True
+    spark: SparkSession, nodes: DataFrame, bands: list[list[int]], radius: int, most: int = MOST, *, forests: int = 0, exact: bool = True
 ) -> DataFrame:
-    """Links (a, b) between nodes (node, fp), that span the groups of each shard.
+    """Links (a, b, forest) between nodes (node, fp), that span the groups of each shard; see shard_links.
 
     exact: the bands lose no link of the radius, and neither may those of very large shards, which are dealt anew.
     """
@@ -324,7 +341,7 @@ def links(
     shard = F.xxhash64("band", "key", F.least("own", "other"), F.greatest("own", "other"))
     # two shards whose numbers collide share a tree: more is compared, and a link is a link by its distance alone
     sharded = cut.select(shard.alias("shard"), "fp", "node").repartition("shard").sortWithinPartitions("shard", "node")
-    return sharded.mapInArrow(shard_links(radius, closest), "a binary, b binary")
+    return sharded.mapInArrow(shard_links(radius, forests), "a binary, b binary, forest int")
 
 
 def simhash_groups(
@@ -362,9 +379,10 @@ def simhash_groups(
 
 
 def shingle_sets(slim: DataFrame, shingle: int, lanes: int) -> DataFrame:
-    """slim (text and more) with hashes, the text's distinct shingle hashes, node, a name for that set, and fp.
+    """slim (text and more) with hashes, the text's distinct shingle hashes, node, a name for that set, size, sketch and fp.
 
-    hashes are 64-bit words in order, as bytes: an array column would cost the JVM a step for every element.
+    hashes are 64-bit words in order, as bytes: an array column would cost the JVM a step for every element. sketch: for
+    256 buckets of the hashes whether each has an odd number of them, as bits.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,13 +394,28 @@ def shingle_sets(slim: DataFrame, shingle: int, lanes: int) -> DataFrame:
             packed = [x.tobytes() for x in sets]
             hashes, node = pa.array(packed, pa.binary()), pa.array([xxhash.xxh3_128_digest(x) for x in packed], pa.binary())
             fp = pa.array([w.tobytes() for w in words], pa.binary())
-            yield pa.RecordBatch.from_arrays([hashes, node, fp, *batch.columns[1:]], names=["hashes", "node", "fp", *batch.schema.names[1:]])
+            bucket = np.repeat(np.arange(len(sets)), counts) * 256 + (lane(flat, 99) & np.uint64(255)).astype(np.int64)
+            odd = np.packbits(np.bincount(bucket, minlength=256 * len(sets)).astype(np.uint8) & 1).view(np.int64)
+            sketch = pa.ListArray.from_arrays(pa.array(np.arange(0, len(odd) + 1, 4, dtype=np.int32)), pa.array(odd))
+            made = [hashes, node, pa.array(counts), sketch, fp]
+            yield pa.RecordBatch.from_arrays([*made, *batch.columns[1:]], names=["hashes", "node", "size", "sketch", "fp", *batch.schema.names[1:]])
 
     rest = [c for c in slim.columns if c != "text"]
-    fields = ", ".join(["hashes binary, node binary, fp binary", *(f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in rest)])
+    fields = ", ".join(["hashes binary, node binary, size long, sketch array<long>, fp binary", *(f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in rest)])
     return slim.select("text", *rest).mapInArrow(run, fields)
 
 
+def may_be_similar(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of nodes (node, size, sketch) that sizes and sketches don't rule out: sketches differ in no more than the sets do."""
+    end = lambda c: nodes.select(F.col("node").alias(c), F.struct("size", "sketch").alias(f"_{c}"))
+    both = pairs.join(end("a"), "a").join(end("b"), "b")
+    x, y = F.col("_a.size"), F.col("_b.size")
+    apart = sum(F.bit_count(F.col("_a.sketch")[i].bitwiseXOR(F.col("_b.sketch")[i])) for i in range(4))
+    # a bound of whole numbers, widened by what doubles err
+    kept = both.filter((F.least(x, y) >= F.greatest(x, y) * (least - 1e-9)) & (apart * (1 + least) <= (x + y) * (1 - least + 1e-9)))
+    return kept.select(*pairs.columns)
+
+
 def similar(spark: SparkSession, pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose sets (node, hashes) have a Jaccard similarity of at least `least`.
 
@@ -418,7 +451,8 @@ def first_of_each(
     similarity: float = 0.8,
     shingle: int = 5,
     lanes: int = 5,
-    width: int = 14,
+    width: int | None = None,
+    forests: int = 8,
     missed: float = 0.005,
     deviations: float = 2.33,
     most: int = 2048,
@@ -435,8 +469,13 @@ def first_of_each(
     outweigh the rest. J makes a cosine of about 2J / (1 + J), and each bit differs with the probability acos(cosine)
     / pi. The radius lies `deviations` standard deviations beyond the mean for J = similarity, and all bands hold a
     differing bit with the probability `missed`: a pair at the very limit is missed by about 1 % each, closer ones far
-    less. None of this depends on the number of documents; width, the bits of a band, sets the shards' size, and
-    2^width should be near the documents over 1000.
+    less. width, the bits of a band, sets the shards' size; without it 2^width is the number of sets over 1000, 2^14 at
+    least, and the number of bands follows so that no more is missed.
+
+    A shard yields candidates that span its groups, the closest first, and those of so many further forests of what is
+    left. The first are tested; of the further ones those whose ends still lie apart and whose sizes and sketches allow
+    the similarity. So a link that isn't among the closest of a dense family is found by another forest, and a family
+    of copies costs no more than its number times the forests.
 
     Texts without words are copies of each other. Rows with the same id and other texts are told apart by a hash of
     the text; of fully repeated rows one stays. Columns keep their names and order; an empty table gives an empty one.
@@ -444,27 +483,45 @@ def first_of_each(
     differing = math.acos(2 * similarity / (1 + similarity)) / math.pi
     bits = 64 * lanes
     radius = int(bits * differing + deviations * math.sqrt(bits * differing * (1 - differing)))
-    bands = drawn_bands(bits, width, differing, missed)
     mark = F.xxhash64(text_of(docs, text_col))
     slim = docs.select(text_of(docs, text_col).alias("text"), F.col(id_col).alias("id"), mark.alias("mark"))
     marked = written(spark, shingle_sets(slim, shingle, lanes), "simhash-marked")
     order = F.struct(F.col("id").isNull().alias("x"), "id", "mark")
     # whole groups of copies collapse by partial aggregation before anything is joined
-    counted = marked.groupBy("node", "fp", "id", "mark").agg(F.count("*").alias("n"))
-    nodes = counted.groupBy("node", "fp").agg(F.min_by(F.struct("id", "mark", "n"), order).alias("first"))
+    counted = marked.groupBy("node", "fp", "size", "sketch", "id", "mark").agg(F.count("*").alias("n"))
+    nodes = counted.groupBy("node", "fp", "size", "sketch").agg(F.min_by(F.struct("id", "mark", "n"), order).alias("first"))
     nodes = written(spark, nodes, "simhash-nodes")
-    found = links(spark, nodes, bands, radius, most, closest=True, exact=False)
-    pairs = written(spark, found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-pairs")
+    bands = drawn_bands(bits, width or max(14, (nodes.count() // 1000).bit_length()), differing, missed)
+    found = links(spark, nodes.select("node", "fp"), bands, radius, most, forests=forests, exact=False)
+    found = found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("forest").alias("forest"))
+    found = written(spark, found, "simhash-found")
+    facts = nodes.select("node", "size", "sketch")
+    pairs = written(spark, may_be_similar(found.filter("forest = 0").select("a", "b"), facts, similarity), "simhash-pairs")
     sure = written(spark, similar(spark, pairs, marked, similarity), "simhash-links")
     roots = written(spark, components(spark, sure), "simhash-roots")
+    side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    apart = found.filter("forest > 0").select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left")
+    apart = apart.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+    pairs = written(spark, may_be_similar(apart, facts, similarity), "simhash-pairs")
+    if not pairs.isEmpty():
+        more = written(spark, similar(spark, pairs, marked, similarity), "simhash-links")
+        sure = sure.unionByName(more)
+    roots = written(spark, components(spark, sure), "simhash-roots")
     placed = nodes.select("node", "first.*").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     firsts = placed.groupBy("root").agg(F.min_by(F.struct("id", "mark", "n"), order).alias("first"))
     firsts = written(spark, firsts.select("first.*"), "simhash-kept")
-    here, there, number = free_name(docs, "_mark", "_kept", "_n")
+    here, there, number, key = free_name(docs, "_mark", "_kept", "_n", "_key")
+    # rows that may go, or come more than once, are few: the others stay where they are
+    hashed = lambda i, m: F.xxhash64(i, m)
+    told = marked.select(hashed(F.col("id"), F.col("mark")).alias(key))
+    settled = firsts.filter("n = 1").select(hashed(F.col("id"), F.col("mark")).alias(key))
+    doubtful = told.groupBy(key).count().join(settled, key, "left_anti").select(key)
+    flag = free_name(docs, "_doubtful")[0]
+    flagged = with_likely(docs.withColumn(key, hashed(docs[id_col], mark)), key, written(spark, doubtful, "simhash-doubtful"), flag)
     stays = firsts.select(F.col("id").alias(there), F.col("mark").alias(here), F.col("n").alias(number))
-    kept = docs.join(stays, docs[id_col].eqNullSafe(stays[there]) & (mark == stays[here]))
-    once = kept.filter(F.col(number) == 1)
-    if firsts.filter("n > 1").isEmpty():
-        return once.select(*[docs[c] for c in docs.columns])
-    again = kept.filter(F.col(number) > 1).dropDuplicates([there, here])
-    return once.unionByName(again).select(*docs.columns)
+    rows = flagged.filter(F.col(flag)).drop(flag, key)
+    kept = rows.join(stays, rows[id_col].eqNullSafe(stays[there]) & (F.xxhash64(text_of(rows, text_col)) == stays[here]))
+    sure_rows = flagged.filter(~F.col(flag)).select(*docs.columns)
+    once = kept.filter(F.col(number) == 1).select(*docs.columns)
+    again = kept.filter(F.col(number) > 1).dropDuplicates([there, here]).select(*docs.columns)
+    return sure_rows.unionByName(once).unionByName(again)

@@ -40,7 +40,7 @@ COMMON = 8
 #: Bits of the bitmaps that tell workers which subsets matter: 8 MB each, however many subsets there are.
 BITS = 26
 #: Tokens that are dealt at once.
-SLICE = 400_000
+SLICE = 100_000
 #: Odd multipliers of the hashes of words and of runs of words.
 BYTE_BASE, WORD_BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 SKETCH = 256

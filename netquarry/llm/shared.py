@@ -146,6 +146,17 @@ def likely_in(df: DataFrame, key: str, keys: DataFrame, bits: int = 26) -> DataF
     return found.select(*df.columns)
 
 
+def with_likely(df: DataFrame, key: str, keys: DataFrame, name: str, bits: int = 26) -> DataFrame:
+    """df with a boolean column: whether the row's key (a long) may be among keys, as in likely_in; rows stay where they are."""
+    piece, bitmap = free_name(df, "_piece", "_bitmap")
+    at = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << bits))
+    held = keys.select((at / 32768).cast("int").alias(piece), (at % 32768).alias("_bit"))
+    held = held.groupBy(piece).agg(F.bitmap_construct_agg("_bit").alias(bitmap))
+    byte = F.conv(F.hex(F.substring(bitmap, (at % 32768 / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = df.withColumn(piece, (at / 32768).cast("int")).join(F.broadcast(held), piece, "left")
+    return found.withColumn(name, F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop(piece, bitmap)
+
+
 def utf8_crc32(text: Column) -> Column:
     return F.crc32(F.encode(text, "UTF-8"))
 

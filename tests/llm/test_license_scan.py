@@ -39,12 +39,12 @@ def test_base_against_brute_force(spark, make_docs, odd_texts):
 def test_notices_with_edits_are_found():
     rng = random.Random(2)
     search = lic.NoticeSearch()
-    for phrase, label in lic.NOTICES:
+    for phrase, label, telling in lic.NOTICES:
+        free = [i for i in range(1, len(phrase) - 1) if phrase[i] != " " and not any(a <= i < a + len(w) for w in telling for a in [f" {phrase} ".index(f" {w} ")])]
         for _ in range(15):
             chars = list(phrase)
             for _ in range(rng.randint(0, len(phrase) // lic.EDIT_EVERY)):
-                at = rng.randrange(1, len(chars) - 1)
-                chars[at] = "q"
+                chars[rng.choice(free)] = "q"
             text = prose(rng, 8) + " " + "".join(chars) + " " + prose(rng, 8)
             found = lic.scan_text(text, search)
             assert label in found["labels"].split(","), (phrase, "".join(chars))
@@ -96,7 +96,7 @@ def test_matches_against_dynamic_programming():
             parts += [edited(rng, phrase, rng.randint(0, len(phrase) // 8 + 1)), prose(rng, rng.randint(0, 3))]
         words = " ".join(parts).encode().translate(lic.WORD_BYTES).split()
         joined = b" ".join([b"", *words, b""]).decode()
-        for phrase, label in lic.NOTICES:
+        for phrase, label, _ in lic.NOTICES:
             alone = lic.NoticeSearch([(phrase, label)])
             most, rest = len(phrase) // lic.EDIT_EVERY, joined
             found = alone.find(joined)
@@ -106,6 +106,8 @@ def test_matches_against_dynamic_programming():
                 rest = rest.replace(matched, "\x00", 1)
             assert all(nearest(phrase, part) > most for part in rest.split("\x00")), (phrase, joined)
         assert sorted(search.find(joined)) == sorted(f for p in lic.NOTICES for f in lic.NoticeSearch([p]).find(joined))
+        told = {p: w for p, _, w in lic.NOTICES}
+        assert all(set(w) <= set(f[4].split()) | set(joined.split()) for p, w in told.items() for f in lic.NoticeSearch([(p, "x", w)]).find(joined))
 
 
 def test_long_repetitive_texts_take_linear_time():
@@ -117,3 +119,32 @@ def test_long_repetitive_texts_take_linear_time():
         assert len(found["notices"]) in (0, 1_000_000 // len(phrase))
     crowded = lic.scan_text("all 版rights版 reserved al rights reserved all rights reserved", search)["notices"]
     assert [(n["first_word"], n["edits"]) for n in crowded] == [(0, 2), (3, 1), (6, 0)]
+
+
+LICENCES = (
+    ("Licensed under CC BY 4.0.", "cc-by"), ("licensed under cc by", "cc-by"), ("licenced under CC-BY-SA 3.0", "cc-by,cc-by-sa"), ("Licensed under CC BY-NC", "cc-by,cc-by-nc"),
+    ("lisensed under cc by nd 4.0", "cc-by,cc-by-nd"), ("licensed under CC BY-NC-SA 4.0", "cc-by,cc-by-nc-sa"), ("licensed under CC BY NC ND", "cc-by,cc-by-nc-nd"),
+    ("Released under the MIT License", "mit"), ("relesed under the mit licence", "mit"), ("released under the BSD license", "bsd"), ("released under the bsd licnse", "bsd"),
+    ("Released under the ISC license.", "isc"), ("released under teh isc licence", "isc"), ("Licensed under the Apache License, Version 2.0", "apache"), ("licenced under the apache licence", "apache"),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy", "mit"), ("permission is herby granted free of charge to any person obtaining", "mit"),
+    ("Permission is hereby granted, free of charge, to any person or organization obtaining a copy", "bsl"), ("Redistribution and use in source and binary forms, with or without", "bsd"),
+    ("redistribution and use in sources and binary form", "bsd"), ("This work is licensed under the Creative Commons Attribution 4.0 License", "cc-by"),
+    ("this work is licensed under the creative commons attribution sharealike licence", "cc-by-sa"), ("This work is licenced under the Creative Commons Attribution-NonCommercial-NoDerivs 3.0", "cc-by-nc-nd"),
+    ("this work is licensed under the creative commons zero waiver", "cc"), ("Mozilla Public License 2.0", "mpl"), ("mozilla public licence", "mpl"), ("General Public Licence", "gpl"),
+    ("GNU Lesser General Public Licence", "lgpl"), ("gnu affero general public licence", "agpl"), ("All Rihgts Reserved", "reserved"), ("al rights reserved", "reserved"),
+)
+NO_LICENCES = (
+    "all rights deserved", "all lights observed", "released under the gpl license", "released under the zlib license", "licensed under the eclipse license", "licensed under pc by",
+    "licensed under cc0", "released under the mist license", "the general public likes it", "eclipse public license", "released under pressure", "permission is granted to nobody",
+)
+
+
+def test_licences_are_told_apart():
+    """Each notice has exactly its label; what is no notice has none."""
+    search, rng = lic.NoticeSearch(), random.Random(4)
+    for text, labels in LICENCES:
+        found = lic.scan_text(f"{prose(rng, 5)} {text} {prose(rng, 5)}", search)
+        assert set(found["labels"].split(",")) == set(labels.split(",")), (text, found)
+        assert all(n["matched"] == n["matched"].strip() for n in found["notices"])
+    for text in NO_LICENCES:
+        assert lic.scan_text(f"{prose(rng, 5)} {text} {prose(rng, 5)}", search)["labels"] == "", text

@@ -110,7 +110,9 @@ def test_closest_links_are_a_minimum_spanning_forest(monkeypatch):
         seeds = rng.integers(0, 2**64, 6, dtype=np.uint64)
         words = np.unique(np.concatenate([s ^ (np.uint64(1) << rng.integers(0, 64, 12, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 12, dtype=np.uint64)) for s in seeds]))
         group = np.sort(rng.integers(0, 2, len(words)))
-        a, b = sim.Forest(words.reshape(-1, 1), group).closest(6)
+        a, b, number = sim.Forest(words.reshape(-1, 1), group).closest(6, 3)
+        assert len({*zip(np.minimum(a, b), np.maximum(a, b))}) == len(a) and set(number) == {0, 1, 2}
+        a, b = a[number == 0], b[number == 0]
         bits = lambda i, j: bin(int(words[i] ^ words[j])).count("1")  # noqa: B023, E731
         root = list(range(len(words)))
         find = lambda x: x if root[x] == x else find(root[x])  # noqa: B023, E731
@@ -169,6 +171,28 @@ def test_near_duplicates_against_brute_force(spark, make_docs):
     assert sum(i in got and j in got for i, j in links) <= 0.02 * len(links)
 
 
+def test_a_dense_family_whose_links_are_not_the_closest(spark, make_docs):
+    """Texts with about three edits each of one template: most candidates are no links, and links are a few of many."""
+    rng = random.Random(23)
+    base = prose(rng, 200).split()
+    texts = []
+    for _ in range(500):
+        words = list(base)
+        for _ in range(rng.randint(2, 4)):
+            words[rng.randrange(len(words))] = prose(rng, 1)
+        texts.append(" ".join(words))
+    sets = [set(sim.shingle_hashes(t, 5).tolist()) for t in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    root = list(range(len(texts)))
+    for _ in range(12):
+        for i, j in links:
+            root[i] = root[j] = min(root[i], root[j])
+    want = {i for i, r in enumerate(root) if i == r}
+    got = {r.doc_id for r in sim.first_of_each(spark, make_docs(texts)).collect()}
+    assert len(links) > 400 and len(want) < 200 and want <= got
+    assert len(got - want) <= 0.02 * (len(texts) - len(want))
+
+
 def test_a_large_group_of_near_copies(spark, make_docs):
     rng = random.Random(22)
     base = prose(rng, 120).split()
