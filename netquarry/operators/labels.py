@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netquarry.functions.scalars import parsed_timestamp
@@ -142,6 +142,87 @@ def label_flows(
     return kept.withColumn(label, label_column(rules, time, columns, default, artifacts))
 
 
+RULES = (
+    "ordinal long, label string, start timestamp, finish timestamp, src_ips array<string>, dst_ips array<string>, dst_ports array<int>, "
+    "protocol int, payload_filter boolean, conditions array<int>"
+)
+#: Rules that are broadcast at most.
+BROADCAST_RULES = 200_000
+
+
+def rule_table(spark: SparkSession, rules: Sequence[AttackRule]) -> tuple[DataFrame, list[Mapping]]:
+    """Rules as a table of RULES, ordinals in their order, and the condition trees that its conditions name by place."""
+    trees: list[Mapping] = []
+    for rule in rules:
+        trees += [t for t in rule.conditions if t not in trees]
+    listed = lambda x: None if x is None else list(x)
+    utc_time = lambda t: t.replace(tzinfo=timezone.utc)
+    rows = [
+        (i, r.label, utc_time(r.start), utc_time(r.finish), listed(r.src_ips), listed(r.dst_ips), listed(r.dst_ports), r.protocol, r.payload_filter, [trees.index(t) for t in r.conditions])
+        for i, r in enumerate(rules)
+    ]
+    return spark.createDataFrame(rows, RULES), trees
+
+
+def label_by_table(
+    flows: DataFrame,
+    rules: DataFrame,
+    trees: Sequence[Mapping] = (),
+    *,
+    columns: FlowColumns = FlowColumns(),
+    default: str = "Benign",
+    artifacts: Sequence[str] = (),
+    protocols: Sequence[str] = ("6", "17"),
+    label: str = "Label",
+) -> DataFrame:
+    """label_flows by a table of rules (RULES), of which there may be very many: the last one that matches, by ordinal, wins.
+
+    A rule is filed by the length of its time under one or two buckets of the least power of two above it, and a flow
+    looks into one bucket of each length that occurs. So a flow is tested against the rules near its time only, the plan
+    grows with the lengths' number of bits and not with the rules, and flows aren't shuffled while the rules are few
+    enough to be broadcast. A null set, protocol or list of conditions asks for nothing, a rule without an end or label
+    matches nothing.
+    """
+    kept = flows.filter(col(columns.protocol).cast("string").isin(list(protocols)))
+    kind = dict(flows.dtypes)[columns.timestamp]
+    time = parsed_timestamp(col(columns.timestamp)) if kind == "string" else col(columns.timestamp)
+    low, high = F.unix_micros("start"), F.unix_micros("finish")
+    able = rules.filter("start <= finish and label is not null").withColumns({"low": low, "high": high})
+    able = able.withColumn("bits", F.length(F.bin(F.col("high") - F.col("low"))))
+    found, there = able.agg(F.count("*"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bits")))).first()
+    at = lambda c: F.call_function("shiftright", F.col(c), F.col("bits"))
+    filed = able.withColumn("bucket", F.explode(F.array_distinct(F.array(at("low"), at("high")))))
+    entry = F.struct("ordinal", "label", "low", "high", "src_ips", "dst_ips", "dst_ports", "protocol", "payload_filter", "conditions")
+    micros, holds = "_x_micros", "_x_holds"
+    out = kept.withColumns({micros: F.unix_micros(time.cast("timestamp")), holds: F.array(*[condition(t) for t in trees]) if trees else F.array().cast("array<boolean>")})
+    port, protocol, payload = col(columns.dst_port).try_cast("int"), col(columns.protocol).try_cast("int"), col(columns.payload).try_cast("double")
+    member = lambda members, value: members.isNull() | F.exists(members, lambda m: m == value)
+    hits = []
+    for k in [k for k in range(64) if (there or 0) >> k & 1]:
+        near = filed.filter(F.col("bits") == k).groupBy(F.col("bucket").alias(f"_x_bucket{k}")).agg(F.collect_list(entry).alias(f"_x_rules{k}"))
+        near = F.broadcast(near) if found <= BROADCAST_RULES else near
+        out = out.withColumn(f"_x_bucket{k}", F.shiftright(micros, k)).join(near, f"_x_bucket{k}", "left")
+
+        def matches(r: Column) -> Column:
+            ports = r["dst_ports"]
+            asked = (
+                F.col(micros).between(r["low"], r["high"])
+                & member(r["src_ips"], col(columns.src_ip).cast("string"))
+                & member(r["dst_ips"], col(columns.dst_ip).cast("string"))
+                & (ports.isNull() | F.exists(ports, lambda p: p == port))
+                & (r["protocol"].isNull() | (r["protocol"] == protocol))
+                & (~F.coalesce(r["payload_filter"], F.lit(False)) | (payload == 0))
+            )
+            return F.coalesce(asked & F.coalesce(F.forall(r["conditions"], lambda i: F.get(F.col(holds), i)), F.lit(True)), F.lit(False))
+
+        last = F.array_max(F.transform(F.filter(f"_x_rules{k}", matches), lambda r: F.struct(r["ordinal"], r["label"])))
+        hits.append(last)
+    best = F.greatest(*hits)["label"] if len(hits) > 1 else hits[0]["label"] if hits else F.lit(None).cast("string")
+    made = F.coalesce(best, F.lit(default))
+    made = F.when(col(columns.flow_id).isin(list(artifacts)), F.lit(default)).otherwise(made) if artifacts else made
+    return out.withColumn(label, made).select(*[col(c) for c in flows.columns if c != label], label)
+
+
 def dropped_count(flows: DataFrame, columns: FlowColumns = FlowColumns(), protocols: Sequence[str] = ("6", "17")) -> DataFrame:
     """How many rows label_flows leaves out for their protocol."""
     kept = col(columns.protocol).cast("string").isin(list(protocols))

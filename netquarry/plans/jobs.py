@@ -14,7 +14,7 @@ from netquarry.operators._columns import col
 from netquarry.operators.labels import AttackRule, FlowColumns
 from netquarry.operators.quality import Plan, Text
 from netquarry.plans.config import StatesPlan
-from netquarry.session import settled
+from netquarry.session import scratch, settled
 from netquarry.sources import pcap, tables
 
 
@@ -27,12 +27,14 @@ def clean_job(
     written table.
     """
     texts = [name for name, check in plan.schema.items() if isinstance(check, Text)]
-    rows = quality.initial_cleanup(tables.read_csv(spark, source), drop, texts)
-    for cycle in range(cycles):
-        if reports:
-            tables.write_report(quality.quality_metrics(rows, plan), reports, cycle)
-        rows = quality.repair(rows, plan)
-    tables.write_parquet(quality.typed(rows, plan.schema), target, level=3)
+    with scratch(spark):
+        # each cycle's counts and the result read the cleaned rows, which are made once
+        rows = settled(quality.initial_cleanup(tables.read_csv(spark, source), drop, texts), "cleaned")
+        for cycle in range(cycles):
+            if reports:
+                tables.write_report(quality.quality_metrics(rows, plan), reports, cycle)
+            rows = quality.repair(rows, plan)
+        tables.write_parquet(quality.typed(rows, plan.schema), target, level=3)
     return spark.read.parquet(target)
 
 

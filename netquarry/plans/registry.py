@@ -18,7 +18,7 @@ from netquarry.operators import assembly, joins, labels, packing, profile, quali
 from netquarry.operators.labels import AttackRule, FlowColumns
 from netquarry.operators.quality import Numeric, Plan, Rule, Text
 from netquarry.session import fresh_path, table
-from netquarry.sources import pcap
+from netquarry.sources import pcap, tables
 from netquarry.sources.capture_ranges import opened, read_capture
 from netquarry.streaming import trailing
 
@@ -250,15 +250,15 @@ def window_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("attack_types_present", F.array_join("attack_types_present", ","))
 
 
-@register(
-    "window_tensors",
-    f"""WITH {EDGES}, g AS ({GLOBAL_SQL.replace('round(avg(bytes), 6)', 'avg(bytes)')}),
+TENSOR_SQL = f"""WITH {EDGES}, g AS ({GLOBAL_SQL.replace('round(avg(bytes), 6)', 'avg(bytes)')}),
     parts AS (SELECT window_start, 'global' AS part, 0 AS i, 0 AS j, CAST(flow_count AS FLOAT) AS value FROM g UNION ALL SELECT window_start, 'global', 0, 1, CAST(bytes_mean AS FLOAT) FROM g
       UNION ALL SELECT window_start, 'host', place, 0, CAST(out_bytes_sum AS FLOAT) FROM top UNION ALL SELECT window_start, 'host', place, 1, CAST(in_bytes_sum AS FLOAT) FROM top
       UNION ALL SELECT window_start, 'mask', place, 0, 1 FROM top UNION ALL SELECT window_start, 'adjacency', i, j, 1 FROM inner_edges
       UNION ALL SELECT window_start, 'edge', i, j, CAST(bytes_sum AS FLOAT) FROM inner_edges)
-    SELECT window_start, part, CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(CAST(value AS DOUBLE), 2) AS value FROM parts WHERE value <> 0""",
-)
+    SELECT window_start, part, CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(CAST(value AS DOUBLE), 2) AS value FROM parts WHERE value <> 0"""
+
+
+@register("window_tensors", TENSOR_SQL)
 def window_tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dense arrays of each window, of which the places that aren't 0 are shown."""
     top = _top(spark, sf_dir)
@@ -269,6 +269,23 @@ def window_tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown_tensors(made)
 
 
+@register(
+    "windows_by_number",
+    f"WITH t AS ({TENSOR_SQL}), n AS (SELECT window_start, row_number() OVER (ORDER BY window_start) - 1 AS number FROM (SELECT DISTINCT window_start FROM t)) SELECT number, t.* FROM t JOIN n USING (window_start)",
+)
+def windows_by_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dense arrays written in order of time and read back by number, in two halves."""
+    top = _top(spark, sf_dir)
+    edges = states.edges_between(_edges(spark, sf_dir), top)
+    made = states.window_tensors(
+        _global(spark, sf_dir), top, edges, global_columns=["flow_count", "bytes_mean"], host_columns=["out_bytes_sum", "in_bytes_sum"], edge_columns=["bytes_sum"], k=10
+    )
+    path = fresh_path(spark, "windows")
+    n = tables.save_windows(made, {"global": ["flow_count", "bytes_mean"]}, path)
+    halves = tables.load_windows(spark, path, 0, n // 2).unionByName(tables.load_windows(spark, path, n // 2 + 1, n))
+    return shown_tensors(halves).join(halves.select("window_start", "number"), "window_start")
+
+
 def shown_tensors(made: DataFrame) -> DataFrame:
     """(window_start, part, i, j, value) of the places of window_tensors that aren't 0; edges by their first feature."""
     cell = lambda part, i, j, value: F.struct(
@@ -1083,6 +1100,36 @@ def schedule_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _labelled(spark, sf_dir).select("o_orderkey", "label")
 
 
+@register(
+    "schedule_table",
+    """WITH r AS (SELECT c_custkey AS n, 'r' || (c_custkey % 50) AS label, TIMESTAMP '1992-01-01' + to_days(CAST(c_custkey * 37 % 2400 AS INT)) AS s,
+      TIMESTAMP '1992-01-01' + to_days(CAST(c_custkey * 37 % 2400 + (c_custkey % 13) * (c_custkey % 13) AS INT)) AS e FROM customer),
+    f AS (SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) AS t, o_orderpriority AS p, o_custkey AS port, CASE WHEN o_custkey % 3 = 2 THEN 1 WHEN o_custkey % 2 = 0 THEN 6 ELSE 17 END AS protocol FROM orders),
+    m AS (SELECT o_orderkey, arg_max(label, n) AS label FROM f JOIN r ON t BETWEEN s AND e AND (n % 3 > 0 OR p IN ('1-URGENT', '5-LOW')) AND (n % 4 > 0 OR port % 8 = 1 AND port < 900)
+      AND (n % 5 > 0 OR protocol = 6) WHERE protocol <> 1 GROUP BY 1)
+    SELECT f.o_orderkey, coalesce(label, 'none') AS label FROM f LEFT JOIN m USING (o_orderkey) WHERE protocol <> 1""",
+)
+def schedule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule for each customer, over times of 0 to 144 days: the last that matches labels an order."""
+    key = F.col("c_custkey")
+    begin = F.unix_date(F.lit("1992-01-01").cast("date")) + (key * 37 % 2400).cast("int")
+    moment = lambda days: F.date_from_unix_date(days).cast("timestamp")
+    rules = table(spark, sf_dir, "customer").select(
+        key.cast("long").alias("ordinal"),
+        F.concat(F.lit("r"), (key % 50).cast("string")).alias("label"),
+        moment(begin).alias("start"),
+        moment(begin + ((key % 13) * (key % 13)).cast("int")).alias("finish"),
+        F.when(key % 3 == 0, F.array(F.lit("1-URGENT"), F.lit("5-LOW"))).alias("src_ips"),
+        F.lit(None).cast("array<string>").alias("dst_ips"),
+        F.when(key % 4 == 0, F.sequence(F.lit(1), F.lit(899), F.lit(8))).alias("dst_ports"),
+        F.when(key % 5 == 0, 6).alias("protocol"),
+        F.lit(False).alias("payload_filter"),
+        F.lit(None).cast("array<int>").alias("conditions"),
+    )
+    orders = table(spark, sf_dir, "orders").withColumn("protocol", F.when(F.col("o_custkey") % 3 == 2, 1).when(F.col("o_custkey") % 2 == 0, 6).otherwise(17))
+    return labels.label_by_table(orders, rules, columns=ORDER_COLUMNS, default="none", label="label").select("o_orderkey", "label")
+
+
 @register("label_counts", f"WITH {LABELLED} SELECT label, count(*) AS count FROM labelled GROUP BY 1")
 def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.label_counts(_labelled(spark, sf_dir), "label")

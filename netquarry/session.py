@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Where the paths of settled tables are noted, if anywhere.
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -42,6 +47,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables settled within are deleted at the end: for work whose result has been written by then."""
+    token = _scratch.set(paths := [])
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
@@ -50,4 +68,6 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: its rows and their places stay as they are, whatever is lost."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    if (scope := _scratch.get()) is not None:
+        scope.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from netquarry.functions.scalars import file_day
+from netquarry.session import settled
 
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], header: Sequence[str] | None = None) -> DataFrame:
@@ -71,6 +72,36 @@ def load_arrays(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, li
     return spark.read.parquet(f"{path}/arrays"), json.loads(names)
 
 
+def save_windows(tensors: DataFrame, names: dict[str, Sequence[str]], path: str, time: str = "window_start") -> int:
+    """save_arrays in order of time: shards of consecutive windows, each window with its number from 0; how many there are.
+
+    One range shuffle deals the windows over shards; path/index tells each shard's first number and its count, a row each,
+    so load_windows reads no others. A null time comes first; of windows of one time the order is as they are read.
+    """
+    spark = tensors.sparkSession
+    tie = "_tie"
+    dealt = tensors.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(time, tie).sortWithinPartitions(time, tie).drop(tie)
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = settled(dealt.withColumns({"shard": F.spark_partition_id(), "_at": at}), "windows")
+    index, total = [], 0
+    for shard, n in sorted(map(tuple, dealt.groupBy("shard").count().collect())):  # a row per shard
+        index.append((shard, total, n))
+        total += n
+    told = spark.createDataFrame(index, "shard int, first long, count long")
+    numbered = dealt.join(F.broadcast(told.select("shard", "first")), "shard").withColumn("number", F.col("first") + F.col("_at")).drop("first", "_at")
+    numbered.repartition(max(1, len(index)), "shard").sortWithinPartitions("shard", "number").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/arrays")
+    told.coalesce(1).write.mode("overwrite").parquet(f"{path}/index")
+    spark.createDataFrame([(json.dumps(names),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/names")
+    return total
+
+
+def load_windows(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
+    """The windows first to last, both ends included, by number; only the shards that hold them are read."""
+    index = spark.read.parquet(f"{path}/index")
+    near = [r[0] for r in index.filter((F.col("first") <= last) & (F.col("first") + F.col("count") > first)).select("shard").collect()]  # a row per shard
+    return spark.read.parquet(f"{path}/arrays").filter(F.col("shard").isin(near) & F.col("number").between(first, last)).drop("shard")
+
+
 def write_report(metrics: DataFrame, path: str, cycle: int) -> None:
     """Validation counts of a cycle; each cycle keeps its own folder."""
     metrics.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/cycle={cycle}")

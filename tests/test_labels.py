@@ -47,3 +47,40 @@ def test_rename(spark):
     assert lb.renamed(df, {"x": "a", "y": "a"}).columns == ["x", "y"]
     with pytest.raises(ValueError, match="c"):
         lb.renamed(df, {"x": "c"})
+
+
+def test_a_table_of_rules_labels_like_compiled_rules(spark):
+    """Sets that are empty or absent, conditions, artifacts, times of one instant and of years; 5,000 rules leave the plan as it is."""
+    import random
+    from datetime import timedelta
+
+    rng = random.Random(6)
+    day = datetime(2020, 1, 1)
+    trees = [{"feature": "size", "op": "gte", "value": 5}, {"any_of": [{"feature": "name", "op": "eq", "value": "x"}, {"feature": "size", "op": "lt", "value": 2}]}]
+    maybe = lambda *options: rng.choice((None, None, *options))
+
+    def rule(i):
+        start = day + timedelta(seconds=rng.randrange(2_000_000))
+        length = timedelta(seconds=rng.choice((0, 1, 60, 5000, 400_000, -3)))
+        return lb.AttackRule(
+            f"l{i % 40}", start, start + length, maybe(("a", "b"), ()), maybe(("c",)), maybe((80, 443), ()), maybe(6, 17), rng.random() < 0.2, tuple(rng.sample(trees, rng.choice((0, 0, 1, 2)))),
+        )
+
+    rules = [rule(i) for i in range(60)]
+    rows = [
+        (f"f{i}", rng.choice((day + timedelta(seconds=rng.randrange(2_100_000)), rng.choice(rules).start, None)), rng.choice(("a", "z", None)), rng.choice(("c", "d")), rng.choice((80, 5, None)),
+         rng.choice((6, 17, 1)), rng.choice((0.0, 3.0)), rng.choice((None, 1, 4, 9)), rng.choice(("x", "y")))
+        for i in range(800)
+    ]
+    kind = "id string, t timestamp, s string, d string, p int, proto int, bytes double, size int, name string"
+    flows = spark.createDataFrame(rows, kind)
+    columns = lb.FlowColumns("t", "id", "s", "d", "p", "proto", "bytes")
+    options = {"columns": columns, "artifacts": ("f3", "f4"), "default": "none"}
+    want = {r.id: r.Label for r in lb.label_flows(flows, rules, **options).collect()}
+    table, found = lb.rule_table(spark, rules)
+    made = lb.label_by_table(flows, table, found, **options)
+    assert {r.id: r.Label for r in made.collect()} == want and len(set(want.values())) > 10 and made.columns == [*flows.columns, "Label"]
+    assert {r.Label for r in lb.label_by_table(flows, table.limit(0), **options).collect()} == {"none"}
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join")
+    many = lb.label_by_table(flows, lb.rule_table(spark, [rule(i) for i in range(5000)])[0], trees, **options)
+    assert plan(many) <= plan(made) + 1 and many.count() == len(want)

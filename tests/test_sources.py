@@ -164,3 +164,16 @@ def test_split_file_and_extract_in_pieces(tmp_path):
     for source in (str(outer), outer.read_bytes()):
         assert archive.extract_entry(source, "in.zip!pcap/day.pcap", str(target)) == len(whole.read_bytes()) * 40
         assert target.read_bytes() == whole.read_bytes() * 40 and not (tmp_path / "got.pcap.part").exists()
+
+
+def test_windows_in_order_and_by_number(spark, tmp_path):
+    times = [*range(100, 160), 130, None]
+    made = spark.createDataFrame([(t, [float(t or 0)]) for t in times], "window_start int, global array<double>").repartition(7)
+    path = f"{tmp_path}/w"
+    assert tables.save_windows(made, {"global": ["n"]}, path) == 62
+    rows = sorted(tables.load_windows(spark, path, 0, 61).collect(), key=lambda r: r.number)
+    assert [r.number for r in rows] == list(range(62)) and [r.window_start for r in rows] == [None, *sorted(t for t in times if t)]
+    some = tables.load_windows(spark, path, 10, 14)
+    assert sorted((r.number, r.window_start) for r in some.collect()) == [(i, 99 + i) for i in range(10, 15)]
+    assert tables.load_windows(spark, path, 70, 80).count() == 0
+    assert tables.save_windows(made.limit(0), {}, f"{tmp_path}/none") == 0
