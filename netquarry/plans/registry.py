@@ -17,7 +17,7 @@ from netquarry.functions.scalars import capture_name, contains_ignoring_case, is
 from netquarry.operators import assembly, joins, labels, packing, profile, quality, scaling, setops, states, windows
 from netquarry.operators.labels import AttackRule, FlowColumns
 from netquarry.operators.quality import Numeric, Plan, Rule, Text
-from netquarry.session import fresh_path, table
+from netquarry.session import fresh_path, settled, table
 from netquarry.sources import pcap, tables
 from netquarry.sources.capture_ranges import opened, read_capture
 from netquarry.streaming import trailing
@@ -199,7 +199,7 @@ def edge_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("edge_semi", f"WITH {EDGES} SELECT window_start, src, dst, i, j, {_EDGE_ROUND} FROM inner_edges")
 def edge_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(states.edges_between(_edges(spark, sf_dir), _top(spark, sf_dir)))
+    return rounded(states.edges_between(_edges(spark, sf_dir), settled(_top(spark, sf_dir), "top")))  # both ends read it
 
 
 @register(
@@ -231,7 +231,7 @@ def delta_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM t LEFT JOIN t p ON p.n = t.n - 1 AND p.host = t.host""",
 )
 def delta_host(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(states.delta_host(_top(spark, sf_dir), ["out_bytes_sum", "in_flow_count"]))
+    return rounded(states.delta_host(settled(_top(spark, sf_dir), "top"), ["out_bytes_sum", "in_flow_count"]))
 
 
 ATTACKS = ("error", "signup")
@@ -1041,16 +1041,19 @@ def ordered_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "positional_align",
-    """WITH a AS (SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY CAST(o_orderdate AS VARCHAR), CAST(o_orderkey AS VARCHAR)) AS place FROM orders)
-    SELECT place, o_custkey, CAST(o_orderkey AS VARCHAR) AS "Flow ID", o_custkey * 2 AS twice FROM a""",
+    """WITH a AS (SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY CAST(o_orderdate AS VARCHAR), CAST(o_orderkey AS VARCHAR)) AS place FROM orders),
+    n AS (SELECT l_orderkey, count(*) AS items FROM lineitem GROUP BY 1)
+    SELECT place, o_custkey, CAST(o_orderkey AS VARCHAR) AS "Flow ID", coalesce(items, 0) AS items FROM a LEFT JOIN n ON l_orderkey = o_orderkey""",
 )
 def positional_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table and what was made of it, side by side by their places alone; the flow ids are checked."""
+    """Two tables that are made and put in order for themselves, side by side by their places alone; the flow ids are checked."""
     orders = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").cast("string").alias("Flow ID"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("Timestamp"), "o_custkey"
     )
-    placed = labels.placed_flows(orders).drop("Timestamp")
-    return joins.aligned(placed, placed.select("place", "Flow ID", (F.col("o_custkey") * 2).alias("twice")), "place", ["Flow ID"])
+    items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("Flow ID")).agg(F.count("*").alias("items"))
+    counted = orders.drop("o_custkey").join(items, "Flow ID", "left").fillna(0, ["items"])
+    sides = [labels.placed_flows(x).drop("Timestamp") for x in (orders, counted)]
+    return joins.aligned(*sides, "place", ["Flow ID"])
 
 
 @register(
