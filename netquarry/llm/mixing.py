@@ -29,6 +29,8 @@ from netquarry.llm.shared import SPACE, free_name, written
 #: Cost of a word's first, second, third ... passage through the mix; it must not fall.
 PASS_COSTS = (0, 1, 3)
 BUCKETS = 1024
+#: Patterns up to which the plan is broadcast.
+BROADCAST_PATTERNS = 64
 
 
 @dataclass(frozen=True)
@@ -39,7 +41,6 @@ class Mix:
     quotas: dict
     routed: dict
 
-
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")
 
@@ -251,20 +252,20 @@ def mix(
         .applyInPandas(_cells_taken(most), "pattern_id int, size_class int, bucket int, words long, copies int, part long")
     )
     by_cell = written(spark, by_cell.filter("copies > 0 or part > 0"), "mix-taken")
-    # the cells of one pattern and size class become one array of at most `buckets` numbers
-    arrays = by_cell.groupBy("pattern_id", "size_class").agg(
-        F.map_from_entries(F.collect_list(F.struct("bucket", F.struct("copies", "part", "words")))).alias("by_bucket")
-    )
-    plan = written(spark, arrays, "mix-plan").select(
-        F.col("pattern_id").alias("_p"), F.col("size_class").alias("_k"), "by_bucket"
-    )
     ids = flows.select(F.col("pattern_id").alias("_p0"), F.col("pattern").alias("_pattern"))
     out = sized.join(F.broadcast(ids), sized[served].eqNullSafe(ids["_pattern"]), "left")
-    # proven bound: max_patterns x 63 size classes, a map of at most `buckets` entries each
-    out = out.join(
-        F.broadcast(plan) if len(order) <= 64 else plan, (out["_p0"] == plan["_p"]) & (out[klass] == plan["_k"]), "left"
-    )
-    got = F.try_element_at(F.col("by_bucket"), F.col(bucket))
+    entry = F.struct("copies", "part", "words")
+    if len(order) <= BROADCAST_PATTERNS:
+        # proven bound: that many patterns x 63 size classes, a map of at most `buckets` entries each
+        arrays = by_cell.groupBy("pattern_id", "size_class").agg(F.map_from_entries(F.collect_list(F.struct("bucket", entry))).alias("by_bucket"))
+        plan = written(spark, arrays, "mix-plan").select(F.col("pattern_id").alias("_p"), F.col("size_class").alias("_k"), "by_bucket")
+        out = out.join(F.broadcast(plan), (out["_p0"] == plan["_p"]) & (out[klass] == plan["_k"]), "left")
+        got = F.try_element_at(F.col("by_bucket"), F.col(bucket))
+    else:
+        # cell by cell, so the documents of one pattern and size are dealt over its buckets
+        plan = by_cell.select(F.col("pattern_id").alias("_p"), F.col("size_class").alias("_k"), F.col("bucket").alias("_mix_bucket"), entry.alias("_mix_cell"))
+        out = out.join(plan, (out["_p0"] == plan["_p"]) & (out[klass] == plan["_k"]) & (out[bucket] == plan["_mix_bucket"]), "left")
+        got = F.col("_mix_cell")
     first = F.when(got["part"] > 0, F.floor(F.col(size).cast("decimal(38,0)") * got["part"] / got["words"]).cast("long"))
     out = out.withColumns({copies: F.coalesce(got["copies"], F.lit(0)), part: F.coalesce(first, F.lit(0))})
     out = out.withColumn(taken, F.col(size) * F.col(copies) + F.col(part))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry.llm.shared import join_counted, text_of, written
+from netquarry.llm.shared import join_counted, text_of, with_likely, written
 
 WINDOW, GRAM = 50, 8
 #: Words of a block's documents, and so of what an automaton is for, on average.
@@ -201,6 +201,18 @@ def _without(window: int) -> callable:
     return run
 
 
+def _once(spark: SparkSession, slim: DataFrame, marks: DataFrame) -> DataFrame:
+    """slim (id, mark, text) with one row of those whose id and text are the same; the others stay where they are."""
+    key = F.xxhash64("id", "mark")
+    repeated = marks.groupBy(key.alias("key")).count().filter("count > 1").select("key")
+    repeated = written(spark, repeated, "phrase-repeated")
+    if repeated.isEmpty():
+        return slim
+    flagged = with_likely(slim.withColumn("key", key), "key", repeated, "doubtful")
+    rows = flagged.filter(~F.col("doubtful")).select(*slim.columns)
+    return rows.unionByName(flagged.filter("doubtful").groupBy("id", "mark").agg(F.first("text").alias("text")))
+
+
 def remove_repeats(
     spark: SparkSession,
     docs: DataFrame,
@@ -239,7 +251,7 @@ def remove_repeats(
     hits = join_counted(each, several, ["p"], "n", "inner").groupBy("id", "mark", "n_words").agg(F.collect_set("p").alias("hits"))
     hits = written(spark, hits, "phrase-hits")
     blocks = (hits.agg(F.sum("n_words")).first()[0] or 0) // block_words + 1
-    texts = slim.join(hits, ["id", "mark"]).select(
+    texts = _once(spark, slim, marks).join(hits, ["id", "mark"]).select(
         F.pmod(F.xxhash64("id", "mark"), F.lit(blocks)).alias("block"), "id", "text", "hits", "mark"
     )
     texts = written(spark, texts, "phrase-texts")

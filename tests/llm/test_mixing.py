@@ -99,3 +99,17 @@ def test_overlapping_sources_and_more_patterns_than_the_flow_knows(spark, make_d
     assert all(abs(n - words) <= 0.02 * words for n in taken.values())
     with pytest.raises(ValueError, match="sources"):
         mixing.mix(spark, docs, split, mixing.cyclic_weights((1,)), max_patterns=6)
+
+
+def test_many_patterns_with_one_hot_one(spark, make_docs, monkeypatch):
+    """Above the broadcast's bound the plan is joined cell by cell, with the same result; one source has most documents."""
+    rng = random.Random(7)
+    texts = [prose(rng, rng.randint(1, 60)) for _ in range(700)]
+    sources = ["hot" if i % 3 else f"s{i % 90}" for i in range(700)]
+    docs = make_docs(texts, sources=sources).withColumns({"_mix": F.lit(1), "_pattern_": F.lit(2)})
+    made = {}
+    for most in (1000, 0):
+        monkeypatch.setattr(mixing, "BROADCAST_PATTERNS", most)
+        found = mixing.mix(spark, docs, F.array("source"), mixing.cyclic_weights((5, 2, 1))).documents
+        made[most] = sorted((r.doc_id, r.size, r.taken, r.copies, r.part) for r in found.collect())
+    assert made[0] == made[1000] and len(made[0]) == 700 and sum(r[2] for r in made[0]) > 0

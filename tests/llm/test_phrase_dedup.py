@@ -77,3 +77,17 @@ def test_a_passage_that_most_documents_share(spark, make_docs):
     texts.append(" ".join([shared] * 30))  # a text of one passage over and over
     rows = pd_.remove_repeats(spark, make_docs(texts), block_words=2000).collect()
     assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in rows) == brute(list(enumerate(texts)))
+
+
+def test_a_third_of_all_rows_are_the_same(spark, make_docs, monkeypatch):
+    """Rows of one id and text, null ids too, meet the texts once each: their windows are located once."""
+    rng = random.Random(6)
+    shared = prose(rng, 70)
+    texts = [f"{prose(rng, 20)} {shared} {prose(rng, 5)}" for _ in range(40)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, f"start {shared} end")] * 60 + [(7, texts[7])] * 30
+    met = []
+    kept = pd_.written
+    monkeypatch.setattr(pd_, "written", lambda spark, df, name: met.append(kept(spark, df, name)) or met[-1] if name == "phrase-texts" else kept(spark, df, name))
+    found = pd_.remove_repeats(spark, make_docs([t for _, t in rows], [i for i, _ in rows]), block_words=2000).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in found) == brute(rows)
+    assert met[0].count() == 41
