@@ -9,7 +9,9 @@ Subsets that very many sets share (empty segments, common passages) cost the mos
 nothing on such segments and, to reach H + 1 all the same, twice as much on as many of its others. There it looks for
 subsets that differ in one token too: its own subset less each token, among the others' subsets, and its own subset
 among the others' less one token (the one-deletion neighbourhoods). A set most of whose segments are common can't make
-up for them and keeps all.
+up for them; it is found by the others, and such sets meet each other in 3 H + 1 finer segments, of which a similar pair
+shares 2 H + 1 at least. There each of them spends nothing on its 2 H commonest: by one order of all subsets, of those
+that two sets share the rarest is among the H + 1 rarest of both.
 
 Bands of large sets have an eighth more segments than that, and so a similar pair meets that much more often: by the
 same count, what a set spends on its segments beyond what differs in them adds up to the surplus and one. Pairs that meet less
@@ -27,7 +29,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netquarry.llm.sharding import _mixed
@@ -95,8 +97,8 @@ def shingle_sets(texts: list[str], shingle: int) -> tuple[np.ndarray, np.ndarray
 class Bands:
     """Bands of set sizes, and the segments of each, for a similarity of percent hundredths or more."""
 
-    def __init__(self, percent: int):
-        self.percent = percent
+    def __init__(self, percent: int, fine: bool = False):
+        self.percent, self.fine = percent, fine
         low, high = [1], [1]
         while high[-1] < 1 << 40:
             low.append(high[-1] + 1)
@@ -104,10 +106,12 @@ class Bands:
         self.low, self.high = np.array(low), np.array(high)
         #: sets x <= y <= high differ in (x + y) (100 - percent) / (100 + percent) tokens at most
         differ = 2 * self.high * (100 - percent) // (100 + percent)
-        surplus = differ // 8
+        surplus = 2 * differ if fine else differ // 8
+        #: commonest subsets that a set leaves out
+        self.left_out = surplus if fine else 0 * differ
         self.segments = np.where(differ > 0, differ + 1 + surplus, 1)
         #: keys that a similar pair shares in a band at least: a key counts twice at most
-        self.least = surplus // 2 + 1
+        self.least = 0 * differ + 1 if fine else surplus // 2 + 1
 
     def entries(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(set, band, whether it is the set's own): where sets of these sizes are filed. Bands of equal sets only are left out."""
@@ -127,14 +131,14 @@ class Bands:
 class Dealt:
     """The segments of the sets of a slice: keys of their subsets, and of these less one token."""
 
-    def __init__(self, tokens: np.ndarray, sizes: np.ndarray, bands: Bands):
-        self.set, band, self.own = bands.entries(sizes)
-        self.least = bands.least[band]
+    def __init__(self, tokens: np.ndarray, sizes: np.ndarray, bands: Bands, entries: tuple | None = None):
+        self.set, band, self.own = entries or bands.entries(sizes)
+        self.band, self.least, self.left_out = band, bands.least[band], bands.left_out[band]
         width, n = bands.segments[band], sizes[self.set]
         base, start = np.cumsum(width) - width, (np.cumsum(sizes) - sizes)[self.set]
         self.entry = np.repeat(np.arange(len(width)), width)
         local = np.arange(int(width.sum())) - np.repeat(base, width)
-        self.tag = _mixed((np.repeat(band, width).astype(np.uint64) << np.uint64(42)) + local.astype(np.uint64))
+        self.tag = _mixed((np.repeat(band + 128 * bands.fine, width).astype(np.uint64) << np.uint64(42)) + local.astype(np.uint64))
         token = tokens[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)]
         #: of each token, in each band of its set: its segment's place
         self.place = np.repeat(base, n) + (_mixed(token) % np.repeat(width, n).astype(np.uint64)).astype(np.int64)
@@ -146,17 +150,18 @@ class Dealt:
     def less_one(self) -> np.ndarray:
         return _mixed(self.sums[self.place] - self.value + self.tag[self.place])
 
-    def allocated(self, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(segments that are searched, those that are searched for one token's difference too, keys less one token)."""
+    def allocated(self, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(segments that are searched, those searched for one token's difference too, keys less one token, entries that can't make up)."""
         less = self.less_one()
         dear = has(common, self.keys)
         many = np.bincount(self.entry, dear, len(self.width))
-        able = (2 * many <= self.width)[self.entry]
+        enough = 2 * many <= self.width
+        able = enough[self.entry]
         cost = np.bincount(self.place, 1.0 + COMMON * has(common, less), len(self.sums)) + np.where(dear, np.inf, 0)
         order = np.lexsort((cost, self.entry))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order)) - np.repeat(np.cumsum(self.width) - self.width, self.width)
-        return ~(dear & able), able & (rank < many[self.entry]), less
+        return able & ~dear, able & (rank < many[self.entry]), less, ~enough
 
 
 def has(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -232,7 +237,7 @@ def searched_keys(texts: DataFrame, shingle: int, bands: Bands, common: np.ndarr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, tokens, sizes in _sliced(batches, shingle):
             dealt = Dealt(tokens, sizes, bands)
-            _, double, less = dealt.allocated(common)
+            _, double, less, _ = dealt.allocated(common)
             for keys, is_less in ((dealt.keys[double], False), (less[double[dealt.place]], True)):
                 yield pa.RecordBatch.from_arrays([_long(keys), pa.array(np.full(len(keys), is_less))], names=["key", "less"])
 
@@ -240,27 +245,34 @@ def searched_keys(texts: DataFrame, shingle: int, bands: Bands, common: np.ndarr
 
 
 def filed(texts: DataFrame, shingle: int, bands: Bands, common: np.ndarray, wanted: np.ndarray, neighbours: np.ndarray) -> DataFrame:
-    """(key, node, size, own, probe, least): subsets that are in `wanted` and neighbours that are searched or looked for.
+    """(key, node, size, own, probe, least, band, left_out): subsets that are in `wanted`, neighbours that are searched or
+    looked for, and all fine subsets of sets that meet by these.
 
     own: filed in the set's own band; probe: the set searches there, and isn't only found there; least: how many keys a
-    similar pair shares in that band at least.
+    similar pair shares in that band at least; left_out: how many of its commonest fine subsets the set leaves out.
     """
+    fine = Bands(bands.percent, fine=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, tokens, sizes in _sliced(batches, shingle):
             node, dealt = _nodes_of(tokens, sizes)[1], Dealt(tokens, sizes, bands)
-            probe, double, less = dealt.allocated(common)
+            probe, double, less, others = dealt.allocated(common)
             exact = np.flatnonzero(has(wanted, dealt.keys))
             mine = double[dealt.place]
             near = np.flatnonzero(mine | has(neighbours, less))
             entry = np.concatenate((dealt.entry[exact], dealt.entry[dealt.place[near]]))
-            keys = np.concatenate((dealt.keys[exact], less[near]))
-            searches = np.concatenate((probe[exact], mine[near]))
-            at = dealt.set[entry]
-            columns = [_long(keys), _long(node[at]), _long(sizes[at]), pa.array(dealt.own[entry]), pa.array(searches), _long(dealt.least[entry])]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "size", "own", "probe", "least"])
+            yield rows(dealt, node, sizes, entry, np.concatenate((dealt.keys[exact], less[near])), np.concatenate((probe[exact], mine[near])))
+            if others.any():
+                finer = Dealt(tokens, sizes, fine, (dealt.set[others], dealt.band[others], dealt.own[others]))
+                yield rows(finer, node, sizes, finer.entry, finer.keys, np.ones(len(finer.keys), bool))
 
-    return texts.mapInArrow(run, "key long, node long, size long, own boolean, probe boolean, least long")
+    def rows(dealt: Dealt, node: np.ndarray, sizes: np.ndarray, entry: np.ndarray, keys: np.ndarray, probe: np.ndarray) -> pa.RecordBatch:
+        at = dealt.set[entry]
+        columns = [_long(keys), _long(node[at]), _long(sizes[at]), pa.array(dealt.own[entry]), pa.array(probe)]
+        columns += [_long(c[entry]) for c in (dealt.least, dealt.band, dealt.left_out)]
+        return pa.RecordBatch.from_arrays(columns, names=["key", "node", "size", "own", "probe", "least", "band", "left_out"])
+
+    return texts.mapInArrow(run, "key long, node long, size long, own boolean, probe boolean, least long, band long, left_out long")
 
 
 def sets_of(texts: DataFrame, shingle: int, nodes: np.ndarray) -> DataFrame:
@@ -327,6 +339,10 @@ def _linked(spark: SparkSession, texts: DataFrame, facts: DataFrame, shingle: in
     groups = written(spark, groups.filter("own and probe and low < high").select("key", "n", "centre"), "jaccard-groups")
     met = written(spark, join_counted(rows, groups, ["key"], "n", "inner"), "jaccard-met")
     removed(spark, rows)
+    # of fine subsets each set leaves out the commonest, in one order of all
+    commonest = Window.partitionBy("node", "band").orderBy(F.desc("n"), "key")
+    fine = met.filter("left_out > 0").withColumn("place", F.row_number().over(commonest)).filter("place > left_out").drop("place")
+    met = written(spark, met.filter("left_out = 0").unionByName(fine).drop("band", "left_out"), "jaccard-met")
     # each set against the centre that most of its groups name
     stars = met.filter("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("count"), F.min("least").alias("least"))
     stars = stars.filter("count >= least").groupBy("node").agg(F.max_by("centre", F.struct("count", "centre")).alias("b"))
