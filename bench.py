@@ -31,7 +31,7 @@ HEADLINE = (
     "bag_similarity",
 )
 #: Timed too, but not part of the total, which stays comparable.
-FURTHER = ("xf_entropy", "xf_sequentiality", "xf_hot_source", "total_sort", "packet_profile", "job_clean", "job_states")
+FURTHER = ("xf_entropy", "xf_sequentiality", "xf_hot_source", "total_sort", "packet_profile", "job_clean", "job_states", "corr_wide", "interval_classes", "schedule_table", "flow_assembly", "capture_by_ranges")
 
 
 def main() -> None:

@@ -129,8 +129,12 @@ def test_tables(spark, tmp_path):
     with pytest.raises(ValueError, match="header"):
         tables.write_csv(df.select("c"), path, append=True)
     tables.write_parquet(df.select(F.col("c")), f"{tmp_path}/p")
-    assert [r.c for batch in tables.parquet_batches(spark, f"{tmp_path}/p", size=2) for r in batch].count("x") == 1
-    assert [len(b) <= 2 for b in tables.parquet_batches(spark, f"{tmp_path}/p", size=2)]
+    assert [c for batch in tables.parquet_batches(spark, f"{tmp_path}/p", ["c"], size=2) for c in batch.column("c").to_pylist()].count("x") == 1
+    spark.range(1001).repartition(5).write.parquet(f"{tmp_path}/many")
+    for size in (1, 7, 400, 5000):
+        batches = list(tables.parquet_batches(spark, f"{tmp_path}/many", size=size))
+        assert [b.num_rows for b in batches[:-1]] == [size] * (1001 // size - (1001 % size == 0)) and sum(b.num_rows for b in batches) == 1001
+        assert sorted(i for b in batches for i in b.column("id").to_pylist()) == list(range(1001))
     tensors = spark.range(2).select("id", F.array(F.lit(1.0)).alias("global"))
     tables.save_arrays(tensors, {"global": ["n"]}, f"{tmp_path}/t")
     back, names = tables.load_arrays(spark, f"{tmp_path}/t")
