@@ -8,11 +8,12 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netquarry.functions.scalars import is_capture
 from netquarry.operators import labels, quality
 from netquarry.plans import config, flow_plan, jobs, ledger
 from netquarry.plans.registry import CHECKED, HOSTS, LABELLED, PACKET_SQL, WINDOWED, capture_files_of, flows, items, register, shown_tensors
 from netquarry.session import fresh_path, table
-from netquarry.sources import pcap, tables
+from netquarry.sources import archive, pcap, tables
 from netquarry.sources.capture_ranges import opened
 
 CLEAN = """
@@ -194,3 +195,18 @@ def archive_days(spark: SparkSession, sf_dir: str) -> DataFrame:
         ledger.archive_job(spark, source, work, out, process, batch_bytes=1 << 20, reserve=0)
     rows = spark.read.parquet(out)
     return rows.groupBy("day", "src_ip", "dst_ip", "protocol").agg(F.count("*").alias("packets"), F.min("at").alias("first"), F.max("ttl").cast("bigint").alias("ttl"))
+
+
+@register(
+    "inventory_days",
+    """WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events)
+    SELECT 'set' || (day(d) % 2) AS day, 'captures.zip!pcap/day-' || CAST(d AS VARCHAR) AS entry, true AS is_capture FROM d
+    UNION ALL SELECT 'set' || k, e, false FROM range(2) AS r(k), (VALUES ('captures.zip'), ('readme.txt')) AS v(e)""",
+)
+def inventory_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archives' entries written by day and read back a day at a time."""
+    path = fresh_path(spark, "inventory")
+    entries = archive.inventory(spark, _day_archives(spark, sf_dir))
+    archive.write_inventory(entries.withColumn("day", F.regexp_extract("archive", r"(set\d)\.zip$", 1)), path)
+    days = [archive.day_rows(spark, path, f"set{k}") for k in range(2)]
+    return days[0].unionByName(days[1]).select("day", "entry", is_capture(F.col("entry")).alias("is_capture"))

@@ -339,6 +339,15 @@ def scaler_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scaling.apply_scaler(g, scaler, ["flow_count", "bytes_mean"]))
 
 
+@register("scaler_round_trip", _SQL["scaler_apply"])
+def scaler_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scaler_apply with a scaler that was written and read back."""
+    g, scaler = _split(spark, sf_dir)
+    path = fresh_path(spark, "scaler")
+    scaling.save_scaler(scaler, path)
+    return rounded(scaling.apply_scaler(g, scaling.load_scaler(spark, path), ["flow_count", "bytes_mean"]))
+
+
 # ---------------------------------------------------------------- trailing features
 
 DAYS = 5
@@ -1370,3 +1379,50 @@ def text_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 from netquarry.plans import job_queries  # noqa: E402, F401  registers the queries of whole jobs
+
+
+@register(
+    "logic_words",
+    """SELECT l_orderkey, l_linenumber, (NOT l_tax > 0.04) AND (NOT (l_discount = 0 OR l_quantity < 10)) AS kept, l_linenumber = 1 OR NOT l_tax > 0.04 AS either FROM lineitem""",
+)
+def logic_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "lineitem")
+    make = lambda text: compile_expr(text, dict(df.dtypes))
+    return df.select(
+        "l_orderkey", "l_linenumber", make("NOT l_tax > 0.04 AND TRUE AND NOT ( l_discount == 0 OR l_quantity < 10 )").alias("kept"), make("l_linenumber == 1 or FALSE or not l_tax > 0.04").alias("either")
+    )
+
+
+@register("finite_rows", "SELECT event_id, value FROM events WHERE event_id % 5 > 0 AND event_id % 7 > 0 AND value IS NOT NULL")
+def finite_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = F.when(F.col("event_id") % 5 == 0, F.lit(float("inf"))).when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
+    return profile.finite_rows(table(spark, sf_dir, "events").select("event_id", odd.alias("value")), ["value"])
+
+
+@register("report_round_trip", _SQL["quality_metrics"])
+def report_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cycle's counts as they were written and read back."""
+    path = fresh_path(spark, "report")
+    tables.write_report(quality_metrics(spark, sf_dir), path, 3)
+    found = spark.read.option("header", True).csv(f"{path}/cycle=3")
+    return found.select(*[F.col(c).cast("bigint").alias(c) if c == "count" else F.col(c) for c in found.columns])
+
+
+@register("file_days", "SELECT CAST(ts AS DATE) AS file_day, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
+def file_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of daily files with the day that each file's name tells."""
+    folder = fresh_path(spark, "days")
+    system, inner = opened(folder)
+    system.create_dir(inner)
+    events = table(spark, sf_dir, "events").select(F.date_format("ts", "dd-MM-yyyy").alias("day"), "event_id", "user_id")
+
+    def write(key, rows):
+        import pyarrow.parquet as pq
+
+        system, inner = opened(folder)
+        pq.write_table(rows.select(["event_id", "user_id"]), f"{inner}/flows-{key[0].as_py()}.parquet", filesystem=system)
+        return rows.slice(0, 0).select(["day"])
+
+    events.groupBy("day").applyInArrow(write, "day string").count()  # a day of these tables is small
+    rows = tables.chronological(spark.read.parquet(folder))
+    return rows.groupBy("file_day").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
