@@ -25,7 +25,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netquarry.llm.shared import components, free_name, join_counted, join_salted, likely_in, text_of, with_likely, written
@@ -198,11 +198,8 @@ class Forest:
         linked = np.flatnonzero(label != np.arange(len(label)))
         return linked, label[linked]
 
-    def closest(self, radius: int, forests: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Links of at most `radius` bits that span the groups with the least distances, and the number of each one's forest.
-
-        Forest 0 is a minimum spanning one, forest 1 that of the links which are left, and so on.
-        """
+    def closest(self, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """Links of at most `radius` bits that span the groups with the least distances (a minimum spanning forest)."""
         none = np.zeros(0, dtype=np.int64)
         a, b, held_a, held_b, held = none, none, [], [], 0
         for x, y in self.pairs(radius):
@@ -211,24 +208,36 @@ class Forest:
             held_b.append(y[once])
             held += int(once.sum())
             if held > FRONTIER:  # the forest of all pairs is that of the forest so far and the pairs since
-                a, b, _ = self._disjoint(np.concatenate([a, *held_a]), np.concatenate([b, *held_b]), forests)
+                a, b = self._spanning(np.concatenate([a, *held_a]), np.concatenate([b, *held_b]))
                 held_a, held_b, held = [], [], 0
-        return self._disjoint(np.concatenate([a, *held_a]), np.concatenate([b, *held_b]), forests)
+        return self._spanning(np.concatenate([a, *held_a]), np.concatenate([b, *held_b]))
 
-    def _disjoint(self, a: np.ndarray, b: np.ndarray, forests: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def nearest(self, radius: int, each: int, allowed: callable) -> tuple[np.ndarray, np.ndarray]:
+        """Allowed pairs of at most `radius` bits, of which each row has `each` of its closest at least, or all it has."""
+        a = b = np.zeros(0, dtype=np.int64)
+        held_a, held_b, held = [], [], 0
+        for x, y in self.pairs(radius):
+            once = x < y
+            once[once] = allowed(x[once], y[once])
+            held_a.append(x[once])
+            held_b.append(y[once])
+            held += int(once.sum())
+            if held > FRONTIER:
+                a, b = self._nearest(np.concatenate([a, *held_a]), np.concatenate([b, *held_b]), each)
+                held_a, held_b, held = [], [], 0
+        return self._nearest(np.concatenate([a, *held_a]), np.concatenate([b, *held_b]), each)
+
+    def _nearest(self, a: np.ndarray, b: np.ndarray, each: int) -> tuple[np.ndarray, np.ndarray]:
+        ends, away = np.concatenate((a, b)), np.tile(distance(self.words[a], self.words[b]), 2)
+        order = np.lexsort((away, ends))
+        of = ends[order]
+        rank = np.arange(len(of)) - np.searchsorted(of, of)
+        keep = np.unique(order[rank < each] % max(1, len(a)))
+        return a[keep], b[keep]
+
+    def _spanning(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(distance(self.words[a], self.words[b]), kind="stable")
         a, b = a[order], b[order]
-        left, picked, number = np.arange(len(a)), [], []
-        for k in range(forests):
-            mine = left[self._spanning(a[left], b[left])]
-            picked.append(mine)
-            number.append(np.full(len(mine), k))
-            left = np.setdiff1d(left, mine, assume_unique=True)
-        found = np.concatenate(picked)
-        return a[found], b[found], np.concatenate(number)
-
-    def _spanning(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The places of links, given by distance, that make a minimum spanning forest."""
         label, alive, chosen = np.arange(len(self.words)), np.arange(len(a)), []
         while True:  # every group takes its first link to another one
             x, y = label[a[alive]], label[b[alive]]
@@ -241,7 +250,8 @@ class Forest:
             np.minimum.at(first, y, alive)
             chosen.append(np.unique(first[first < len(a)]))
             merge(label, a[chosen[-1]], b[chosen[-1]])
-        return np.concatenate(chosen) if chosen else np.zeros(0, dtype=np.int64)
+        picked = np.concatenate(chosen) if chosen else np.zeros(0, dtype=np.int64)
+        return a[picked], b[picked]
 
 
 def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -255,19 +265,31 @@ def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = nearer
 
 
-def shard_links(radius: int, forests: int) -> callable:
-    """Over rows (shard, fp, node) sorted by shard: links (a, b, forest) of nodes that span the groups of each shard.
+def shard_links(radius: int, closest: bool, least: float | None = None, each: int = 0) -> callable:
+    """Over rows (shard, fp, node) sorted by shard: links (a, b) of nodes that span the groups of each shard, the closest if asked.
 
-    forests: so many, each of the closest links that the ones before leave; 0: any links that span.
+    least: a node is followed by its set's size and sketch and a number of its group. Then pairs come of which the groups
+    differ and sizes and sketches allow the similarity, of each node at least the `each` closest.
     """
 
     def tree_links(shards: list, fps: list, nodes: list) -> pa.RecordBatch:
         words = np.frombuffer(b"".join(fps), dtype=">u8").astype(np.uint64).reshape(len(fps), -1)
         keys = np.array(shards, dtype=np.int64)
         forest = Forest(words, np.concatenate(([0], np.cumsum(keys[1:] != keys[:-1]))))
-        a, b, number = forest.closest(radius, forests) if forests else (*forest.groups(radius), None)
-        ends = [pa.array([nodes[i] for i in end], pa.binary()) for end in (a, b)]
-        return pa.RecordBatch.from_arrays([*ends, pa.array(np.zeros(len(a)) if number is None else number, pa.int32())], names=["a", "b", "forest"])
+        if least is None:
+            ends = forest.closest(radius) if closest else forest.groups(radius)
+        else:
+            facts = np.frombuffer(b"".join(n[16:] for n in nodes), dtype="<i8").reshape(len(nodes), 6)
+            nodes = [n[:16] for n in nodes]
+            group, size, sketch = facts[:, 5], facts[:, 0], np.ascontiguousarray(facts[:, 1:5]).view(np.uint64)
+
+            def allowed(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                x, y = size[i], size[j]
+                near = (group[i] != group[j]) & (np.minimum(x, y) >= np.maximum(x, y) * (least - 1e-9))
+                return near & (distance(sketch[i], sketch[j]) * (1 + least) <= (x + y) * (1 - least + 1e-9))
+
+            ends = forest.nearest(radius, each, allowed)
+        return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in end], pa.binary()) for end in ends], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[], [], []]
@@ -315,9 +337,9 @@ def _deal(bands: list[list[int]], within: list[list[list[int]]] | None = None) -
 
 
 def links(
-    spark: SparkSession, nodes: DataFrame, bands: list[list[int]], radius: int, most: int = MOST, *, forests: int = 0, exact: bool = True
+    spark: SparkSession, nodes: DataFrame, bands: list[list[int]], radius: int, most: int = MOST, *, closest: bool = False, exact: bool = True, least: float | None = None, each: int = 0
 ) -> DataFrame:
-    """Links (a, b, forest) between nodes (node, fp), that span the groups of each shard; see shard_links.
+    """Links (a, b) between nodes (node, fp), that span the groups of each shard; see shard_links.
 
     exact: the bands lose no link of the radius, and neither may those of very large shards, which are dealt anew.
     """
@@ -341,7 +363,7 @@ def links(
     shard = F.xxhash64("band", "key", F.least("own", "other"), F.greatest("own", "other"))
     # two shards whose numbers collide share a tree: more is compared, and a link is a link by its distance alone
     sharded = cut.select(shard.alias("shard"), "fp", "node").repartition("shard").sortWithinPartitions("shard", "node")
-    return sharded.mapInArrow(shard_links(radius, forests), "a binary, b binary, forest int")
+    return sharded.mapInArrow(shard_links(radius, closest, least, each), "a binary, b binary")
 
 
 def simhash_groups(
@@ -405,6 +427,11 @@ def shingle_sets(slim: DataFrame, shingle: int, lanes: int) -> DataFrame:
     return slim.select("text", *rest).mapInArrow(run, fields)
 
 
+def _little_endian(number: Column) -> Column:
+    """The eight bytes of a long, the lowest first."""
+    return F.concat(*[F.unhex(F.lpad(F.hex(F.shiftrightunsigned(number, 8 * i).bitwiseAND(F.lit(255))), 2, "0")) for i in range(8)])
+
+
 def may_be_similar(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) of nodes (node, size, sketch) that sizes and sketches don't rule out: sketches differ in no more than the sets do."""
     end = lambda c: nodes.select(F.col("node").alias(c), F.struct("size", "sketch").alias(f"_{c}"))
@@ -452,7 +479,7 @@ def first_of_each(
     shingle: int = 5,
     lanes: int = 5,
     width: int | None = None,
-    forests: int = 8,
+    each: int = 16,
     missed: float = 0.005,
     deviations: float = 2.33,
     most: int = 2048,
@@ -472,10 +499,10 @@ def first_of_each(
     less. width, the bits of a band, sets the shards' size; without it 2^width is the number of sets over 1000, 2^14 at
     least, and the number of bands follows so that no more is missed.
 
-    A shard yields candidates that span its groups, the closest first, and those of so many further forests of what is
-    left. The first are tested; of the further ones those whose ends still lie apart and whose sizes and sketches allow
-    the similarity. So a link that isn't among the closest of a dense family is found by another forest, and a family
-    of copies costs no more than its number times the forests.
+    A shard yields candidates that span its groups, the closest first. Of a dense family most of these may be no links. So
+    the sets that have a candidate are dealt once more, with their sizes, a sketch of 256 bits that differs in no more than
+    they do, and their groups so far. There only pairs of different groups that sizes and sketches allow to be similar are
+    candidates, and each set has the `each` closest of every shard. A family of copies costs no more than its number.
 
     Texts without words are copies of each other. Rows with the same id and other texts are told apart by a hash of
     the text; of fully repeated rows one stays. Columns keep their names and order; an empty table gives an empty one.
@@ -492,16 +519,18 @@ def first_of_each(
     nodes = counted.groupBy("node", "fp", "size", "sketch").agg(F.min_by(F.struct("id", "mark", "n"), order).alias("first"))
     nodes = written(spark, nodes, "simhash-nodes")
     bands = drawn_bands(bits, width or max(14, (nodes.count() // 1000).bit_length()), differing, missed)
-    found = links(spark, nodes.select("node", "fp"), bands, radius, most, forests=forests, exact=False)
-    found = found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("forest").alias("forest"))
-    found = written(spark, found, "simhash-found")
+    ordered = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    found = links(spark, nodes.select("node", "fp"), bands, radius, most, closest=True, exact=False)
+    found = written(spark, found.select(*ordered).distinct(), "simhash-found")
     facts = nodes.select("node", "size", "sketch")
-    pairs = written(spark, may_be_similar(found.filter("forest = 0").select("a", "b"), facts, similarity), "simhash-pairs")
+    pairs = written(spark, may_be_similar(found, facts, similarity), "simhash-pairs")
     sure = written(spark, similar(spark, pairs, marked, similarity), "simhash-links")
     roots = written(spark, components(spark, sure), "simhash-roots")
-    side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    apart = found.filter("forest > 0").select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left")
-    apart = apart.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+    ends = written(spark, found.select(F.col("a").alias("node")).union(found.select("b")).distinct(), "simhash-ends")
+    apart = nodes.join(ends, "node", "left_semi").join(roots, "node", "left").withColumn("group", F.xxhash64(F.coalesce("root", "node")))
+    told = [F.col("size"), *(F.col("sketch")[i] for i in range(4)), F.col("group")]
+    apart = written(spark, apart.select("fp", F.concat("node", *[_little_endian(x) for x in told]).alias("node")), "simhash-apart")
+    apart = links(spark, apart, bands, radius, most, exact=False, least=similarity, each=each).select(*ordered).distinct()
     pairs = written(spark, may_be_similar(apart, facts, similarity), "simhash-pairs")
     if not pairs.isEmpty():
         more = written(spark, similar(spark, pairs, marked, similarity), "simhash-links")

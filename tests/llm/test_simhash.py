@@ -110,9 +110,7 @@ def test_closest_links_are_a_minimum_spanning_forest(monkeypatch):
         seeds = rng.integers(0, 2**64, 6, dtype=np.uint64)
         words = np.unique(np.concatenate([s ^ (np.uint64(1) << rng.integers(0, 64, 12, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 12, dtype=np.uint64)) for s in seeds]))
         group = np.sort(rng.integers(0, 2, len(words)))
-        a, b, number = sim.Forest(words.reshape(-1, 1), group).closest(6, 3)
-        assert len({*zip(np.minimum(a, b), np.maximum(a, b))}) == len(a) and set(number) == {0, 1, 2}
-        a, b = a[number == 0], b[number == 0]
+        a, b = sim.Forest(words.reshape(-1, 1), group).closest(6)
         bits = lambda i, j: bin(int(words[i] ^ words[j])).count("1")  # noqa: B023, E731
         root = list(range(len(words)))
         find = lambda x: x if root[x] == x else find(root[x])  # noqa: B023, E731
@@ -125,6 +123,20 @@ def test_closest_links_are_a_minimum_spanning_forest(monkeypatch):
         assert len(a) == len(words) - sum(find(i) == i for i in range(len(words)))
 
 
+def test_each_row_has_its_nearest_allowed_ones(monkeypatch):
+    rng = np.random.default_rng(6)
+    words = np.unique(rng.integers(0, 2**9, 150, dtype=np.uint64))
+    colour = rng.integers(0, 3, len(words))
+    for frontier in (500_000, 60):
+        monkeypatch.setattr(sim, "FRONTIER", frontier)
+        a, b = sim.Forest(words.reshape(-1, 1), np.zeros(len(words), int)).nearest(3, 2, lambda i, j: colour[i] != colour[j])
+        got = {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist(), strict=True)}
+        for i in range(len(words)):
+            near = sorted(bin(int(words[i] ^ words[j])).count("1") for j in range(len(words)) if colour[i] != colour[j])
+            mine = sorted(bin(int(words[x] ^ words[y])).count("1") for x, y in got if i in (x, y))
+            assert mine[:2] == [d for d in near if d <= 3][:2]
+
+
 def test_one_of_each_group_stays(spark, make_docs, odd_texts):
     rng = random.Random(9)
     base = [prose(rng, 300) for _ in range(12)]
