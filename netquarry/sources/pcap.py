@@ -177,25 +177,29 @@ def split_capture_file(path: str, folder: str, most: int) -> list[str]:
 def _files_to_packets(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in files:
         for path, content in zip(frame["path"], frame["content"], strict=True):
-            held = []
+            held, before = [], 0
             for packet in packets_of(bytes(content)):
                 held.append(packet)
                 if len(held) == BATCH:
-                    yield _frame(held, path)
-                    held = []
+                    yield _frame(held, path, before)
+                    held, before = [], before + BATCH
             if held:
-                yield _frame(held, path)
+                yield _frame(held, path, before)
 
 
-def _frame(packets: list[tuple[int, int, int, bytes]], path: str) -> pd.DataFrame:
+def _frame(packets: list[tuple[int, int, int, bytes]], path: str, before: int) -> pd.DataFrame:
     out = pd.DataFrame(packets, columns=["timestamp", "captured_length", "original_length", "data"])
     out["timestamp"] = pd.to_datetime(out["timestamp"], unit="us", utc=True)
-    return out.assign(capture=path)
+    return out.assign(capture=path, place=range(before, before + len(out)))
 
 
-def packets_in(files: DataFrame) -> DataFrame:
-    """Packets (timestamp, captured_length, original_length, data, capture) of files (path, content); a task per file."""
-    return files.select("path", "content").mapInPandas(_files_to_packets, f"{PACKET}, capture string")
+def packets_in(files: DataFrame, place: str | None = None) -> DataFrame:
+    """Packets (timestamp, captured_length, original_length, data, capture) of files (path, content); a task per file.
+
+    place: name of a further column, the packet's place in its file from 0.
+    """
+    found = files.select("path", "content").mapInPandas(_files_to_packets, f"{PACKET}, capture string, place long")
+    return found.withColumnRenamed("place", place) if place else found.drop("place")
 
 
 def read_pcap(spark: SparkSession, path: str, range_bytes: int = 128 << 20) -> DataFrame:
