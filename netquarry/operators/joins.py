@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netquarry.operators._columns import col
+from netquarry.operators.labels import placed
 from netquarry.session import settled
 
 NAN = float("nan")
@@ -63,6 +64,38 @@ def interval_join(
     return left.join(right, [*keys, "_class", "_bucket"]).filter(inside).select(*[col(c) for c in intervals.columns], *[col(c) for c in points.columns if c not in keys])
 
 
+def interval_extremes(intervals: DataFrame, points: DataFrame, keys: Sequence[str], start: str, end: str, at: str, value: str) -> DataFrame:
+    """intervals with points, first and last: how many points of interval_join each has, their least and greatest value.
+
+    No pair is made. Ends and points are put in one order, in which an interval is a run of places. Points are summed up by
+    runs of 1, 2, 4 ... places, twice as many runs as places, and an interval is put together of two of each length at
+    most. So the work grows with the rows, by the number of bits of their count, however long or frequent intervals are.
+    """
+    told = settled(intervals.withColumn("_interval", F.monotonically_increasing_id()), "intervals")
+    able = told.filter(F.col(start) <= F.col(end))
+    mark = lambda df, t, side, interval, v: df.select(*[col(k) for k in keys], F.col(t).alias("_t"), F.lit(side).alias("_side"), interval.alias("_interval"), v.alias("_value"))
+    none, nothing = F.lit(None).cast("long"), F.lit(None).cast(points.schema[value].dataType)
+    marks = mark(able, start, 0, F.col("_interval"), nothing).unionAll(mark(points, at, 1, none, F.col(value))).unionAll(mark(able, end, 2, F.col("_interval"), nothing))
+    for c in (*keys, "_t"):
+        marks = marks.filter(col(c).isNotNull())
+    order = placed(marks.orderBy(*[col(k) for k in keys], "_t", "_side", "_value", "_interval").select("_side", "_interval", "_value"), "_place")
+    bits = max(1, order.count().bit_length())
+    run = F.call_function("shiftright", F.col("_place"), F.col("_level")).alias("_run")
+    runs = order.filter("_side = 1").select("_place", "_value", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("_level"))
+    runs = runs.groupBy("_level", run).agg(F.count("*").alias("_n"), F.min("_value").alias("_least"), F.max("_value").alias("_most"))
+    ends = order.filter("_side <> 1").groupBy("_interval").agg(F.min("_place").alias("_low"), (F.max("_place") + 1).alias("_high"))
+    parts = ends.select("*", F.explode(F.sequence(F.lit(0), F.length(F.bin(F.col("_high") - F.col("_low"))))).alias("_level"))
+    parts = parts.withColumns(
+        # the first run of this length that begins within the interval, and the first that doesn't end there
+        {"_from": F.expr("shiftright(_low + shiftleft(1L, _level) - 1, _level)"), "_to": F.expr("shiftright(_high, _level)")}
+    )
+    own = F.array(F.when(F.col("_from") % 2 == 1, F.col("_from")), F.when(F.col("_to") % 2 == 1, F.col("_to") - 1))
+    parts = parts.filter("_from < _to").select("_interval", "_level", F.explode(own).alias("_run")).filter("_run is not null")
+    found = parts.join(runs, ["_level", "_run"]).groupBy("_interval")
+    found = found.agg(F.sum("_n").alias("points"), F.min("_least").alias("first"), F.max("_most").alias("last"))
+    return told.join(found, "_interval", "left").drop("_interval").fillna(0, ["points"])
+
+
 def flow_windows(flows: DataFrame, fields: dict[str, str], protocols: dict[int, str]) -> DataFrame:
     """Flows ready to be joined: ends, label of the protocol, start and end in microseconds; unreadable rows go.
 

@@ -245,9 +245,13 @@ def placed_flows(flows: DataFrame, columns: FlowColumns = FlowColumns(), ordinal
     The range-sorted rows are written once, with their partition and their place in it; only the row counts of the
     partitions are summed up. A task that runs again can't change a place, as it could in a plan that sorts twice.
     """
-    ordered = sorted_flows(flows, columns, ordinal)
+    return placed(sorted_flows(flows, columns, ordinal), name)
+
+
+def placed(ordered: DataFrame, name: str) -> DataFrame:
+    """Rows in a total order with their place in it from 1; written once, so places stay."""
     within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    kept = settled(ordered.withColumns({"_part": F.spark_partition_id(), "_at": within}), "sorted-flows")
+    kept = settled(ordered.withColumns({"_part": F.spark_partition_id(), "_at": within}), "sorted-rows")
     before, starts = 0, []
     for part, n in sorted((r["_part"], r["count"]) for r in kept.groupBy("_part").count().collect()):  # a row per partition
         starts.append((part, before))

@@ -56,6 +56,21 @@ def test_interval_join_buckets_agree(spark):
     assert joins.interval_join(a, b.limit(0), ["k"], "s", "e", "t", how="left").count() == 200
 
 
+def test_extremes_of_intervals_without_pairs(spark):
+    rng = random.Random(3)
+    few = [(rng.choice([1, 2, None]), s, s + rng.choice([-3, 0, 1, 7, 60, 10**15]), i) for i, s in enumerate(rng.choices(range(50), k=80))]
+    many = [(rng.choice([1, 2, None]), rng.choice([*range(60), None]), i) for i in range(150)]
+    a, b = spark.createDataFrame(few, "k long, s long, e long, i long"), spark.createDataFrame(many, "k long, t long, j long")
+    got = {r.i: (r.points, r["first"], r["last"]) for r in joins.interval_extremes(a, b, ["k"], "s", "e", "t", "j").collect()}
+    for k, s, e, i in few:
+        inside = [j for q, t, j in many if k is not None and q == k and t is not None and s <= t <= e]
+        assert got.pop(i) == (len(inside), min(inside, default=None), max(inside, default=None))
+    assert not got
+    # 30,000 intervals of 30,000 points each: 900 million pairs
+    wide = joins.interval_extremes(spark.range(30_000).selectExpr("0 k", "id - 30000 s", "id + 30000 e"), spark.range(30_000).selectExpr("0 k", "id t"), ["k"], "s", "e", "t", "t")
+    assert wide.agg(F.sum("points"), F.sum("first"), F.sum("last")).first()[:] == (30_000 * 30_000, 0, 30_000 * 29_999)
+
+
 def test_merge_levels(spark):
     flow = spark.createDataFrame([("x", 1, "f1"), ("x", 2, "f2"), ("y", 3, "f3")], "k string, n int, f string")
     cross = spark.createDataFrame([("x", 5, "c1"), ("x", 6, "c2"), ("y", 7, "c3")], "k string, n int, c string")
