@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netquarry.functions.scalars import parsed_timestamp
@@ -146,8 +146,6 @@ RULES = (
     "ordinal long, label string, start timestamp, finish timestamp, src_ips array<string>, dst_ips array<string>, dst_ports array<int>, "
     "protocol int, payload_filter boolean, conditions array<int>"
 )
-#: Rules that are broadcast at most.
-BROADCAST_RULES = 200_000
 
 
 def rule_table(spark: SparkSession, rules: Sequence[AttackRule]) -> tuple[DataFrame, list[Mapping]]:
@@ -177,50 +175,85 @@ def label_by_table(
 ) -> DataFrame:
     """label_flows by a table of rules (RULES), of which there may be very many: the last one that matches, by ordinal, wins.
 
-    A rule is filed by the length of its time under one or two buckets of the least power of two above it, and a flow
-    looks into one bucket of each length that occurs. So a flow is tested against the rules near its time only, the plan
-    grows with the lengths' number of bits and not with the rules, and flows aren't shuffled while the rules are few
-    enough to be broadcast. A null set, protocol or list of conditions asks for nothing, a rule without an end or label
-    matches nothing.
+    No flow is tested against a rule. The rules' starts and ends cut time into pieces, which are numbered in order; a rule
+    is a run of pieces and is filed under runs of 1, 2, 4 ... pieces, two of each length at most, with the members of its
+    sets, a place for each. A place keeps its last rule, and a flow looks into one place of each length for each kind of
+    rule: rules are of one kind if they ask for the same columns and conditions. So the work grows with flows and with
+    rules, by the number of bits of the pieces' count and by the kinds. A null set, protocol or list of conditions asks for
+    nothing, a rule without an end or label matches nothing.
     """
     kept = flows.filter(col(columns.protocol).cast("string").isin(list(protocols)))
     kind = dict(flows.dtypes)[columns.timestamp]
     time = parsed_timestamp(col(columns.timestamp)) if kind == "string" else col(columns.timestamp)
-    low, high = F.unix_micros("start"), F.unix_micros("finish")
-    able = rules.filter("start <= finish and label is not null").withColumns({"low": low, "high": high})
-    able = able.withColumn("bits", F.length(F.bin(F.col("high") - F.col("low"))))
-    found, there = able.agg(F.count("*"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bits")))).first()
-    at = lambda c: F.call_function("shiftright", F.col(c), F.col("bits"))
-    filed = able.withColumn("bucket", F.explode(F.array_distinct(F.array(at("low"), at("high")))))
-    entry = F.struct("ordinal", "label", "low", "high", "src_ips", "dst_ips", "dst_ports", "protocol", "payload_filter", "conditions")
-    micros, holds = "_x_micros", "_x_holds"
-    out = kept.withColumns({micros: F.unix_micros(time.cast("timestamp")), holds: F.array(*[condition(t) for t in trees]) if trees else F.array().cast("array<boolean>")})
-    port, protocol, payload = col(columns.dst_port).try_cast("int"), col(columns.protocol).try_cast("int"), col(columns.payload).try_cast("double")
-    member = lambda members, value: members.isNull() | F.exists(members, lambda m: m == value)
-    hits = []
-    for k in [k for k in range(64) if (there or 0) >> k & 1]:
-        near = filed.filter(F.col("bits") == k).groupBy(F.col("bucket").alias(f"_x_bucket{k}")).agg(F.collect_list(entry).alias(f"_x_rules{k}"))
-        near = F.broadcast(near) if found <= BROADCAST_RULES else near
-        out = out.withColumn(f"_x_bucket{k}", F.shiftright(micros, k)).join(near, f"_x_bucket{k}", "left")
-
-        def matches(r: Column) -> Column:
-            ports = r["dst_ports"]
-            asked = (
-                F.col(micros).between(r["low"], r["high"])
-                & member(r["src_ips"], col(columns.src_ip).cast("string"))
-                & member(r["dst_ips"], col(columns.dst_ip).cast("string"))
-                & (ports.isNull() | F.exists(ports, lambda p: p == port))
-                & (r["protocol"].isNull() | (r["protocol"] == protocol))
-                & (~F.coalesce(r["payload_filter"], F.lit(False)) | (payload == 0))
-            )
-            return F.coalesce(asked & F.coalesce(F.forall(r["conditions"], lambda i: F.get(F.col(holds), i)), F.lit(True)), F.lit(False))
-
-        last = F.array_max(F.transform(F.filter(f"_x_rules{k}", matches), lambda r: F.struct(r["ordinal"], r["label"])))
-        hits.append(last)
-    best = F.greatest(*hits)["label"] if len(hits) > 1 else hits[0]["label"] if hits else F.lit(None).cast("string")
-    made = F.coalesce(best, F.lit(default))
+    ident, best = "_x_id", "_x_best"
+    told = settled(kept.withColumns({ident: F.monotonically_increasing_id(), "_x_at": F.unix_micros(time.cast("timestamp"))}), "flows")
+    able = rules.filter("start <= finish and label is not null")
+    named = F.filter(F.coalesce("conditions", F.array().cast("array<int>")), lambda i: (i >= 0) & (i < len(trees)))
+    dims = {"src": "src_ips", "dst": "dst_ips", "port": "dst_ports", "number": "protocol"}
+    asks = {f"_ask_{d}": F.col(c).isNotNull() for d, c in dims.items()} | {"_ask_payload": F.coalesce("payload_filter", F.lit(False)), "_ask_trees": F.array_sort(F.array_distinct(named))}
+    able = able.withColumns(asks | {"_low": F.unix_micros("start"), "_over": F.unix_micros("finish") + 1})
+    # of rules with equal times and demands only the last can win
+    demands = [*asks, *dims.values()]
+    able = able.groupBy("_low", "_over", *demands).agg(F.max(F.struct("ordinal", "label")).alias(best))
+    able = settled(able, "rules")
+    kinds = [tuple(r) for r in able.select(*asks).distinct().collect()]  # 32 at most for each set of conditions that rules have
+
+    flow = {
+        "src": col(columns.src_ip).cast("string"),
+        "dst": col(columns.dst_ip).cast("string"),
+        "port": col(columns.dst_port).try_cast("int"),
+        "number": col(columns.protocol).try_cast("int"),
+    }
+    blank = {d: F.lit("" if d in ("src", "dst") else 0) for d in dims}
+    payload = col(columns.payload).try_cast("double")
+
+    def place(i: int, asked: tuple) -> Column:
+        """Where a flow looks for rules of a kind, null if it can't match any."""
+        chosen = {d: flow[d] if asked[k] else blank[d] for k, d in enumerate(dims)}
+        fits = F.lit(True)
+        for value in chosen.values():
+            fits = fits & value.isNotNull()
+        fits = fits & (payload == 0) if asked[4] else fits
+        for tree in asked[5]:
+            fits = fits & condition(trees[tree])
+        return F.when(fits, F.struct(F.lit(i).alias("kind"), *[v.alias(d) for d, v in chosen.items()]))
+
+    places = F.array(*[place(i, asked) for i, asked in enumerate(kinds)]) if kinds else F.lit(None).cast("array<struct<kind:int,src:string,dst:string,port:int,number:int>>")
+    edges = able.select(F.col("_low").alias("_x_at")).union(able.select("_over")).distinct()
+    marks = edges.select("_x_at", F.lit(1).alias("_edge"), F.lit(None).cast("long").alias(ident), F.lit(None).cast("array<struct<kind:int,src:string,dst:string,port:int,number:int>>").alias("_places"))
+    marks = marks.unionAll(told.filter("_x_at is not null").select("_x_at", F.lit(0), ident, F.filter(places, lambda p: p.isNotNull())))
+    pieces = placed(marks.orderBy("_x_at", F.desc("_edge"), ident), "_piece", "_edge")
+    number = pieces.filter("_edge = 1").select("_x_at", "_piece")
+    bits = max(1, number.count().bit_length())
+
+    code = F.lit(None).cast("int")
+    for i, asked in enumerate(kinds):
+        same = F.col("_ask_trees") == F.array(*[F.lit(t) for t in asked[5]]).cast("array<int>")
+        for value, name in zip(asked[:5], list(asks)[:5], strict=True):
+            same = same & (F.col(name) == value)
+        code = F.when(same, i).otherwise(code)
+    filed = able.withColumn("kind", code)
+    for name, edge in (("_from", "_low"), ("_to", "_over")):
+        filed = filed.join(number.select(F.col("_x_at").alias(edge), F.col("_piece").alias(name)), edge)
+    for d, c in list(dims.items())[:3]:
+        filed = filed.withColumn(d, F.explode(F.when(F.col(c).isNull(), F.array(blank[d])).otherwise(F.col(c)))).filter(F.col(d).isNotNull())
+    key = ["kind", *dims]
+    filed = filed.withColumn("number", F.coalesce("protocol", blank["number"])).groupBy(*key, "_from", "_to").agg(F.max(best).alias(best))
+    runs = filed.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(bits))))
+    runs = runs.withColumns({"_from": F.expr("shiftright(_from + shiftleft(1L, _level) - 1, _level)"), "_to": F.expr("shiftright(_to, _level)")}).filter("_from < _to")
+    own = F.array(F.when(F.col("_from") % 2 == 1, F.col("_from")), F.when(F.col("_to") % 2 == 1, F.col("_to") - 1))
+    runs = runs.select(*key, "_level", best, F.explode(own).alias("_run")).filter("_run is not null")
+    runs = settled(runs.groupBy(*key, "_level", "_run").agg(F.max(best).alias(best)), "rule-runs")
+
+    looks = pieces.filter("_edge = 0").select(ident, "_piece", F.explode("_places").alias("_place")).select(ident, "_piece", "_place.*")
+    looks = settled(looks.join(runs.select(*key).distinct(), key, "left_semi"), "flow-places")
+    once = looks.select(*key, "_piece").distinct().withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(bits))))
+    once = once.withColumn("_run", F.expr("shiftright(_piece, _level)")).join(runs, [*key, "_level", "_run"])
+    once = once.groupBy(*key, "_piece").agg(F.max(best).alias(best))
+    hits = looks.join(once, [*key, "_piece"]).groupBy(ident).agg(F.max(best).alias(best))
+    made = F.coalesce(F.col(f"{best}.label"), F.lit(default))
     made = F.when(col(columns.flow_id).isin(list(artifacts)), F.lit(default)).otherwise(made) if artifacts else made
-    return out.withColumn(label, made).select(*[col(c) for c in flows.columns if c != label], label)
+    return told.join(hits, ident, "left").withColumn(label, made).select(*[col(c) for c in flows.columns if c != label], label)
 
 
 def dropped_count(flows: DataFrame, columns: FlowColumns = FlowColumns(), protocols: Sequence[str] = ("6", "17")) -> DataFrame:
@@ -248,16 +281,21 @@ def placed_flows(flows: DataFrame, columns: FlowColumns = FlowColumns(), ordinal
     return placed(sorted_flows(flows, columns, ordinal), name)
 
 
-def placed(ordered: DataFrame, name: str) -> DataFrame:
-    """Rows in a total order with their place in it from 1; written once, so places stay."""
+def placed(ordered: DataFrame, name: str, counted: str | None = None) -> DataFrame:
+    """Rows in a total order with their place in it from 1; written once, so places stay.
+
+    counted: a column of 0 and 1; the place is then how many rows with 1 there are up to the row.
+    """
     within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     kept = settled(ordered.withColumns({"_part": F.spark_partition_id(), "_at": within}), "sorted-rows")
     before, starts = 0, []
-    for part, n in sorted((r["_part"], r["count"]) for r in kept.groupBy("_part").count().collect()):  # a row per partition
+    total = F.sum(counted) if counted else F.count("*")
+    for part, n in sorted(map(tuple, kept.groupBy("_part").agg(total).collect())):  # a row per partition
         starts.append((part, before))
         before += n
     found = kept.join(F.broadcast(kept.sparkSession.createDataFrame(starts, "_part int, _before long")), "_part")
-    return found.withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
+    own = F.sum(counted).over(Window.partitionBy("_part").orderBy("_at")) if counted else F.col("_at") + 1
+    return found.withColumn(name, F.col("_before") + own).drop("_part", "_at", "_before")
 
 
 def renamed(df: DataFrame, sources: Mapping[str, str]) -> DataFrame:

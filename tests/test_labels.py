@@ -84,3 +84,14 @@ def test_a_table_of_rules_labels_like_compiled_rules(spark):
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join")
     many = lb.label_by_table(flows, lb.rule_table(spark, [rule(i) for i in range(5000)])[0], trees, **options)
     assert plan(many) <= plan(made) + 1 and many.count() == len(want)
+
+
+def test_rules_that_all_lie_at_one_time_are_not_tested_one_by_one(spark):
+    # 30,000 flows within 30,000 rules' time: 900 million pairs
+    flows = spark.range(30_000).selectExpr("timestamp_seconds(1500000000 + id) t", "id", "'a' s", "'b' d", "cast(id as int) p", "'6' n", "0 l")
+    rules = spark.range(30_000).selectExpr(
+        "id ordinal", "concat('r', id) label", "timestamp_seconds(1400000000) start", "timestamp_seconds(1600000000 - id) finish", "array('a') src_ips",
+        "cast(null as array<string>) dst_ips", "array(cast(id as int), cast(id + 1 as int)) dst_ports", "6 protocol", "false payload_filter", "cast(null as array<int>) conditions",
+    )
+    found = lb.label_by_table(flows, rules, columns=lb.FlowColumns("t", "id", "s", "d", "p", "n", "l"), default="none")
+    assert found.filter("Label <> concat('r', id)").count() == 0 and found.count() == 30_000
