@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from netquarry.functions.scalars import is_capture
 from netquarry.operators import labels, quality
 from netquarry.plans import config, flow_plan, jobs, ledger
-from netquarry.plans.registry import CHECKED, HOSTS, LABELLED, PACKET_SQL, WINDOWED, capture_files_of, flows, items, register, shown_tensors
-from netquarry.session import fresh_path, table
+from netquarry.plans.registry import CHECKED, HOSTS, LABELLED, PACKET_SQL, WINDOWED, capture_head, capture_records, flows, items, register, shown_tensors
+from netquarry.session import fresh_path, settled, table
 from netquarry.sources import archive, pcap, tables
 from netquarry.sources.capture_ranges import opened
 
@@ -168,18 +168,60 @@ def flow_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _day_archives(spark: SparkSession, sf_dir: str) -> str:
-    """Two zip archives, each with an archive of captures within it: even days stored, odd days deflated. Their folder."""
-    folder = fresh_path(spark, "archives")
-    system, inner = opened(folder)
-    system.create_dir(inner)
-    with contextlib.ExitStack() as stack:
-        kept = []
-        for k, method in enumerate((zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED)):
-            outer = stack.enter_context(zipfile.ZipFile(stack.enter_context(system.open_output_stream(f"{inner}/set{k}.zip")), "w"))
+    """Two zip archives, each with an archive of captures within it: even days stored, odd days deflated. Their folder.
+
+    Tasks write pieces of the days' captures, then a task for each archive puts its pieces together as a stream; nothing of
+    them reaches the driver.
+    """
+    folder, held = fresh_path(spark, "archives"), fresh_path(spark, "archive-pieces")
+    for path in (folder, held):
+        system, inner = opened(path)
+        system.create_dir(inner)
+    records = capture_records(spark, sf_dir, F.dayofmonth(F.to_date("ts")) % 2 == 0)
+    shown = records.select(F.col("day").cast("string").alias("day"), "n", F.unhex(capture_head(F.col("nano"))).alias("head"), F.unhex("record").alias("record"))
+    dealt = shown.repartitionByRange("day", "n").sortWithinPartitions("day", "n").withColumn("part", F.spark_partition_id())
+
+    def pieces(frames):
+        import pandas as pd
+        from netquarry.sources.capture_ranges import opened
+
+        system, inner = opened(held)
+        out, open_day = None, None
+        for frame in frames:
+            for day, rows in frame.groupby("day", sort=True):
+                if day != open_day:
+                    if out is not None:
+                        out.close()
+                    part, open_day = int(rows["part"].iloc[0]), day
+                    out = system.open_output_stream(f"{inner}/_{day}-{part:05}")
+                    yield pd.DataFrame({"day": [day], "part": [part], "head": [rows["head"].iloc[0]]})
+                out.write(b"".join(rows["record"]))
+        if out is not None:
+            out.close()
+
+    def archived(key, found):
+        import pandas as pd
+        from netquarry.sources.capture_ranges import opened
+
+        (target, here), (system, inner) = opened(folder), opened(held)
+        with contextlib.ExitStack() as stack:
+            outer = stack.enter_context(zipfile.ZipFile(stack.enter_context(target.open_output_stream(f"{here}/set{key[0]}.zip")), "w"))
             outer.writestr("readme.txt", "captures")
-            kept.append(stack.enter_context(zipfile.ZipFile(stack.enter_context(outer.open("captures.zip", "w", force_zip64=True)), "w", method)))
-        for row in capture_files_of(spark, sf_dir).toLocalIterator():  # a day of these tables is small
-            kept[int(row["path"][-6:-5]) % 2].writestr(f"pcap/{row['path'].removesuffix('.pcap')}", bytes(row["content"]))
+            method = zipfile.ZIP_DEFLATED if key[0] else zipfile.ZIP_STORED
+            kept = stack.enter_context(zipfile.ZipFile(stack.enter_context(outer.open("captures.zip", "w", force_zip64=True)), "w", method))
+            for day, rows in found.sort_values(["day", "part"]).groupby("day", sort=True):
+                with kept.open(f"pcap/day-{day}", "w", force_zip64=True) as member:
+                    member.write(bytes(rows["head"].iloc[0]))
+                    for part in rows["part"].astype(int):
+                        with system.open_input_stream(f"{inner}/_{day}-{part:05}") as piece:
+                            while data := piece.read(1 << 20):
+                                member.write(data)
+        return pd.DataFrame({"archive": [int(key[0])]})
+
+    listed = settled(dealt.mapInPandas(pieces, "day string, part int, head binary"), "archive-list")  # a row for each day and part
+    both = spark.range(2).select(F.col("id").cast("int").alias("k"), F.lit(None).cast("string").alias("day"), F.lit(None).cast("int").alias("part"), F.lit(None).cast("binary").alias("head"))
+    listed = listed.select((F.substring("day", -1, 1).cast("int") % 2).alias("k"), "day", "part", "head").unionAll(both)  # an archive without days is written too
+    listed.groupBy("k").applyInPandas(archived, "archive int").write.format("noop").mode("overwrite").save()
     return folder
 
 

@@ -143,3 +143,24 @@ def test_gaps_lost_rows_and_full_disks_raise(spark, tmp_path):
         run(spark, tmp_path)
     with pytest.raises(OSError, match="bytes free"):
         ledger.free_space_for(str(tmp_path), 1 << 60)
+
+
+def test_archives_of_days_are_made_in_tasks(spark, monkeypatch):
+    import os
+
+    from pyspark.sql import DataFrame
+
+    from netquarry.plans import job_queries
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("the supplied tables are absent")
+
+    def refused(*_, **__):
+        raise AssertionError("rows go to the driver")
+
+    for name in ("toLocalIterator", "collect", "toPandas"):
+        monkeypatch.setattr(DataFrame, name, refused)
+    folder = job_queries._day_archives(spark, "/root/testdata/sf0.001")
+    monkeypatch.undo()
+    found = archive.inventory(spark, folder)
+    assert found.filter("entry like 'captures.zip!pcap/day-%'").count() == 30 and found.filter("entry like 'captures.zip!%' and uncompressed_size <= 24").count() == 0
