@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netquarry.functions.expr import compile_expr
+from netquarry.functions.expr import compile_expr, parse
 from netquarry.functions.scalars import parsed_timestamp
 from netquarry.operators._columns import col
 
@@ -88,7 +88,8 @@ def behaviour_features(
     out, span = rows, int(window_seconds * 1_000_000)
     for name in dict.fromkeys(f.stream for f in features):
         mine = [f for f in features if f.stream == name]
-        out = _with_stream(out, streams[name], mine, constants, span, micros, ordinal, partition, chunk_windows * span)
+        dealt = _by_instant if {f.statistic for f in mine} <= {"unique_count", "span_rate_unique"} else _with_stream
+        out = dealt(out, streams[name], mine, constants, span, micros, ordinal, partition, chunk_windows * span)
     return out.select(*[F.col(f"`{c}`") for c in rows.columns], *[f.name for f in features])
 
 
@@ -165,6 +166,23 @@ def _with_stream(
     return out.drop(*[c for c in out.columns if c.startswith("_x_")])
 
 
+def _by_instant(rows: DataFrame, stream: Stream, features: Sequence[Feature], constants: dict[str, object], span: int, micros: str, ordinal: str, partition: Sequence[str], chunk: int) -> DataFrame:
+    """_with_stream for distinct values, which how often a value comes in an instant doesn't change.
+
+    All rows of a group and instant have the same history, so histories are made of distinct rows of what the stream reads,
+    and each row gets that of its group and instant.
+    """
+    key = [*partition, *stream.group_by, micros]
+    read = parse(stream.eligible).names() | (parse(stream.value).names() if stream.value else set())
+    slim = rows.select(*dict.fromkeys([*key, *stream.requires, *sorted(read - set(constants))])).distinct().withColumn(ordinal, F.lit(0))
+    found = _with_stream(slim, stream, features, constants, span, micros, ordinal, partition, chunk)
+    found = found.groupBy(*[F.col(k).alias(f"_x_{i}") for i, k in enumerate(key)]).agg(*[F.max(f.name).alias(f.name) for f in features])
+    same = F.lit(True)
+    for i, k in enumerate(key):
+        same = same & F.col(k).eqNullSafe(F.col(f"_x_{i}"))
+    return rows.join(found, same, "left").drop(*[f"_x_{i}" for i in range(len(key))])
+
+
 def feature_value(
     feature: Feature, some: Column, count: Column, kinds: Column, first: Column, last: Column, inner: Column, run: Column, total: Column
 ) -> Column:

@@ -90,3 +90,22 @@ def test_rows_without_a_time_and_no_rows(spark):
 def test_unknown_statistic(spark):
     with pytest.raises(ValueError, match="unknown"):
         w.behaviour_features(spark.createDataFrame([], KIND), features=[w.Feature("x", "ports", "mode", "count")])
+
+
+def test_distinct_values_are_counted_from_few_rows_of_an_instant(spark):
+    # one source, 200,000 rows in 4 instants: no window holds more than its distinct rows
+    rows = spark.range(200_000).selectExpr("'s' src_ip", "'d' dst_ip", "id % 7 + id % 4 * 100 dst_port", "'TCP' protocol", "id % 4 * 1000000 micros", "id ordinal")
+    chosen = [f for f in w.FEATURES if f.statistic in ("unique_count", "span_rate_unique")]
+    found = w.behaviour_features(rows, features=chosen)
+    assert [tuple(r) for r in found.groupBy("micros", *[f.name for f in chosen]).count().orderBy("micros").collect()] == [
+        (0, 0, 0, 50_000), (1_000_000, 7, 7000, 50_000), (2_000_000, 14, 14, 50_000), (3_000_000, 21, 10.5, 50_000)
+    ]
+    held = "\n".join(line for line in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate" in line or "Window" in line)
+    assert held.rindex("Window") < held.rindex("Aggregate")
+    rng = random.Random(9)
+    points = [(rng.choice(["a", "b", None]), rng.choice(["x", None]), rng.choice([None, 1, 2, 3]), rng.choice(["TCP", "UDP", "ICMP"]), rng.randrange(9) * 1_000_000, i) for i in range(300)]
+    points.append(("a", "x", 1, "TCP", None, 300))
+    df = spark.createDataFrame(points, KIND)
+    every = {r.ordinal: r for r in w.behaviour_features(df, window_seconds=3).collect()}
+    for r in w.behaviour_features(df, features=chosen, window_seconds=3).collect():
+        assert all(r[f.name] == every[r.ordinal][f.name] for f in chosen)
