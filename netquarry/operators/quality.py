@@ -192,18 +192,29 @@ def clean_cycles(df: DataFrame, plan: Plan, cycles: int = 2) -> DataFrame:
 
 
 def quality_metrics(df: DataFrame, plan: Plan) -> DataFrame:
-    """Rows (kind, name, count): invalid cells by column and check, violations by rule, rows by class, in one pass."""
-    spoilt, touched, rules = _classes(df, plan)
-    counts: list[tuple[str, str, str]] = []
+    """Rows (kind, name, count): invalid cells by column and check, violations by rule, rows by class, in one pass.
+
+    Each check is made once, as a column; a row's class and all counts are taken from these. With the checks within the
+    counts the code of one row is too long to be compiled.
+    """
+    checks: list[tuple[str, str, str]] = []
     for name, check in plan.schema.items():
         if isinstance(check, Text):
-            counts.append(("text", name, text_sql(name, check)))
+            checks.append(("text", name, text_sql(name, check)))
         else:
-            counts += [(kind, name, flag) for kind, flag in numeric_sql(name, check).items()]
-    counts += [("rule", name, flag) for name, flag in rules.items()]
-    counts += [("row", "dropped", "_spoilt"), ("row", "repairable", "(_touched AND NOT _spoilt)"), ("row", "valid", "NOT (_touched OR _spoilt)")]
-    marked = df.withColumns({"_spoilt": F.expr(spoilt), "_touched": F.expr(touched)})
-    one = marked.agg(*[F.expr(f"count_if({flag})").alias(f"c{i}") for i, (_, _, flag) in enumerate(counts)])
+            checks += [(kind, name, flag) for kind, flag in numeric_sql(name, check).items()]
+    schema_sql(df.columns, plan.schema)  # raises if columns are missing
+    checks += [("rule", name, flag) for name, flag in rule_sql(dict(df.dtypes), plan.rules, plan.chain_scope).items()]
+    mark = {(kind, name): f"_m{i}" for i, (kind, name, flag) in enumerate(checks) if flag != "false"}
+    rules = plan.repairable_rules
+    spoilt = [m for (kind, n), m in mark.items() if (n not in rules if kind == "rule" else n in plan.non_repairable)]
+    touched = [m for (kind, n), m in mark.items() if (n in rules if kind == "rule" else n in plan.formulas)]
+    marked = df.select(*[F.expr(f"int({flag})").alias(mark[kind, name]) for kind, name, flag in checks if flag != "false"])
+    some = lambda marks: " + ".join(marks) or "0"
+    marked = marked.withColumns({"_spoilt": F.expr(f"int({some(spoilt)} > 0)"), "_touched": F.expr(f"int({some(touched)} > 0)")})
+    counts = [(kind, name, mark.get((kind, name), "0")) for kind, name, _ in checks]
+    counts += [("row", "dropped", "_spoilt"), ("row", "repairable", "_touched * (1 - _spoilt)"), ("row", "valid", "(1 - _touched) * (1 - _spoilt)")]
+    one = marked.agg(*[F.expr(f"coalesce(sum({value}), 0L)").alias(f"c{i}") for i, (_, _, value) in enumerate(counts)])
     entries = [F.struct(F.lit(k).alias("kind"), F.lit(n).alias("name"), F.col(f"c{i}").alias("count")) for i, (k, n, _) in enumerate(counts)]
     return one.select(F.explode(F.array(*entries)).alias("m")).select("m.*")
 

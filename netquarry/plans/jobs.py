@@ -33,7 +33,8 @@ def clean_job(
         for cycle in range(cycles):
             if reports:
                 tables.write_report(quality.quality_metrics(rows, plan), reports, cycle)
-            rows = quality.repair(rows, plan)
+            # written, since the checks of one cycle upon the repairs of another are too long to be compiled
+            rows = settled(quality.repair(rows, plan), "repaired")
         tables.write_parquet(quality.typed(rows, plan.schema), target, level=3)
     return spark.read.parquet(target)
 

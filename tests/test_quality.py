@@ -68,3 +68,17 @@ def test_safe_integer_and_types(spark):
         q.typed(df.withColumn("x", F.lit(1.5)), {"x": q.Numeric(integer=True)}).collect()
     with pytest.raises(ValueError, match="missing"):
         q.typed(df, {"y": q.Numeric()})
+
+
+def test_each_check_of_the_metrics_is_made_once(spark):
+    from netquarry.plans import config, job_queries
+
+    plan = config.plan_from(config.parse_config(job_queries.CLEAN))
+    df = spark.range(4).selectExpr(
+        "id l_orderkey", "1L l_linenumber", "cast(id + 1 as double) l_quantity", "5000d l_extendedprice", "0.05d l_discount", "-1d l_tax", "1d rate",
+        "if(id = 3, 'none', '2020-01-01 00:00:00') stamp", "'A' l_returnflag",
+    )
+    made = q.quality_metrics(df, plan)
+    text = made._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("yyyy-MM-dd HH:mm:ss.SSSSSS") == 1
+    assert {(r.kind, r.name): r["count"] for r in made.collect() if r["count"]} == {("text", "stamp"): 1, ("rule", "rate"): 4, ("row", "dropped"): 1, ("row", "repairable"): 3}
