@@ -13,7 +13,7 @@ of chunks. A shard yields links that span its groups, never all pairs.
 
 Near-duplicates by the similarity of shingle sets take longer fingerprints. The radius and the bands find candidates,
 of which each shard yields those that span its groups, the closest first; a link counts if the sets of its two texts
-are as similar as asked.
+are as similar as asked. What a shard doesn't yield is tested in it.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ AGAIN = 16
 PIECE = 100_000
 #: Texts whose hashes a worker holds at once.
 SLICE = 500
+#: Pairs of sets that are tested at once, and bytes of sets in a tree at most.
+TESTED, SET_BYTES = 128, 1 << 25
 
 
 def shingle_hashes(text: str, shingle: int) -> np.ndarray:
@@ -213,8 +215,12 @@ class Forest:
         return self._spanning(np.concatenate([a, *held_a]), np.concatenate([b, *held_b]))
 
     def nearest(self, radius: int, each: int, allowed: callable) -> tuple[np.ndarray, np.ndarray]:
-        """Allowed pairs of at most `radius` bits, of which each row has `each` of its closest at least, or all it has."""
+        """Allowed pairs of at most `radius` bits, of which each row has `each` of its closest at least, or all it has.
+
+        self.lacking: which rows lack some of their allowed pairs. Every pair that is left out has two such ends.
+        """
         a = b = np.zeros(0, dtype=np.int64)
+        self.lacking = np.zeros(len(self.words), dtype=bool)
         held_a, held_b, held = [], [], 0
         for x, y in self.pairs(radius):
             once = x < y
@@ -233,8 +239,29 @@ class Forest:
         of = ends[order]
         rank = np.arange(len(of)) - np.searchsorted(of, of)
         keep = np.unique(order[rank < each] % max(1, len(a)))
+        left_out = np.ones(len(a), dtype=bool)
+        left_out[keep] = False
+        self.lacking[a[left_out]] = self.lacking[b[left_out]] = True
         return a[keep], b[keep]
 
+    def joining(self, radius: int, group: np.ndarray, allowed: callable, close: callable) -> tuple[np.ndarray, np.ndarray]:
+        """Links that join the groups as all allowed pairs of at most `radius` bits that pass close(row, row) do."""
+        _, first, inverse = np.unique(group, return_index=True, return_inverse=True)
+        label, found = first[inverse], [np.zeros((2, 0), dtype=np.int64)]
+        for x, y in self.pairs(radius):
+            once = x < y
+            once[once] = allowed(x[once], y[once])
+            order = np.argsort(distance(self.words[x[once]], self.words[y[once]]), kind="stable")
+            x, y = x[once][order], y[once][order]
+            for k in range(0, len(x), TESTED):  # pairs that earlier ones have joined need no test
+                i, j = x[k : k + TESTED], y[k : k + TESTED]
+                apart = label[i] != label[j]
+                i, j = i[apart], j[apart]
+                passed = np.fromiter(map(close, i.tolist(), j.tolist()), dtype=bool, count=len(i))
+                found.append(np.stack((i[passed], j[passed])))
+                merge(label, i[passed], j[passed])
+        return tuple(np.concatenate(found, axis=1))
+
     def _spanning(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(distance(self.words[a], self.words[b]), kind="stable")
         a, b = a[order], b[order]
@@ -265,11 +292,18 @@ def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = nearer
 
 
+def enough(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    """Whether two sets, each in order, have a Jaccard similarity of at least `least`."""
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common >= (len(x) + len(y) - common) * least
+
+
 def shard_links(radius: int, closest: bool, least: float | None = None, each: int = 0) -> callable:
     """Over rows (shard, fp, node) sorted by shard: links (a, b) of nodes that span the groups of each shard, the closest if asked.
 
     least: a node is followed by its set's size and sketch and a number of its group. Then pairs come of which the groups
-    differ and sizes and sketches allow the similarity, of each node at least the `each` closest.
+    differ and sizes and sketches allow the similarity, of each node at least the `each` closest, and of each that lacks some
+    a pair with itself. each 0: the set itself follows, and links come that join the groups as all similar pairs do.
     """
 
     def tree_links(shards: list, fps: list, nodes: list) -> pa.RecordBatch:
@@ -279,7 +313,8 @@ def shard_links(radius: int, closest: bool, least: float | None = None, each: in
         if least is None:
             ends = forest.closest(radius) if closest else forest.groups(radius)
         else:
-            facts = np.frombuffer(b"".join(n[16:] for n in nodes), dtype="<i8").reshape(len(nodes), 6)
+            facts = np.frombuffer(b"".join(n[16:64] for n in nodes), dtype="<i8").reshape(len(nodes), 6)
+            sets = None if each else [np.frombuffer(n, dtype=np.uint64, offset=64) for n in nodes]
             nodes = [n[:16] for n in nodes]
             group, size, sketch = facts[:, 5], facts[:, 0], np.ascontiguousarray(facts[:, 1:5]).view(np.uint64)
 
@@ -288,7 +323,15 @@ def shard_links(radius: int, closest: bool, least: float | None = None, each: in
                 near = (group[i] != group[j]) & (np.minimum(x, y) >= np.maximum(x, y) * (least - 1e-9))
                 return near & (distance(sketch[i], sketch[j]) * (1 + least) <= (x + y) * (1 - least + 1e-9))
 
-            ends = forest.nearest(radius, each, allowed)
+            def close(i: int, j: int) -> bool:
+                return enough(sets[i], sets[j], least)
+
+            if each:
+                a, b = forest.nearest(radius, each, allowed)
+                lacking = np.flatnonzero(forest.lacking)
+                ends = np.concatenate((a, lacking)), np.concatenate((b, lacking))
+            else:
+                ends = forest.joining(radius, group, allowed, close)
         return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in end], pa.binary()) for end in ends], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,7 +388,13 @@ def links(
     """
     fields = "band int, key long, fp binary, node binary"
     dealt = nodes.select("fp", "node").mapInArrow(_deal(bands), fields)
-    counts = written(spark, dealt.groupBy("band", "key").count().filter(F.col("count") > most), "simhash-large")
+    whole = F.sum(F.length("node")) if least is not None and not each else F.lit(0)
+
+    def large(rows: DataFrame) -> DataFrame:
+        sizes = rows.groupBy("band", "key").agg(F.count("*").alias("count"), whole.alias("bytes"))
+        return written(spark, sizes.filter((F.col("count") > most) | (F.col("bytes") > SET_BYTES)), "simhash-large")
+
+    counts = large(dealt)
     huge = counts.filter(F.col("count") > AGAIN * most).select("band", "key")
     if exact and not huge.isEmpty():
         bits = 1 + max(max(b) for b in bands)
@@ -355,8 +404,8 @@ def links(
             within.append([others[b].tolist() for b in exact_bands(AGAIN * most, radius, len(others))])
         anew = dealt.join(huge, ["band", "key"], "left_semi").mapInArrow(_deal(bands, within), fields)
         dealt = written(spark, dealt.join(huge, ["band", "key"], "left_anti").unionByName(anew), "simhash-dealt")
-        counts = written(spark, dealt.groupBy("band", "key").count().filter(F.col("count") > most), "simhash-large")
-    chunks = F.coalesce(F.ceil(F.col("count") / most), F.lit(1)).cast("int")
+        counts = large(dealt)
+    chunks = F.coalesce(F.ceil(F.greatest(F.col("count") / most, F.col("bytes") / SET_BYTES)), F.lit(1)).cast("int")
     cut = dealt.join(counts, ["band", "key"], "left").withColumn("chunks", chunks)
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     cut = cut.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -463,9 +512,7 @@ def similar(spark: SparkSession, pairs: DataFrame, sets: DataFrame, least: float
         for batch in batches:
             keep = []
             for left, right in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = unpacked(left), unpacked(right)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(common >= (len(x) + len(y) - common) * least)
+                keep.append(enough(unpacked(left), unpacked(right), least))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(close, "a binary, b binary")
@@ -502,7 +549,9 @@ def first_of_each(
     A shard yields candidates that span its groups, the closest first. Of a dense family most of these may be no links. So
     the sets that have a candidate are dealt once more, with their sizes, a sketch of 256 bits that differs in no more than
     they do, and their groups so far. There only pairs of different groups that sizes and sketches allow to be similar are
-    candidates, and each set has the `each` closest of every shard. A family of copies costs no more than its number.
+    candidates, and each set has the `each` closest of every shard tested by joins. Sets that have more candidates in a shard
+    are dealt a third time, whole: a shard tests all that is left of them in its own task and yields the links that join
+    groups. So no candidate is dropped, and a family yields no more rows than its number.
 
     Texts without words are copies of each other. Rows with the same id and other texts are told apart by a hash of
     the text; of fully repeated rows one stays. Columns keep their names and order; an empty table gives an empty one.
@@ -526,16 +575,24 @@ def first_of_each(
     pairs = written(spark, may_be_similar(found, facts, similarity), "simhash-pairs")
     sure = written(spark, similar(spark, pairs, marked, similarity), "simhash-links")
     roots = written(spark, components(spark, sure), "simhash-roots")
+    told = [F.col("size"), *(F.col("sketch")[i] for i in range(4)), F.xxhash64(F.coalesce("root", "node"))]
+    named = F.concat("node", *[_little_endian(x) for x in told])
     ends = written(spark, found.select(F.col("a").alias("node")).union(found.select("b")).distinct(), "simhash-ends")
-    apart = nodes.join(ends, "node", "left_semi").join(roots, "node", "left").withColumn("group", F.xxhash64(F.coalesce("root", "node")))
-    told = [F.col("size"), *(F.col("sketch")[i] for i in range(4)), F.col("group")]
-    apart = written(spark, apart.select("fp", F.concat("node", *[_little_endian(x) for x in told]).alias("node")), "simhash-apart")
-    apart = links(spark, apart, bands, radius, most, exact=False, least=similarity, each=each).select(*ordered).distinct()
-    pairs = written(spark, may_be_similar(apart, facts, similarity), "simhash-pairs")
+    apart = nodes.join(ends, "node", "left_semi").join(roots, "node", "left").select("fp", named.alias("node"))
+    apart = links(spark, written(spark, apart, "simhash-apart"), bands, radius, most, exact=False, least=similarity, each=each)
+    apart = written(spark, apart.select(*ordered).distinct(), "simhash-nearest")
+    pairs = written(spark, may_be_similar(apart.filter("a <> b"), facts, similarity), "simhash-pairs")
     if not pairs.isEmpty():
-        more = written(spark, similar(spark, pairs, marked, similarity), "simhash-links")
-        sure = sure.unionByName(more)
-    roots = written(spark, components(spark, sure), "simhash-roots")
+        sure = sure.unionByName(written(spark, similar(spark, pairs, marked, similarity), "simhash-links"))
+        roots = written(spark, components(spark, sure), "simhash-roots")
+    # pairs beyond the closest are tested where they meet
+    over = apart.filter("a = b").select(F.col("a").alias("node"))
+    if not over.isEmpty():
+        held = likely_in(marked.select("node", "hashes"), "node", over).groupBy("node").agg(F.first("hashes").alias("hashes"))
+        rest = nodes.join(over, "node", "left_semi").join(held, "node").join(roots, "node", "left").select("fp", F.concat(named, "hashes").alias("node"))
+        rest = links(spark, written(spark, rest, "simhash-rest"), bands, radius, most, exact=False, least=similarity)
+        sure = sure.unionByName(written(spark, rest.select(*ordered).distinct(), "simhash-links"))
+        roots = written(spark, components(spark, sure), "simhash-roots")
     placed = nodes.select("node", "first.*").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     firsts = placed.groupBy("root").agg(F.min_by(F.struct("id", "mark", "n"), order).alias("first"))
     firsts = written(spark, firsts.select("first.*"), "simhash-kept")

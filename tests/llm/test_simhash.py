@@ -205,6 +205,28 @@ def test_a_dense_family_whose_links_are_not_the_closest(spark, make_docs):
     assert len(got - want) <= 0.02 * (len(texts) - len(want))
 
 
+def test_candidates_beyond_the_closest_are_tested_too(spark, make_docs):
+    """With one candidate of each set tested by joins, and bands and radius that miss nothing, all is as by brute force."""
+    rng = random.Random(29)
+    base = prose(rng, 160).split()
+    texts = []
+    for _ in range(240):
+        words = list(base)
+        for _ in range(rng.randint(2, 4)):
+            words[rng.randrange(len(words))] = prose(rng, 1)
+        texts.append(" ".join(words))
+    sets = [set(sim.shingle_hashes(t, 5).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for _ in range(12):
+        for i, j in links:
+            root[i] = root[j] = min(root[i], root[j])
+    want = [i for i, r in enumerate(root) if i == r]
+    got = sim.first_of_each(spark, make_docs(texts), each=1, width=8, missed=1e-6, deviations=6, most=60)
+    assert 10 < len(want) < 150
+    assert sorted(r.doc_id for r in got.collect()) == want
+
+
 def test_a_large_group_of_near_copies(spark, make_docs):
     rng = random.Random(22)
     base = prose(rng, 120).split()
