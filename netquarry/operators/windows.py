@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netquarry.functions.expr import compile_expr, parse
+from netquarry.functions.expr import compile_expr
 from netquarry.functions.scalars import parsed_timestamp
 from netquarry.operators._columns import col
 
@@ -59,6 +59,8 @@ CONSTANTS = {"tcp": "TCP", "udp": "UDP"}
 
 #: Resolution of the sums of c log2 c, which are kept as integers: adding and taking away leaves no error behind.
 SCALE = 1 << 28
+#: Members at either end of an instant that are kept where steps are counted: steps beyond an end reach three members in.
+EDGE = 8
 
 
 def behaviour_features(
@@ -77,9 +79,10 @@ def behaviour_features(
 
     Only what the features need is computed. A feature whose history is empty or undefined has its missing value, as
     has a row without a time. No frame is read anew for a row: what enters and leaves it is summed up, and first and
-    last members come from running minima and maxima, so the work is a constant number of sorts. One shuffle for each
-    stream deals rows by group and by time chunk of chunk_windows windows; a chunk gets the eligible rows of the
-    window before it as well. So a group that holds most of the rows is dealt over its chunks.
+    last members come from running minima and maxima, so the work is a constant number of sorts. Rows are first put
+    together by group and instant, at most 2 EDGE members and one row for each value of an instant; these are dealt by
+    group and by time chunk of chunk_windows windows, and a chunk gets the eligible ones of the window before it as well.
+    So a group that holds most of the rows is dealt over its instants and its chunks.
     """
     known = {"unique_count", "span_rate_unique", "span_rate_raw", "entropy", "sequentiality"}
     for feature in features:
@@ -88,8 +91,8 @@ def behaviour_features(
     out, span = rows, int(window_seconds * 1_000_000)
     for name in dict.fromkeys(f.stream for f in features):
         mine = [f for f in features if f.stream == name]
-        dealt = _by_instant if {f.statistic for f in mine} <= {"unique_count", "span_rate_unique"} else _with_stream
-        out = dealt(out, streams[name], mine, constants, span, micros, ordinal, partition, chunk_windows * span)
+        found = _with_stream(rows, streams[name], mine, constants, span, micros, ordinal, partition, chunk_windows * span)
+        out = _looked_up(out, found, [*partition, *streams[name].group_by, micros], [f.name for f in mine])
     return out.select(*[F.col(f"`{c}`") for c in rows.columns], *[f.name for f in features])
 
 
@@ -139,6 +142,11 @@ def _with_stream(
     partition: Sequence[str],
     chunk: int,
 ) -> DataFrame:
+    """One row (_x_key0, _x_key1, ..., features) for each group and instant of rows; see instant_key.
+
+    All rows of a group and instant have the same history, so histories are made of instants: of the members of one only
+    their number, the number of each value and, for steps, the first and last EDGE ones and sums of the others are kept.
+    """
     kinds = {f.statistic for f in features}
     types = dict(rows.dtypes)
     present = F.col(micros).isNotNull()
@@ -146,41 +154,83 @@ def _with_stream(
         present = present & F.col(name).isNotNull()
     eligible = F.coalesce(compile_expr(stream.eligible, types, constants), F.lit(False)) & present
     value = compile_expr(stream.value, types, constants) if stream.value else F.lit(1)
-    home = F.floor(F.col(micros) / F.lit(chunk))
-    follows = F.col("_x_ok") & (F.col(micros) >= (F.col("_x_home") + 1) * chunk - span)
-    key = [*partition, *stream.group_by, "_x_chunk"]
-    out = rows.withColumns({"_x_ok": eligible & value.isNotNull(), "_x_value": value, "_x_home": home})
-    out = out.withColumn("_x_chunk", F.explode(F.when(follows, F.array("_x_home", F.col("_x_home") + 1)).otherwise(F.array("_x_home"))))
-    out = _with_ends(out.repartition(*key), key, span, micros, ordinal, "sequentiality" in kinds)
-    moving = kinds & {"unique_count", "span_rate_unique", "entropy"}
-    out = _with_moves(out, key, span, micros, ordinal, "entropy" in kinds, kinds != {"entropy"}) if moving else out
-    out = out.filter(F.col("_x_chunk").eqNullSafe(F.col("_x_home")))
-    some = F.coalesce(F.col("_x_last.at") >= F.col(micros) - span, F.lit(False))
-    count = F.col("_x_last.n") - F.col("_x_first.n") + 1
+    group = [*partition, *stream.group_by]
+    steps, moving = "sequentiality" in kinds, kinds & {"unique_count", "span_rate_unique", "entropy"}
+    slim = rows.select(*[F.col(c) for c in dict.fromkeys([*group, micros, ordinal])], (eligible & value.isNotNull()).alias("_x_ok"), value.alias("_x_value"))
+    instant = [*group, micros]
+    # values of an instant with their numbers; how they follow each other plays no part
+    counted = slim.groupBy(*instant, "_x_ok", F.when(F.col("_x_ok"), F.col("_x_value")).alias("_x_value")).agg(F.count("*").alias("_x_weight")) if moving else None
+    if steps:
+        ends = _edges(slim, instant, ordinal)
+    else:
+        ends = (slim if counted is None else counted).groupBy(*instant, "_x_ok").agg(F.count("*").alias("_x_weight") if counted is None else F.sum("_x_weight").alias("_x_weight"))
+        ends = ends.withColumn(ordinal, F.lit(0))
+    ends, key = _dealt(ends, group, micros, span, chunk)
+    ends = _at_home(_with_ends(ends, key, span, micros, ordinal, steps), instant, ["_x_first", "_x_last"])
+    if moving:
+        moves, key = _dealt(counted.withColumn(ordinal, F.lit(0)), group, micros, span, chunk)
+        sums = [c for c, asked in (("_x_kinds", kinds != {"entropy"}), ("_x_inner", "entropy" in kinds)) if asked]
+        moves = _at_home(_with_moves(moves, key, span, micros, ordinal, "entropy" in kinds, "_x_kinds" in sums), instant, sums)
+        ends = _looked_up(ends, moves, [f"_x_key{i}" for i in range(len(instant))], sums)
+    at = F.col(f"_x_key{len(group)}")
+    some = F.coalesce(F.col("_x_last.at") >= at - span, F.lit(False))
+    count = F.col("_x_last.n") - F.col("_x_first.n") + F.col("_x_first.weight")
     for feature in features:
-        kinds_here = F.col("_x_kinds") if "_x_kinds" in out.columns else F.lit(None)
-        inner = F.col("_x_inner") if "_x_inner" in out.columns else F.lit(None)
-        run, total = sequentiality_parts(F.col("_x_first"), F.col("_x_last"), count) if "sequentiality" in kinds else (F.lit(None), F.lit(None))
+        kinds_here = F.col("_x_kinds") if "_x_kinds" in ends.columns else F.lit(None)
+        inner = F.col("_x_inner") if "_x_inner" in ends.columns else F.lit(None)
+        run, total = sequentiality_parts(F.col("_x_first"), F.col("_x_last"), count) if steps else (F.lit(None), F.lit(None))
         made = feature_value(feature, some, count, kinds_here, F.col("_x_first.at"), F.col("_x_last.at"), inner, run, total)
-        out = out.withColumn(feature.name, made)
-    return out.drop(*[c for c in out.columns if c.startswith("_x_")])
+        ends = ends.withColumn(feature.name, made)
+    return ends.select(*[f"_x_key{i}" for i in range(len(instant))], *[f.name for f in features])
+
+
+def _dealt(rows: DataFrame, group: Sequence[str], micros: str, span: int, chunk: int) -> tuple[DataFrame, list[str]]:
+    """rows dealt by group and time chunk, with the eligible ones of the window before a chunk, and the columns of both."""
+    follows = F.col("_x_ok") & (F.col(micros) >= (F.col("_x_home") + 1) * chunk - span)
+    key = [*group, "_x_chunk"]
+    out = rows.withColumn("_x_home", F.floor(F.col(micros) / F.lit(chunk)))
+    out = out.withColumn("_x_chunk", F.explode(F.when(follows, F.array("_x_home", F.col("_x_home") + 1)).otherwise(F.array("_x_home"))))
+    return out.repartition(*key), key
 
 
-def _by_instant(rows: DataFrame, stream: Stream, features: Sequence[Feature], constants: dict[str, object], span: int, micros: str, ordinal: str, partition: Sequence[str], chunk: int) -> DataFrame:
-    """_with_stream for distinct values, which how often a value comes in an instant doesn't change.
+def _at_home(rows: DataFrame, instant: Sequence[str], found: Sequence[str]) -> DataFrame:
+    """What was found for each group and instant, which is the same for all its rows, by _x_key0, _x_key1 ..."""
+    home = rows.filter(F.col("_x_chunk").eqNullSafe(F.col("_x_home")))
+    return home.groupBy(*[F.col(c).alias(f"_x_key{i}") for i, c in enumerate(instant)]).agg(*[F.max(c).alias(c) for c in found])
 
-    All rows of a group and instant have the same history, so histories are made of distinct rows of what the stream reads,
-    and each row gets that of its group and instant.
-    """
-    key = [*partition, *stream.group_by, micros]
-    read = parse(stream.eligible).names() | (parse(stream.value).names() if stream.value else set())
-    slim = rows.select(*dict.fromkeys([*key, *stream.requires, *sorted(read - set(constants))])).distinct().withColumn(ordinal, F.lit(0))
-    found = _with_stream(slim, stream, features, constants, span, micros, ordinal, partition, chunk)
-    found = found.groupBy(*[F.col(k).alias(f"_x_{i}") for i, k in enumerate(key)]).agg(*[F.max(f.name).alias(f.name) for f in features])
+
+def _looked_up(rows: DataFrame, found: DataFrame, key: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """rows with columns of found, whose rows are told by _x_key0, _x_key1 ...; key: the columns of rows that these name."""
+    other = found.select(*[F.col(f"_x_key{i}").alias(f"_x_of{i}") for i in range(len(key))], *columns)
     same = F.lit(True)
-    for i, k in enumerate(key):
-        same = same & F.col(k).eqNullSafe(F.col(f"_x_{i}"))
-    return rows.join(found, same, "left").drop(*[f"_x_{i}" for i in range(len(key))])
+    for i, c in enumerate(key):
+        same = same & F.col(c).eqNullSafe(F.col(f"_x_of{i}"))
+    return rows.join(other, same, "left").drop(*[f"_x_of{i}" for i in range(len(key))])
+
+
+def _edges(rows: DataFrame, instant: Sequence[str], ordinal: str) -> DataFrame:
+    """The first and the last EDGE members of each instant, and one row of those that are none.
+
+    A member has _x_weight, how many members it stands for: the last of the first ones stands for those that were left
+    out, too. Members with two others of their instant on either side know whether they touch a right or a strong step
+    (_x_touched_in, _x_held_in; see _with_ends), others have null there; _x_touched_more and _x_held_more: how many of
+    those left out do.
+    """
+    apart = Window.partitionBy(*instant, "_x_ok")
+    order = apart.orderBy(ordinal)
+    v = F.col("_x_value").cast("double")
+    out = rows.withColumns({"_x_rank": F.row_number().over(order), "_x_n": F.count("*").over(apart), "_x_in": v - F.lag(v, 1).over(order)})
+    into, after = F.col("_x_in"), F.lead("_x_in", 1).over(order)
+    right = F.abs(into) == 1
+    out = out.withColumns({"_x_right": _flag(right), "_x_strong": _flag(right & ((F.lag("_x_in", 1).over(order) == into) | (after == into)))})
+    deep = (F.col("_x_rank") > 3) & (F.col("_x_rank") <= F.col("_x_n") - 3)
+    touch = lambda c: F.when(deep, F.greatest(F.col(c), F.lead(c, 1).over(order)))
+    out = out.withColumns({"_x_touched_in": touch("_x_right"), "_x_held_in": touch("_x_strong")})
+    gone = (F.col("_x_rank") > EDGE) & (F.col("_x_rank") <= F.col("_x_n") - EDGE)
+    stands = (F.col("_x_rank") == EDGE) & F.col("_x_ok")
+    out = out.withColumns({f"_x_{c}_more": F.when(stands, F.sum(F.when(gone, F.col(f"_x_{c}_in")).otherwise(0)).over(apart)).otherwise(0) for c in ("touched", "held")})
+    out = out.withColumn("_x_weight", F.when(stands, F.greatest(F.col("_x_n") - 2 * EDGE, F.lit(0)) + 1).otherwise(1).cast("long"))
+    return out.filter(F.when(F.col("_x_ok"), ~gone).otherwise(F.col("_x_rank") == 1)).drop("_x_rank", "_x_n", "_x_in", "_x_right", "_x_strong")
 
 
 def feature_value(
@@ -210,15 +260,15 @@ def _flag(condition: Column) -> Column:
 def _with_ends(rows: DataFrame, key: Sequence[str], span: int, micros: str, ordinal: str, steps: bool) -> DataFrame:
     """rows with _x_first and _x_last, the first member of the group since span before a row, and the last one before it.
 
-    Both have the member's place n among the group's. With steps they also say what sequentiality_parts asks: a step
+    A member stands for _x_weight ones (of an instant); n: how many there are up to it. With steps they also say what sequentiality_parts asks: a step
     is the difference of two members that follow each other, right if it is +1 or -1, strong if a step beside it
     equals it. right_in and right_out: of the steps to and from a member; strong_in and strong_out: the same, seen
     without what lies beyond the member; touched and held: members so far that touch a right or a strong step.
     """
     members = Window.partitionBy(*key, "_x_ok").orderBy(micros, ordinal)
     so_far = members.rowsBetween(Window.unboundedPreceding, 0)
-    fields = {"at": F.col(micros), "order": F.col(ordinal), "n": F.row_number().over(members).cast("long")}
-    out = rows
+    out, weight = rows, F.col("_x_weight")
+    fields = {"at": F.col(micros), "order": F.col(ordinal), "n": F.sum(weight).over(so_far), "weight": weight}
     if steps:
         v = F.col("_x_value").cast("double")
         out = out.withColumns({"_x_in": v - F.lag(v, 1).over(members)})
@@ -233,11 +283,12 @@ def _with_ends(rows: DataFrame, key: Sequence[str], span: int, micros: str, ordi
         ahead = lambda c, k=1: F.coalesce(F.lead(c, k).over(members), F.lit(0))
         out = out.withColumns(
             {
-                "_x_touched": F.greatest(F.col("_x_right"), ahead("_x_right")),
-                "_x_held": F.greatest(F.col("_x_strong"), ahead("_x_strong")),
+                "_x_touched": F.coalesce("_x_touched_in", F.greatest(F.col("_x_right"), ahead("_x_right"))),
+                "_x_held": F.coalesce("_x_held_in", F.greatest(F.col("_x_strong"), ahead("_x_strong"))),
             }
         )
-        out = out.withColumns({"_x_touched_sum": F.sum("_x_touched").over(so_far), "_x_held_sum": F.sum("_x_held").over(so_far)})
+        summed = lambda c: F.sum(F.col(f"_x_{c}") + F.col(f"_x_{c}_more")).over(so_far)
+        out = out.withColumns({"_x_touched_sum": summed("touched"), "_x_held_sum": summed("held")})
         fields |= {
             "touches": F.col("_x_touched"),
             "right_in": F.col("_x_right"),
@@ -260,8 +311,8 @@ def _with_ends(rows: DataFrame, key: Sequence[str], span: int, micros: str, ordi
 def _with_moves(rows: DataFrame, key: Sequence[str], span: int, micros: str, ordinal: str, entropy: bool, kinds: bool) -> DataFrame:
     """rows with _x_kinds, the distinct values in a row's frame, and _x_inner, SCALE times the sum of c log2 c over their counts c.
 
-    A member enters the frames of the rows after it and leaves those more than span later: a second row stands for
-    its leaving. The changes that these moves make are summed up to the row.
+    rows: members of one value and instant as one row, _x_weight their number. They enter the frames of the rows after
+    them and leave those more than span later: a second row stands for their leaving. The changes that these moves make are summed up to the row.
     """
     alike = Window.partitionBy(*key, "_x_ok", "_x_value").orderBy(micros, ordinal)
     before, after = F.lag(micros, 1).over(alike), F.lead(micros, 1).over(alike)
@@ -272,8 +323,8 @@ def _with_moves(rows: DataFrame, key: Sequence[str], span: int, micros: str, ord
             "_x_goes": _flag(ok & (after.isNull() | (after - at > span))),
         }
     )
-    own = F.struct(at.alias("at"), F.lit(1).alias("by"), F.col("_x_comes").alias("kinds"))
-    leaves = F.struct((at + span).alias("at"), F.lit(-1).alias("by"), (-F.col("_x_goes")).alias("kinds"))
+    own = F.struct(at.alias("at"), F.col("_x_weight").alias("by"), F.col("_x_comes").alias("kinds"))
+    leaves = F.struct((at + span).alias("at"), (-F.col("_x_weight")).alias("by"), (-F.col("_x_goes")).alias("kinds"))
     doubled = ok if entropy else F.col("_x_goes") == 1
     out = out.withColumn("_x_move", F.explode(F.when(doubled, F.array(own, leaves)).otherwise(F.array(own))))
     out = out.withColumns({"_x_at": F.col("_x_move.at"), "_x_by": F.when(ok, F.col("_x_move.by")).otherwise(0)})
@@ -287,7 +338,7 @@ def _with_moves(rows: DataFrame, key: Sequence[str], span: int, micros: str, ord
         sums["_x_inner"] = F.when(ok, change).otherwise(0)
     frame = Window.partitionBy(*key).orderBy("_x_at").rangeBetween(Window.unboundedPreceding, -1)
     out = out.withColumns({n: F.coalesce(F.sum(c).over(frame), F.lit(0)) for n, c in sums.items()})
-    return out.filter(F.col("_x_move.by") == 1)
+    return out.filter(F.col("_x_move.by") > 0)
 
 
 def sequentiality_parts(first: Column, last: Column, n: Column) -> tuple[Column, Column]:

@@ -109,3 +109,32 @@ def test_distinct_values_are_counted_from_few_rows_of_an_instant(spark):
     every = {r.ordinal: r for r in w.behaviour_features(df, window_seconds=3).collect()}
     for r in w.behaviour_features(df, features=chosen, window_seconds=3).collect():
         assert all(r[f.name] == every[r.ordinal][f.name] for f in chosen)
+
+
+def test_a_hot_source_is_put_together_by_instants(spark, monkeypatch):
+    # one source, 60,000 rows in 4 instants: what is dealt by source and chunk is a few rows of each
+    seen = []
+    for name in ("_with_ends", "_with_moves"):
+        made = getattr(w, name)
+        monkeypatch.setattr(w, name, lambda rows, *rest, made=made: seen.append(rows.count()) or made(rows, *rest))
+    rows = spark.range(60_000).selectExpr("'s' src_ip", "'d' dst_ip", "id div 4 % 5 dst_port", "'TCP' protocol", "id % 4 * 1000000 micros", "id ordinal")
+    found = w.behaviour_features(rows, window_seconds=2).groupBy("micros", *[f.name for f in w.FEATURES]).count().orderBy("micros").collect()
+    assert [tuple(round(x, 6) for x in r) for r in found] == [
+        (0, 0, 0, 0, 0, 0, 15_000), (1_000_000, 5, 5000, 1, 2.321928, 15_000_000, 15_000),
+        (2_000_000, 5, 5, 1, 2.321928, 30_000, 15_000), (3_000_000, 5, 5, 1, 2.321928, 30_000, 15_000),
+    ]
+    assert len(seen) == 3 and max(seen) <= 4 * 2 * 8 * 2
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_many_members_of_an_instant_against_frames_read_anew(spark, seed):
+    rng = random.Random(seed)
+    sizes = [rng.choice([1, 2, 7, 15, 16, 17, 18, 40]) for _ in range(9)]
+    points = [(k, (i // rng.choice([1, 2]) if rng.random() < 0.7 else rng.randrange(5)) % 7) for k, n in enumerate(sizes) for i in range(n)]
+    rows = [(rng.choice(["s", "s", "s", "t"]), rng.choice(["x", "y"]), p, rng.choice(["TCP", "TCP", "TCP", "ICMP"]), k * 1_000_000, i) for i, (k, p) in enumerate(points)]
+    found = w.behaviour_features(spark.createDataFrame(rows, KIND), window_seconds=3, chunk_windows=2)
+    want = brute(rows, 3_000_000)
+    got = {r.ordinal: [r[f.name] for f in w.FEATURES] for r in found.collect()}
+    assert len(got) == len(rows)
+    for order, values in want.items():
+        assert got[order] == pytest.approx(values, abs=1e-7), (rows[order], order)
