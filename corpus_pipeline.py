@@ -8,6 +8,9 @@ of them is said at the stage.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +20,21 @@ from netquarry.llm.shared import free_name, removed, temporary, text_of, utf8_cr
 #: A document stays if it reaches grade 1 with at least this probability.
 KEEP_TAIL = 0.5
 SHARDS = 24
+#: Rows at most that go to a Python worker at once; texts may be long, and a batch is held by the JVM and the worker alike.
+BATCH = 500
+
+
+def _in_small_batches(stage: Callable) -> Callable:
+    """A stage whose tables go to Python workers in batches of BATCH rows at most: for this session, as its result is read later."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if not 0 < int(spark.conf.get(size)) <= BATCH:
+            spark.conf.set(size, BATCH)
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,11 +91,11 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("quality", quality),
-    ("near_duplicates", near_duplicates),
-    ("benchmark_leaks", benchmark_leaks),
-    ("source_mix", source_mix),
-    ("shards", shards),
+    ("quality", _in_small_batches(quality)),
+    ("near_duplicates", _in_small_batches(near_duplicates)),
+    ("benchmark_leaks", _in_small_batches(benchmark_leaks)),
+    ("source_mix", _in_small_batches(source_mix)),
+    ("shards", _in_small_batches(shards)),
 ]
 
 #: The first two stages and the mix have no SQL form; tests/llm holds the stages against brute-force versions.

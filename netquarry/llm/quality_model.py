@@ -27,6 +27,8 @@ DIMS = 1 << 15
 #: Rated documents that a fit uses at most, those with the smallest hash of the id.
 SAMPLE = 6000
 SCALE = 8.0
+#: Words whose features a task remembers.
+KNOWN = 1 << 16
 _SHAPES = [(re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[0-9]+"), b"0")]
 
 
@@ -48,7 +50,7 @@ def repeats(words: list[bytes]) -> int:
 
 class _Slots(dict):
     def __missing__(self, word: bytes) -> tuple[int, int]:
-        if len(self) > 300_000:
+        if len(self) >= KNOWN:
             self.clear()
         self[word] = found = slots(word)
         return found
@@ -68,7 +70,7 @@ class OrdinalModel:
 
         class Weighed(dict):
             def __missing__(self, word: bytes) -> float:
-                if len(self) > 300_000:
+                if len(self) >= KNOWN:
                     self.clear()
                 a, b = slots(word)
                 self[word] = found = float(weights[a] + weights[b])

@@ -1,6 +1,7 @@
 import os
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
@@ -86,3 +87,22 @@ def test_run_leaves_only_its_result(spark, make_docs, write_table, tmp_path):
     before = set(os.listdir(shared))
     assert cp.run(spark, folder).count() > 0
     assert [n.rsplit("-", 1)[0] for n in set(os.listdir(shared)) - before] == ["pipeline-shards"]
+
+
+def test_workers_get_small_batches(spark, make_docs, write_table):
+    """However large the session's batches, a stage gives its workers few rows at once: texts may be long."""
+    size, docs = "spark.sql.execution.arrow.maxRecordsPerBatch", make_docs([prose(random.Random(2), 30)] * 3000)
+    folder = write_table(docs)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    before = spark.conf.get(size)
+    try:
+        for name, stage in (cp.STAGES[0], cp.STAGES[-1]):
+            spark.conf.set(size, 10_000)
+            rows = stage(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder).select("doc_id")
+            most = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"doc_id": [b.num_rows]}) for b in batches), "doc_id long")
+            assert max(r.doc_id for r in most.collect()) <= cp.BATCH, name
+            spark.conf.set(size, 100)
+            stage(spark, docs, folder)
+            assert int(spark.conf.get(size)) == 100
+    finally:
+        spark.conf.set(size, before)
