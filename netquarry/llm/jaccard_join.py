@@ -18,8 +18,12 @@ same count, what a set spends on its segments beyond what differs in them adds u
 often share a passage, no more, and aren't verified.
 
 What is found is verified by the whole sets. Copies of a set are one node from the start. Groups of one subset don't
-become all pairs: each set is first tested against the one centre that most of its groups name; what then still lies in
-different components of one group is tested, the rest of a group against its largest component.
+become all pairs: each set is first tested against the one centre that most of its groups name. What then still lies in
+different components of one group meets in a task of the group, the rest of it against its largest component, and sizes
+and sketches leave out most of it there. Of a group with many pairs even so only those come out that span its
+components, the closest first; sets of which a pair was held back meet once more, whole, after the others are linked, and
+there a task tests its pairs itself and yields the links that join components. So rows grow with a group, not with its
+square.
 """
 
 from __future__ import annotations
@@ -32,6 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from netquarry.llm.bktree_simhash import distance, merge
 from netquarry.llm.sharding import _mixed
 from netquarry.llm.shared import components, join_counted, join_salted, likely_in, removed, temporary, text_of, written
 
@@ -46,6 +51,10 @@ SLICE = 100_000
 #: Odd multipliers of the hashes of words and of runs of words.
 BYTE_BASE, WORD_BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 SKETCH = 256
+#: Rows of a group that meet in a task at most, and bytes of sets there; pairs that are looked at or tested at once.
+MOST, SET_BYTES, FRONTIER, TESTED = 4096, 1 << 25, 200_000, 128
+#: A group yields all its pairs up to so many for each row.
+EACH = 4
 
 
 def _powers(n: int) -> np.ndarray:
@@ -314,14 +323,169 @@ def verified(spark: SparkSession, pairs: DataFrame, facts: DataFrame, texts: Dat
         for batch in batches:
             keep = []
             for left, right in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in (left, right))
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+                keep.append(alike(left.as_buffer(), right.as_buffer(), percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return met.mapInArrow(close, "a long, b long")
 
 
+class Meeting:
+    """Rows of whole shards, sorted by shard: what meets in them. Columns are those of met_in_shards."""
+
+    def __init__(self, rows: pa.Table, percent: int):
+        column = {c: rows.column(c).to_numpy() for c in rows.column_names if c not in ("tokens", "is_a", "is_b")}
+        is_a, is_b = (rows.column(c).to_numpy().astype(bool) for c in ("is_a", "is_b"))
+        shard, self.node, self.size, self.least = column["shard"], column["node"], column["size"], column["least"]
+        self.own, self.probe, self.percent = column["own"].astype(bool), column["probe"].astype(bool), percent
+        self.part, self.few = column["part"], column["part"] != column["main"]
+        self.sketch = np.stack([column[f"s{k}"] for k in range(SKETCH // 64)], axis=1).view(np.uint64)
+        begin = np.searchsorted(shard, shard)
+        order = np.lexsort((self.part, shard))
+        new = np.ones(len(order), bool)
+        new[1:] = (shard[order][1:] != shard[order][:-1]) | (self.part[order][1:] != self.part[order][:-1])
+        #: a row of each row's component in its shard
+        self.label = np.empty(len(order), np.int64)
+        self.label[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+        self.shard, self.rows = begin, np.bincount(begin, minlength=len(begin))
+        self.b = np.flatnonzero(is_b)
+        self.a = np.flatnonzero(is_a & self.few)
+        self.low = np.searchsorted(self.b, begin[self.a])
+        self.high = np.searchsorted(self.b, np.searchsorted(shard, shard[self.a], side="right"))
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of rows of different components that sizes and sketches allow to be similar."""
+        many = self.high - self.low
+        cut = np.cumsum(many) // FRONTIER
+        for k in np.unique(cut):
+            at = np.flatnonzero(cut == k)
+            x = np.repeat(self.a[at], many[at])
+            y = self.b[np.arange(len(x)) - np.repeat(np.cumsum(many[at]) - many[at], many[at]) + np.repeat(self.low[at], many[at])]
+            keep = (self.part[x] != self.part[y]) & (self.own[x] | self.own[y]) & (self.probe[x] | self.probe[y])
+            keep &= ~self.few[y] | (self.node[x] < self.node[y])
+            x, y = x[keep], y[keep]
+            n, m = self.size[x], self.size[y]
+            keep = np.minimum(n, m) * 100 >= np.maximum(n, m) * self.percent
+            keep &= distance(self.sketch[x], self.sketch[y]) * (100 + self.percent) <= (n + m) * (100 - self.percent)
+            yield x[keep], y[keep]
+
+    def spanning(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which of the pairs span the components that all of them join, with the least distances of their sketches."""
+        order = np.argsort(distance(self.sketch[a], self.sketch[b]), kind="stable")
+        label, alive, chosen = self.label.copy(), order, np.zeros(len(a), bool)
+        place = np.empty(len(a), np.int64)
+        place[order] = np.arange(len(a))
+        while True:  # every component takes its closest pair with another one
+            x, y = label[a[alive]], label[b[alive]]
+            apart = x != y
+            alive, x, y = alive[apart], x[apart], y[apart]
+            if not len(alive):
+                return chosen
+            first = np.full(len(label), len(a))
+            np.minimum.at(first, x, place[alive])
+            np.minimum.at(first, y, place[alive])
+            taken = order[np.unique(first[first < len(a)])]
+            chosen[taken] = True
+            merge(label, a[taken], b[taken])
+
+    def few_pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All pairs of shards with EACH for a row at most, those that span components of others; rows of which a pair is left out."""
+        a = b = np.zeros(0, np.int64)
+        total, lacking = np.zeros(len(self.node), np.int64), np.zeros(len(self.node), bool)
+        held, many = [], 0
+
+        def thinned(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            dense = total[self.shard[a]] > EACH * self.rows[self.shard[a]]
+            keep, crowd = ~dense, np.flatnonzero(dense)
+            keep[crowd] = self.spanning(a[crowd], b[crowd])
+            lacking[a[~keep]] = lacking[b[~keep]] = True
+            return a[keep], b[keep]
+
+        for x, y in self.pairs():
+            total += np.bincount(self.shard[x], minlength=len(total))
+            held.append((x, y))
+            many += len(x)
+            if many > FRONTIER:
+                a, b = thinned(*(np.concatenate((one, *more)) for one, more in zip((a, b), zip(*held, strict=True), strict=True)))
+                held, many = [], 0
+        a, b = thinned(*(np.concatenate((one, *more)) for one, more in zip((a, b), zip(*held, strict=True), strict=True))) if held else (a, b)
+        return a, b, np.flatnonzero(lacking)
+
+    def joining(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of similar sets that join components as all such pairs do."""
+        label, found = self.label.copy(), [np.zeros((2, 0), np.int64)]
+        for x, y in self.pairs():
+            order = np.argsort(distance(self.sketch[x], self.sketch[y]), kind="stable")
+            x, y = x[order], y[order]
+            for k in range(0, len(x), TESTED):  # pairs that earlier ones have joined need no test
+                i, j = x[k : k + TESTED], y[k : k + TESTED]
+                apart = label[i] != label[j]
+                i, j = i[apart], j[apart]
+                passed = np.fromiter((alike(tokens[u], tokens[v], self.percent) for u, v in zip(i, j, strict=True)), bool, len(i))
+                found.append(np.stack((i[passed], j[passed])))
+                merge(label, i[passed], j[passed])
+        return tuple(np.concatenate(found, axis=1))
+
+
+def alike(left: bytes | pa.Buffer, right: bytes | pa.Buffer, percent: int) -> bool:
+    x, y = np.frombuffer(left, dtype=np.uint64), np.frombuffer(right, dtype=np.uint64)
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def met_in_shards(split: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """(a, b, least) for rows (key, node, size, own, probe, least, part, main, n) of mixed groups, n rows each: see Meeting.few_pairs.
+
+    A node of which a pair was left out comes as a pair with itself. With a column tokens (the set, as bytes; then also
+    `bytes` of the group's) the pairs are tested, see Meeting.joining.
+    """
+    whole = "tokens" in split.columns
+    words = [F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH // 64)]
+    columns = ["node", "size", "own", "probe", "least", "part", "main", *(["tokens"] if whole else [])]
+    rows = split.join(facts.select("node", *words), "node")
+    pieces = F.ceil(F.greatest(F.col("n") / MOST, F.col("bytes") / SET_BYTES) if whole else F.col("n") / MOST).cast("int")
+    rows = rows.withColumn("pieces", pieces).withColumn("piece", F.pmod(F.xxhash64("node"), F.greatest("pieces", F.lit(1))).cast("int"))
+    taken = [*columns, *(f"s{k}" for k in range(len(words)))]
+    once = rows.filter("pieces <= 1").select(F.xxhash64("key").alias("shard"), F.lit(True).alias("is_a"), F.lit(True).alias("is_b"), *taken)
+    # every piece of a large group's rest meets every piece of the group
+    each = rows.filter("pieces > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    rest = each.filter("part <> main").select(F.xxhash64("key", "piece", "other").alias("shard"), F.lit(True).alias("is_a"), F.lit(False).alias("is_b"), *taken)
+    group = each.select(F.xxhash64("key", "other", "piece").alias("shard"), F.lit(False).alias("is_a"), F.lit(True).alias("is_b"), *taken)
+    sharded = once.unionByName(rest).unionByName(group).repartition("shard").sortWithinPartitions("shard")
+
+    def found(rows: pa.Table) -> pa.RecordBatch:
+        met = Meeting(rows, percent)
+        if whole:
+            a, b = met.joining(rows.column("tokens").to_pylist())
+        else:
+            a, b, lacking = met.few_pairs()
+            a, b = np.concatenate((a, lacking)), np.concatenate((b, lacking))
+        x, y = met.node[a], met.node[b]
+        return pa.RecordBatch.from_arrays([_long(np.minimum(x, y)), _long(np.maximum(x, y)), _long(met.least[a])], names=["a", "b", "least"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            shard = batch.column(0).to_numpy()
+            begin = int(np.searchsorted(shard, shard[-1])) if len(shard) else 0
+            if begin or (held and len(shard) and held[-1].column(0)[-1].as_py() != shard[0]):  # the last shard may go on in the next batch
+                yield found(pa.Table.from_batches([*held, batch.slice(0, begin)]).combine_chunks())
+                held = []
+            if len(shard):
+                held.append(batch.slice(begin))
+        if held:
+            yield found(pa.Table.from_batches(held).combine_chunks())
+
+    return sharded.mapInArrow(run, "a long, b long, least long")
+
+
+def _mixed_groups(spark: SparkSession, placed: DataFrame) -> DataFrame:
+    """Rows (key, node, part ...) of the groups of a key that lie in several components, with main, the largest of them, and n rows."""
+    sizes = placed.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key")
+    mixed = sizes.agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("parts")).filter("parts > 1")
+    mixed = written(spark, mixed.select("key", "main", "n"), "jaccard-mixed")
+    return written(spark, join_counted(placed, mixed, ["key"], "n", "inner"), "jaccard-split")
+
+
 def _linked(spark: SparkSession, texts: DataFrame, facts: DataFrame, shingle: int, percent: int, kept: Callable) -> DataFrame:
     """Components (node, root) of the links between different sets; nodes without a link are absent."""
     bands = Bands(percent)
@@ -342,7 +506,7 @@ def _linked(spark: SparkSession, texts: DataFrame, facts: DataFrame, shingle: in
     # of fine subsets each set leaves out the commonest, in one order of all
     commonest = Window.partitionBy("node", "band").orderBy(F.desc("n"), "key")
     fine = met.filter("left_out > 0").withColumn("place", F.row_number().over(commonest)).filter("place > left_out").drop("place")
-    met = written(spark, met.filter("left_out = 0").unionByName(fine).drop("band", "left_out"), "jaccard-met")
+    met = written(spark, met.filter("left_out = 0").unionByName(fine).drop("left_out"), "jaccard-met")
     # each set against the centre that most of its groups name
     stars = met.filter("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("count"), F.min("least").alias("least"))
     stars = stars.filter("count >= least").groupBy("node").agg(F.max_by("centre", F.struct("count", "centre")).alias("b"))
@@ -351,28 +515,40 @@ def _linked(spark: SparkSession, texts: DataFrame, facts: DataFrame, shingle: in
     roots = written(spark, components(spark, near), "jaccard-roots")
     # what lies in different components of a group
     part = F.coalesce("root", "node").alias("part")
-    placed = met.drop("n", "centre").join(roots, "node", "left").select("key", "node", "size", "own", "probe", "least", part)
+    placed = met.drop("n", "centre").join(roots, "node", "left").select("key", "node", "size", "own", "probe", "least", "band", part)
     placed = written(spark, placed, "jaccard-placed")
     removed(spark, met, groups)
-    sizes = placed.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key")
-    mixed = sizes.agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("parts")).filter("parts > 1")
-    mixed = written(spark, mixed.select("key", "main", "n"), "jaccard-mixed")
-    split = written(spark, join_counted(placed, mixed, ["key"], "n", "inner").drop("n"), "jaccard-split")
+    split = _mixed_groups(spark, placed)
     removed(spark, placed)
-    side = lambda c: [F.col(x).alias(f"{c}_{x}") for x in ("node", "size", "own", "probe", "least", "part")]
-    few = split.filter("part <> main").select("key", "main", *side("a"))
-    pairs = few.join(split.select("key", *side("b")), "key").filter(
-        (F.col("a_part") != F.col("b_part"))
-        & (F.col("a_own") | F.col("b_own"))
-        & (F.col("a_probe") | F.col("b_probe"))
-        & ((F.col("b_part") == F.col("main")) | (F.col("a_node") < F.col("b_node")))
-        & (F.least("a_size", "b_size") * 100 >= F.greatest("a_size", "b_size") * percent)
-    )
-    ends = (F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
-    pairs = pairs.groupBy(*ends).agg(F.count("*").alias("n"), F.min("a_least").alias("least")).filter("n >= least")
+    found = written(spark, met_in_shards(split.drop("band"), facts, percent), "jaccard-found")
+    pairs = found.filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"), F.min("least").alias("least")).filter("n >= least")
     pairs = written(spark, pairs.select("a", "b"), "jaccard-pairs")
-    further = written(spark, verified(spark, pairs, facts, texts, shingle, percent), "jaccard-further")
-    return kept(components(spark, near.unionByName(further)), "jaccard-components")
+    links = near.unionByName(written(spark, verified(spark, pairs, facts, texts, shingle, percent), "jaccard-further"))
+    lacking = found.filter("a = b").select(F.col("a").alias("node")).distinct()
+    if not lacking.isEmpty():
+        links = links.unionByName(_held_back(spark, split, lacking, links, facts, texts, shingle, percent))
+    return kept(components(spark, links), "jaccard-components")
+
+
+def _held_back(
+    spark: SparkSession, split: DataFrame, lacking: DataFrame, links: DataFrame, facts: DataFrame, texts: DataFrame, shingle: int, percent: int
+) -> DataFrame:
+    """Links between the components of links that the pairs of lacking nodes in the groups of split make.
+
+    A similar pair shares `least` keys, so each set leaves out one less of its commonest: by one order of all keys, the rarest
+    that two sets share is kept by both. Sets that share a passage, no more, have hardly any left.
+    """
+    roots = written(spark, components(spark, links), "jaccard-roots")
+    commonest = Window.partitionBy("node", "band", "least").orderBy(F.desc("n"), "key")
+    rest = split.join(lacking, "node", "left_semi").withColumn("place", F.row_number().over(commonest)).filter("place >= least")
+    rest = rest.drop("part", "main", "n", "place", "band").join(roots, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
+    rest = _mixed_groups(spark, written(spark, rest, "jaccard-placed"))
+    nodes = rest.select("node").distinct()
+    held = sets_of(texts, shingle, bitmap_of(nodes.select(F.col("node").alias("key")))).groupBy("node").agg(F.first("tokens").alias("tokens"))
+    size = rest.groupBy("key").agg(F.sum(F.col("size") * 8).alias("bytes"), F.first("n").alias("n"))
+    rest = join_counted(rest, written(spark, size, "jaccard-bytes").withColumnRenamed("n", "rows"), ["key"], "rows").drop("rows")
+    rest = rest.join(written(spark, held.join(nodes, "node", "left_semi"), "jaccard-sets"), "node")
+    return written(spark, met_in_shards(rest, facts, percent).select("a", "b"), "jaccard-joining")
 
 
 def jaccard_groups(
