@@ -53,8 +53,8 @@ BYTE_BASE, WORD_BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD
 SKETCH = 256
 #: Rows of a group that meet in a task at most, and bytes of sets there; pairs that are looked at or tested at once.
 MOST, SET_BYTES, FRONTIER, TESTED = 4096, 1 << 25, 200_000, 128
-#: A group yields all its pairs up to so many for each row.
-EACH = 4
+#: A group of more rows than CROWD yields all its pairs up to EACH for a row.
+CROWD, EACH = 256, 4
 
 
 def _powers(n: int) -> np.ndarray:
@@ -388,13 +388,14 @@ class Meeting:
             merge(label, a[taken], b[taken])
 
     def few_pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All pairs of shards with EACH for a row at most, those that span components of others; rows of which a pair is left out."""
+        """All pairs of shards of CROWD rows or with EACH for a row at most, those that span components of others; rows of which a pair is left out."""
         a = b = np.zeros(0, np.int64)
         total, lacking = np.zeros(len(self.node), np.int64), np.zeros(len(self.node), bool)
         held, many = [], 0
 
         def thinned(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            dense = total[self.shard[a]] > EACH * self.rows[self.shard[a]]
+            rows = self.rows[self.shard[a]]
+            dense = (rows > CROWD) & (total[self.shard[a]] > EACH * rows)
             keep, crowd = ~dense, np.flatnonzero(dense)
             keep[crowd] = self.spanning(a[crowd], b[crowd])
             lacking[a[~keep]] = lacking[b[~keep]] = True

@@ -147,7 +147,7 @@ def test_a_familys_rows_do_not_grow_with_its_square(spark, make_docs, monkeypatc
 
 def test_pairs_held_back_are_tested(spark, make_docs, monkeypatch):
     """Groups that yield spanning pairs only, in pieces of few rows, looked at a few pairs at a time."""
-    for name, value in (("EACH", 0), ("MOST", 16), ("FRONTIER", 300), ("TESTED", 5), ("SET_BYTES", 20_000)):
+    for name, value in (("CROWD", 0), ("EACH", 0), ("MOST", 16), ("FRONTIER", 300), ("TESTED", 5), ("SET_BYTES", 20_000)):
         monkeypatch.setattr(jaccard_join, name, value)
     rng = random.Random(8)
     texts = _family(rng, 120) + _family(rng, 60, 40, 3)
