@@ -19,7 +19,9 @@ often share a passage, no more, and aren't verified.
 
 What is found is verified by the whole sets. Copies of a set are one node from the start. Groups of one subset don't
 become all pairs: each set is first tested against the one centre that most of its groups name; what then still lies in
-different components of one group is tested, the rest of a group against its largest component.
+different components of one group meets in tasks, the rest of a group against its largest component. Tasks yield the pairs
+that sizes and sketches allow; a group that has many of them yields a forest of them first, and what then still lies in
+different components meets once more, whole.
 """
 
 from __future__ import annotations
@@ -46,28 +48,45 @@ SLICE = 100_000
 #: Odd multipliers of the hashes of words and of runs of words.
 BYTE_BASE, WORD_BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 SKETCH = 256
+#: Rows of a group that a task takes, outside its largest component and of all; pairs that it looks at at once.
+LEFT, RIGHT, PAIRS = 1024, 4096, 1 << 18
+#: Likely pairs of a group for each of its rows, beyond which it holds pairs back.
+MANY = 4
 
 
 def _powers(n: int) -> np.ndarray:
     return np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, BYTE_BASE))), dtype=np.uint64)
 
 
+#: Bytes over which powers run, and the powers' inverses.
+RUN = 1 << 14
+POWERS = _powers(RUN)
+INVERSES = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(RUN - 1, pow(int(BYTE_BASE), -1, 1 << 64), np.uint64))), dtype=np.uint64)
+
+
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts, A-Z lower-cased, cut at ASCII white space, and each text's number of words."""
+    """64-bit hashes of the words of all texts, A-Z lower-cased, cut at ASCII white space, and each text's number of words.
+
+    A word's sum of bytes times powers is the difference of two sums that run over RUN bytes, shifted to the word's start.
+    """
     parts = [t.encode() for t in texts]
-    data = np.frombuffer(b" ".join(parts) + b" ", dtype=np.uint8)
-    data = data + np.uint8(32) * ((data >= 65) & (data <= 90))
-    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
-    edges = np.flatnonzero(np.diff(np.concatenate(([False], inside)).astype(np.int8)))
-    starts, length = edges[::2], edges[1::2] - edges[::2]
+    data = np.frombuffer(b" ".join(parts).lower() + b" ", dtype=np.uint8)
+    inside = ~((data == 32) | (data - np.uint8(9) <= 4))
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], inside)).view(np.int8)))
+    starts, ends = edges[::2], edges[1::2]
     bounds = np.concatenate(([0], np.cumsum([len(p) + 1 for p in parts])))
     counts = np.diff(np.searchsorted(starts, bounds))
     if not len(starts):
         return np.zeros(0, np.uint64), counts
-    first = np.cumsum(length) - length
-    at = np.arange(int(length.sum())) - np.repeat(first, length)
-    values = (data[inside].astype(np.uint64) + np.uint64(1)) * _powers(int(length.max()))[at]
-    return _mixed(np.add.reduceat(values, first)), counts
+    padded = np.zeros(-(-len(data) // RUN) * RUN, np.uint8)
+    np.add(data, np.uint8(1), out=padded[: len(data)])  # UTF-8 has no byte 255
+    sums = np.multiply(padded.reshape(-1, RUN), POWERS, dtype=np.uint64)
+    sums = np.cumsum(sums, axis=1, out=sums).ravel()
+    at = starts % RUN
+    values = (sums[ends - 1] - np.where(at > 0, sums[starts - 1], np.uint64(0))) * INVERSES[at]
+    for i in np.flatnonzero(starts // RUN != (ends - 1) // RUN):  # words that two runs share
+        values[i] = ((data[starts[i] : ends[i]] + np.uint8(1)).astype(np.uint64) * _powers(int(ends[i] - starts[i]))).sum()
+    return _mixed(values), counts
 
 
 def shingle_sets(texts: list[str], shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,18 +99,23 @@ def shingle_sets(texts: list[str], shingle: int) -> tuple[np.ndarray, np.ndarray
     for k in range(1, shingle):
         runs[: len(runs) - k] = runs[: len(runs) - k] * WORD_BASE + words[k:]
     runs = _mixed(runs)
-    out, stop = [], np.cumsum(counts)
+    stop, first, keep = np.cumsum(counts), np.zeros(len(runs), bool), np.zeros(len(runs), bool)
     for end, n in zip(stop.tolist(), counts.tolist(), strict=True):
+        start = end - n
         if n >= shingle:
-            out.append(np.unique(runs[end - n : end - shingle + 1]))
+            runs[start : end - shingle + 1].sort()
+            keep[start : end - shingle + 1] = True
+            first[start] = True
         elif n:
             value = 0
-            for w in words[end - n : end].tolist():
+            for w in words[start:end].tolist():
                 value = (value * int(WORD_BASE) + w) & 0xFFFFFFFFFFFFFFFF
-            out.append(_mixed(np.array([value ^ n], dtype=np.uint64)))
-        else:
-            out.append(np.zeros(0, np.uint64))
-    return np.concatenate(out), np.fromiter(map(len, out), dtype=np.int64, count=len(out))
+            runs[start] = _mixed(np.array([value ^ n], dtype=np.uint64))[0]
+            keep[start] = first[start] = True
+    keep[1:] &= first[1:] | (runs[1:] != runs[:-1])
+    before = np.concatenate(([0], np.cumsum(keep)))
+    sizes = before[stop] - before[stop - counts]
+    return runs[keep], sizes
 
 
 class Bands:
@@ -157,8 +181,10 @@ class Dealt:
         many = np.bincount(self.entry, dear, len(self.width))
         enough = 2 * many <= self.width
         able = enough[self.entry]
-        cost = np.bincount(self.place, 1.0 + COMMON * has(common, less), len(self.sums)) + np.where(dear, np.inf, 0)
-        order = np.lexsort((cost, self.entry))
+        cost = np.bincount(self.place, 1.0 + COMMON * has(common, less), len(self.sums))
+        cost = np.where(dear, 4095, np.minimum(cost, 4094)).astype(np.int64)
+        # by entry, then cost, then place: 21, 12 and 31 bits, each value once, so that all workers agree
+        order = np.sort(((self.entry << 43) + (cost << 31) + np.arange(len(cost))).view(np.uint64)) & np.uint64((1 << 31) - 1)
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order)) - np.repeat(np.cumsum(self.width) - self.width, self.width)
         return able & ~dear, able & (rank < many[self.entry]), less, ~enough
@@ -289,25 +315,31 @@ def sets_of(texts: DataFrame, shingle: int, nodes: np.ndarray) -> DataFrame:
     return texts.mapInArrow(run, "node long, tokens binary")
 
 
-def verified(spark: SparkSession, pairs: DataFrame, facts: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are as similar as asked; a should be the end with fewer pairs.
+def likely(spark: SparkSession, pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sizes and sketches allow them to be as similar as asked.
 
-    Sizes and the sketches' Hamming distance, which no two sets exceed by what they differ in, leave out most of the
-    others; the rest are compared token by token. Sets are joined by salted keys, so a node with very many pairs is no
-    single task.
+    The sketches' Hamming distance is at most the number of tokens in which two sets differ.
     """
     end = lambda c: facts.select(F.col("node").alias(c), F.struct("size", "sketch").alias(f"{c}_is"))
     both = pairs.join(end("a"), "a").join(end("b"), "b")
     x, y = F.col("a_is.size"), F.col("b_is.size")
     apart = sum(F.bit_count(F.col("a_is.sketch")[i].bitwiseXOR(F.col("b_is.sketch")[i])) for i in range(SKETCH // 64))
-    likely = both.filter((F.least(x, y) * 100 >= F.greatest(x, y) * percent) & (apart * (100 + percent) <= (x + y) * (100 - percent)))
-    likely = written(spark, likely.select("a", "b"), "jaccard-likely")
-    nodes = likely.select(F.col("a").alias("key")).union(likely.select("b"))
-    held = sets_of(texts, shingle, bitmap_of(nodes)).groupBy("node").agg(F.first("tokens").alias("tokens"))
+    near = both.filter((F.least(x, y) * 100 >= F.greatest(x, y) * percent) & (apart * (100 + percent) <= (x + y) * (100 - percent)))
+    return written(spark, near.select("a", "b"), "jaccard-likely")
+
+
+def verified(spark: SparkSession, pairs: DataFrame, facts: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes, a written table, whose sets are as similar as asked, token by token.
+
+    Only texts of these nodes are read. Sets are joined by salted keys, so a node with very many pairs is no single task.
+    """
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+    some = likely_in(texts, "id", likely_in(facts, "node", nodes).select("id"))
+    held = sets_of(some, shingle, bitmap_of(nodes.withColumnRenamed("node", "key"))).groupBy("node").agg(F.first("tokens").alias("tokens"))
     held = written(spark, held, "jaccard-sets")
-    one = join_salted(spark, likely.select(F.col("a").alias("node"), "b"), held, "node")
+    one = join_salted(spark, pairs.select(F.col("a").alias("node"), "b"), held, "node")
     one = one.select(F.col("node").alias("a"), F.col("b").alias("node"), F.col("tokens").alias("left"))
-    uses = written(spark, likely.groupBy(F.col("b").alias("node")).count(), "jaccard-uses")
+    uses = written(spark, pairs.groupBy(F.col("b").alias("node")).count(), "jaccard-uses")
     met = join_salted(spark, one, held, "node", uses).select("a", F.col("node").alias("b"), "left", "tokens")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,6 +354,112 @@ def verified(spark: SparkSession, pairs: DataFrame, facts: DataFrame, texts: Dat
     return met.mapInArrow(close, "a long, b long")
 
 
+def split_groups(spark: SparkSession, rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of groups whose nodes aren't known to lie in one component, by roots (node, root): links to one node each.
+
+    part: the component as far as known; main: whether it is the group's largest; n: the group's rows; few: those outside the largest.
+    """
+    part = F.coalesce("root", "node").alias("part")
+    placed = written(spark, rows.join(roots, "node", "left").select("key", "node", "size", "own", "probe", "least", part), "jaccard-placed")
+    sizes = placed.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key")
+    mixed = sizes.agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("few"))
+    mixed = written(spark, mixed.filter("few > 0"), "jaccard-mixed")
+    split = join_counted(placed, mixed, ["key"], "n", "inner").withColumn("main", F.col("part") == F.col("main"))
+    split = written(spark, split, "jaccard-split")
+    removed(spark, placed, mixed)
+    return split
+
+
+def across(split: DataFrame, facts: DataFrame, percent: int, many: int | None = None) -> DataFrame:
+    """(a, b, least, held): pairs of a group's rows in different components, an end outside its largest, that sizes and
+    sketches allow to be similar. A pair comes once for each key that it shares, held is null.
+
+    Of a group with more than `many` such pairs for each row only a forest over its components comes, the surest pairs
+    first; held is the group's key then.
+
+    Rows meet in tasks, which yield such pairs and no others. A large group is dealt over several: each takes about LEFT of
+    the rows outside the largest component and RIGHT of all.
+    """
+    split = split.join(facts.select("node", "sketch"), "node")
+    lefts, rights = F.ceil(F.col("few") / LEFT).cast("int"), F.ceil(F.col("n") / RIGHT).cast("int")
+    some = lambda k, seed: F.pmod(F.xxhash64("node", F.lit(seed)), k).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), k - 1))
+    facts = ["node", "size", "own", "probe", "least", "part", "main", *(F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH // 64))]
+    left = split.filter(~F.col("main")).select("key", some(lefts, 1).alias("i"), every(rights).alias("j"), F.lit(True).alias("left"), *facts)
+    right = split.select("key", every(lefts).alias("i"), some(rights, 2).alias("j"), F.lit(False).alias("left"), *facts)
+    dealt = left.unionByName(right).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "left")
+
+    def pairs_of(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, i, j, left, node, size, own, probe, least, part, main, *sketch = (c.to_numpy() for c in rows.columns)
+        begins = np.flatnonzero(_begins(key, i, j))
+        ends = np.append(begins[1:], len(key))
+        of = np.repeat(np.arange(len(begins)), ends - begins)
+        rows_right = np.bincount(of, ~left, len(begins)).astype(np.int64)
+        at = np.flatnonzero(left & (rows_right[of] > 0))
+        count = rows_right[of[at]]
+        sofar, cut = np.cumsum(count), 0
+        while cut < len(at):
+            done = sofar[cut - 1] if cut else 0
+            end = max(cut + 1, int(np.searchsorted(sofar, done + PAIRS, "right")))
+            n = count[cut:end]
+            a = np.repeat(at[cut:end], n)
+            b = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + begins[of[a]]
+            cut = end
+            x, y = size[a], size[b]
+            keep = (part[a] != part[b]) & (own[a] | own[b]) & (probe[a] | probe[b]) & (main[b] | (node[a] < node[b]))
+            keep &= 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
+            a, b = a[keep], b[keep]
+            apart = sum(np.bitwise_count((s[a] ^ s[b]).view(np.uint64)).astype(np.int64) for s in sketch)  # of signed ones it counts the absolute value's
+            slack = (size[a] + size[b]) * (100 - percent) - apart * (100 + percent)
+            keep = slack >= 0
+            a, b, slack = a[keep], b[keep], slack[keep]
+            held = np.zeros(len(a), bool)
+            if many is not None:
+                held = (np.bincount(of[a], minlength=len(begins)) > many * (ends - begins))[of[a]]
+                joins = forest(of[a[held]], part[a[held]], part[b[held]], slack[held])
+                keep = ~held
+                keep[np.flatnonzero(held)[joins]] = True
+                a, b, held = a[keep], b[keep], held[keep]
+            columns = [_long(c) for c in (node[a], node[b], least[a])] + [pa.array(key[a], mask=~held)]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "least", "held"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            held = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch]).combine_chunks()
+            last = int(np.flatnonzero(_begins(*(held[c].to_numpy() for c in ("key", "i", "j"))))[-1]) if len(held) else 0
+            yield from pairs_of(held[:last])
+            held = held[last:]
+        if held is not None:
+            yield from pairs_of(held)
+
+    return dealt.mapInArrow(run, "a long, b long, least long, held long")
+
+
+def forest(group: np.ndarray, a: np.ndarray, b: np.ndarray, slack: np.ndarray) -> list[int]:
+    """Places of the pairs (a, b) of components that join what isn't joined yet in their group, most slack first."""
+    root, out = {}, []
+
+    def find(x: tuple) -> tuple:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    for k in np.argsort(-slack, kind="stable").tolist():
+        x, y = find((group[k], a[k])), find((group[k], b[k]))
+        if x != y:
+            root[x] = y
+            out.append(k)
+    return out
+
+
+def _begins(*keys: np.ndarray) -> np.ndarray:
+    """Whether a row's keys differ from those of the row before."""
+    out = np.ones(len(keys[0]), bool)
+    out[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return out
+
+
 def _linked(spark: SparkSession, texts: DataFrame, facts: DataFrame, shingle: int, percent: int, kept: Callable) -> DataFrame:
     """Components (node, root) of the links between different sets; nodes without a link are absent."""
     bands = Bands(percent)
@@ -347,32 +485,25 @@ def _linked(spark: SparkSession, texts: DataFrame, facts: DataFrame, shingle: in
     stars = met.filter("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("count"), F.min("least").alias("least"))
     stars = stars.filter("count >= least").groupBy("node").agg(F.max_by("centre", F.struct("count", "centre")).alias("b"))
     stars = written(spark, stars.select(F.col("node").alias("a"), "b"), "jaccard-stars")
+    stars = likely(spark, stars, facts, percent)
     near = written(spark, verified(spark, stars, facts, texts, shingle, percent), "jaccard-near")
-    roots = written(spark, components(spark, near), "jaccard-roots")
     # what lies in different components of a group
-    part = F.coalesce("root", "node").alias("part")
-    placed = met.drop("n", "centre").join(roots, "node", "left").select("key", "node", "size", "own", "probe", "least", part)
-    placed = written(spark, placed, "jaccard-placed")
+    split = split_groups(spark, met, near.select(F.col("a").alias("node"), F.col("b").alias("root")))
     removed(spark, met, groups)
-    sizes = placed.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key")
-    mixed = sizes.agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("parts")).filter("parts > 1")
-    mixed = written(spark, mixed.select("key", "main", "n"), "jaccard-mixed")
-    split = written(spark, join_counted(placed, mixed, ["key"], "n", "inner").drop("n"), "jaccard-split")
-    removed(spark, placed)
-    side = lambda c: [F.col(x).alias(f"{c}_{x}") for x in ("node", "size", "own", "probe", "least", "part")]
-    few = split.filter("part <> main").select("key", "main", *side("a"))
-    pairs = few.join(split.select("key", *side("b")), "key").filter(
-        (F.col("a_part") != F.col("b_part"))
-        & (F.col("a_own") | F.col("b_own"))
-        & (F.col("a_probe") | F.col("b_probe"))
-        & ((F.col("b_part") == F.col("main")) | (F.col("a_node") < F.col("b_node")))
-        & (F.least("a_size", "b_size") * 100 >= F.greatest("a_size", "b_size") * percent)
-    )
-    ends = (F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
-    pairs = pairs.groupBy(*ends).agg(F.count("*").alias("n"), F.min("a_least").alias("least")).filter("n >= least")
-    pairs = written(spark, pairs.select("a", "b"), "jaccard-pairs")
-    further = written(spark, verified(spark, pairs, facts, texts, shingle, percent), "jaccard-further")
-    return kept(components(spark, near.unionByName(further)), "jaccard-components")
+    ends = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    found = written(spark, across(split, facts, percent, MANY), "jaccard-across")
+    pairs = found.groupBy(*ends).agg(F.count("*").alias("n"), F.min("least").alias("least"), F.count("held").alias("held"))
+    pairs = written(spark, pairs.filter("n >= least or held > 0").select("a", "b"), "jaccard-pairs")
+    near = near.unionByName(written(spark, verified(spark, pairs, facts, texts, shingle, percent), "jaccard-further"))
+    # groups that held pairs back: all that still lie in different components
+    held = written(spark, found.filter("held is not null").select(F.col("held").alias("key")).distinct(), "jaccard-held")
+    if not held.isEmpty():
+        roots = written(spark, components(spark, near), "jaccard-roots")
+        split = split_groups(spark, split.join(held, "key"), roots)
+        pairs = written(spark, across(split, facts, percent).select(*ends).distinct(), "jaccard-pairs")
+        further = written(spark, verified(spark, pairs, facts, texts, shingle, percent), "jaccard-further")
+        near = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(further)
+    return kept(components(spark, near), "jaccard-components")
 
 
 def jaccard_groups(
@@ -402,7 +533,7 @@ def jaccard_groups(
     with temporary(spark) as kept:
         # one text of each node, or few, is enough
         once = likely_in(texts, "id", nodes.select(F.col("least").alias("id")))
-        roots = _linked(spark, once, nodes.select("node", "size", "sketch"), shingle, percent, kept)
+        roots = _linked(spark, once, nodes.select("node", F.col("least").alias("id"), "size", "sketch"), shingle, percent, kept)
     placed = nodes.select("node", "least", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = written(spark, placed, "jaccard-placed")
     firsts = written(spark, placed.groupBy("root").agg(F.min("least").alias("first"), F.count("*").alias("members")), "jaccard-firsts")

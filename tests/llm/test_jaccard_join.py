@@ -72,6 +72,33 @@ def test_against_brute_force(spark, make_docs, odd_texts, monkeypatch, common):
     assert found(spark, make_docs(texts, ids)) == brute(texts, ids)
 
 
+def test_family_far_from_its_template(spark, make_docs, monkeypatch):
+    """Groups that hold pairs back have all links; what leaves the tasks grows with their rows, not with their pairs."""
+    rng, met, real = random.Random(21), [], jaccard_join.across
+
+    def counted(split, *args):
+        out = real(split, *args)
+        met.append((len(args), split.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "across", counted)
+    monkeypatch.setattr(jaccard_join, "MANY", 1)
+    monkeypatch.setattr(jaccard_join, "LEFT", 40)
+    base = prose(rng, 110).split()
+    texts = [edited(rng, base, rng.randint(2, 9)) for _ in range(300)]
+    ids = list(range(len(texts)))
+    assert found(spark, make_docs(texts, ids)) == brute(texts, ids)
+    (first, rows, pairs), *again = met
+    assert first == 3 and pairs <= 2 * rows and len(again) == 1
+
+
+def test_words_across_runs():
+    words = ["a" * 20_000, "b" * 16_384, "a" * 20_000, "é" * 9_000, "a" * 19_999, "b" * 16_384]
+    values, counts = jaccard_join.word_hashes([" ".join(words), "x " * 8_192 + words[0]])
+    assert counts.tolist() == [6, 8_193] and len(set(values[:6].tolist())) == 4
+    assert values[0] == values[2] == values[-1] and values[1] == values[5]
+
+
 def test_other_limits(spark, make_docs):
     rng = random.Random(9)
     texts = [edited(rng, base, rng.randint(0, 6)) for base in (prose(rng, 80).split() for _ in range(6)) for _ in range(12)]
