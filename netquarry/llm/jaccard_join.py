@@ -488,7 +488,7 @@ def _linked(spark: SparkSession, texts: DataFrame, facts: DataFrame, shingle: in
     stars = likely(spark, stars, facts, percent)
     near = written(spark, verified(spark, stars, facts, texts, shingle, percent), "jaccard-near")
     # what lies in different components of a group
-    split = split_groups(spark, met, near.select(F.col("a").alias("node"), F.col("b").alias("root")))
+    split = split_groups(spark, met, written(spark, components(spark, near), "jaccard-roots"))
     removed(spark, met, groups)
     ends = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     found = written(spark, across(split, facts, percent, MANY), "jaccard-across")
@@ -500,7 +500,11 @@ def _linked(spark: SparkSession, texts: DataFrame, facts: DataFrame, shingle: in
     if not held.isEmpty():
         roots = written(spark, components(spark, near), "jaccard-roots")
         split = split_groups(spark, split.join(held, "key"), roots)
-        pairs = written(spark, across(split, facts, percent).select(*ends).distinct(), "jaccard-pairs")
+        # with the keys that they shared in other groups
+        again = across(split, facts, percent).select(*ends, "least", F.lit(1).alias("new"))
+        again = again.unionByName(found.filter("held is null").select(*ends, "least", F.lit(0).alias("new")))
+        pairs = again.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("least").alias("least"), F.max("new").alias("new"))
+        pairs = written(spark, pairs.filter("n >= least and new = 1").select("a", "b"), "jaccard-pairs")
         further = written(spark, verified(spark, pairs, facts, texts, shingle, percent), "jaccard-further")
         near = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(further)
     return kept(components(spark, near), "jaccard-components")
